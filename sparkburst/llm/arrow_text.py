@@ -68,12 +68,12 @@ def chunks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, n
         lo = hi
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and each document's first word (n + 1 bounds)."""
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(offsets), dtype=np.int64)
-    inside = ~IS_SPACE[data]
+    inside = ~spaces[data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     ends = inside.copy()
