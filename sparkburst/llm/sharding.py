@@ -17,7 +17,9 @@ from .tables import written
 SHARDS = 24
 SEED = "shard-1"
 #: Rows of a bucket that one window partition orders, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
+#: Buckets whose counts one window orders; beyond, buckets hold more rows.
+MOST_BUCKETS = 100_000
 
 
 def _placed(rows: DataFrame, keys: list[str], bucket: str, order: list[str], name: str) -> DataFrame:
@@ -49,7 +51,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
         "sizes",
     )
     total = rows.count()
-    buckets = max(1, -(-total // BUCKET_ROWS))
+    buckets = max(1, min(MOST_BUCKETS, -(-total // BUCKET_ROWS)))
     order = ["digest", "doc_id", "text_crc32", "size"]
     first = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
     ranked = _placed(rows.withColumn("_b", F.floor(first * buckets / F.lit(1 << 32)).cast("long")), ["source"], "_b", order, "_rank").drop("_b")
