@@ -35,7 +35,7 @@ def running_sum(values: Column, block: int = 256) -> Column:
         return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: x + F.when(i > 0, F.get(e, i - 1)).otherwise(F.lit(0).cast("long"))))))
 
     def blocks(xs: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.expr("0") + (F.size(xs) - 1) / block)
-        return F.transform(starts.cast("array<int>"), lambda b: summed(F.slice(xs, b * block + 1, F.lit(block))))
+        last = F.floor((F.size(xs) - 1) / block).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: summed(F.slice(xs, b * block + 1, F.lit(block))))
 
     return let(values, lambda xs: F.when(F.size(xs) == 0, none).otherwise(let(blocks(xs), joined)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, packing, quality, sharding
+from . import decontamination, language, packing, privacy, quality, sharding
 from .tables import read
 
 
@@ -34,9 +34,19 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*base)
 
 
+def op9_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = privacy.find(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return out.select(
+        "doc_id",
+        *[privacy.count_of(k).alias(f"n_{k}") for k in privacy.KINDS[:-1]],
+        F.sha2(privacy.listed(privacy.base_spans()).cast("binary"), 256).alias("base_sha256"),
+        privacy.listed(F.col("_spans")).alias("spans"),
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_packing, op5_sharding, op8_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_packing, op5_sharding, op8_quality, op9_privacy, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
