@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, packing, privacy, quality, sharding
+from . import decontamination, language, ngram_join, packing, privacy, quality, sharding
 from .tables import read
 
 
@@ -28,6 +28,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(read(spark, sf_dir, "documents"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"]
@@ -48,5 +52,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_packing, op5_sharding, op8_quality, op9_privacy, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_packing, op5_sharding, op7_ngram_join, op8_quality, op9_privacy, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
