@@ -108,7 +108,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int = BUCKETS, width: int = 16, epochs: int = 6, rate: float = 2.0, false_reject: float = 0.002, seed: int = 7) -> Model:
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int = BUCKETS, width: int = 16, epochs: int = 6, rate: float = 0.2, false_reject: float = 0.002, seed: int = 7) -> Model:
     """A model from (language, bucket ids, counts) of labelled texts; every fifth row only calibrates."""
     languages = sorted({lang for lang, ids, _ in rows if len(ids)})
     draw = np.random.default_rng(seed)
@@ -138,7 +138,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int = BUCKETS,
         model.temperature = float(grid[np.flatnonzero(loss <= loss.min() + 0.002)[-1]])
         p = softmax(logits / model.temperature)
         right = p.max(axis=1)[p.argmax(axis=1) == truth]
-        model.threshold = float(min(0.5, np.quantile(right, false_reject))) if len(right) else 0.0
+        model.threshold = float(min(0.4, np.quantile(right, false_reject))) if len(right) else 0.0
     return model
 
 
