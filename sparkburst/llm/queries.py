@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, ngram_join, packing, privacy, quality, sharding
+from . import chat, decontamination, language, ngram_join, packing, privacy, quality, sharding
 from .tables import read
 
 
@@ -28,6 +28,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(read(spark, sf_dir, "conversations"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"), size=4, percent=85)
 
@@ -52,5 +56,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_packing, op5_sharding, op7_ngram_join, op8_quality, op9_privacy, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_language, op3_packing, op5_sharding, op6_chat, op7_ngram_join, op8_quality, op9_privacy, op10_decontamination)}
+#: The test tables hold no tool calls; calls are tested against a plain version on fixtures.
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat": """
+        WITH m AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations)
+        SELECT conv_id, turn // 64 AS segment, count(*) AS n_messages, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_valid,
+               '{"messages":[' || string_agg('{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || ',"turn":' || turn || '}', ',' ORDER BY turn, role, text) || ']}' AS chat
+        FROM m GROUP BY conv_id, turn // 64
+    """,
+}
