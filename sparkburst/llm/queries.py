@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, ngram_join, packing, privacy, quality, sharding
+from . import chat, decontamination, language, ngram_join, packing, privacy, quality, sharding, token_counts
 from .tables import read
 
 
@@ -21,6 +21,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(read(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(read(spark, sf_dir, "documents"))
     return out.select(
@@ -56,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_packing, op5_sharding, op6_chat, op7_ngram_join, op8_quality, op9_privacy, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_packing, op4_token_counts, op5_sharding, op6_chat, op7_ngram_join, op8_quality, op9_privacy, op10_decontamination)}
 #: The test tables hold no tool calls; calls are tested against a plain version on fixtures.
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": """
