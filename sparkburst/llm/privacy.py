@@ -132,18 +132,23 @@ def disclosing(located: DataFrame, docs: DataFrame) -> DataFrame | None:
     met = seen.select("_row", "entity", "context", F.explode("terms").alias("term"))
     # distinct first: each context counts once, however many copies of it there are
     contexts = met.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    supported = written(contexts, "supported")
+    together = met.join(contexts.select("entity", "term"), ["entity", "term"]).select("entity", "term", "_row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    of_entity = seen.select("entity", "_row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    of_context = met.select("term", "_row").distinct().groupBy("term").agg(F.count("*").alias("n_seen"))
+    n = F.lit(float(max(1, located.count())))
+
+    def over(n_term: str) -> Column:
+        pmi = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.greatest(F.col(n_term), F.col("n_both"))))
+        return (pmi >= DISCLOSURE * F.log2(n / F.col("n_entity"))) & (n > F.col("n_entity"))
+
+    # a term stands in as many documents as it does near entities at least: what is too common there is out
+    supported = written(together.join(of_entity, "entity").join(of_context, "term").where(over("n_seen")), "supported")
     if supported.isEmpty():
         return None
-    together = met.join(supported, ["entity", "term"]).select("entity", "term", "_row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    of_entity = seen.select("entity", "_row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     candidates = supported.select("term").distinct()
     held = docs.select(F.explode(_terms(words(F.coalesce(F.col("text").cast("string"), F.lit(""))))).alias("term"))
     of_term = held.join(candidates, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.lit(float(max(1, located.count())))
-    pmi = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.greatest(F.col("n_term"), F.col("n_both"))))
-    ic = F.log2(n / F.col("n_entity"))
-    return together.join(of_entity, "entity").join(of_term, "term").where(pmi >= DISCLOSURE * ic).where(ic > 0).select("entity", "term")
+    return supported.join(of_term, "term").where(over("n_term")).select("entity", "term")
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
