@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, ngram_join, packing, privacy, quality, sharding, token_counts
+from . import chat, decontamination, language, ngram_join, packing, privacy, quality, sharding, substrings, token_counts
 from .tables import read
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.train(docs)
@@ -60,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_packing, op4_token_counts, op5_sharding, op6_chat, op7_ngram_join, op8_quality, op9_privacy, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_language, op3_packing, op4_token_counts, op5_sharding, op6_chat, op7_ngram_join, op8_quality, op9_privacy, op10_decontamination)}
 #: The test tables hold no tool calls; calls are tested against a plain version on fixtures.
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": """
