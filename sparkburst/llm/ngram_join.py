@@ -32,7 +32,7 @@ from .tables import discard, written
 #: Counters of the global order, in blocks that are summed apart.
 COUNTERS = 1 << 20
 _BLOCKS = 64
-_PARITY_WORDS = 16
+_PARITY_WORDS = 8
 #: Rows up to which ids are broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -172,37 +172,43 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     gives no rows.  Other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = written(_prefixes(texts, size, percent, _counters(texts, size)), "prefixes")
-    full = rows.where("n > 0 and doc_id is not null")
-    members = written(full.groupBy("gid", "node").agg(F.min("doc_id").alias("rep")), "members")
-    groups = written(full.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "groups")
+    wide = written(_prefixes(texts, size, percent, _counters(texts, size)), "prefixes")
+    rows = written(wide.select("doc_id", "n", "node", "gid"), "rows")
+    usable = "n > 0 and doc_id is not null"
+    members = written(rows.where(usable).groupBy("gid", "node").agg(F.min("doc_id").alias("rep")), "members")
+    groups = written(wide.where(usable).groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "groups")
+    discard(wide)
     # shingles that only one group has in its prefix pair nothing
     held = groups.select("gid", F.explode("prefix").alias("shingle"))
     several = held.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
-    shared = held.join(several, "shingle", "left_semi").groupBy("gid").agg(F.sort_array(F.collect_list("shingle")).alias("shared"))
-    paired = written(shared.join(groups.select("gid", "n", "parity"), "gid"), "paired")
+    postings = written(held.join(several, "shingle", "left_semi"), "postings")
+    sketch = written(groups.select("gid", "n", "parity").join(postings.select("gid").distinct(), "gid", "left_semi"), "sketches")
+    discard(groups)
     mixed = members.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
-    wanted = members.join(paired.select("gid").unionByName(mixed).distinct(), "gid", "left_semi").select(F.col("rep").alias("doc_id"), "node")
+    wanted = members.join(sketch.select("gid").unionByName(mixed).distinct(), "gid", "left_semi").select(F.col("rep").alias("doc_id"), "node")
     sets = _sets(texts, wanted, size)
 
     possible = _possible(percent)
-    postings = paired.withColumn("shingle", F.explode("shared"))
     expand = lambda pairs: (
         pairs.join(members.select(F.col("gid").alias("ga"), F.col("node").alias("a")), "ga").join(members.select(F.col("gid").alias("gb"), F.col("node").alias("b")), "gb").select("a", "b")
     )
-    found = None
+    met = None
     for k in range(2):
-        pivots = postings.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("gid", F.lit(k)).alias("h"), "gid", "n", "parity")).alias("p")).select("shingle", "p.*")
-        met = postings.alias("x").join(pivots.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") != F.col("y.gid")) & possible("x", "y"))
-        pairs = met.select(F.least("x.gid", "y.gid").alias("ga"), F.greatest("x.gid", "y.gid").alias("gb"))
-        found = pairs if found is None else found.unionByName(pairs)
-    inside = members.alias("m").join(mixed, "gid", "left_semi").alias("m").join(members.alias("o"), (F.col("m.gid") == F.col("o.gid")) & (F.col("m.node") < F.col("o.node"))).select(F.col("m.node").alias("a"), F.col("o.node").alias("b"))
-    links = written(_verified(expand(found.distinct()).unionByName(inside), sets, percent), "links")
+        pivots = postings.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("gid", F.lit(k)).alias("h"), "gid")).alias("p")).select("shingle", F.col("p.gid").alias("pivot"))
+        pairs = postings.join(pivots, "shingle").where("gid <> pivot").select(F.least("gid", "pivot").alias("ga"), F.greatest("gid", "pivot").alias("gb"))
+        met = pairs if met is None else met.unionByName(pairs)
+    met = met.distinct().join(sketch.alias("x"), F.col("ga") == F.col("x.gid")).join(sketch.alias("y"), (F.col("gb") == F.col("y.gid")) & possible("x", "y")).select("ga", "gb")
+    inside = members.join(mixed, "gid", "left_semi")
+    inside = inside.alias("m").join(inside.alias("o"), (F.col("m.gid") == F.col("o.gid")) & (F.col("m.node") < F.col("o.node"))).select(F.col("m.node").alias("a"), F.col("o.node").alias("b"))
+    links = written(_verified(expand(met).unionByName(inside), sets, percent), "links")
     roots = components(links, "a", "b")
 
     # all other pairs: across components only, each at its first common shingle
     of_group = members.join(roots, "node", "left").groupBy("gid").agg(F.min(F.coalesce("root", "node")).alias("lo"), F.max(F.coalesce("root", "node")).alias("hi"))
-    whole = postings.join(of_group.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("root")), "gid", "left")
+    rooted = written(postings.join(of_group, "gid"), "rooted")
+    across = rooted.groupBy("shingle").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("shingle")
+    left = rooted.join(across, "shingle", "left_semi").groupBy("gid").agg(F.sort_array(F.collect_list("shingle")).alias("shared"), F.first(F.when(F.col("lo") == F.col("hi"), F.col("lo"))).alias("root"))
+    whole = left.join(sketch, "gid").withColumn("shingle", F.explode("shared"))
     common = F.array_intersect("x.shared", "y.shared")
     prefix = lambda s: F.col(f"{s}.n") - F.ceil(F.col(f"{s}.n") * percent / 100) + 1
     needed = (100 + percent) * (F.size(common) + F.greatest(F.col("x.n") - prefix("x"), F.col("y.n") - prefix("y"))) >= percent * (F.col("x.n") + F.col("y.n"))
@@ -218,7 +224,6 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     linked = roots.join(least, "root").select("node", "least")
     known = reps.join(linked, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(known, "node", "left")
-    discard(groups)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
