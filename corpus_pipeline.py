@@ -1,18 +1,52 @@
-"""The corpus pipeline: five stages, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: five stages, each written as Parquet and reread as the next one's input.
+
+Every stage works on all that its predecessor kept.  All but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkburst.llm import packing
+from sparkburst.llm import decontamination, language, ngram_join, packing, privacy
 from sparkburst.llm.tables import read, written
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents whose language the model rejects: no letter in them, or none of its languages likely."""
+    judged = language.identify(docs, language.train(docs), prefix="_id_")
+    return judged.where(~F.col("_id_rejected")).select(*docs.columns)
+
+
+def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves one document, that of the smallest doc_id, of each group of near copies: five-word shingles, similarity 0.8."""
+    return ngram_join.representatives(docs, size=5, percent=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents into which an item of ``benchmark`` leaks."""
+    return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data, and terms that disclose it, in the texts; keeps every document."""
+    return privacy.sanitise(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed token sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_join", ngram_dedup),
+    ("decontamination", benchmark_decontamination),
+    ("pii", pii),
+    ("packing", pack),
+]
+#: Trained models and tokenizers are not SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

@@ -170,8 +170,8 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, buckets: int
     return fit([(r["lang"], np.array(r["ids"], dtype=np.int64), np.array(r["counts"], dtype=np.float64)) for r in bags], buckets)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score and rejected.
+def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """``docs`` with lang_pred, score and rejected, their names after ``prefix``.
 
     A null text, or one without a letter, is ``und`` with score 0 and rejected;
     so is every text if the model knows no language.  Otherwise lang_pred is the
@@ -181,8 +181,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     gives an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score", "rejected")
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    new = [f"{prefix}{n}" for n in ("lang_pred", "score", "rejected")]
+    kept = docs.drop(*new)
+    added = [T.StructField(n, t) for n, t in zip(new, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
     schema = T.StructType([*kept.schema.fields, *added])
     at = kept.columns.index("text")
 
@@ -198,6 +199,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             else:
                 names, score = np.full(len(text), UNKNOWN, dtype=object), np.zeros(len(text))
             refused = (names == UNKNOWN) | (score < m.threshold)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(refused.astype(bool))], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(refused.astype(bool))], names=[*batch.schema.names, *new])
 
     return kept.mapInArrow(run, schema)
