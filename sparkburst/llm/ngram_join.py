@@ -150,8 +150,11 @@ def _possible(percent: int) -> Callable[[str, str], Column]:
     return test
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs of nodes whose whole sets reach the threshold."""
+def _verified(texts: DataFrame, members: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The (a, b) pairs of nodes whose whole sets reach the threshold; only their sets are read."""
+    pairs = written(pairs, "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _sets(texts, members.groupBy("node").agg(F.min("rep").alias("doc_id")).join(nodes, "node", "left_semi").select("doc_id", "node"), size)
     both = F.size("sa.items") + F.size("sb.items")
     common = F.size(F.array_intersect("sa.items", "sb.items"))
     first = pairs.alias("p").join(sets.alias("sa"), F.col("p.a") == F.col("sa.node"))
@@ -181,12 +184,12 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # shingles that only one group has in its prefix pair nothing
     held = groups.select("gid", F.explode("prefix").alias("shingle"))
     several = held.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
-    postings = written(held.join(several, "shingle", "left_semi"), "postings")
+    several = written(several, "several")
+    few = several.count() <= BROADCAST_ROWS
+    postings = written(held.join(F.broadcast(several) if few else several, "shingle", "left_semi"), "postings")
     sketch = written(groups.select("gid", "n", "parity").join(postings.select("gid").distinct(), "gid", "left_semi"), "sketches")
     discard(groups)
     mixed = members.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
-    wanted = members.join(sketch.select("gid").unionByName(mixed).distinct(), "gid", "left_semi").select(F.col("rep").alias("doc_id"), "node")
-    sets = _sets(texts, wanted, size)
 
     possible = _possible(percent)
     expand = lambda pairs: (
@@ -200,7 +203,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     met = met.distinct().join(sketch.alias("x"), F.col("ga") == F.col("x.gid")).join(sketch.alias("y"), (F.col("gb") == F.col("y.gid")) & possible("x", "y")).select("ga", "gb")
     inside = members.join(mixed, "gid", "left_semi")
     inside = inside.alias("m").join(inside.alias("o"), (F.col("m.gid") == F.col("o.gid")) & (F.col("m.node") < F.col("o.node"))).select(F.col("m.node").alias("a"), F.col("o.node").alias("b"))
-    links = written(_verified(expand(met).unionByName(inside), sets, percent), "links")
+    links = written(_verified(texts, members, expand(met).unionByName(inside), size, percent), "links")
     roots = components(links, "a", "b")
 
     # all other pairs: across components only, each at its first common shingle
@@ -216,7 +219,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     rest = whole.alias("x").join(
         whole.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") < F.col("y.gid")) & apart & possible("x", "y") & needed & (F.array_min(common) == F.col("x.shingle"))
     )
-    more = _verified(expand(rest.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))), sets, percent)
+    more = _verified(texts, members, expand(rest.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))), size, percent)
     roots = written(components(links.unionByName(more), "a", "b"), "roots")
 
     reps = members.groupBy("node").agg(F.min("rep").alias("rep"))
