@@ -58,7 +58,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts of about ``limit`` bytes."""
     data, offsets = buffers(column)
     lo, n = 0, len(column)
@@ -114,8 +114,8 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np
     at[out[:-1][short]] = 0
     got = h[at] if len(h) else np.zeros(out[-1], dtype=np.uint64)
     for d in short:
-        x = _U(counts[d])
+        x = np.array([counts[d]], dtype=np.uint64)
         for w in words[bounds[d] : bounds[d + 1]]:
-            x = mix(np.array([x * _BASE + w], dtype=np.uint64))[0]
-        got[out[d]] = x
+            x = mix(x * _BASE + w)
+        got[out[d]] = x[0]
     return got, out

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_text import chunks, shingle_hashes, span_hashes, word_bounds
+from .tables import small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -224,7 +225,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for shared in _slices(benchmark, similarity):
-        found = texts.mapInArrow(finder(shared), LEAKS)
+        found = small_batches(texts).mapInArrow(finder(shared), LEAKS)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -235,16 +236,14 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, with all their columns, into which no test item leaks."""
-    at = docs.columns.index("text")
 
     def keeper(shared: Broadcast):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = shared.value.search(batch.column(at))
-                yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
+        @F.arrow_udf("boolean")
+        def untouched(text: pa.Array) -> pa.Array:
+            return pa.array([not hits for hits in shared.value.search(text)], pa.bool_())
 
-        return run
+        return untouched
 
     for shared in _slices(benchmark, similarity):
-        docs = docs.mapInArrow(keeper(shared), docs.schema)
+        docs = small_batches(docs).where(keeper(shared)(F.col("text").cast("string")))
     return docs

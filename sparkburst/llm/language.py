@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .arrow_text import chunks
+from .tables import small_batches
 
 UNKNOWN = "und"
 #: Rows the model is fitted on, for each language, on average.
@@ -165,7 +165,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, buckets: int
         mine = (F.col("lang") == lang) & (F.col("draw") < int(share * (1 << 40)))
         wanted = mine if wanted is None else wanted | mine
     sample = labelled.select(F.col("lang").cast("string").alias("lang"), draw.alias("draw"), F.col("text").cast("string").alias("text")).where(wanted)
-    bags = sample.mapInArrow(lambda it: _bags(it, buckets), "lang string, draw long, ids array<int>, counts array<int>").toArrow().to_pylist()
+    bags = small_batches(sample).mapInArrow(lambda it: _bags(it, buckets), "lang string, draw long, ids array<int>, counts array<int>").toArrow().to_pylist()
     bags.sort(key=lambda r: (r["draw"], r["lang"], r["ids"]))
     return fit([(r["lang"], np.array(r["ids"], dtype=np.int64), np.array(r["counts"], dtype=np.float64)) for r in bags], buckets)
 
@@ -180,25 +180,22 @@ def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     names are replaced.  Null and repeated ids change nothing; an empty table
     gives an empty table.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     new = [f"{prefix}{n}" for n in ("lang_pred", "score", "rejected")]
     kept = docs.drop(*new)
-    added = [T.StructField(n, t) for n, t in zip(new, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
-    schema = T.StructType([*kept.schema.fields, *added])
-    at = kept.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def judge(text: pa.Array) -> pa.Array:
         m = shared.value
-        for batch in batches:
-            text = batch.column(at)
-            lettered = pc.fill_null(pc.match_substring_regex(text, r"\pL"), False).to_numpy(zero_copy_only=False)
-            if m.languages and len(text):
-                best, score = m.predict(text)
-                names = np.where(lettered, np.array(m.languages, dtype=object)[best], UNKNOWN)
-                score = np.where(lettered, np.clip(score, 0.0, 1.0), 0.0)
-            else:
-                names, score = np.full(len(text), UNKNOWN, dtype=object), np.zeros(len(text))
-            refused = (names == UNKNOWN) | (score < m.threshold)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(refused.astype(bool))], names=[*batch.schema.names, *new])
-
-    return kept.mapInArrow(run, schema)
+        lettered = pc.fill_null(pc.match_substring_regex(text, r"\pL"), False).to_numpy(zero_copy_only=False)
+        if m.languages and len(text):
+            best, score = m.predict(text)
+            names = np.where(lettered, np.array(m.languages, dtype=object)[best], UNKNOWN)
+            score = np.where(lettered, np.clip(score, 0.0, 1.0), 0.0)
+        else:
+            names, score = np.full(len(text), UNKNOWN, dtype=object), np.zeros(len(text))
+        refused = ((names == UNKNOWN) | (score < m.threshold)).astype(bool)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(refused)], names=["lang_pred", "score", "rejected"])
+
+    judged = kept.withColumn(f"{prefix}judged", judge(F.col("text").cast("string")))
+    return judged.select(*kept.columns, *[F.col(f"{prefix}judged.{n.removeprefix(prefix)}").alias(n) for n in new])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import ASCII_LOWER, chunks, mix, shingle_hashes, span_hashes, word_bounds
 from .graph import components
-from .tables import discard, written
+from .tables import discard, small_batches, written
 
 #: Counters of the global order, in blocks that are summed apart.
 COUNTERS = 1 << 20
@@ -174,7 +174,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     component.  Repeated rows are equal sets, and so linked.  An empty table
     gives no rows.  Other columns are not read.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     wide = written(_prefixes(texts, size, percent, _counters(texts, size)), "prefixes")
     rows = written(wide.select("doc_id", "n", "node", "gid"), "rows")
     usable = "n > 0 and doc_id is not null"

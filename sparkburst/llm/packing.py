@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from .tables import small_batches
+
 END_ID = 1
 TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 8 * 2048
@@ -206,4 +208,4 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", tiers: tuple[int, ..
         if packer.out:
             yield _batch(packer.out)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .arrow_text import _INVERSE as INVERSE
 from .arrow_text import buffers, chunks, mix, powers
 from .suffix_sort import suffix_order
-from .tables import discard, written
+from .tables import discard, small_batches, written
 
 LENGTH = 200
 #: Bytes of an anchor; a window has LENGTH - KMER + 1 of them.
@@ -198,7 +198,7 @@ def _counted_windows(cut: DataFrame, length: int) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> tuple[DataFrame, DataFrame]:
     """The keyed texts of ``docs``, and (key, ranges) of those with bytes to remove; ranges may overlap."""
-    texts = docs.select(
+    texts = small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).select("doc_id", "text", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text").alias("key"))  # rows with equal keys are equal rows
     found = written(_all_segments(texts.select("key", "text"), length, kmer), "segments")

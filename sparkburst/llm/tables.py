@@ -12,6 +12,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with batches for Python of so few rows that long texts fit the workers' memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)

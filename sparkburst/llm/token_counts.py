@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import IS_SPACE, chunks, mix, powers, word_bounds
 from .arrow_text import _INVERSE as INVERSE
+from .tables import small_batches
 
 #: Longer pre-tokens are cut into runs of this many bytes.
 LONGEST = 256
@@ -36,7 +37,7 @@ SCALE = 1000
 TOKENS = 1 << 12
 #: Pre-tokens that a task remembers.
 REMEMBERED = 1 << 20
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 
 
 def vocabulary(name: str = "piece_bpe_32k.model") -> list[tuple[bytes, int]]:
@@ -172,5 +173,5 @@ def count(docs: DataFrame, name: str = "piece_bpe_32k.model") -> DataFrame:
             pre, tokens = _counter(name).texts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pre), pa.array(tokens)], names=["doc_id", "n_pretokens", "n_tokens"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
