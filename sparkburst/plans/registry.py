@@ -1,4 +1,21 @@
-"""All queries of the engine, by name."""
+"""All queries of the engine: a Spark plan each, and the DuckDB text that it must agree with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import catalogue_queries, curve_queries, cube_queries, sky_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+for _module in (cube_queries, curve_queries, sky_queries, catalogue_queries):
+    for _name, (_plan, _sql) in _module.REGISTER.items():
+        QUERIES[_name] = _plan
+        if _sql:
+            ORACLE_SQL[_name] = _sql
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["q_bayes_peak"](spark, sf_dir)
