@@ -83,6 +83,10 @@ def combinations(categories: Sequence[Sequence[Predicate]]) -> list[tuple[Predic
     return [tuple(p for p in chosen if p is not None) for chosen in product(*[[None, *c] for c in categories])]
 
 
+def _numbered(nodes: Column, choices: Column, width: int) -> Column:
+    return F.flatten(F.transform(nodes, lambda a: F.transform(choices, lambda b: a * width + b)))
+
+
 def lattice(df: DataFrame, categories: Sequence[Sequence[Predicate]], unique: str = "cluster_label") -> DataFrame:
     """(node, n_reg, n_unique) of every combination, in one pass over the rows.
 
@@ -99,7 +103,7 @@ def lattice(df: DataFrame, categories: Sequence[Sequence[Predicate]], unique: st
     for place in places:
         width = len(place) + 1
         choices = F.concat(F.array(F.lit(0).cast("long")), *[F.when(F.col(f"_p{k}"), F.array(F.lit(i + 1).cast("long"))).otherwise(F.array().cast("array<long>")) for i, k in enumerate(place)])
-        nodes = F.flatten(F.transform(nodes, lambda a, c=choices, w=width: F.transform(c, lambda b: a * w + b)))
+        nodes = _numbered(nodes, choices, width)
     counted = patterns.select("_u", "_n", F.explode(nodes).alias("node")).groupBy("node", "_u").agg(F.sum("_n").alias("_n"))
     return counted.groupBy("node").agg(F.sum("_n").alias("n_reg"), F.count("*").alias("n_unique"))
 
