@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import catalogues as K
@@ -10,6 +12,7 @@ from ..operators import filters as P
 from ..operators import learning, simulation
 from ..operators import statistics as S
 from ..sources import adapters as A
+from ..streaming import live
 from .cube_queries import cells_of
 from .oracle import put
 
@@ -274,3 +277,18 @@ def q_pipeline_runs(s, d):
     from .pipeline import run_summaries
 
     return run_summaries(A.photons(s, d), frame_scale_us=72_000_000)
+
+
+@query("SELECT user_id AS pixel, epoch_us(ts) // 21600000000 AS frame, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def q_stream_counts(s, d):
+    s.conf.set("spark.sql.session.timeZone", "UTC")
+    out = live.drained(live.counts(live.event_stream(s, d)), f"counts_{uuid.uuid4().hex}", "complete")
+    return out.select("pixel", F.expr("unix_micros(w.start) div 21600000000").alias("frame"), "n", F.round("total", 6).alias("total"))
+
+
+@query("""SELECT pixel, min(t) AS start_us, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY pixel ORDER BY t) AS g FROM (SELECT user_id AS pixel, epoch_us(ts) AS t,
+    CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 7200000000 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY pixel, g""")
+def q_event_sessions(s, d):
+    s.conf.set("spark.sql.session.timeZone", "UTC")
+    e = A.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("pixel"))
+    return live.sessions(e).select("pixel", F.unix_micros(F.col("w.start")).alias("start_us"), "n")
