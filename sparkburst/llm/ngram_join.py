@@ -135,7 +135,9 @@ def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     wanted = written(wanted, "wanted")
     few = wanted.count() <= BROADCAST_ROWS
     held = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "node")
-    return written(held.mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"]), "sets")
+    sets = written(held.mapInArrow(run, "node long, items array<long>"), "sets")
+    # more sets than nodes: some doc_id is repeated
+    return sets if sets.count() <= wanted.count() else sets.dropDuplicates(["node"])
 
 
 def _possible(percent: int) -> Callable[[str, str], Column]:
@@ -158,7 +160,9 @@ def _verified(texts: DataFrame, members: DataFrame, pairs: DataFrame, size: int,
     both = F.size("sa.items") + F.size("sb.items")
     common = F.size(F.array_intersect("sa.items", "sb.items"))
     first = pairs.alias("p").join(sets.alias("sa"), F.col("p.a") == F.col("sa.node"))
-    return first.join(sets.alias("sb"), (F.col("p.b") == F.col("sb.node")) & ((100 + percent) * common >= percent * both)).select("p.a", "p.b")
+    links = written(first.join(sets.alias("sb"), (F.col("p.b") == F.col("sb.node")) & ((100 + percent) * common >= percent * both)).select("p.a", "p.b"), "links")
+    discard(sets)
+    return links
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -182,7 +186,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     groups = written(wide.where(usable).groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "groups")
     discard(wide)
     # shingles that only one group has in its prefix pair nothing
-    held = groups.select("gid", F.explode("prefix").alias("shingle"))
+    held = groups.select("gid", "n", F.explode("prefix").alias("shingle"))
     several = held.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
     several = written(several, "several")
     few = several.count() <= BROADCAST_ROWS
@@ -197,18 +201,20 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     )
     met = None
     for k in range(2):
-        pivots = postings.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("gid", F.lit(k)).alias("h"), "gid")).alias("p")).select("shingle", F.col("p.gid").alias("pivot"))
-        pairs = postings.join(pivots, "shingle").where("gid <> pivot").select(F.least("gid", "pivot").alias("ga"), F.greatest("gid", "pivot").alias("gb"))
+        pivots = postings.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("gid", F.lit(k)).alias("h"), "gid", "n")).alias("p")).select("shingle", F.col("p.gid").alias("pivot"), F.col("p.n").alias("of"))
+        near = 100 * F.least("n", "of") >= percent * F.greatest("n", "of")
+        pairs = postings.join(pivots, "shingle").where((F.col("gid") != F.col("pivot")) & near).select(F.least("gid", "pivot").alias("ga"), F.greatest("gid", "pivot").alias("gb"))
         met = pairs if met is None else met.unionByName(pairs)
     met = met.distinct().join(sketch.alias("x"), F.col("ga") == F.col("x.gid")).join(sketch.alias("y"), (F.col("gb") == F.col("y.gid")) & possible("x", "y")).select("ga", "gb")
     inside = members.join(mixed, "gid", "left_semi")
     inside = inside.alias("m").join(inside.alias("o"), (F.col("m.gid") == F.col("o.gid")) & (F.col("m.node") < F.col("o.node"))).select(F.col("m.node").alias("a"), F.col("o.node").alias("b"))
-    links = written(_verified(texts, members, expand(met).unionByName(inside), size, percent), "links")
+    links = _verified(texts, members, expand(met).unionByName(inside), size, percent)
     roots = components(links, "a", "b")
 
     # all other pairs: across components only, each at its first common shingle
     of_group = members.join(roots, "node", "left").groupBy("gid").agg(F.min(F.coalesce("root", "node")).alias("lo"), F.max(F.coalesce("root", "node")).alias("hi"))
-    rooted = written(postings.join(of_group, "gid"), "rooted")
+    rooted = written(postings.drop("n").join(of_group, "gid"), "rooted")
+    discard(postings)
     across = rooted.groupBy("shingle").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("shingle")
     left = rooted.join(across, "shingle", "left_semi").groupBy("gid").agg(F.sort_array(F.collect_list("shingle")).alias("shared"), F.first(F.when(F.col("lo") == F.col("hi"), F.col("lo"))).alias("root"))
     whole = left.join(sketch, "gid").withColumn("shingle", F.explode("shared"))
