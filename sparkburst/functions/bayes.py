@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: log10 thresholds of peaks and eclipses at 3 and 5 sigma.
 PEAK_3, PEAK_5 = 5.94096891658419, 13.278830271385576
@@ -136,7 +137,7 @@ def significant(cells: DataFrame, limits: DataFrame) -> DataFrame:
     grid, peak, eclipse = (rows[c].to_numpy(dtype=float) for c in ("mu", "n_peak", "n_eclipse"))
 
     def of(values: np.ndarray):
-        @F.pandas_udf("double")
+        @F.pandas_udf(DoubleType())
         def at(mu: pd.Series) -> pd.Series:
             return pd.Series(np.interp(mu.to_numpy(dtype=float), grid, values, left=np.nan, right=np.nan))
 
@@ -144,11 +145,11 @@ def significant(cells: DataFrame, limits: DataFrame) -> DataFrame:
 
     n = F.col("n").cast("double")
     held = cells.withColumn("_p", of(peak)).withColumn("_e", of(eclipse))
-    up, down = ~F.isnan("_p") & (n > F.col("_p")), ~F.isnan("_e") & (n < F.col("_e"))
+    up, down = F.coalesce(~F.isnan("_p") & (n > F.col("_p")), F.lit(False)), F.coalesce(~F.isnan("_e") & (n < F.col("_e")), F.lit(False))
     return held.withColumn("is_peak", up).withColumn("is_eclipse", down).drop("_p", "_e")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sigma_equivalent(n: pd.Series, mu: pd.Series) -> pd.Series:
     """The sigma at which (n, mu) is just significant, by bisection of the monotone threshold; 0 to 10."""
 
@@ -176,7 +177,7 @@ def _poisson_cdf(n: int, mu: float) -> float:
     return float(np.exp(logs).sum())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rate_quantile(n: pd.Series, q: pd.Series) -> pd.Series:
     """The Poisson mean at which P(N > n) = q: the inverse regularised gamma function, by bisection."""
 

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.bayes import ECLIPSE_3, ECLIPSE_5, PEAK_3, PEAK_5
 
 KEY = ["runid", "label"]
-BY_TIME = Window.partitionBy(*KEY).orderBy("it")
-WHOLE = Window.partitionBy(*KEY)
+
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy(*KEY).orderBy("it")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy(*KEY)
 
 
 def moments(curves: DataFrame, column: str = "n") -> DataFrame:
@@ -38,31 +45,31 @@ def significant_bins(curves: DataFrame, thresholds: dict[str, tuple[float, float
 
 def local_maxima(curves: DataFrame, least: float, column: str = "n") -> DataFrame:
     """Number of local maxima of at least ``least``; a plateau is one, the ends are none."""
-    changed = F.coalesce(F.col(column) != F.lag(column).over(BY_TIME), F.lit(True))
+    changed = F.coalesce(F.col(column) != F.lag(column).over(by_time()), F.lit(True))
     runs = curves.withColumn("_c", changed).where("_c")
-    before, after = F.lag(column).over(BY_TIME), F.lead(column).over(BY_TIME)
+    before, after = F.lag(column).over(by_time()), F.lead(column).over(by_time())
     peak = (F.col(column) > before) & (F.col(column) > after) & (F.col(column) >= least)
     return runs.withColumn("_p", F.coalesce(peak, F.lit(False))).groupBy(*KEY).agg(F.count_if("_p").alias("n_maxima"))
 
 
 def distant_peaks(curves: DataFrame, least: float, spacing: int, column: str = "n") -> DataFrame:
     """Number of groups of bins over ``least`` that lie more than ``spacing`` frames apart."""
-    over = curves.where(F.col(column) > least).withColumn("_gap", F.col("it") - F.lag("it").over(BY_TIME))
+    over = curves.where(F.col(column) > least).withColumn("_gap", F.col("it") - F.lag("it").over(by_time()))
     found = over.groupBy(*KEY).agg((F.count_if(F.col("_gap") > spacing) + 1).alias("n_distant"))
     return curves.select(*KEY).distinct().join(found, KEY, "left").withColumn("n_distant", F.coalesce("n_distant", F.lit(0).cast("long")))
 
 
 def crossings(curves: DataFrame, level: float, column: str = "n") -> DataFrame:
     over = (F.col(column) > level).cast("int")
-    moved = curves.withColumn("_o", over).withColumn("_d", F.abs(F.col("_o") - F.lag("_o").over(BY_TIME)))
+    moved = curves.withColumn("_o", over).withColumn("_d", F.abs(F.col("_o") - F.lag("_o").over(by_time())))
     return moved.groupBy(*KEY).agg((F.coalesce(F.sum("_d"), F.lit(0)) / 2).alias("n_crossings"))
 
 
 def largest_peak(curves: DataFrame, column: str = "n") -> DataFrame:
     """Frame of the first maximum, whether it is the first or last, and whether both neighbours are zero; the ends meet."""
-    first, last = F.min_by(column, "it").over(WHOLE), F.max_by(column, "it").over(WHOLE)
-    near = curves.withColumn("_b", F.coalesce(F.lag(column).over(BY_TIME), last)).withColumn("_a", F.coalesce(F.lead(column).over(BY_TIME), first))
-    ends = near.withColumn("_lo", F.min("it").over(WHOLE)).withColumn("_hi", F.max("it").over(WHOLE))
+    first, last = F.min_by(column, "it").over(whole()), F.max_by(column, "it").over(whole())
+    near = curves.withColumn("_b", F.coalesce(F.lag(column).over(by_time()), last)).withColumn("_a", F.coalesce(F.lead(column).over(by_time()), first))
+    ends = near.withColumn("_lo", F.min("it").over(whole())).withColumn("_hi", F.max("it").over(whole()))
     best = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc(column), "it"))
     return ends.withColumn("_r", best).where("_r = 1").select(
         *KEY, F.col("it").alias("idx"), F.col(column).alias("peak_n"), (F.col("it") == F.col("_lo")).alias("is_first"), (F.col("it") == F.col("_hi")).alias("is_last"), ((F.col("_b") == 0) & (F.col("_a") == 0)).alias("isolated")
@@ -74,11 +81,11 @@ def ks_statistic(curves: DataFrame, a: str = "n", b: str = "mu") -> DataFrame:
     both = curves.select(*KEY, F.col(a).cast("double").alias("v"), F.lit(1).alias("one")).unionByName(curves.select(*KEY, F.col(b).cast("double").alias("v"), F.lit(0).alias("one")))
     upto = Window.partitionBy(*KEY).orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cdf = both.withColumn("_x", F.sum("one").over(upto)).withColumn("_y", F.count("*").over(upto) - F.sum("one").over(upto))
-    sized = cdf.withColumn("_m", F.sum("one").over(WHOLE))
+    sized = cdf.withColumn("_m", F.sum("one").over(whole()))
     return sized.groupBy(*KEY).agg(F.max(F.abs(F.col("_x") / F.col("_m") - F.col("_y") / F.col("_m"))).alias("ks"), F.max("_m").alias("len"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ks_probability(ks: pd.Series, n: pd.Series) -> pd.Series:
     """Asymptotic p-value of a two-sample distance with n values on each side."""
     k = np.arange(1, 101)
@@ -94,12 +101,12 @@ def ks_probability(ks: pd.Series, n: pd.Series) -> pd.Series:
 
 def kuiper(curves: DataFrame) -> DataFrame:
     """Largest excess and deficit of the cumulated counts against a uniform rate."""
-    share = F.sum("n").over(BY_TIME) / F.sum("n").over(WHOLE) - F.row_number().over(BY_TIME) / F.count("*").over(WHOLE)
+    share = F.sum("n").over(by_time()) / F.sum("n").over(whole()) - F.row_number().over(by_time()) / F.count("*").over(whole())
     return curves.withColumn("_d", share).groupBy(*KEY).agg(F.max("_d").alias("d_plus"), F.min("_d").alias("d_minus"))
 
 
 def from_start(curves: DataFrame) -> DataFrame:
-    return curves.withColumn("t0", F.col("it") - F.min("it").over(WHOLE))
+    return curves.withColumn("t0", F.col("it") - F.min("it").over(whole()))
 
 
 def end_to_end(curves: DataFrame) -> DataFrame:

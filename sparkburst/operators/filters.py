@@ -5,7 +5,7 @@ A null comparison counts as not passed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -17,54 +17,54 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Predicate:
     name: str
-    test: Column
+    test: Callable[[], Column]
 
     def passed(self) -> Column:
-        return F.coalesce(self.test, F.lit(False))
+        return F.coalesce(self.test(), F.lit(False))
 
 
 def multiple_detections(most: int = 10) -> Predicate:
-    return Predicate(f"n_obs<{most}", F.count("*").over(Window.partitionBy("obsid")) < most)
+    return Predicate(f"n_obs<{most}", lambda: F.count("*").over(Window.partitionBy("obsid")) < most)
 
 
 def time_bin(t_bin: int) -> Predicate:
-    return Predicate(f"t_bin={t_bin}", F.contains("runid", F.lit(f"_{t_bin}_")))
+    return Predicate(f"t_bin={t_bin}", lambda: F.contains("runid", F.lit(f"_{t_bin}_")))
 
 
 def energy_range(lo: float, hi: float) -> Predicate:
     """A pattern as it stands: a dot is any character."""
-    return Predicate(f"E={lo}_{hi}", F.rlike("runid", F.lit(f"{lo}_{hi}")))
+    return Predicate(f"E={lo}_{hi}", lambda: F.rlike("runid", F.lit(f"{lo}_{hi}")))
 
 
 def below(column: str, limit: float) -> Predicate:
-    return Predicate(f"{column}<{limit}", F.col(column) < limit)
+    return Predicate(f"{column}<{limit}", lambda: F.col(column) < limit)
 
 
 def above(column: str, limit: float) -> Predicate:
-    return Predicate(f"{column}>{limit}", F.col(column) > limit)
+    return Predicate(f"{column}>{limit}", lambda: F.col(column) > limit)
 
 
 def peak_or_eclipse(sigma: float) -> Predicate:
-    return Predicate(f"sigma>={sigma}", (F.col("sigma_max_peak") >= sigma) | (F.col("sigma_max_eclipse") >= sigma))
+    return Predicate(f"sigma>={sigma}", lambda: (F.col("sigma_max_peak") >= sigma) | (F.col("sigma_max_eclipse") >= sigma))
 
 
 def five_sigma() -> Predicate:
-    return Predicate("5sig", (F.col("b_peak_max") > 13.2) | (F.col("b_eclipse_max") > 12.38))
+    return Predicate("5sig", lambda: (F.col("b_peak_max") > 13.2) | (F.col("b_eclipse_max") > 12.38))
 
 
 def bins_at_least(sigma: int, kind: str, times: str, least: int) -> Predicate:
     column = f"n_{sigma}_sig_{kind}_bins_{times}"
-    return Predicate(f"{column}>={least}", F.col(column) >= least)
+    return Predicate(f"{column}>={least}", lambda: F.col(column) >= least)
 
 
 def separated(column: str, limit: float, side: str) -> Predicate:
     if side not in ("lower", "greater"):
         raise ValueError(f"side must be lower or greater, not {side}")
-    return Predicate(f"{column} {side} {limit}", F.col(column) < limit if side == "lower" else F.col(column) > limit)
+    return Predicate(f"{column} {side} {limit}", lambda: F.col(column) < limit if side == "lower" else F.col(column) > limit)
 
 
 def not_variable(column: str = "var_flag") -> Predicate:
-    return Predicate("not variable", ~F.col(column))
+    return Predicate("not variable", lambda: ~F.col(column))
 
 
 def apply(df: DataFrame, *predicates: Predicate) -> DataFrame:

@@ -12,11 +12,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions.bayes import PEAK_3, log_peak
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def poisson_draw(seed: pd.Series, mean: pd.Series) -> pd.Series:
     return pd.Series([int(np.random.default_rng(abs(int(s))).poisson(max(m, 0.0))) for s, m in zip(seed, mean, strict=True)])
 

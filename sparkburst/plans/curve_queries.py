@@ -122,7 +122,7 @@ def q_neighbour_box(s, d):
 
 @query(put("SELECT runid, label, it, n, n - min(n) OVER w AS above_min, round(n / nullif(max(n) OVER w, 0)::DOUBLE, 9) AS share_of_max FROM curves WINDOW w AS (PARTITION BY runid, label)", "curves"))
 def q_group_transform(s, d):
-    lo, hi = F.min("n").over(X.WHOLE), F.max("n").over(X.WHOLE)
+    lo, hi = F.min("n").over(X.whole()), F.max("n").over(X.whole())
     return curves_of(s, d).select("runid", "label", "it", "n", (F.col("n") - lo).alias("above_min"), F.round(F.col("n") / F.nullif(hi, F.lit(0)), 9).alias("share_of_max"))
 
 
