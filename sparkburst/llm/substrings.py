@@ -37,8 +37,8 @@ SHARD_BYTES = 4 << 20
 QUEUE_MEMORY = 64 << 20
 #: Different segments of an anchor that are sorted in one shard.
 MOST_SEGMENTS = 20_000
-#: Rows (a key and its ranges) up to which a table is broadcast.
-BROADCAST_ROWS = 500_000
+#: Entries of all lists up to which a table of keyed lists is broadcast (some tens of bytes each).
+BROADCAST_ENTRIES = 1_000_000
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -104,10 +104,30 @@ def _all_segments(texts: DataFrame, length: int, kmer: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, digest long, key long, start int, windows int")
 
 
-def _with_ranges(texts: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
+def _with_lists(texts: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
     """``texts`` with the lists of their keys; a small table is broadcast, a large one joined by a shuffle."""
-    few = ranges.count() <= BROADCAST_ROWS
-    return texts.join(F.broadcast(ranges) if few else ranges, "key", how)
+    entries = lists.agg(F.coalesce(F.sum(F.size(column) + 1), F.lit(0)).alias("n")).first()["n"]
+    return texts.join(F.broadcast(lists) if entries <= BROADCAST_ENTRIES else lists, "key", how)
+
+
+def _merged(ranges: DataFrame) -> DataFrame:
+    """(key, runs): the maximal runs, as flat pairs of start and end, of each key's (start, end) ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = []
+            for listed in batch.column(1):
+                flat = listed.values.flatten()
+                start, end = (x.to_numpy() for x in flat)
+                order = np.argsort(start, kind="stable")
+                start, reach = start[order], np.maximum.accumulate(end[order])
+                fresh = np.concatenate(([True], start[1:] > reach[:-1]))
+                last = np.append(np.flatnonzero(fresh)[1:] - 1, len(start) - 1)
+                runs.append(np.stack((start[fresh], reach[last]), axis=1).reshape(-1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.int32()))], names=["key", "runs"])
+
+    listed = ranges.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("listed"))
+    return listed.mapInArrow(run, "key long, runs array<int>")
 
 
 def _cut(held: DataFrame, length: int) -> DataFrame:
@@ -197,7 +217,7 @@ def _counted_windows(cut: DataFrame, length: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> tuple[DataFrame, DataFrame]:
-    """The keyed texts of ``docs``, and (key, ranges) of those with bytes to remove; ranges may overlap."""
+    """The keyed texts of ``docs``, and (key, runs) of those with bytes to remove."""
     texts = small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).select("doc_id", "text", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text").alias("key"))  # rows with equal keys are equal rows
@@ -211,15 +231,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> tuple[Da
 
     mixed = shared.where("kinds > 1").select("anchor", "kinds", "place.*")
     listed = mixed.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "windows", (F.col("kinds") > MOST_SEGMENTS).alias("many"))).alias("listed"))
-    held = _with_ranges(texts.select("key", "text"), written(listed, "listed"), "inner")
+    held = _with_lists(texts.select("key", "text"), written(listed, "listed"), "listed", "inner")
     part = lambda many: held.withColumn("listed", F.filter("listed", lambda s: s["many"] == many)).where(F.size("listed") > 0)
     partly = _sorted_shards(_cut(part(False), length), length)
     out = whole.unionByName(partly)
     if not shared.where(F.col("kinds") > MOST_SEGMENTS).isEmpty():
         out = out.unionByName(_counted_windows(_cut(part(True), length), length))
-    ranges = written(out.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "ranges")
+    runs = written(_merged(out), "runs")
     discard(found)
-    return texts, ranges
+    return texts, runs
 
 
 def remove(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
@@ -231,7 +251,7 @@ def remove(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame
     lose their bytes; null ids are kept.  An empty table gives no rows; columns
     other than doc_id and text are not read.
     """
-    texts, ranges = repeats(docs, length, kmer)
+    texts, runs = repeats(docs, length, kmer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,24 +259,16 @@ def remove(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame
             out = []
             for d, (doc_id, listed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 raw = data[offsets[d] : offsets[d + 1]]
-                removed = spans = 0
-                kept, at = [], 0
-                for s in sorted(listed or [], key=lambda s: s["start"]):
-                    if s["start"] > at or not spans:
-                        kept.append(raw[at : s["start"]].tobytes())
-                        spans += 1
-                        removed += s["end"] - s["start"]
-                        at = s["end"]
-                    elif s["end"] > at:
-                        removed += s["end"] - at
-                        at = s["end"]
-                kept.append(raw[at:].tobytes())
+                ends = (listed or [])[1::2]
+                starts = (listed or [])[::2]
+                kept = [raw[a:b].tobytes() for a, b in zip([0, *ends], [*starts, len(raw)], strict=True)]
+                removed = sum(ends) - sum(starts)
                 left = b"".join(kept)
-                out.append((doc_id, len(raw), removed, spans, hashlib.sha256(left).hexdigest(), left))
+                out.append((doc_id, len(raw), removed, len(starts), hashlib.sha256(left).hexdigest(), left))
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             cols = zip(*out, strict=True) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    held = _with_ranges(texts, ranges, "left").select("doc_id", "text", "ranges")
+    held = _with_lists(texts, runs, "runs", "left").select("doc_id", "text", "runs")
     return held.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
