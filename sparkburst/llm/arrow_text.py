@@ -12,6 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+# the workers' memory is bounded: freed buffers go back to the system at once
+pa.set_memory_pool(pa.system_memory_pool())
+
+#: Bytes of text that are worked on at once, so that the arrays of a step stay in the cache.
+CHUNK = 1 << 18
+
 _U = np.uint64
 #: Odd multiplier of the rolling polynomial (golden ratio in 64 bits).
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -58,7 +64,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts of about ``limit`` bytes."""
     data, offsets = buffers(column)
     lo, n = 0, len(column)
@@ -103,7 +109,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np
     counts = np.diff(bounds)
     n = len(words)
     h = np.zeros(max(0, n - size + 1), dtype=np.uint64)
-    for k in range(size):
+    for k in range(size if len(h) else 0):
         h = h * _BASE + words[k : n - size + 1 + k]
     h = mix(h)
     many = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))

@@ -25,7 +25,7 @@ UNKNOWN = "und"
 #: Rows the model is fitted on, for each language, on average.
 SAMPLE_PER_LANGUAGE = 400
 BUCKETS = 1 << 15
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 #: Bytes of letters stay; ASCII bytes that are none become a space.
 _FOLD = np.arange(256, dtype=np.uint8)

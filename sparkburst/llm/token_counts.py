@@ -37,7 +37,7 @@ SCALE = 1000
 TOKENS = 1 << 12
 #: Pre-tokens that a task remembers.
 REMEMBERED = 1 << 20
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 
 def vocabulary(name: str = "piece_bpe_32k.model") -> list[tuple[bytes, int]]:
