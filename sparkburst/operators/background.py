@@ -111,3 +111,23 @@ def expectation_with_sources(cells: DataFrame, mask: DataFrame, template: DataFr
     mu = F.col("template") * F.coalesce("n_out", F.lit(0)) + F.coalesce("source_rate", F.lit(0.0))
     joined = cells.join(template, ["obsid", "ix", "iy"]).join(outside, ["obsid", "it"], "left").join(sources, ["obsid", "ix", "iy"], "left")
     return joined.select("obsid", "ix", "iy", "it", "n", mu.alias("mu"))
+
+
+def two_template_expectation(cells: DataFrame, bad_frames: DataFrame) -> DataFrame:
+    """mu from a template of good and one of bad times, each its own pixels' shares times the frame's counts."""
+    kinds = cells.join(bad_frames.select("obsid", "it").distinct().withColumn("_b", F.lit(True)), ["obsid", "it"], "left").withColumn("is_bti", F.coalesce("_b", F.lit(False))).drop("_b")
+    pixel = kinds.groupBy("obsid", "is_bti", "ix", "iy").agg(F.sum("n").alias("n_pixel"))
+    total = kinds.groupBy("obsid", "is_bti").agg(F.sum("n").alias("n_total"))
+    frame = kinds.groupBy("obsid", "it").agg(F.sum("n").alias("n_frame"))
+    mu = F.col("n_pixel") * F.col("n_frame") / F.col("n_total")
+    return kinds.join(pixel, ["obsid", "is_bti", "ix", "iy"]).join(F.broadcast(total), ["obsid", "is_bti"]).join(frame, ["obsid", "it"]).select("obsid", "ix", "iy", "it", "is_bti", "n", mu.alias("mu"))
+
+
+def good_to_bad_ratio(cells: DataFrame, bad_frames: DataFrame) -> DataFrame:
+    """Per pixel its share of the good counts over its share of the bad ones; null without bad counts."""
+    kinds = cells.join(bad_frames.select("obsid", "it").distinct().withColumn("_b", F.lit(1)), ["obsid", "it"], "left").withColumn("_b", F.coalesce("_b", F.lit(0)))
+    good, bad = F.sum(F.col("n") * (1 - F.col("_b"))), F.sum(F.col("n") * F.col("_b"))
+    pixel = kinds.groupBy("obsid", "ix", "iy").agg(good.alias("g"), bad.alias("b"))
+    total = kinds.groupBy("obsid").agg(good.alias("tg"), bad.alias("tb"))
+    ratio = (F.col("g") / F.nullif("tg", F.lit(0))) / F.nullif(F.col("b") / F.nullif("tb", F.lit(0)), F.lit(0.0))
+    return pixel.join(F.broadcast(total), "obsid").select("obsid", "ix", "iy", ratio.alias("ratio"))

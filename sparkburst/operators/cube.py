@@ -112,3 +112,19 @@ def light_curves(cells: DataFrame, boxes: DataFrame) -> DataFrame:
     """n per (obsid, label, it) over each region's half-open box; boxes are few and exploded to pixels."""
     pixels = boxes.withColumn("ix", F.explode(F.sequence("bbox_0", F.col("bbox_2") - 1))).withColumn("iy", F.explode(F.sequence("bbox_1", F.col("bbox_3") - 1)))
     return cells.join(pixels.select("obsid", "label", "ix", "iy"), ["obsid", "ix", "iy"]).groupBy("obsid", "label", "it").agg(F.sum("n").alias("n"))
+
+
+def masked(cells: DataFrame, bad_frames: DataFrame) -> DataFrame:
+    """Counts of bad frames become null and their exposure zero; the rows stay."""
+    flagged = bad_frames.select("obsid", "it").distinct().withColumn("_bad", F.lit(True))
+    joined = cells.join(flagged, ["obsid", "it"], "left")
+    return joined.withColumn("n", F.when(F.col("_bad").isNull(), F.col("n"))).withColumn("exposure", F.when(F.col("_bad").isNull(), 1.0).otherwise(0.0)).drop("_bad")
+
+
+def without_frames(cells: DataFrame, bad_frames: DataFrame) -> DataFrame:
+    return cells.join(bad_frames.select("obsid", "it").distinct(), ["obsid", "it"], "left_anti")
+
+
+def above_neighbours(image: DataFrame, offset: float = 0.0, column: str = "total") -> DataFrame:
+    """Adaptive threshold: pixels above the mean of their 3 x 3 block less an offset."""
+    return image.join(smoothed(image, column), ["obsid", "ix", "iy"]).where(F.col(column) > F.col("smooth") - offset).select("obsid", "ix", "iy", column)

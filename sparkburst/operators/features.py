@@ -145,3 +145,9 @@ def spurious(near: DataFrame, share: float = 0.25) -> DataFrame:
     box = F.col("n_box") * 1.0 / F.nullif(F.col("box_around"), F.lit(0))
     rest = F.col("n_rest") * 1.0 / F.nullif(F.col("rest_around"), F.lit(0))
     return near.withColumn("spurious", F.coalesce(rest > share, F.lit(False)) & F.coalesce(box > share, F.lit(False)))
+
+
+def convolved(curves: DataFrame, template: list[float], column: str = "n") -> DataFrame:
+    """Each frame's sum of a template's weights times the frames that end with it; frames before the start count as zero."""
+    parts = [w * F.coalesce(F.lag(column, k).over(by_time()), F.lit(0)) for k, w in enumerate(template)]
+    return curves.withColumn("convolved", sum(parts[1:], parts[0]))

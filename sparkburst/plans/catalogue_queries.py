@@ -15,6 +15,7 @@ from ..sources import adapters as A
 from ..streaming import live
 from .cube_queries import cells_of
 from .oracle import put
+from .views import Results
 
 REGISTER: dict[str, tuple] = {}
 
@@ -292,3 +293,33 @@ def q_event_sessions(s, d):
     s.conf.set("spark.sql.session.timeZone", "UTC")
     e = A.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("pixel"))
     return live.sessions(e).select("pixel", F.unix_micros(F.col("w.start")).alias("start_us"), "n")
+
+
+def results(s, d):
+    r = measured(s, d)
+    return Results(flagged(s, d), C.within(r, A.catalogue(s, d), 20.0))
+
+
+@query(put("SELECT count(*) AS n_regions, count(DISTINCT cluster_label) AS n_unique, count(DISTINCT obsid) AS n_obs, count(DISTINCT runid) AS n_runs, max(intensity) AS max_intensity FROM m", "regions", m=MEASURED))
+def q_homepage(s, d):
+    return results(s, d).homepage()
+
+
+@query(put("SELECT cluster_label, count(*) AS n_detections, max(intensity) AS max_intensity FROM m WHERE segment = 'MACHINERY' GROUP BY cluster_label", "regions", m=MEASURED))
+def q_object_type(s, d):
+    return results(s, d).object_type("MACHINERY")
+
+
+@query(put("SELECT region, 'low_counts' AS flag FROM f WHERE low_counts UNION ALL SELECT region, 'crowded_run' FROM f WHERE crowded_run UNION ALL SELECT region, 'excluded' FROM f WHERE excluded", "regions", m=MEASURED, f=FLAGS))
+def q_raised_flags(s, d):
+    return results(s, d).flags(["low_counts", "crowded_run", "excluded"])
+
+
+@query(put("SELECT c.cluster_label, p.cluster_label AS previous, n.cluster_label AS next FROM u c LEFT JOIN u p ON p.cluster_label = c.cluster_label - 1 LEFT JOIN u n ON n.cluster_label = c.cluster_label + 1", "regions", m=MEASURED, u="SELECT DISTINCT cluster_label FROM m"))
+def q_paging(s, d):
+    return results(s, d).neighbours()
+
+
+@query(put("SELECT r.region, p.cat_id, p.sep FROM m r JOIN pairs p USING (region) WHERE r.cluster_label = 10 AND p.sep <= 20.0", "pairs", m=MEASURED))
+def q_region_matches(s, d):
+    return results(s, d).region(10)["matches"].select("region", "cat_id", "sep")

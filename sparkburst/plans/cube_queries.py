@@ -337,3 +337,49 @@ def q_time_clusters(s, d):
 @query(put("SELECT instrument, pi // 500 AS bin, count(*) AS n FROM photons WHERE pi >= 0 AND pi < 12000 GROUP BY ALL", "photons"))
 def q_spectrum(s, d):
     return A.photons(s, d).where("pi >= 0 and pi < 12000").groupBy("instrument", F.expr("cast(pi div 500 as int)").alias("bin")).agg(F.count("*").alias("n"))
+
+
+BAD = "SELECT DISTINCT obsid, it FROM hard WHERE n > 0"
+
+
+def bad_frames_of(s, d) -> DataFrame:
+    return intervals.high_energy_curve(A.photons(s, d), FRAME).where("n > 0")
+
+
+@query(put("SELECT c.obsid, c.ix, c.iy, c.it, CASE WHEN b.it IS NULL THEN c.n END AS n, CASE WHEN b.it IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS exposure FROM cells c LEFT JOIN bad b ON b.obsid = c.obsid AND b.it = c.it", "cells", "hard", bad=BAD))
+def q_mask_frames(s, d):
+    return cube.masked(cells_of(s, d), bad_frames_of(s, d)).select("obsid", "ix", "iy", "it", "n", "exposure")
+
+
+@query(put("SELECT c.* FROM cells c WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.obsid = c.obsid AND b.it = c.it)", "cells", "hard", bad=BAD))
+def q_drop_frames(s, d):
+    return cube.without_frames(cells_of(s, d), bad_frames_of(s, d)).select("obsid", "ix", "iy", "it", "n")
+
+
+@query(put("""SELECT obsid, ix, iy, it, is_bti, n, round((sum(n) OVER (PARTITION BY obsid, is_bti, ix, iy) * sum(n) OVER (PARTITION BY obsid, it))::DOUBLE / (sum(n) OVER (PARTITION BY obsid, is_bti))::DOUBLE, 9) AS mu FROM (
+    SELECT c.*, b.it IS NOT NULL AS is_bti FROM cells c LEFT JOIN bad b ON b.obsid = c.obsid AND b.it = c.it)""", "cells", "hard", bad=BAD))
+def q_two_templates(s, d):
+    return background.two_template_expectation(cells_of(s, d), bad_frames_of(s, d)).withColumn("mu", F.round("mu", 9))
+
+
+@query(put("""SELECT obsid, ix, iy, round((g::DOUBLE / nullif(tg, 0)::DOUBLE) / nullif(b::DOUBLE / nullif(tb, 0)::DOUBLE, 0), 9) AS ratio FROM (SELECT *, sum(g) OVER (PARTITION BY obsid) AS tg, sum(b) OVER (PARTITION BY obsid) AS tb FROM (
+    SELECT c.obsid, ix, iy, sum(CASE WHEN b.it IS NULL THEN n ELSE 0 END) AS g, sum(CASE WHEN b.it IS NULL THEN 0 ELSE n END) AS b FROM cells c LEFT JOIN bad b ON b.obsid = c.obsid AND b.it = c.it GROUP BY ALL))""", "cells", "hard", bad=BAD))
+def q_good_bad_ratio(s, d):
+    return background.good_to_bad_ratio(cells_of(s, d), bad_frames_of(s, d)).withColumn("ratio", F.round("ratio", 9))
+
+
+@query(put("""SELECT obsid, ix, iy, total FROM (SELECT i.obsid, i.ix, i.iy, i.total, sum(j.total)::DOUBLE / 9 AS m FROM image i JOIN image j ON i.obsid = j.obsid AND abs(i.ix - j.ix) <= 1 AND abs(i.iy - j.iy) <= 1 GROUP BY ALL) WHERE total > m - 0.5""", "image"))
+def q_adaptive_threshold(s, d):
+    return cube.above_neighbours(cube.images(cells_of(s, d)), 0.5)
+
+
+@query("SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def q_json_and_dates(s, d):
+    e = A.table(s, d, "events")
+    return e.select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("day"))
+
+
+@query(put("SELECT obsid, len(l) AS n_pixels, list_contains(l, 11) AS has_11, l[1] AS lowest FROM (SELECT obsid, list_sort(list(DISTINCT ix * 10 + iy)) AS l FROM cells GROUP BY obsid)", "cells"))
+def q_array_functions(s, d):
+    ids = cells_of(s, d).groupBy("obsid").agg(F.sort_array(F.collect_set(F.col("ix") * 10 + F.col("iy"))).alias("l"))
+    return ids.select("obsid", F.size("l").cast("long").alias("n_pixels"), F.array_contains("l", F.lit(11).cast("long")).alias("has_11"), F.element_at("l", 1).alias("lowest"))

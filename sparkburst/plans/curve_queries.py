@@ -137,3 +137,8 @@ def q_curve_moments(s, d):
     return c.groupBy("runid").agg(
         F.round(F.covar_samp("n", "mu"), 6).alias("cov"), F.round(F.sqrt(F.avg(F.col("n") * F.col("n"))), 6).alias("gyration"), F.round(F.percentile("n", F.lit(0.16)), 6).alias("q16"), F.round(F.percentile("n", F.lit(0.84)), 6).alias("q84"), F.mode("n").alias("mode_n")
     )
+
+
+@query(put("""SELECT runid, label, it, round(0.5 * n + 0.3 * coalesce(lag(n, 1) OVER w, 0) + 0.2 * coalesce(lag(n, 2) OVER w, 0), 9)::DOUBLE AS convolved FROM curves WINDOW w AS (PARTITION BY runid, label ORDER BY it)""", "curves"))
+def q_convolution(s, d):
+    return X.convolved(curves_of(s, d), [0.5, 0.3, 0.2]).select("runid", "label", "it", F.round("convolved", 9).alias("convolved"))
