@@ -165,6 +165,13 @@ def _verified(texts: DataFrame, members: DataFrame, pairs: DataFrame, size: int,
     return links
 
 
+def _at_shared(postings: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The postings of some shingles, which are broadcast up to a number of rows."""
+    kept = written(shingles, "shingles")
+    few = kept.count() <= BROADCAST_ROWS
+    return postings.join(F.broadcast(kept) if few else kept, "shingle", "left_semi")
+
+
 def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
@@ -188,9 +195,11 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # shingles that only one group has in its prefix pair nothing
     held = groups.select("gid", "n", F.explode("prefix").alias("shingle"))
     several = held.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
-    several = written(several, "several")
-    few = several.count() <= BROADCAST_ROWS
-    postings = written(held.join(F.broadcast(several) if few else several, "shingle", "left_semi"), "postings")
+    first = written(_at_shared(held, several), "postings")
+    # a shingle of two groups whose sizes are too far apart pairs nothing either
+    fitting = first.groupBy("shingle").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi")).where((F.col("c") > 2) | (100 * F.col("lo") >= percent * F.col("hi"))).select("shingle")
+    postings = written(_at_shared(first, fitting), "postings")
+    discard(first)
     sketch = written(groups.select("gid", "n", "parity").join(postings.select("gid").distinct(), "gid", "left_semi"), "sketches")
     discard(groups)
     mixed = members.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
