@@ -33,7 +33,7 @@ LENGTH = 200
 #: Bytes of an anchor; a window has LENGTH - KMER + 1 of them.
 KMER = 64
 #: Bytes of a shard that is sorted at once, and memory of its queues.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 QUEUE_MEMORY = 64 << 20
 #: Different segments of an anchor that are sorted in one shard.
 MOST_SEGMENTS = 20_000
