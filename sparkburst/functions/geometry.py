@@ -65,6 +65,6 @@ def iau_name(ra: Column, dec: Column, prefix: str = "J") -> Column:
     tenths = F.floor(F.round(ra / 15 * 36000, 4)).cast("long")
     seconds = F.floor(F.round(F.abs(dec) * 3600, 4)).cast("long")
     two = lambda v: F.lpad(v.cast("string"), 2, "0")
-    hours = F.concat(two(F.expr("0") + F.floor(tenths / 36000)), two(F.floor(tenths / 600) % 60), two(F.floor(tenths / 10) % 60), F.lit("."), (tenths % 10).cast("string"))
+    hours = F.concat(two(F.floor(tenths / 36000)), two(F.floor(tenths / 600) % 60), two(F.floor(tenths / 10) % 60), F.lit("."), (tenths % 10).cast("string"))
     degrees = F.concat(F.when(dec < 0, "-").otherwise("+"), two(F.floor(seconds / 3600)), two(F.floor(seconds / 60) % 60), two(seconds % 60))
     return F.concat(F.lit(prefix), hours, degrees)
