@@ -112,7 +112,7 @@ def q_flag_stats(s, d):
 
 #: Rectangles of detector defects for the tests: time bin, corner and size.
 RECTANGLES = [(5, 100.0, 100.0, 200.0, 150.0), (50, 400.0, 300.0, 120.0, 300.0), (200, 0.0, 500.0, 300.0, 200.0), (200, 600.0, 600.0, 100.0, 250.0)]
-RECT = "SELECT * FROM (VALUES " + ", ".join(str(r) for r in RECTANGLES) + ") v(rect_t_bin, x, y, w, h)"
+RECT = "SELECT rect_t_bin, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h FROM (VALUES " + ", ".join(str(r) for r in RECTANGLES) + ") v(rect_t_bin, x, y, w, h)"
 HOT = "SELECT m.*, rect_t_bin, x FROM m JOIN rect ON t_bin = rect_t_bin AND x_img > x AND x_img < x + w AND y_img > y AND y_img < y + h"
 
 
