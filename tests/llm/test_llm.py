@@ -100,6 +100,12 @@ def test_ngram_join(spark, docs, size, percent):
     assert sorted(map(key, got)) == sorted(map(key, brute.components(docs, size, percent)))
 
 
+def test_ngram_join_beyond_broadcasts(spark, docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    got = ngram_join.join(frame(spark, docs), 5, 80).collect()
+    assert sorted(map(key, got)) == sorted(map(key, brute.components(docs, 5, 80)))
+
+
 def test_ngram_join_edges(spark):
     assert ngram_join.join(frame(spark, [])).count() == 0
     kept = ngram_join.representatives(frame(spark, [(1, "a b c"), (2, "a b c"), (1, "a b c"), (None, "a b c"), (3, None)]))
