@@ -34,43 +34,39 @@ def log_peak(n: Column, mu: Column) -> Column:
     return F.aggregate(steps, start, step, lambda s: F.log10(s["m"]) + s["e"])
 
 
-def log_eclipse(n: Column, mu: Column, terms: int = 60) -> Column:
-    """log10 of P(n + 1, mu) / pmf(n; mu): the sum of mu^j / ((n + 1) .. (n + j)) over j = 1..terms."""
-    start = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
+def log_eclipse(n: Column, mu: Column) -> Column:
+    """log10 of P(n + 1, mu) / pmf(n; mu): the sum of mu^j / ((n + 1) .. (n + j)) over j >= 1, until its terms vanish.
+
+    The terms grow up to j = mu - n; ten deviations beyond they are under 1e-20
+    of the greatest.  Mantissa and exponent are kept apart as in ``log_peak``.
+    """
+    known = F.nanvl(mu.cast("double"), F.lit(0.0))
+    terms = F.ceil(F.greatest(known - n, F.lit(0.0)) + 10 * F.sqrt(known) + 60).cast("int")
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"), F.lit(0.0).alias("e"))
 
     def step(s: Column, j: Column) -> Column:
         t = s["t"] * mu / (n + j)
-        return F.struct(t.alias("t"), (s["s"] + t).alias("s"))
+        big = s["s"] > 1e200
+        scale = F.when(big, 1e-200).otherwise(1.0)
+        return F.struct((t * scale).alias("t"), ((s["s"] + t) * scale).alias("s"), F.when(big, s["e"] + 200.0).otherwise(s["e"]).alias("e"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda s: F.log10(s["s"]))
+    return F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda s: F.log10(s["s"]) + s["e"])
 
 
 def log_eclipse_np(n: float, mu: float) -> float:
-    """The same without a fixed number of terms."""
-    t = s = 0.0
-    t, j = 1.0, 0
-    while True:
-        j += 1
-        t *= mu / (n + j)
-        s += t
-        if t < s * 1e-17 and j > mu - n:
-            return math.log10(s)
-        if s > 1e280:
-            return _log_eclipse_large(n, mu)
-
-
-def _log_eclipse_large(n: float, mu: float) -> float:
-    k = np.arange(1, int(10 * (mu + 50)))
-    logs = np.cumsum(np.log(mu) - np.log(n + k))
+    """The same by log-sum-exp."""
+    k = np.arange(1, math.ceil(max(mu - n, 0) + 10 * math.sqrt(mu) + 60) + 1)
+    logs = np.cumsum(math.log(mu) - np.log(n + k))
     top = logs.max()
-    return float((top + np.log(np.exp(logs - top).sum())) / math.log(10))
+    return float((top + math.log(np.exp(logs - top).sum())) / math.log(10))
 
 
 def log_peak_np(n: int, mu: float) -> float:
-    """log10 B_peak by log-sum-exp."""
+    """log10 B_peak by log-sum-exp, until its terms vanish."""
     if n <= 0:
         return 0.0
-    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(n, 0, -1)) - math.log(mu))))
+    last = max(0, n - math.ceil(max(n - mu, 0) + 10 * math.sqrt(n) + 60))
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(n, last, -1)) - math.log(mu))))
     top = logs.max()
     return float((top + math.log(np.exp(logs - top).sum())) / math.log(10))
 
@@ -105,7 +101,7 @@ def least_peak(mu: float, limit: float) -> int:
 
 def greatest_eclipse(mu: float, limit: float) -> int:
     """The first n whose B_eclipse is below the limit; it falls with n."""
-    lo, hi = 0, 1
+    lo, hi = 0, max(1, math.floor(mu))
     if log_eclipse_np(0, mu) < limit:
         return 0
     while log_eclipse_np(hi, mu) >= limit:

@@ -100,12 +100,12 @@ def q_log_pmf(s, d):
 
 @query()
 def q_limits(s, d):
-    return bayes.limit_table(s, 3, 400, 20)
+    return bayes.limit_table(s, 3)
 
 
 @query()
 def q_significant(s, d):
-    return bayes.significant(background.expectation(cells_of(s, d)), bayes.limit_table(s, 3, 400, 20))
+    return bayes.significant(background.expectation(cells_of(s, d)), bayes.limit_table(s, 3))
 
 
 @query()

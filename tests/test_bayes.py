@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkburst.functions import bayes
+from sparkburst.plans import registry
 
 
 @pytest.mark.parametrize(("n", "mu", "expected"), [(0, 2.0, 0.0), (3, 0.1, 3.821579027912009), (12, 4.2, 3.025195243042054)])
@@ -58,3 +59,29 @@ def test_rate_quantile(spark):
     got = spark.createDataFrame([(0, 0.5), (10, 0.5)], "n long, q double").select(bayes.rate_quantile("n", "q").alias("r")).collect()
     assert got[0]["r"] == pytest.approx(math.log(2), abs=1e-6)
     assert got[1]["r"] == pytest.approx(10.668522, abs=1e-4)
+
+
+@pytest.mark.parametrize(("n", "mu", "expected"), [(800, 1000.0, 11.18), (200, 300.0, 9.76)])
+def test_eclipse_of_bright_pixels(spark, n, mu, expected):
+    df = spark.createDataFrame([(n, mu)], "n long, mu double")
+    assert df.select(bayes.log_eclipse(F.col("n"), F.col("mu")).alias("b")).first()["b"] == pytest.approx(expected, abs=0.005)
+
+
+@pytest.mark.parametrize(("n", "mu"), [(0, 1e-7), (0, 2000.0), (1, 30.0), (70, 60.0), (5000, 5000.0), (99_000, 1e5)])
+def test_eclipse_against_exact_sums(spark, n, mu):
+    j, m = 0, []
+    while j < 200 or m[-1] > max(m) - 60:
+        j += 1
+        m.append((m[-1] if m else 0.0) + math.log(mu) - math.log(n + j))
+    top = max(m)
+    expected = (top + math.log(math.fsum(math.exp(x - top) for x in m))) / math.log(10)
+    df = spark.createDataFrame([(n, mu)], "n long, mu double")
+    assert df.select(bayes.log_eclipse(F.col("n"), F.col("mu")).alias("b")).first()["b"] == pytest.approx(expected, abs=1e-8)
+    assert bayes.log_eclipse_np(n, mu) == pytest.approx(expected, abs=1e-8)
+
+
+def test_registered_limits_are_the_whole_grid(spark):
+    limits = registry.QUERIES["q_limits"](spark, "").toPandas().sort_values("mu")
+    assert len(limits) == 51_000
+    near = {round(m, 6): (p, e) for m, p, e in limits.itertuples(index=False) if 158.5 < m < 158.7}
+    assert near[158.556483] == (219, 106) and near[158.629519] == (219, 107)
