@@ -95,7 +95,7 @@ def _joined(sets: Iterator[np.ndarray], limit: int = 1 << 20) -> Iterator[np.nda
 
 
 def _prefixes(texts: DataFrame, size: int, percent: int, counters: np.ndarray) -> DataFrame:
-    """doc_id, n, node (the set's key), gid (the group's), prefix and parity of every row."""
+    """doc_id, n, node (the set's key), gid (the group's), prefix, parity and digest of every row."""
     shared = texts.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +113,11 @@ def _prefixes(texts: DataFrame, size: int, percent: int, counters: np.ndarray) -
                 parities.append(parity)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(gids, pa.int64()), pa.array(prefixes, longs), pa.array(parities, longs)],
-                names=["doc_id", "n", "node", "gid", "prefix", "parity"],
+                [batch.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(gids, pa.int64()), pa.array(prefixes, longs), pa.array(parities, longs), batch.column(2)],
+                names=["doc_id", "n", "node", "gid", "prefix", "parity", "digest"],
             )
 
-    return texts.mapInArrow(run, "doc_id long, n long, node long, gid long, prefix array<long>, parity array<long>")
+    return texts.mapInArrow(run, "doc_id long, n long, node long, gid long, prefix array<long>, parity array<long>, digest long")
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -172,22 +172,11 @@ def _at_shared(postings: DataFrame, shingles: DataFrame) -> DataFrame:
     return postings.join(F.broadcast(kept) if few else kept, "shingle", "left_semi")
 
 
-def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
-
-    A text's set is its distinct ``size``-word shingles; with fewer words its
-    whole word sequence is the one shingle; without words the set is empty and
-    linked with nothing.  Two rows link when their sets' Jaccard similarity is
-    at least ``percent`` hundredths, judged in whole numbers.  component_id is the
-    smallest doc_id reachable by links, the row's own included.
-
-    A row with a null doc_id is counted, but takes no part in links and has no
-    component.  Repeated rows are equal sets, and so linked.  An empty table
-    gives no rows.  Other columns are not read.
-    """
-    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _judged(docs: DataFrame, size: int, percent: int, digest: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, n, node, gid, digest), the sets' (node, rep) and, of the linked ones, (node, root)."""
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), digest.alias("digest"))
     wide = written(_prefixes(texts, size, percent, _counters(texts, size)), "prefixes")
-    rows = written(wide.select("doc_id", "n", "node", "gid"), "rows")
+    rows = written(wide.select("doc_id", "n", "node", "gid", "digest"), "rows")
     usable = "n > 0 and doc_id is not null"
     members = written(rows.where(usable).groupBy("gid", "node").agg(F.min("doc_id").alias("rep")), "members")
     groups = written(wide.where(usable).groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "groups")
@@ -237,7 +226,23 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     more = _verified(texts, members, expand(rest.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))), size, percent)
     roots = written(components(links.unionByName(more), "a", "b"), "roots")
 
-    reps = members.groupBy("node").agg(F.min("rep").alias("rep"))
+    return rows, members.groupBy("node").agg(F.min("rep").alias("rep")), roots
+
+
+def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
+
+    A text's set is its distinct ``size``-word shingles; with fewer words its
+    whole word sequence is the one shingle; without words the set is empty and
+    linked with nothing.  Two rows link when their sets' Jaccard similarity is
+    at least ``percent`` hundredths, judged in whole numbers.  component_id is the
+    smallest doc_id reachable by links, the row's own included.
+
+    A row with a null doc_id is counted, but takes no part in links and has no
+    component.  Repeated rows are equal sets, and so linked.  An empty table
+    gives no rows.  Other columns are not read.
+    """
+    rows, reps, roots = _judged(docs, size, percent, F.lit(0).cast("long"))
     least = reps.join(roots, "node").groupBy("root").agg(F.min("rep").alias("least"))
     linked = roots.join(least, "root").select("node", "least")
     known = reps.join(linked, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
@@ -246,15 +251,27 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stand for their component: its smallest doc_id.
+    """The rows of ``docs``, with all their columns, that stand for their component: that of its smallest doc_id.
 
-    Rows with a null doc_id stay.  Of rows that repeat a kept doc_id one stays.
+    Of different texts with that doc_id the one of the smallest digest stays; of
+    rows that repeat its doc_id and text one stays.  A row goes only if its own
+    text is linked or equal to the one that stays, whatever rows share its
+    doc_id.  Rows with a null doc_id stay, and so do texts without words, but for
+    repeats of doc_id and text.
     """
-    judged = written(join(docs, size, percent), "components")
-    gone = judged.where("doc_id <> component_id").select("doc_id").distinct()
+    digest = F.xxhash64(F.col("text").cast("string"))
+    rows, _, roots = _judged(docs, size, percent, digest)
+    ids = rows.where("doc_id is not null")
+    # each set's least row first, then each component's
+    firsts = ids.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first")).join(roots, "node", "left")
+    least = firsts.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("kept"))
+    kept_of = firsts.select("node", F.coalesce("root", "node").alias("root")).join(least, "root").select("node", "kept")
+    gone = written(ids.where("n > 0").join(kept_of, "node").where(F.struct("doc_id", "digest") != F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "gone")
     few = gone.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = judged.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_digest", digest)
+    kept = keyed.join(F.broadcast(gone) if few else gone, ["_id", "_digest"], "left_anti")
+    repeated = ids.groupBy("doc_id", "digest").agg(F.count("*").alias("c")).where("c > 1")
     if repeated.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+        return kept.select(*docs.columns)
+    once = kept.where("_id is not null").dropDuplicates(["_id", "_digest"])
+    return once.unionByName(kept.where("_id is null")).select(*docs.columns)

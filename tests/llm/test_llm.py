@@ -113,6 +113,18 @@ def test_ngram_join_edges(spark):
     assert sorted(key((r["doc_id"],)) for r in kept.collect()) == sorted(map(key, [(1,), (3,), (None,)]))
 
 
+def test_representatives_of_clashing_ids(spark):
+    copied, other, lone = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    docs = [(1, copied), (5, copied), (5, other), (7, lone), (7, other + " x y z"), (7, lone), (8, ""), (8, None), (8, "")]
+    want = {(1, copied), (5, other), (7, lone), (7, other + " x y z"), (8, ""), (8, None)}
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.representatives(frame(spark, docs)).collect()]
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    # the least doc_id of a component has two texts in it: one of them stays
+    near = " ".join(f"w{k}" for k in range(40))
+    got = ngram_join.representatives(frame(spark, [(1, near), (1, near + " more"), (2, near)])).collect()
+    assert len(got) == 1 and got[0]["doc_id"] == 1
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100 + i, 130) for i in range(9)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
