@@ -1,14 +1,15 @@
 """Benchmark decontamination by BM25 retrieval with block-max WAND.
 
 Test items form an inverted index: BM25 weights by term, with each term's
-greatest weight in every block of items.  Every document is cut into
-overlapping passages, each of them a query of distinct terms.  As in block-max
-WAND, a block of items is scored only where the sum of its block maxima reaches
-the threshold; the whole batch of passages is tested at once.  What scores at
-least an item's threshold is verified by the overlap of word shingles, for the
-item as a whole and for its question and its answer.
-
-The threshold of an item is the least score that a passage with enough of its
+greatest weight in every block of items.  Every document is a query of its
+distinct terms.  As in block-max WAND, a block of items is scored only where the
+sum of its block maxima reaches the threshold; the whole batch of documents is
+tested at once.  What scores at least an item's threshold is verified by the
+overlap of word shingles with the whole document's, so that words put between an
+item's parts do not hide it, wherever they stand.  The overlaps of its question
+and its answer are reported beside it.
+
+The threshold of an item is the least score that a document with enough of its
 shingles can have, so retrieval loses no leak: with u shingles missing at most u
 words of the item are uncovered, and the u heaviest are left out of the sum.
 """
@@ -66,20 +67,25 @@ class Item:
     terms: np.ndarray
     weights: np.ndarray  # over the item's threshold
 
-    def overlap(self, passage: np.ndarray) -> tuple[float, float, float]:
-        """Shares of the shingles found in the passage's words: of the item, its question and its answer."""
-        if len(passage) < self.size:
+    def overlap(self, words: np.ndarray, held: dict[int, np.ndarray]) -> tuple[float, float, float]:
+        """Shares of the shingles found in a document's words: of the item, its question and its answer.
+
+        ``held`` keeps the document's sorted shingles by their size.
+        """
+        if len(words) < self.size:
             return 0.0, 0.0, 0.0
-        found = np.isin(self.shingles, _shingles(passage, self.size))
+        if self.size not in held:
+            held[self.size] = np.unique(_shingles(words, self.size))
+        have = held[self.size]
+        found = have[np.minimum(np.searchsorted(have, self.shingles), len(have) - 1)] == self.shingles
         parts = found[: self.answer_from], found[self.answer_from :]
         return float(found.mean()), *(float(x.mean()) if len(x) else 1.0 for x in parts)
 
 
 class Index:
-    """Items of similar length: no item has more than ``longest`` words."""
+    """The inverted index of items of similar length."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], longest: int, idf: dict[int, float], mean: float, similarity: float):
-        self.longest = longest
+    def __init__(self, items: list[tuple[int, np.ndarray]], idf: dict[int, float], mean: float, similarity: float):
         self.vocabulary = np.unique(np.concatenate([w for _, w in items]))
         self.items: list[Item] = []
         for item_id, words in items:
@@ -94,6 +100,10 @@ class Index:
             self.items.append(Item(item_id, size, shingles, len(shingles) - answer, at, weights / least))
         n = max(_ITEMS_IN_BLOCK, -(-len(items) // 64))
         self.blocks = [self.items[k : k + n] for k in range(0, len(items), n)]
+        # of each block its items' terms, their weights, and which item they belong to
+        self.postings = [
+            (np.concatenate([i.terms for i in b]), np.concatenate([i.weights for i in b]), np.repeat(np.arange(len(b)), [len(i.terms) for i in b])) for b in self.blocks
+        ]
         self.maxima = np.zeros((len(self.vocabulary), len(self.blocks)), dtype=np.float32)
         for b, block in enumerate(self.blocks):
             for item in block:
@@ -117,37 +127,28 @@ class Index:
                 break
         return out
 
-    def retrieve(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, float, Item, np.ndarray]]:
-        """(document, score over threshold, item, words of the passage) of all that reach an item's threshold."""
-        span = self.longest
-        counts = np.diff(bounds)
-        pieces = np.maximum(1, -(-counts // span))
-        first = np.concatenate(([0], np.cumsum(pieces)))
-        doc = np.repeat(np.arange(len(counts)), counts)
-        piece = first[doc] + (np.arange(len(words)) - bounds[doc]) // span
+    def retrieve(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, float, Item]]:
+        """(document, score over threshold, item) of all that reach an item's threshold, document by document."""
         term = self.lookup(words)
         known = np.flatnonzero(term >= 0)
         if not len(known):
             return
-        keys = np.unique(piece[known] * len(self.vocabulary) + term[known])
+        doc = np.searchsorted(bounds, known, side="right") - 1
+        keys = np.unique(doc * len(self.vocabulary) + term[known])
         at, terms = keys // len(self.vocabulary), keys % len(self.vocabulary)
         used, starts = np.unique(at, return_index=True)
-        bound = np.zeros((first[-1] + 1, len(self.blocks)), dtype=np.float32)
-        bound[used] = np.add.reduceat(self.maxima[terms], starts, axis=0)
-        # a passage is a piece and its successor in the same document
-        follows = np.ones(first[-1], dtype=bool)
-        follows[first[1:] - 1] = False
-        passage = bound[:-1].copy()
-        passage[follows] += bound[1:][follows]
-        for p, b in np.argwhere(passage >= 1 - 1e-4):
-            d = int(np.searchsorted(first, p, side="right")) - 1
-            lo = bounds[d] + (p - first[d]) * span
-            hi = min(lo + 2 * span, bounds[d + 1])
-            mine = np.unique(term[lo:hi])
-            for item in self.blocks[b]:
-                score = float(item.weights[np.isin(item.terms, mine, assume_unique=True)].sum())
-                if score >= 1 - 1e-9:
-                    yield d, score, item, words[lo:hi]
+        bound = np.add.reduceat(self.maxima[terms], starts, axis=0)
+        ends = np.append(starts[1:], len(terms))
+        mine = np.zeros(len(self.vocabulary), dtype=bool)
+        for k in np.flatnonzero((bound >= 1 - 1e-4).any(axis=1)):
+            here = terms[starts[k] : ends[k]]
+            mine[here] = True
+            for b in np.flatnonzero(bound[k] >= 1 - 1e-4):
+                at_terms, weights, of = self.postings[b]
+                scores = np.bincount(of, weights * mine[at_terms], minlength=len(self.blocks[b]))
+                for i in np.flatnonzero(scores >= 1 - 1e-9):
+                    yield int(used[k]), float(scores[i]), self.blocks[b][i]
+            mine[here] = False
 
 
 class Benchmark:
@@ -169,17 +170,20 @@ class Benchmark:
         classes: dict[int, list] = {}
         for item in items:
             classes.setdefault(max(_LONGEST_FIRST_CLASS, 1 << (len(item[1]) - 1).bit_length()), []).append(item)
-        self.indexes = [Index(sorted(x, key=lambda i: len(i[1])), n, idf, mean, similarity) for n, x in sorted(classes.items())]
+        self.indexes = [Index(sorted(x, key=lambda i: len(i[1])), idf, mean, similarity) for _, x in sorted(classes.items())]
 
     def search(self, column: pa.Array) -> list[dict[int, tuple]]:
-        """For each text its leaks: item_id to (score, overlap, question's, answer's), the best passage's."""
+        """For each text its leaks: item_id to (score, overlap, question's, answer's), of items with one id the best one's."""
         out: list[dict[int, tuple]] = [{} for _ in range(len(column))]
         for lo, _, data, offsets in chunks(_lowered(column)):
             words, bounds = _words(data, offsets)
             for index in self.indexes:
-                for d, score, item, passage in index.retrieve(words, bounds):
-                    got = item.overlap(passage)
-                    if got[0] >= self.similarity and got[1] > 0 and got[2] > 0:
+                last, held = -1, {}
+                for d, score, item in index.retrieve(words, bounds):
+                    if d != last:
+                        last, held = d, {}
+                    got = item.overlap(words[bounds[d] : bounds[d + 1]], held)
+                    if got[0] >= self.similarity - 1e-9:
                         best = out[lo + d].get(item.item_id)
                         if best is None or (got, score) > (best[1:], best[0]):
                             out[lo + d][item.item_id] = (score, *got)
@@ -205,7 +209,7 @@ LEAKS = T.StructType(
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """A row for each document and test item whose text leaks into it (see ``LEAKS``).
 
-    ``score`` is the passage's BM25 score over the item's threshold.  Null and
+    ``score`` is the document's BM25 score over the item's threshold.  Null and
     empty texts leak nothing; items with a null id or text, or without a word,
     are not searched for.  Rows are judged one by one, so repeated rows and null
     doc_ids report their own leaks.  Either table may be empty: then no row is

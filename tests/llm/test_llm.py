@@ -327,6 +327,18 @@ def test_decontamination(spark):
     assert decontamination.leaks(frame(spark, []), bench).count() == 0
 
 
+def test_decontamination_with_asides(spark):
+    item = [f"w{k}" for k in range(64)]
+    aside = [f"aside{k}" for k in range(24)]
+    docs = [(at, " ".join([f"before{k}" for k in range(at)] + item[:32] + aside + item[32:] + ["after"] * 90)) for at in range(0, 128, 4)]
+    docs += [(500 + n, " ".join(f"s{n}x{k}" for k in range(n - 1)) + " altered") for n in (9, 14)]
+    docs += [(900, " ".join(item[:32]))]
+    items = [(1, " ".join(item))] + [(n, " ".join(f"s{n}x{k}" for k in range(n))) for n in (9, 14)]
+    got = decontamination.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["item_id"]) for x in got) == sorted([(i, 1) for i, _ in docs if i < 128] + [(509, 9), (514, 14)])
+    assert all(x["overlap"] == pytest.approx(56 / 60) for x in got if x["item_id"] == 1)
+
+
 def test_decontamination_in_slices(spark, monkeypatch):
     items = spark.createDataFrame([(i, f"item number {i} has words of its own {i * 7} and {i * 11} end") for i in range(20)], "item_id long, text string")
     docs = frame(spark, [(i, f"before item number {i} has words of its own {i * 7} and {i * 11} end after") for i in range(20)])
