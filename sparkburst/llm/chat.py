@@ -12,7 +12,7 @@ more of a very long one.  All of it is built of Spark's own column functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import written
@@ -53,18 +53,18 @@ def _faults(name: Column, arguments: Column, schemas: dict) -> Column:
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): 0 without dependencies, else one more than the deepest; none for cycles."""
-    needs = calls.select("conv_id", "call_id", F.explode("depends_on").alias("needed")).distinct()
-    nodes = calls.select("conv_id", "call_id").distinct()
-    known = needs.join(nodes.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"], "left_semi")
+    """(conv, call_id, level): 0 without dependencies, else one more than the deepest; none for cycles."""
+    needs = calls.select("conv", "call_id", F.explode("depends_on").alias("needed")).distinct()
+    nodes = calls.select("conv", "call_id").distinct()
+    known = needs.join(nodes.withColumnRenamed("call_id", "needed"), ["conv", "needed"], "left_semi")
     if known.isEmpty():
         return nodes.withColumn("level", F.lit(0))
     open_edges = written(known, "needs")
-    done = written(nodes.join(open_edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
+    done = written(nodes.join(open_edges, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
     while True:
-        level = done.select("conv_id", F.col("call_id").alias("needed"), "level")
-        met = open_edges.join(level, ["conv_id", "needed"], "left").groupBy("conv_id", "call_id").agg(F.max("level").alias("deepest"), F.count("*").alias("n"), F.count("level").alias("met"))
-        ready = met.where("n = met").select("conv_id", "call_id", (F.col("deepest") + 1).alias("level")).join(done, ["conv_id", "call_id"], "left_anti")
+        level = done.select("conv", F.col("call_id").alias("needed"), "level")
+        met = open_edges.join(level, ["conv", "needed"], "left").groupBy("conv", "call_id").agg(F.max("level").alias("deepest"), F.count("*").alias("n"), F.count("level").alias("met"))
+        ready = met.where("n = met").select("conv", "call_id", (F.col("deepest") + 1).alias("level")).join(done, ["conv", "call_id"], "left_anti")
         ready = written(ready, "ready")
         if ready.isEmpty():
             return done
@@ -72,54 +72,73 @@ def _levels(calls: DataFrame) -> DataFrame:
 
 
 def link(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
-    """Every tool call of ``turns``: where it stands, its canonical arguments, level, faults, status and result.
+    """Every tool call of ``turns``: where it stands, its canonical arguments, level, faults, status, result and, if malformed, body.
 
     status: ``linked``, ``unanswered``, ``duplicate`` (an identifier used before in
     the conversation), ``cycle`` or ``malformed`` (no JSON, or no identifier).
+    A row with a null conv_id is a conversation of its own.
     """
+    return _linked(_rows(turns), schemas).drop("row")
+
+
+def _rows(turns: DataFrame) -> DataFrame:
+    """The distinct messages, written, each with a number ``row`` and ``own``, a digest if it has no conv_id or turn and 0 else."""
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    alone = F.col("conv_id").isNull() | F.col("turn").isNull()
+    own = F.when(alone, F.xxhash64("conv_id", F.coalesce("turn", F.lit(-1)), "role", "text")).otherwise(F.lit(0))
+    return written(rows.withColumn("own", own).withColumn("row", F.monotonically_increasing_id()), "turns")
+
+
+def _linked(rows: DataFrame, schemas: dict | None) -> DataFrame:
+    """The calls of the messages made by ``_rows``, each with its message's number."""
+    # a conversation's key is never null
+    conv = F.struct(F.coalesce("conv_id", F.lit(0)).alias("id"), F.when(F.col("conv_id").isNull(), F.col("own")).otherwise(F.lit(0)).alias("own"))
+    turns = rows.withColumn("conv", conv)
     said = turns.where((F.col("role") == "assistant") & F.contains("text", F.lit("<tool_call>")))
-    blocks = said.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(_BLOCK), 1)).alias("position", "body")).distinct()
+    # of several messages in one turn, the place by their text
+    said = said.withColumn("nth", F.row_number().over(Window.partitionBy("conv", "turn", "own").orderBy("text")))
+    blocks = said.select("row", "conv_id", "conv", "turn", "own", "nth", F.posexplode(F.regexp_extract_all("text", F.lit(_BLOCK), 1)).alias("position", "body"))
     parsed = blocks.withColumn("v", F.try_parse_json("body"))
     get = lambda path, kind: F.try_variant_get("v", path, kind)
+    place = F.struct(F.coalesce("turn", F.lit((1 << 63) - 1)).alias("turn"), "own", "nth", "position")
     calls = parsed.select(
-        "conv_id", "turn", "position", get("$.id", "string").alias("call_id"), get("$.name", "string").alias("name"),
+        "row", "conv_id", "conv", "turn", "position", place.alias("place"), get("$.id", "string").alias("call_id"), get("$.name", "string").alias("name"),
         F.coalesce(F.to_json(get("$.arguments", "variant")), F.lit("{}")).alias("arguments"), F.coalesce(get("$.depends_on", "array<string>"), F.array().cast("array<string>")).alias("depends_on"),
+        F.when(get("$.id", "string").isNull(), F.col("body")).alias("body"),
     )
     calls = written(calls.withColumn("faults", _faults(F.col("name"), F.col("arguments"), SCHEMAS if schemas is None else schemas)), "calls")
     named = calls.where("call_id is not null")
-    first = named.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "position")).alias("first"))
-    answers = turns.where("role = 'tool'").withColumn("v", F.try_parse_json("text")).select("conv_id", "turn", get("$.tool_call_id", "string").alias("call_id"))
-    answered = answers.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("turn").alias("result_turn"))
-    linked = calls.join(first, ["conv_id", "call_id"], "left").join(answered.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(_levels(named), ["conv_id", "call_id"], "left")
+    first = named.groupBy("conv", "call_id").agg(F.min("place").alias("first"))
+    answers = turns.where("role = 'tool'").withColumn("v", F.try_parse_json("text")).select("conv", "turn", get("$.tool_call_id", "string").alias("call_id"))
+    answered = answers.where("call_id is not null").groupBy("conv", "call_id").agg(F.min("turn").alias("result_turn"))
+    linked = calls.join(first, ["conv", "call_id"], "left").join(answered.hint("shuffle_hash"), ["conv", "call_id"], "left").join(_levels(named), ["conv", "call_id"], "left")
     status = (
-        F.when(F.col("call_id").isNull(), "malformed").when(F.struct("turn", "position") != F.col("first"), "duplicate").when(F.col("level").isNull(), "cycle")
+        F.when(F.col("call_id").isNull(), "malformed").when(F.col("place") != F.col("first"), "duplicate").when(F.col("level").isNull(), "cycle")
         .when(F.col("result_turn") >= F.col("turn"), "linked").otherwise("unanswered")
     )
-    return linked.select("conv_id", "turn", "position", "call_id", "name", "arguments", "depends_on", "faults", "level", status.alias("status"), F.when(status == "linked", F.col("result_turn")).alias("result_turn"))
+    return linked.select("row", "conv_id", "turn", "position", "call_id", "name", "arguments", "depends_on", "faults", "level", status.alias("status"), F.when(status == "linked", F.col("result_turn")).alias("result_turn"), "body")
 
 
 def render(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
     """conv_id, segment, n_messages, n_calls, n_valid and chat (canonical JSON) of every segment of every conversation.
 
     Messages stand by turn, then role and text; calls within one by level and
-    position.  Repeated rows are one message.  A null text is empty and a null
+    position, each in the message that holds it.  A malformed call keeps its body
+    as it stands.  Repeated rows are one message.  A null text is empty and a null
     role ``unknown``; rows with a null conv_id or turn are segments of their own.
     An empty table gives no rows.  Other columns are not read.
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    rows = written(rows, "turns")
-    calls = link(rows, schemas)
-    item = F.struct("level", "position", F.struct("arguments", "depends_on", "faults", F.col("call_id").alias("id"), "name", "result_turn", "status").alias("call"))
-    by_turn = calls.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(item)).alias("calls"))
-    joined = rows.join(by_turn, ["conv_id", "turn"], "left")
+    rows = _rows(turns)
+    item = F.struct("level", "position", F.struct("arguments", "body", "depends_on", "faults", F.col("call_id").alias("id"), "name", "result_turn", "status").alias("call"))
+    by_row = _linked(rows, schemas).groupBy("row").agg(F.array_sort(F.collect_list(item)).alias("calls"))
+    joined = rows.join(by_row, "row", "left")
     mine = (F.col("role") == "assistant") & F.contains("text", F.lit("<tool_call>"))
     called = F.when(mine, F.transform("calls", lambda c: c["call"]))
     content = F.when(mine, F.trim(F.regexp_replace("text", _BLOCK, ""))).when(F.col("role") == "tool", F.coalesce(F.try_variant_get(F.try_parse_json("text"), "$.content", "string"), F.col("text"))).otherwise(F.col("text"))
     answer_to = F.when(F.col("role") == "tool", F.try_variant_get(F.try_parse_json("text"), "$.tool_call_id", "string"))
     message = F.to_json(F.struct(content.alias("content"), "role", answer_to.alias("tool_call_id"), called.alias("tool_calls"), "turn"))
-    alone = F.col("conv_id").isNull() | F.col("turn").isNull()
     messages = joined.select(
-        "conv_id", F.floor(F.col("turn") / SEGMENT).alias("segment"), F.when(alone, F.xxhash64("conv_id", "turn", "role", "text")).otherwise(F.lit(0)).alias("own"), "turn", "role", "text", message.alias("message"),
+        "conv_id", F.floor(F.col("turn") / SEGMENT).alias("segment"), "own", "turn", "role", "text", message.alias("message"),
         F.coalesce(F.size(called), F.lit(0)).alias("n"), F.coalesce(F.size(F.filter(called, lambda c: (F.size(c["faults"]) == 0) & (c["status"] == "linked"))), F.lit(0)).alias("ok"),
     )
     n_calls, n_valid = (F.greatest(F.sum(c), F.lit(0)).cast("long") for c in ("n", "ok"))

@@ -378,6 +378,21 @@ def test_chat(spark):
     assert chat.render(df.where("false")).count() == 0
 
 
+def test_chat_loses_no_call(spark):
+    turns = [
+        (None, 0, "assistant", "a " + call("a", "search", query="q")), (None, 0, "assistant", "b " + call("a", "search", query="r")),
+        (3, None, "assistant", "c " + call("c", "search", query="s")), (4, 1, "assistant", "x <tool_call>{broken</tool_call>"),
+        (5, 1, "assistant", "one " + call("p", "fetch", url="u")), (5, 1, "assistant", "two " + call("q", "fetch", url="v")), (5, 2, "tool", json.dumps({"tool_call_id": "p", "content": "found"})),
+    ]
+    out = chat.render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["conv_id"] or 0, r["n_messages"], r["n_calls"], r["n_valid"]) for r in out) == [(0, 1, 1, 0), (0, 1, 1, 0), (3, 1, 1, 0), (4, 1, 1, 0), (5, 3, 2, 1)]
+    messages = {m["content"]: m for r in out for m in json.loads(r["chat"])["messages"]}
+    assert [messages["a"]["tool_calls"][0]["arguments"], messages["b"]["tool_calls"][0]["arguments"]] == ['{"query":"q"}', '{"query":"r"}']
+    assert [messages[k]["tool_calls"][0]["status"] for k in "abc"] == ["unanswered"] * 3
+    assert messages["x"]["tool_calls"][0]["status"] == "malformed" and messages["x"]["tool_calls"][0]["body"] == "{broken"
+    assert [[c["id"] for c in messages[k]["tool_calls"]] for k in ("one", "two")] == [["p"], ["q"]]
+
+
 def test_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
