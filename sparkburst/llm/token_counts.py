@@ -5,6 +5,8 @@ white-space byte is a token of its own.  A batch's distinct pre-tokens are
 inserted in a trie, level by level, so that the forward score of a prefix (the
 best segmentation of it) is computed once for all pre-tokens that share it.
 Terminal nodes give the counts, which a task remembers for its later batches.
+Where few pre-tokens are still open, each is carried on to its end by itself, in
+Python's whole numbers, so that pre-tokens of any length are counted exactly.
 
 The public vocabularies hold no unigram model, so a piece's rank stands for its
 frequency: p is in proportion to 1 / (rank + 2).  Scores are whole numbers, and
@@ -29,12 +31,12 @@ from .arrow_text import IS_SPACE, chunks, mix, powers, word_bounds
 from .arrow_text import _INVERSE as INVERSE
 from .tables import small_batches
 
-#: Longer pre-tokens are cut into runs of this many bytes.
-LONGEST = 256
+#: Open pre-tokens from which a level of the trie is worth its array operations.
+FEW = 64
 #: Nats are counted in thousandths.
 SCALE = 1000
-#: A value is score * TOKENS - tokens; a pre-token has fewer tokens than this.
-TOKENS = 1 << 12
+#: A value is score * TOKENS - tokens; a prefix in the trie has fewer tokens than this.
+TOKENS = 1 << 20
 #: Pre-tokens that a task remembers.
 REMEMBERED = 1 << 20
 _CHUNK = 1 << 19
@@ -65,6 +67,7 @@ class Counter:
         order = np.argsort(hashes)
         self.hashes, self.values = hashes[order], np.array([s for _, s in pieces], dtype=np.int64)[order] * TOKENS - 1
         self.lengths = np.unique(lens).tolist()
+        self.pieces = dict(pieces)
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
         self.known, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
@@ -82,12 +85,6 @@ class Counter:
             starts = starts - lead
             bounds = np.searchsorted(starts, offsets)
             spaces = spaces - np.diff(np.concatenate(([0], np.cumsum(lead)))[bounds])
-            if len(starts) and (ends - starts).max() > LONGEST:
-                parts = -(-(ends - starts) // LONGEST)
-                nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-                starts, ends = np.repeat(starts, parts) + nth * LONGEST, np.repeat(ends, parts)
-                ends = np.minimum(ends, starts + LONGEST)
-                bounds = np.searchsorted(starts, offsets)
             each = self._spans(data, starts, ends)
             total = np.concatenate(([0], np.cumsum(each)))[bounds]
             pre[lo:hi] = np.diff(bounds) + spaces
@@ -126,6 +123,11 @@ class Counter:
         levels: deque[tuple[np.ndarray, np.ndarray]] = deque([(node, value)], maxlen=max(self.lengths))
         for d in range(1, int(lens[0]) + 1):
             n = int(np.searchsorted(-lens, -d, side="right"))
+            if (n <= FEW and d > levels.maxlen) or d >= TOKENS:
+                for k in range(n):
+                    last = [int(values[nodes[k]]) for nodes, values in levels]
+                    out[word[k]] = self._rest(data[starts[k] : starts[k] + lens[k]].tobytes(), d - 1, last)
+                break
             keys, rep, back = np.unique((node[:n] << 8) | data[starts[:n] + d - 1], return_index=True, return_inverse=True)
             best = np.full(len(keys), np.iinfo(np.int64).min)
             end = starts[rep] + d
@@ -146,6 +148,16 @@ class Counter:
         return out
 
 
+    def _rest(self, text: bytes, at: int, last: list[int]) -> int:
+        """Tokens of ``text``, of whose prefixes up to ``at`` bytes the last ones' values are known."""
+        base = 1 << 64
+        # -v is -score * TOKENS + tokens
+        best = deque((-((-v) // TOKENS) * base - (-v) % TOKENS for v in last), maxlen=max(self.lengths))
+        for end in range(at + 1, len(text) + 1):
+            best.append(max(best[-size] + self.pieces[text[end - size : end]] * base - 1 for size in self.lengths if size <= len(best) and text[end - size : end] in self.pieces))
+        return -best[-1] % base
+
+
 def _sums(data: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[: len(data)], out=sums[1:])

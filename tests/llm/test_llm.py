@@ -189,6 +189,17 @@ def test_token_counts(spark, docs):
     assert token_counts.count(frame(spark, [])).count() == 0
 
 
+def test_token_counts_of_long_pretokens(spark):
+    pieces = dict(token_counts.vocabulary())
+    r = random.Random(8)
+    chinese = "".join(chr(r.randrange(0x4E00, 0x4F00)) for _ in range(700))
+    url = "https://example.org/" + "/".join("path" + str(r.randrange(1000)) for _ in range(120))
+    texts = [(1, chinese), (2, url + " tail"), (3, "x" * 3000), (4, "é" * 400 + " tail"), *[(10 + k, chinese[k:] + url[: 5 * k]) for k in range(100)]]
+    got = token_counts.count(frame(spark, texts)).collect()
+    longest = max(len(t.encode()) for _, t in texts)
+    assert sorted(map(key, got)) == sorted(key((i, *brute.tokens(t, pieces, longest))) for i, t in texts)
+
+
 def test_token_counts_forget():
     texts = pa.array([t for _, t in corpus(4)])
     a, b = (token_counts.Counter(token_counts.vocabulary()) for _ in range(2))
