@@ -2,21 +2,25 @@
 
 Every set is ordered by a global order, rare shingles first.  Two sets at the
 threshold or above share one of their first |x| - ceil(t |x|) + 1 shingles, their
-prefix.  Documents with the same size, prefix and parity sketch collapse into one
-group; groups that share a prefix shingle are paired and filtered by size, by the
-sketches (the number of parity bits that differ is at most the size of the
-symmetric difference) and by the count of shared prefix shingles; then the
-groups' members are expanded and verified on their whole sets.
-
-The order comes from counters of fixed number, filled by all documents.  First
-each shingle's groups are matched with two pivots only; what is connected by
-then is not paired again, so a large group of near copies does not write out its
-pairs, while every pair across components is still judged.
+prefix.  Documents of the same size and prefix collapse into one group.
+
+Groups that share a prefix shingle are filtered in pairs by size, by the place of
+the shingle in both prefixes and by parity sketches, in the task that holds the
+shingle's postings; that task keeps only as many of the pairs as connect all that
+any pair connects.  So groups fall into families, and no pair at the threshold
+crosses two of them.  A family's groups then expand to their members, whose whole
+sets are verified against each other in one task, or in several where the family
+is large; only the components that verified links make come out.  No step writes
+more rows than it has members, however many pairs it judges, but for the parts of
+very frequent shingles and very large families, which are dealt in blocks of
+thousands.
+
+The order comes from counters of fixed number, filled by all documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,14 +31,22 @@ from pyspark.sql import functions as F
 
 from .arrow_text import ASCII_LOWER, chunks, mix, shingle_hashes, span_hashes, word_bounds
 from .graph import components
+from .near_sets import Postings, forest, linked, sketch
 from .tables import discard, small_batches, written
 
 #: Counters of the global order, in blocks that are summed apart.
 COUNTERS = 1 << 20
 _BLOCKS = 64
-_PARITY_WORDS = 8
 #: Rows up to which ids are broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Postings of a shingle, and members of a family and shingles in their sets, beyond which several tasks share them.
+POSTINGS_IN_BLOCK = 4096
+SETS_IN_BLOCK = 4096
+ITEMS_IN_BLOCK = 4 << 20
+#: Members of a large family that all its blocks hold, so that what they link becomes one component early.
+HUBS = 128
+#: Postings that a task works on at once.
+_BUFFERED = 100_000
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -47,15 +59,13 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield np.unique(h[at[d] : at[d + 1]])
 
 
-def set_key(s: np.ndarray) -> int:
-    """A 64-bit key of a set."""
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """A 128-bit key of a set."""
     with np.errstate(over="ignore"):
-        return int(mix(np.array([np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))) + np.uint64(len(s))]))[0].astype(np.int64))
-
-
-def _parity(s: np.ndarray) -> np.ndarray:
-    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (64 * _PARITY_WORDS - 1), minlength=64 * _PARITY_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+        one = np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))
+        two = np.add.reduce(mix(s ^ np.uint64(0x14057B7EF767814F)))
+        both = mix(np.array([one, two]) + np.uint64(len(s))).view(np.int64)
+    return int(both[0]), int(both[1])
 
 
 def _counters(texts: DataFrame, size: int) -> np.ndarray:
@@ -94,139 +104,229 @@ def _joined(sets: Iterator[np.ndarray], limit: int = 1 << 20) -> Iterator[np.nda
         yield np.concatenate(held)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
+
+
+def _longs(values: list | np.ndarray) -> pa.Array:
+    return pa.array(values, pa.int64())
+
+
 def _prefixes(texts: DataFrame, size: int, percent: int, counters: np.ndarray) -> DataFrame:
-    """doc_id, n, node (the set's key), gid (the group's), prefix, parity and digest of every row."""
+    """Every row's doc_id and digest, size, key of the set (k1, k2) and of its group (g1, g2), prefix and sketch."""
     shared = texts.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for batch in batches:
-            ns, nodes, gids, prefixes, parities = [], [], [], [], []
+            ns, keys, groups, prefixes, sketches = [], [], [], [], []
             for s in shingle_sets(batch.column(1), size):
                 n = len(s)
-                first = np.lexsort((s, order[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))[: n - -(-n * percent // 100) + 1]
-                prefix, parity = s[first].view(np.int64), _parity(s)
+                rank = (order[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (s >> np.uint64(32))
+                prefix = s[np.argsort(rank, kind="stable")[: n - -(-n * percent // 100) + 1]]
+                one, two = set_key(prefix)
                 ns.append(n)
-                nodes.append(set_key(s))
-                gids.append(set_key(np.concatenate((prefix, parity)).view(np.uint64)) ^ n)
-                prefixes.append(prefix)
-                parities.append(parity)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(gids, pa.int64()), pa.array(prefixes, longs), pa.array(parities, longs), batch.column(2)],
-                names=["doc_id", "n", "node", "gid", "prefix", "parity", "digest"],
-            )
+                keys.append(set_key(s))
+                groups.append((one ^ n, two))
+                prefixes.append(prefix.view(np.int64))
+                sketches.append(sketch(s))
+            keys, groups = (np.array(x, dtype=np.int64).reshape(-1, 2) for x in (keys, groups))
+            columns = [batch.column(0), batch.column(2), _longs(ns), *(_longs(x[:, k]) for x in (keys, groups) for k in (0, 1)), _lists(prefixes), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "k1", "k2", "g1", "g2", "prefix", "sketch"])
+
+    return texts.mapInArrow(run, "doc_id long, digest long, n long, k1 long, k2 long, g1 long, g2 long, prefix array<long>, sketch binary")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int, limit: int) -> Iterator[pa.Table]:
+    """Tables of about ``limit`` rows, cut only where one of the first ``keys`` columns changes; the rows come sorted by those."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if n >= limit:
+            last = [held[-1].column(k)[-1].as_py() for k in range(keys)]
+            fresh = np.zeros(batch.num_rows, dtype=bool)
+            for k in range(keys):
+                fresh |= batch.column(k).to_numpy(zero_copy_only=False) != last[k]
+            if fresh.any():
+                cut = int(fresh.argmax())
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held, n, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
 
-    return texts.mapInArrow(run, "doc_id long, n long, node long, gid long, prefix array<long>, parity array<long>, digest long")
 
+def _block_numbers(table: pa.Table, keys: int) -> np.ndarray:
+    fresh = np.zeros(table.num_rows, dtype=bool)
+    for k in range(keys):
+        x = table.column(k).to_numpy()
+        fresh[1:] |= x[1:] != x[:-1]
+    return np.cumsum(fresh)
 
-def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, items) of the wanted (doc_id, node) rows, read from the texts once more."""
+
+def _at_shared(held: DataFrame, shared: DataFrame, how: str = "inner") -> DataFrame:
+    """``held`` at some shingles, which are broadcast up to a number of rows."""
+    return held.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "shingle", how)
+
+
+def _split(postings: DataFrame) -> DataFrame:
+    """The postings of very frequent shingles (``parts`` > 1), dealt to pairs of parts."""
+    part = F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, part).alias("p"), F.greatest(q, part).alias("q")))
+    return postings.select("shingle", F.explode(pairs.cast("array<struct<p:int,q:int>>")).alias("t"), "gid", "n", "at", part.alias("part"), "sketch").select("shingle", "t.p", "t.q", "gid", "n", "at", "part", "sketch")
+
+
+def _families(groups: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the groups that near pairs connect, node and root being g1; no pair at the threshold is apart."""
+    held = groups.select("g1", "n", "sketch", F.posexplode("prefix").alias("at", "shingle"))
+    # a shingle that one group has in its prefix pairs nothing, nor does one of two groups whose sizes are too far apart
+    counted = held.groupBy("shingle").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    fitting = counted.where((F.col("c") > 2) | ((F.col("c") == 2) & (100 * F.col("lo") >= percent * F.col("hi"))))
+    shared = written(fitting.select("shingle", F.ceil(F.col("c") / POSTINGS_IN_BLOCK).cast("int").alias("parts")), "shingles")
+    postings = _at_shared(held.select("shingle", F.col("g1").alias("gid"), "n", "at", "sketch"), shared)
+    zero = F.lit(0).cast("int")
+    dealt = postings.where("parts = 1").select("shingle", zero.alias("p"), zero.alias("q"), "gid", "n", "at", zero.alias("part"), "sketch")
+    if not shared.where("parts > 1").isEmpty():
+        dealt = dealt.unionByName(_split(postings.where("parts > 1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, items = [], []
-            for node, s in zip(batch.column(2).to_pylist(), shingle_sets(batch.column(1), size), strict=True):
-                if set_key(s) == node:
-                    nodes.append(node)
-                    items.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["node", "items"])
-
-    wanted = written(wanted, "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    held = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "node")
-    sets = written(held.mapInArrow(run, "node long, items array<long>"), "sets")
-    # more sets than nodes: some doc_id is repeated
-    return sets if sets.count() <= wanted.count() else sets.dropDuplicates(["node"])
-
-
-def _possible(percent: int) -> Callable[[str, str], Column]:
-    """Whether the sizes and the sketches of ``a`` and ``b`` allow the threshold."""
-
-    def test(a: str, b: str) -> Column:
-        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        apart = sum((F.bit_count(F.col(f"{a}.parity")[k].bitwiseXOR(F.col(f"{b}.parity")[k])) for k in range(1, _PARITY_WORDS)), F.bit_count(F.col(f"{a}.parity")[0].bitwiseXOR(F.col(f"{b}.parity")[0])))
-        sizes = (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-        return sizes & ((100 + percent) * apart <= (100 - percent) * (na + nb))
-
-    return test
-
-
-def _verified(texts: DataFrame, members: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The (a, b) pairs of nodes whose whole sets reach the threshold; only their sets are read."""
-    pairs = written(pairs, "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = _sets(texts, members.groupBy("node").agg(F.min("rep").alias("doc_id")).join(nodes, "node", "left_semi").select("doc_id", "node"), size)
-    both = F.size("sa.items") + F.size("sb.items")
-    common = F.size(F.array_intersect("sa.items", "sb.items"))
-    first = pairs.alias("p").join(sets.alias("sa"), F.col("p.a") == F.col("sa.node"))
-    links = written(first.join(sets.alias("sb"), (F.col("p.b") == F.col("sb.node")) & ((100 + percent) * common >= percent * both)).select("p.a", "p.b"), "links")
-    discard(sets)
-    return links
+        for table in _runs(batches, 3, _BUFFERED):
+            column = lambda name: table.column(name).to_numpy()
+            rows = Postings(column("gid"), column("n"), column("at").astype(np.int64), column("part"), table.column("sketch").to_pylist(), percent)
+            a, b = forest(_block_numbers(table, 3), rows)
+            yield pa.RecordBatch.from_arrays([_longs(a), _longs(b)], names=["a", "b"])
 
+    edges = dealt.repartition("shingle", "p", "q").sortWithinPartitions("shingle", "p", "q").mapInArrow(run, "a long, b long")
+    out = components(edges, "a", "b")
+    discard(shared)
+    return out
 
-def _at_shared(postings: DataFrame, shingles: DataFrame) -> DataFrame:
-    """The postings of some shingles, which are broadcast up to a number of rows."""
-    kept = written(shingles, "shingles")
-    few = kept.count() <= BROADCAST_ROWS
-    return postings.join(F.broadcast(kept) if few else kept, "shingle", "left_semi")
+
+def _sets(texts: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """``members`` (rep, k1, k2, fam) with their whole sets, read from the texts once more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1, k2 = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            kept, items = [], []
+            for k, s in enumerate(shingle_sets(batch.column(1), size)):
+                if set_key(s) == (k1[k], k2[k]):  # rows that share a doc_id have other sets
+                    kept.append(k)
+                    items.append(s.tobytes())
+            taken = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken.column(4), taken.column(2), taken.column(3), pa.array(items, pa.binary())], names=["fam", "k1", "k2", "items"])
+
+    few = members.count() <= BROADCAST_ROWS
+    wanted = members.select(F.col("rep").alias("doc_id"), "k1", "k2", "fam")
+    held = texts.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "k1", "k2", "fam")
+    return held.mapInArrow(run, "fam long, k1 long, k2 long, items binary")
+
+
+def _verified(tiles: DataFrame, percent: int) -> DataFrame:
+    """The links, as few as connect the same, between the known components of each tile's sets.
+
+    ``tiles`` has a tile's number, sets (k1, k2, items) and the components they
+    are known to be in (r1, r2).  A row (k1, k2, r1, r2) says that component k is
+    in component r.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, 1, 2 * SETS_IN_BLOCK):
+            numbers = _block_numbers(table, 1)
+            keys = np.stack([table.column(c).to_numpy() for c in ("k1", "k2", "r1", "r2")], axis=1)
+            raw = table.column("items")
+            first = np.concatenate(([0], np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)]))
+            out = []
+            for a, b in zip(first[:-1], first[1:], strict=True):
+                if b - a < 2:
+                    continue
+                here = a + np.unique(keys[a:b, :2], axis=0, return_index=True)[1]  # a repeated row is one set
+                roots, known = np.unique(keys[here, 2:], axis=0, return_inverse=True)
+                labels = linked([np.frombuffer(raw[int(k)].as_buffer(), dtype=np.uint64) for k in here], known.reshape(-1), percent)
+                before, at = np.unique(known.reshape(-1), return_index=True)
+                for r, label in zip(before, labels[at], strict=True):
+                    same = before[labels[at] == label]
+                    if len(same) > 1:
+                        out.append((*roots[r], *roots[same[0]]))
+            found = np.array(out, dtype=np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([_longs(found[:, k]) for k in range(4)], names=["k1", "k2", "r1", "r2"])
+
+    dealt = tiles.select("tile", "k1", "k2", "r1", "r2", "items").repartition("tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(run, "k1 long, k2 long, r1 long, r2 long")
+
+
+def _pair(a: str, b: str) -> Column:
+    return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+
+
+def _blocks_of(rows: Column, items: Column) -> Column:
+    return F.greatest(F.ceil(rows / SETS_IN_BLOCK), F.ceil(items / ITEMS_IN_BLOCK)).cast("int")
+
+
+def _large(sets: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """(k1, k2, r1, r2) of the linked sets of families that several tasks share.
+
+    First each block of a family is verified with the family's hubs; then blocks
+    of what is still in different components, pair by pair.  Two blocks of one
+    and the same component are not compared.
+    """
+    mine = sets.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "fam")
+    hub = F.pmod(F.xxhash64("k1", "k2"), F.greatest(F.lit(1), F.floor(F.col("m") / HUBS))) == 0
+    blocks = F.when(hub, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int")))
+    tiles = mine.withColumn("block", F.explode(blocks)).select(F.xxhash64("fam", "block").alias("tile"), "k1", "k2", F.col("k1").alias("r1"), F.col("k2").alias("r2"), "items")
+    links = written(_verified(tiles, percent).select(_pair("k1", "k2").alias("a"), _pair("r1", "r2").alias("b")), "links")
+    roots = components(links, "a", "b")
+    rooted = mine.select("fam", "k1", "k2", F.length("items").alias("size"), _pair("k1", "k2").alias("node")).join(roots, "node", "left")
+    rooted = written(rooted.select("fam", "k1", "k2", "size", F.coalesce("root", "node").alias("root")), "rooted")
+    of_root = rooted.groupBy("fam", "root").agg(F.count("*").alias("c"), F.sum("size").alias("s")).withColumn("parts", _blocks_of(F.col("c"), F.col("s") / 8))
+    # components that fill a block are dealt to blocks of their own, the small ones of a family share blocks
+    whole = F.col("c") >= SETS_IN_BLOCK
+    pool = of_root.where(~whole).groupBy("fam").agg(_blocks_of(F.sum("c"), F.sum("s") / 8).alias("pool"))
+    classes = of_root.join(pool, "fam", "left").select("fam", "root", F.when(whole, F.xxhash64("root")).alias("uniform"), F.when(whole, F.col("parts")).otherwise(F.col("pool")).alias("parts"))
+    block = F.xxhash64("fam", F.coalesce("uniform", F.lit(0).cast("long")), F.pmod(F.xxhash64("k1"), F.col("parts")))
+    placed = written(rooted.join(classes, ["fam", "root"]).select("fam", "k1", "k2", "root", "uniform", block.alias("block")), "placed")
+    each = placed.select("fam", "block", "uniform").distinct()
+    other = each.select("fam", F.col("block").alias("other"), F.col("uniform").alias("also"))
+    pairs = each.join(other, "fam").where((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("uniform") == F.col("also"), F.lit(False)))
+    pairs = pairs.select(F.xxhash64("block", "other").alias("tile"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
+    again = placed.join(pairs, "block").join(sets.select("k1", "k2", "items"), ["k1", "k2"]).select("tile", "k1", "k2", F.col("root.a").alias("r1"), F.col("root.b").alias("r2"), "items")
+    more = _verified(again, percent).select(_pair("k1", "k2").alias("a"), _pair("r1", "r2").alias("b"))
+    out = components(written(links.unionByName(more), "links"), "a", "b")
+    return out.select("node.a", "node.b", F.col("root.a").alias("r1"), F.col("root.b").alias("r2")).toDF("k1", "k2", "r1", "r2")
 
 
 def _judged(docs: DataFrame, size: int, percent: int, digest: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows (doc_id, n, node, gid, digest), the sets' (node, rep) and, of the linked ones, (node, root)."""
+    """The rows (doc_id, digest, n, k1, k2), the sets' (k1, k2, rep, copies) and, of the linked ones, (k1, k2, r1, r2)."""
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), digest.alias("digest"))
     wide = written(_prefixes(texts, size, percent, _counters(texts, size)), "prefixes")
-    rows = written(wide.select("doc_id", "n", "node", "gid", "digest"), "rows")
-    usable = "n > 0 and doc_id is not null"
-    members = written(rows.where(usable).groupBy("gid", "node").agg(F.min("doc_id").alias("rep")), "members")
-    groups = written(wide.where(usable).groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "groups")
-    discard(wide)
-    # shingles that only one group has in its prefix pair nothing
-    held = groups.select("gid", "n", F.explode("prefix").alias("shingle"))
-    several = held.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
-    first = written(_at_shared(held, several), "postings")
-    # a shingle of two groups whose sizes are too far apart pairs nothing either
-    fitting = first.groupBy("shingle").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi")).where((F.col("c") > 2) | (100 * F.col("lo") >= percent * F.col("hi"))).select("shingle")
-    postings = written(_at_shared(first, fitting), "postings")
-    discard(first)
-    sketch = written(groups.select("gid", "n", "parity").join(postings.select("gid").distinct(), "gid", "left_semi"), "sketches")
+    rows = wide.select("doc_id", "digest", "n", "k1", "k2")
+    usable = wide.where("n > 0 and doc_id is not null")
+    nodes = written(usable.groupBy("k1", "k2", "g1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n")), "nodes")
+    # a group of different sets has no sketch: it passes
+    one = (F.min("k1") == F.max("k1")) & (F.min("k2") == F.max("k2"))
+    groups = usable.groupBy("g1", "g2").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), one.alias("one"))
+    groups = written(groups.select("g1", "n", "prefix", F.when(F.col("one"), F.col("sketch")).alias("sketch")), "groups")
+    families = _families(groups, percent)
     discard(groups)
-    mixed = members.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
-
-    possible = _possible(percent)
-    expand = lambda pairs: (
-        pairs.join(members.select(F.col("gid").alias("ga"), F.col("node").alias("a")), "ga").join(members.select(F.col("gid").alias("gb"), F.col("node").alias("b")), "gb").select("a", "b")
-    )
-    met = None
-    for k in range(2):
-        pivots = postings.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("gid", F.lit(k)).alias("h"), "gid", "n")).alias("p")).select("shingle", F.col("p.gid").alias("pivot"), F.col("p.n").alias("of"))
-        near = 100 * F.least("n", "of") >= percent * F.greatest("n", "of")
-        pairs = postings.join(pivots, "shingle").where((F.col("gid") != F.col("pivot")) & near).select(F.least("gid", "pivot").alias("ga"), F.greatest("gid", "pivot").alias("gb"))
-        met = pairs if met is None else met.unionByName(pairs)
-    met = met.distinct().join(sketch.alias("x"), F.col("ga") == F.col("x.gid")).join(sketch.alias("y"), (F.col("gb") == F.col("y.gid")) & possible("x", "y")).select("ga", "gb")
-    inside = members.join(mixed, "gid", "left_semi")
-    inside = inside.alias("m").join(inside.alias("o"), (F.col("m.gid") == F.col("o.gid")) & (F.col("m.node") < F.col("o.node"))).select(F.col("m.node").alias("a"), F.col("o.node").alias("b"))
-    links = _verified(texts, members, expand(met).unionByName(inside), size, percent)
-    roots = components(links, "a", "b")
-
-    # all other pairs: across components only, each at its first common shingle
-    of_group = members.join(roots, "node", "left").groupBy("gid").agg(F.min(F.coalesce("root", "node")).alias("lo"), F.max(F.coalesce("root", "node")).alias("hi"))
-    rooted = written(postings.drop("n").join(of_group, "gid"), "rooted")
-    discard(postings)
-    across = rooted.groupBy("shingle").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("shingle")
-    left = rooted.join(across, "shingle", "left_semi").groupBy("gid").agg(F.sort_array(F.collect_list("shingle")).alias("shared"), F.first(F.when(F.col("lo") == F.col("hi"), F.col("lo"))).alias("root"))
-    whole = left.join(sketch, "gid").withColumn("shingle", F.explode("shared"))
-    common = F.array_intersect("x.shared", "y.shared")
-    prefix = lambda s: F.col(f"{s}.n") - F.ceil(F.col(f"{s}.n") * percent / 100) + 1
-    needed = (100 + percent) * (F.size(common) + F.greatest(F.col("x.n") - prefix("x"), F.col("y.n") - prefix("y"))) >= percent * (F.col("x.n") + F.col("y.n"))
-    apart = F.coalesce(F.col("x.root") != F.col("y.root"), F.lit(True))
-    rest = whole.alias("x").join(
-        whole.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") < F.col("y.gid")) & apart & possible("x", "y") & needed & (F.array_min(common) == F.col("x.shingle"))
-    )
-    more = _verified(texts, members, expand(rest.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))), size, percent)
-    roots = written(components(links.unionByName(more), "a", "b"), "roots")
-
-    return rows, members.groupBy("node").agg(F.min("rep").alias("rep")), roots
+    several = nodes.groupBy("g1").agg(F.count("*").alias("c")).where("c > 1").select(F.col("g1").alias("node"), F.col("g1").alias("root"))
+    families = families.unionByName(several.join(families.select("node"), "node", "left_anti"))
+    members = written(nodes.join(families.withColumnRenamed("node", "g1"), "g1").select(F.col("root").alias("fam"), "k1", "k2", "rep", "n"), "members")
+    sets = written(_sets(texts, members, size), "sets")
+    of_family = members.groupBy("fam").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    large = written(of_family.withColumn("parts", _blocks_of(F.col("m"), F.col("s"))).where("parts > 1").select("fam", "m", "parts"), "large")
+    own = (F.col("k1").alias("r1"), F.col("k2").alias("r2"))
+    small = sets if (n_large := large.count()) == 0 else sets.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "fam", "left_anti")
+    found = _verified(small.select(F.col("fam").alias("tile"), "k1", "k2", *own, "items"), percent)
+    if n_large:
+        found = found.unionByName(_large(sets, large, percent))
+    roots = written(found, "roots")
+    discard(sets)
+    discard(members)
+    return rows, nodes, roots
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -242,11 +342,15 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     component.  Repeated rows are equal sets, and so linked.  An empty table
     gives no rows.  Other columns are not read.
     """
-    rows, reps, roots = _judged(docs, size, percent, F.lit(0).cast("long"))
-    least = reps.join(roots, "node").groupBy("root").agg(F.min("rep").alias("least"))
-    linked = roots.join(least, "root").select("node", "least")
-    known = reps.join(linked, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(known, "node", "left")
+    rows, nodes, roots = _judged(docs, size, percent, F.lit(0).cast("long"))
+    keys = ["k1", "k2"]
+    least = nodes.join(roots, keys).groupBy("r1", "r2").agg(F.min("rep").alias("least"))
+    linked_nodes = roots.join(least, ["r1", "r2"]).select(*keys, "least")
+    # a set of one row that links to nothing is its own component
+    known = nodes.join(linked_nodes, keys, "left").where("copies > 1 or least is not null").select(*keys, F.coalesce("least", "rep").alias("component_id"))
+    known = written(known, "known")
+    named = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("k1"))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), named.alias("k1"), "k2").join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, keys, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -262,16 +366,29 @@ def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     digest = F.xxhash64(F.col("text").cast("string"))
     rows, _, roots = _judged(docs, size, percent, digest)
     ids = rows.where("doc_id is not null")
+    keys = ["k1", "k2"]
     # each set's least row first, then each component's
-    firsts = ids.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first")).join(roots, "node", "left")
-    least = firsts.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("kept"))
-    kept_of = firsts.select("node", F.coalesce("root", "node").alias("root")).join(least, "root").select("node", "kept")
-    gone = written(ids.where("n > 0").join(kept_of, "node").where(F.struct("doc_id", "digest") != F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "gone")
+    firsts = ids.where("n > 0").groupBy(*keys).agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count("*").alias("copies")).join(roots, keys, "left")
+    firsts = firsts.where("copies > 1 or r1 is not null").select(*keys, F.coalesce("r1", "k1").alias("r1"), F.coalesce("r2", "k2").alias("r2"), "first")
+    least = firsts.groupBy("r1", "r2").agg(F.min("first").alias("kept"))
+    kept_of = written(firsts.join(least, ["r1", "r2"]).select(*keys, "kept"), "kept")
+    few = kept_of.count() <= BROADCAST_ROWS
+    copies = ids.where("n > 0").join(F.broadcast(kept_of) if few else kept_of, keys).where(F.struct("doc_id", "digest") != F.col("kept"))
+    gone = written(copies.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "gone")
     few = gone.count() <= BROADCAST_ROWS
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_digest", digest)
-    kept = keyed.join(F.broadcast(gone) if few else gone, ["_id", "_digest"], "left_anti")
+    key = F.struct(F.col("doc_id").cast("long").alias("_id"), digest.alias("_digest"))
+    gone = gone.select(F.struct("_id", "_digest").alias(name := _unused(docs)))
+    kept = docs.withColumn(name, key).join(F.broadcast(gone) if few else gone, name, "left_anti")
     repeated = ids.groupBy("doc_id", "digest").agg(F.count("*").alias("c")).where("c > 1")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
-    once = kept.where("_id is not null").dropDuplicates(["_id", "_digest"])
-    return once.unionByName(kept.where("_id is null")).select(*docs.columns)
+    once = kept.where(F.col(name)["_id"].isNotNull()).dropDuplicates([name])
+    return once.unionByName(kept.where(F.col(name)["_id"].isNull())).select(*docs.columns)
+
+
+def _unused(docs: DataFrame) -> str:
+    """A column name that ``docs`` has not."""
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    return name

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkburst.llm import arrow_text, chat, decontamination, graph, language, ngram_join, packing, privacy, quality, sharding, substrings, suffix_sort, token_counts
+from sparkburst.llm import arrow_text, chat, decontamination, graph, language, near_sets, ngram_join, packing, privacy, quality, sharding, substrings, suffix_sort, token_counts
 from sparkburst.llm.columns import running_sum
 from sparkburst.llm.packing import token_ids
 
@@ -106,6 +106,49 @@ def test_ngram_join_beyond_broadcasts(spark, docs, monkeypatch):
     assert sorted(map(key, got)) == sorted(map(key, brute.components(docs, 5, 80)))
 
 
+def test_ngram_join_in_parts(spark, docs, monkeypatch):
+    """Frequent shingles and large families are shared by several tasks."""
+    for name, value in (("POSTINGS_IN_BLOCK", 3), ("SETS_IN_BLOCK", 4), ("HUBS", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    got = ngram_join.join(frame(spark, docs), 2, 50).collect()
+    assert sorted(map(key, got)) == sorted(map(key, brute.components(docs, 2, 50)))
+
+
+def near_family(n: int, seed: int = 9) -> list[np.ndarray]:
+    """Sets of 100 of which a pair shares some 87 to 93: about the threshold of 0.8."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+    out = []
+    for _ in range(n):
+        s = base.copy()
+        k = rng.integers(2, 9)
+        s[rng.choice(100, k, replace=False)] = rng.integers(0, 1 << 63, k).astype(np.uint64)
+        out.append(np.unique(s))
+    return out
+
+
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_linked_sets(percent):
+    sets = near_family(120) + near_family(60, 10)
+    labels = near_sets.linked(sets, np.arange(len(sets)), percent)
+    joined = near_sets.Union(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                joined.union(i, j)
+    want = [joined.find(i) for i in range(len(sets))]
+    assert all((labels[i] == labels[j]) == (want[i] == want[j]) for i in range(len(sets)) for j in range(i))
+
+
+@pytest.mark.parametrize("n", [5, 200, 400])
+def test_pairs_of_a_family_stay_fewer_than_its_members(n):
+    sets = near_family(n)
+    rows = near_sets.Postings(np.arange(n), np.array([len(s) for s in sets]), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), [near_sets.sketch(s) for s in sets], 80)
+    a, b = near_sets.forest(np.zeros(n, dtype=np.int64), rows)
+    assert 0 < len(a) == len(b) < n
+
+
 def test_ngram_join_edges(spark):
     assert ngram_join.join(frame(spark, [])).count() == 0
     kept = ngram_join.representatives(frame(spark, [(1, "a b c"), (2, "a b c"), (1, "a b c"), (None, "a b c"), (3, None)]))
