@@ -2,9 +2,15 @@
 
 A text is the mean of the embeddings of its hashed 3- and 4-byte subwords; a
 linear softmax gives the language.  Embeddings and weights are trained in numpy
-by stochastic gradient descent on a bounded sample of labelled rows, a
-temperature and a rejection threshold are fitted on a held-back part of the
-sample.  Prediction reads every whole text.
+by stochastic gradient descent on a bounded sample of labelled rows; a
+temperature is fitted on a held-back part of the sample.  Prediction reads every
+whole text.
+
+Rejection is calibrated by leaving out each language in turn: a model of the
+others scores the left-out language's texts, which it must refuse, and the
+held-back texts of its own languages, which it must not.  The threshold lies
+midway between what nearly all of the former reach and nearly all of the latter
+exceed; where these overlap, the latter decide.
 """
 
 from __future__ import annotations
@@ -19,11 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import chunks
-from .tables import small_batches
+from .tables import small_batches, unused
 
 UNKNOWN = "und"
 #: Rows the model is fitted on, for each language, on average.
 SAMPLE_PER_LANGUAGE = 400
+#: Languages of a model at most; more labels than this are refused, not sampled.
+MOST_LANGUAGES = 500
 BUCKETS = 1 << 15
 _CHUNK = 1 << 18
 
@@ -61,17 +69,18 @@ def subwords(data: np.ndarray, buckets: int = BUCKETS) -> list[np.ndarray]:
 
 
 def _bags(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """(lang, draw, ids, counts) of the sampled rows' subwords: at most ``buckets`` each."""
+    """(lang, draw, mark, ids, counts) of the sampled rows' subwords: at most ``buckets`` each."""
     for batch in batches:
         ids, counts = [], []
-        for lo, hi, data, offsets in chunks(_padded(batch.column(2)), _CHUNK):
+        for lo, hi, data, offsets in chunks(_padded(batch.column(3)), _CHUNK):
             found = subwords(data, buckets)
             for d in range(hi - lo):
                 got = np.concatenate([h[offsets[d] : min(offsets[d + 1], len(h))] for h in found])
                 u, c = np.unique(got[got < buckets], return_counts=True)
                 ids.append(u.astype(np.int32))
                 counts.append(c.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["lang", "draw", "ids", "counts"])
+        lists = [pa.array(x, pa.list_(pa.int32())) for x in (ids, counts)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=["lang", "draw", "mark", "ids", "counts"])
 
 
 @dataclass
@@ -108,15 +117,13 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int = BUCKETS, width: int = 16, epochs: int = 6, rate: float = 0.2, false_reject: float = 0.002, seed: int = 7) -> Model:
-    """A model from (language, bucket ids, counts) of labelled texts; every fifth row only calibrates."""
-    languages = sorted({lang for lang, ids, _ in rows if len(ids)})
-    draw = np.random.default_rng(seed)
+Bag = tuple[int, np.ndarray, np.ndarray]
+
+
+def _descend(train: list[Bag], n: int, buckets: int, width: int, epochs: int, rate: float, draw: np.random.Generator) -> np.ndarray:
+    """The logits of each bucket, and a last row of zeros, from (language, bucket ids, shares)."""
     vectors = draw.normal(0, 0.1, (buckets, width)).astype(np.float32)
-    weights = draw.normal(0, 0.1, (width, max(1, len(languages)))).astype(np.float32)
-    known = [(languages.index(lang), ids, (c / c.sum()).astype(np.float32)) for lang, ids, c in rows if len(ids)]
-    held = [x for i, x in enumerate(known) if i % 5 == 4]
-    train = [x for i, x in enumerate(known) if i % 5 != 4]
+    weights = draw.normal(0, 0.1, (width, max(1, n))).astype(np.float32)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in draw.permutation(len(train)):
@@ -127,18 +134,54 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int = BUCKETS,
             back = weights @ error
             weights -= step * np.outer(hidden, error)
             vectors[ids] -= (step * len(ids) ** 0.5) * np.outer(share, back)
-    model = Model(languages, np.vstack((vectors @ weights, np.zeros((1, weights.shape[1]), dtype=np.float32))))
-    held = held or train
-    if held:
-        logits = np.array([share @ model.table[ids] for _, ids, share in held])
-        truth = np.array([y for y, _, _ in held])
-        grid = np.geomspace(0.1, 10, 60)
-        loss = np.array([-np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid])
-        # where languages part cleanly every sharpness fits; the mildest of those is kept
-        model.temperature = float(grid[np.flatnonzero(loss <= loss.min() + 0.002)[-1]])
-        p = softmax(logits / model.temperature)
-        right = p.max(axis=1)[p.argmax(axis=1) == truth]
-        model.threshold = float(min(0.4, np.quantile(right, false_reject))) if len(right) else 0.0
+    return np.vstack((vectors @ weights, np.zeros((1, weights.shape[1]), dtype=np.float32)))
+
+
+def _logits(bags: list[Bag], table: np.ndarray) -> np.ndarray:
+    return np.array([share @ table[ids] for _, ids, share in bags]).reshape(len(bags), table.shape[1])
+
+
+def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
+    """Where languages part cleanly every sharpness fits; the mildest of those is kept."""
+    grid = np.geomspace(0.1, 10, 60)
+    loss = np.array([-np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid])
+    return float(grid[np.flatnonzero(loss <= loss.min() + 0.002)[-1]])
+
+
+def _sureness(logits: np.ndarray, temperature: float) -> np.ndarray:
+    return softmax(logits / temperature).max(axis=1) if len(logits) else np.zeros(0)
+
+
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int = BUCKETS, width: int = 16, epochs: int = 6, rate: float = 0.2, false_reject: float = 0.002, refused: float = 0.95, seed: int = 7) -> Model:
+    """A model from (language, bucket ids, counts) of labelled texts; every fifth row only calibrates.
+
+    The threshold refuses ``refused`` of the texts of a language left out, but no
+    more than ``false_reject`` of the others' texts that are rightly told apart.
+    """
+    languages = sorted({lang for lang, ids, _ in rows if len(ids)})
+    draw = np.random.default_rng(seed)
+    known = [(languages.index(lang), ids, (c / c.sum()).astype(np.float32)) for lang, ids, c in rows if len(ids)]
+    train = [x for i, x in enumerate(known) if i % 5 != 4]
+    held = [x for i, x in enumerate(known) if i % 5 == 4] or train
+    model = Model(languages, _descend(train, len(languages), buckets, width, epochs, rate, draw))
+    if not held:
+        return model
+    truth = np.array([y for y, _, _ in held])
+    logits = _logits(held, model.table)
+    model.temperature = _temperature(logits, truth)
+    right = _sureness(logits, model.temperature)[logits.argmax(axis=1) == truth]
+    outside = []
+    for out in range(len(languages)) if len(languages) > 2 else ():
+        others = [(y - (y > out), ids, share) for y, ids, share in train if y != out]
+        table = _descend(others, len(languages) - 1, buckets, width, epochs, rate, draw)
+        own = [(y - (y > out), ids, share) for y, ids, share in held if y != out]
+        if own:
+            cold = _temperature(_logits(own, table), np.array([y for y, _, _ in own]))
+            outside.append(_sureness(_logits([x for x in held if x[0] == out], table), cold))
+    if len(right):
+        most = float(np.quantile(right, false_reject))
+        least = float(np.quantile(np.concatenate(outside), refused)) if sum(map(len, outside)) else most
+        model.threshold = (least + most) / 2 if least < most else most
     return model
 
 
@@ -152,37 +195,32 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, buckets: int
 
     About ``per_language`` labelled rows of each language are drawn by a digest
     of their ids, all rows of a language that has fewer.  Only their subword
-    counts, ``buckets`` a row at most, reach the driver.
+    counts, ``buckets`` a row at most, reach the driver, as arrays.  A table
+    with more than ``MOST_LANGUAGES`` labels is an error.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return fit([], buckets)
+    lang = F.col("lang").cast("string")
     draw = F.xxhash64(F.col("doc_id"), F.lit(11)).bitwiseAND(F.lit((1 << 40) - 1)).cast("long")
-    wanted = None
-    for lang, n in sorted(sizes.items()):
-        share = min(1.0, per_language / n)
-        mine = (F.col("lang") == lang) & (F.col("draw") < int(share * (1 << 40)))
-        wanted = mine if wanted is None else wanted | mine
-    sample = labelled.select(F.col("lang").cast("string").alias("lang"), draw.alias("draw"), F.col("text").cast("string").alias("text")).where(wanted)
-    bags = small_batches(sample).mapInArrow(lambda it: _bags(it, buckets), "lang string, draw long, ids array<int>, counts array<int>").toArrow().to_pylist()
-    bags.sort(key=lambda r: (r["draw"], r["lang"], r["ids"]))
-    return fit([(r["lang"], np.array(r["ids"], dtype=np.int64), np.array(r["counts"], dtype=np.float64)) for r in bags], buckets)
-
-
-def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected, their names after ``prefix``.
-
-    A null text, or one without a letter, is ``und`` with score 0 and rejected;
-    so is every text if the model knows no language.  Otherwise lang_pred is the
-    likeliest language, score its calibrated probability, and rejected whether
-    that is under the model's threshold.  Columns of ``docs`` that have these
-    names are replaced.  Null and repeated ids change nothing; an empty table
-    gives an empty table.
-    """
+    rows = labelled.select(lang.alias("lang"), draw.alias("draw"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
+    shares = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share")).limit(MOST_LANGUAGES + 1).collect()
+    if len(shares) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different labels in lang")
+    if not shares:
+        return fit([], buckets)
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    sample = rows.join(F.broadcast(shares), "lang").where(F.col("draw") < F.col("share") * (1 << 40)).select("lang", "draw", "mark", "text")
+    bags = small_batches(sample).mapInArrow(lambda it: _bags(it, buckets), "lang string, draw long, mark long, ids array<int>, counts array<int>").toArrow().combine_chunks()
+    names = bags.column("lang").to_pylist()
+    order = np.lexsort((bags.column("mark").to_numpy(), names, bags.column("draw").to_numpy())) if names else ()
+    lists = [bags.column(c).combine_chunks() for c in ("ids", "counts")]
+    flat, ends = [x.flatten().to_numpy() for x in lists], lists[0].offsets.to_numpy()
+    at = lambda i: slice(ends[i] - ends[0], ends[i + 1] - ends[0])
+    return fit([(names[i], flat[0][at(i)].astype(np.int64), flat[1][at(i)].astype(np.float64)) for i in order], buckets)
+
+
+def _judge(docs: DataFrame, model: Model) -> Column:
+    """lang_pred, score and rejected of ``docs``' texts, in a struct."""
     shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
-    new = [f"{prefix}{n}" for n in ("lang_pred", "score", "rejected")]
-    kept = docs.drop(*new)
 
     @F.arrow_udf("lang_pred string, score double, rejected boolean")
     def judge(text: pa.Array) -> pa.Array:
@@ -197,5 +235,25 @@ def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
         refused = ((names == UNKNOWN) | (score < m.threshold)).astype(bool)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(refused)], names=["lang_pred", "score", "rejected"])
 
-    judged = kept.withColumn(f"{prefix}judged", judge(F.col("text").cast("string")))
-    return judged.select(*kept.columns, *[F.col(f"{prefix}judged.{n.removeprefix(prefix)}").alias(n) for n in new])
+    return judge(F.col("text").cast("string"))
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with lang_pred, score and rejected.
+
+    A null text, or one without a letter, is ``und`` with score 0 and rejected;
+    so is every text if the model knows no language.  Otherwise lang_pred is the
+    likeliest language, score its calibrated probability, and rejected whether
+    that is under the model's threshold.  Columns of ``docs`` that have these
+    three names are replaced, all others stay.  Null and repeated ids change
+    nothing; an empty table gives an empty table.
+    """
+    new = ("lang_pred", "score", "rejected")
+    kept = [c for c in docs.columns if c not in new]
+    name = unused(docs, "judged")
+    return docs.withColumn(name, _judge(docs, model)).select(*kept, *[F.col(name)[n].alias(n) for n in new])
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``identify`` does not reject."""
+    return docs.where(~_judge(docs, model)["rejected"])

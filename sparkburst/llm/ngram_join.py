@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .arrow_text import ASCII_LOWER, chunks, mix, shingle_hashes, span_hashes, word_bounds
 from .graph import components
 from .near_sets import Postings, forest, linked, sketch
-from .tables import discard, small_batches, written
+from .tables import discard, small_batches, unused, written
 
 #: Counters of the global order, in blocks that are summed apart.
 COUNTERS = 1 << 20
@@ -377,7 +377,7 @@ def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     gone = written(copies.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "gone")
     few = gone.count() <= BROADCAST_ROWS
     key = F.struct(F.col("doc_id").cast("long").alias("_id"), digest.alias("_digest"))
-    gone = gone.select(F.struct("_id", "_digest").alias(name := _unused(docs)))
+    gone = gone.select(F.struct("_id", "_digest").alias(name := unused(docs, "_key")))
     kept = docs.withColumn(name, key).join(F.broadcast(gone) if few else gone, name, "left_anti")
     repeated = ids.groupBy("doc_id", "digest").agg(F.count("*").alias("c")).where("c > 1")
     if repeated.isEmpty():
@@ -385,10 +385,3 @@ def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     once = kept.where(F.col(name)["_id"].isNotNull()).dropDuplicates([name])
     return once.unionByName(kept.where(F.col(name)["_id"].isNull())).select(*docs.columns)
 
-
-def _unused(docs: DataFrame) -> str:
-    """A column name that ``docs`` has not."""
-    name = "_key"
-    while name in docs.columns:
-        name += "_"
-    return name

@@ -1,12 +1,16 @@
 """Information-theoretic sanitisation of personal data.
 
-Base patterns find e-mail and IP addresses, card and phone numbers; each value is
-a protected entity.  Over the whole corpus, co-occurrence of an entity with the
-terms around it estimates how strongly a term reveals it: the pointwise mutual
+Base patterns find e-mail and IP addresses, card and phone numbers.  Protected
+entities are each value and its class (an address's domain, the first half of an
+IP, the first digits of a card or phone number), so that a value met once is
+covered too.  Over the whole corpus, co-occurrence of an entity with the terms
+around it estimates how strongly a term reveals it: the pointwise mutual
 information PMI(entity; term), against the entity's information IC(entity) =
--log2 p(entity).  A term whose PMI exceeds the disclosure threshold's share of
-IC is removed from the documents that hold the entity, just as the entity is
-generalised to its kind.
+-log2 p(entity).  Counts of a term are raised by one document, so that a few
+chance meetings weigh less.  A term whose PMI exceeds the disclosure threshold's
+share of IC goes from the documents that hold the entity, just as the entity
+itself: it is generalised to its initial where that reveals little enough, and
+removed where even its initial does not.
 
 Everything here is built of Spark's own column functions.
 """
@@ -31,14 +35,15 @@ PATTERNS = {
 LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
 #: Words on each side of an entity that count as its context.
 CONTEXT = 8
-#: Least number of different contexts in which an entity and a term meet.
-SUPPORT = 3
 #: Share of the entity's information that a term may reveal.
 DISCLOSURE = 0.85
-TERM = r"[\p{L}][\p{L}\p{M}\p{N}_'-]{3,}"
+TERM = r"\p{L}[\p{L}\p{M}\p{N}_'-]+"
+#: What marks the initial of terms among terms.
+_INITIAL = "\x03"
 
 _OPEN, _CLOSE = "\x01", "\x02"
 _SPAN = "array<struct<start:int,rank:int,end:int,entity:string,context:array<string>>>"
+_TERM_SPAN = "array<struct<start:int,rank:int,end:int,label:string>>"
 
 
 def _digits(match: Column) -> Column:
@@ -108,51 +113,75 @@ def _terms(ws: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda w: F.rlike(w, F.lit(f"^{TERM}$"))))
 
 
+def _classes(entity: Column) -> Column:
+    """An entity and its class, the latter marked by a star; both protected."""
+    value = F.substring(entity, F.instr(entity, ":") + 1, F.char_length(entity))
+    group = (
+        F.when(F.startswith(entity, F.lit("email:")), F.substring_index(value, "@", -1))
+        .when(F.startswith(entity, F.lit("ip:")), F.substring_index(value, ".", 2))
+        .when(F.startswith(entity, F.lit("card:")), F.substring(value, 1, 6))
+        .otherwise(F.substring(value, 1, 4))
+    )
+    return F.array(entity, F.concat(F.substring_index(entity, ":", 1), F.lit("*"), group))
+
+
+def _plain(text: Column) -> Column:
+    """A text without the two marker characters; null is empty."""
+    return F.replace(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit(_OPEN), F.lit(_INITIAL)), F.lit(_CLOSE), F.lit(_INITIAL))
+
+
 def locate(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a number for each row, and ``_spans``, the base patterns' spans, in a written table.
+    """``doc``, the row of ``docs`` as a struct, its number ``row``, and ``spans``, what the base patterns find.
 
-    Every column of ``docs`` is kept.  Later steps join on ``_row``, so ids may be null or repeated.
+    Names of ``docs`` cannot clash with these.  Later steps join on ``row``, so ids may be null or repeated.
     """
-    plain = F.replace(F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_OPEN), F.lit("\x03")), F.lit(_CLOSE), F.lit("\x03"))
-    spanned = docs.withColumn("_plain", plain)
+    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).withColumn("plain", _plain(F.col("doc")["text"]))
     for kind in KINDS[:-1]:
-        spanned = spanned.withColumn(f"_{kind}", _found(F.col("_plain"), kind))
-    spans = F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS[:-1]]))
-    return spanned.select(*docs.columns, F.monotonically_increasing_id().alias("_row"), spans.alias("_spans"))
+        nested = nested.withColumn(kind, _found(F.col("plain"), kind))
+    return nested.select("doc", F.monotonically_increasing_id().alias("row"), F.array_sort(F.concat(*KINDS[:-1])).alias("spans"))
+
+
+def _initial(term: Column) -> Column:
+    return F.concat(F.lit(_INITIAL), F.substring(term, 1, 1))
 
 
-def disclosing(located: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """(entity, term) pairs over the threshold; None if no pair has the support.
+def disclosing(located: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """(entity, term, mild) of the terms over the threshold, ``mild`` if their initial is under it; None if there is no such term.
 
-    p(entity), p(term) and p(entity, term) are shares of the documents.  The same
-    context in copies of a document is one context.
+    p(entity), p(term) and p(entity, term) are shares of the documents, those of
+    terms from all ``texts`` (one column, text).
     """
-    seen = located.where(F.size("_spans") > 0).select("_row", F.explode("_spans").alias("s"))
-    seen = seen.select("_row", F.col("s.entity").alias("entity"), F.xxhash64("s.context").alias("context"), _terms(F.col("s.context")).alias("terms"))
-    met = seen.select("_row", "entity", "context", F.explode("terms").alias("term"))
-    # distinct first: each context counts once, however many copies of it there are
-    contexts = met.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    together = met.join(contexts.select("entity", "term"), ["entity", "term"]).select("entity", "term", "_row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    of_entity = seen.select("entity", "_row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    of_context = met.select("term", "_row").distinct().groupBy("term").agg(F.count("*").alias("n_seen"))
+    seen = located.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s"))
+    seen = seen.select("row", F.explode(_classes(F.col("s.entity"))).alias("entity"), _terms(F.col("s.context")).alias("terms"))
+    of_entity = seen.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    met = seen.select("row", "entity", F.explode("terms").alias("term")).distinct()
+    together = met.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    near = met.select("term", "row").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     n = F.lit(float(max(1, located.count())))
 
-    def over(n_term: str) -> Column:
-        pmi = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.greatest(F.col(n_term), F.col("n_both"))))
-        return (pmi >= DISCLOSURE * F.log2(n / F.col("n_entity"))) & (n > F.col("n_entity"))
+    def share(n_both: Column, n_term: Column) -> Column:
+        """Of the entity's information, what the term reveals."""
+        return F.log2(n_both * n / (F.col("n_entity") * (n_term + 1))) / F.log2(n / F.col("n_entity"))
 
     # a term stands in as many documents as it does near entities at least: what is too common there is out
-    supported = written(together.join(of_entity, "entity").join(of_context, "term").where(over("n_seen")), "supported")
-    if supported.isEmpty():
+    likely = together.join(of_entity, "entity").join(near, "term").where((n > F.col("n_entity")) & (share(F.col("n_both"), F.col("n_near")) >= DISCLOSURE))
+    likely = written(likely.select("entity", "term", "n_entity", "n_both", "n_near"), "likely")
+    if likely.isEmpty():
         return None
-    candidates = supported.select("term").distinct()
-    held = docs.select(F.explode(_terms(words(F.coalesce(F.col("text").cast("string"), F.lit(""))))).alias("term"))
-    of_term = held.join(candidates, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    return supported.join(of_term, "term").where(over("n_term")).select("entity", "term")
-
-
-def _term_spans(text: Column, terms: Column) -> Column:
-    """Where the given terms stand in ``text`` as whole words, in any case."""
+    # counted before they meet the candidates: frequent terms cost one row a task
+    terms = _terms(words(_plain(F.col("text"))))
+    counted = texts.select(F.explode(F.concat(terms, F.array_distinct(F.transform(terms, _initial)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    wanted = likely.select(F.explode(F.array("term", _initial(F.col("term")))).alias("term")).distinct()
+    counted = written(counted.join(wanted, "term", "left_semi"), "terms")
+    judged = likely.join(counted, "term", "left").withColumn("n_term", F.greatest("n_near", "n_term"))
+    judged = judged.where(share(F.col("n_both"), F.col("n_term")) >= DISCLOSURE).withColumn("initial", _initial(F.col("term")))
+    initials = counted.where(F.startswith("term", F.lit(_INITIAL))).select(F.col("term").alias("initial"), F.col("n_term").alias("n_initial"))
+    mild = share(F.col("n_entity"), F.coalesce("n_initial", F.lit(0))) < DISCLOSURE
+    return judged.join(initials, "initial", "left").select("entity", "term", mild.alias("mild"))
+
+
+def _term_spans(text: Column, terms: Column, mild: Column) -> Column:
+    """Where the given terms stand in ``text`` as whole words, in any case; ``mild`` are those that keep their initial."""
     alternatives = F.array_join(F.transform(terms, lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}_'-])(?:"), alternatives, F.lit(r")(?![\p{L}\p{M}\p{N}_'-])"))
     parts = F.split(F.regexp_replace(text, pattern, F.lit(f"{_OPEN}$0{_CLOSE}")), _OPEN)
@@ -162,36 +191,49 @@ def _term_spans(text: Column, terms: Column) -> Column:
 
         def span(ends: Column, i: Column) -> Column:
             start = F.get(ends, i - 1).cast("int")
-            size = F.char_length(F.substring_index(F.get(ps, i), _CLOSE, 1))
-            return F.struct(start.alias("start"), F.lit(len(KINDS) - 1).alias("rank"), (start + size).cast("int").alias("end"), F.lit("term").alias("entity"), F.array().cast("array<string>").alias("context"))
+            term = F.substring_index(F.get(ps, i), _CLOSE, 1)
+            label = F.when(F.array_contains(mild, F.lower(term)), F.concat(F.substring(term, 1, 1), F.lit("."))).otherwise(F.lit(LABELS["term"]))
+            return F.struct(start.alias("start"), F.lit(len(KINDS) - 1).alias("rank"), (start + F.char_length(term)).cast("int").alias("end"), label.alias("label"))
 
         every = let(running_sum(lengths), lambda e: F.transform(F.sequence(F.lit(1), F.size(ps) - 1), lambda i: span(e, i)))
-        return F.when(F.size(ps) > 1, every).otherwise(F.array().cast(_SPAN))
+        return F.when(F.size(ps) > 1, every).otherwise(F.array().cast(_TERM_SPAN))
 
     return let(parts, spans)
 
 
-def find(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``_spans``: every base span and every disclosing term's, by start and kind.
-
-    A null or empty text has no spans.  Rows with null or repeated ids are rows
-    like any other.  An empty table gives an empty table.  Columns of ``docs``
-    that are named as the helper columns ``_row``, ``_spans`` and ``_plain`` are replaced.
-    """
-    docs = docs.drop("_row", "_spans", "_plain", *[f"_{k}" for k in KINDS])
+def _judged(docs: DataFrame, keep_text: bool) -> DataFrame:
+    """``doc``, the row as a struct, and ``spans`` (start, rank, end, label): base ones and, outside them, disclosing terms."""
     located = locate(docs)
     if not keep_text:
-        located = located.withColumn("text", F.when(F.size("_spans") > 0, F.col("text")))
+        located = located.withColumn("doc", F.when(F.size("spans") > 0, F.col("doc")).otherwise(F.col("doc").withField("text", F.lit(None).cast("string"))))
     located = written(located, "located")
-    pairs = disclosing(located, docs)
+    labels = F.array(*[F.lit(LABELS[k]) for k in KINDS])
+    base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.get(labels, s["rank"]).alias("label")))
+    pairs = disclosing(located, docs.select(F.col("text").cast("string").alias("text")))
     if pairs is None:
-        return located.drop("_row")
-    holders = located.where(F.size("_spans") > 0).select("_row", F.explode(F.array_distinct(F.transform("_spans", lambda s: s["entity"]))).alias("entity"))
-    per_row = holders.join(pairs, "entity").groupBy("_row").agg(F.sort_array(F.collect_set("term")).alias("_terms"))
-    plain = F.replace(F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_OPEN), F.lit("\x03")), F.lit(_CLOSE), F.lit("\x03"))
-    more = F.when(F.col("_terms").isNull(), F.array().cast(_SPAN)).otherwise(_term_spans(plain, F.col("_terms")))
-    joined = located.join(per_row, "_row", "left")
-    return joined.withColumn("_spans", F.array_sort(F.concat("_spans", more))).drop("_row", "_terms")
+        return located.select("doc", base.alias("spans"))
+    entities = F.array_distinct(F.flatten(F.transform("spans", lambda s: _classes(s["entity"]))))
+    holders = located.where(F.size("spans") > 0).select("row", F.explode(entities).alias("entity"))
+    # a term that keeps its initial for one entity and not for another loses it
+    of_row = holders.join(pairs, "entity").groupBy("row", "term").agg(F.min("mild").alias("mild"))
+    of_row = of_row.groupBy("row").agg(F.sort_array(F.collect_list("term")).alias("terms"), F.collect_list(F.when(F.col("mild"), F.col("term"))).alias("mild"))
+    joined = located.withColumn("spans", base).join(of_row, "row", "left")
+    apart = lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+    more = F.when(F.col("terms").isNull(), F.array().cast(_TERM_SPAN)).otherwise(F.filter(_term_spans(_plain(F.col("doc")["text"]), F.col("terms"), F.col("mild")), apart))
+    return joined.select("doc", F.array_sort(F.concat("spans", more)).alias("spans"))
+
+
+def find(docs: DataFrame, into: str = "spans", keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``into``: an array of (start, rank, end, label), every base span and every disclosing term, by start and kind.
+
+    A null or empty text has no spans.  Rows with null or repeated ids are rows
+    like any other, and each counts as a document.  Spans of one start stand in
+    the order of kinds.  An empty table gives an empty table.  A column of
+    ``docs`` that is named ``into`` is replaced; all others stay, whatever their
+    names.  Without ``keep_text`` the texts of rows without spans become null.
+    """
+    kept = [c for c in docs.columns if c != into]
+    return _judged(docs, keep_text).select(*[F.col("doc")[c].alias(c) for c in kept], F.col("spans").alias(into))
 
 
 def listed(spans: Column) -> Column:
@@ -200,30 +242,30 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def count_of(kind: str) -> Column:
+def count_of(spans: Column, kind: str) -> Column:
     rank = KINDS.index(kind)
-    return F.size(F.filter("_spans", lambda s: s["rank"] == rank)).cast("long")
+    return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
 
 
-def base_spans() -> Column:
-    return F.filter("_spans", lambda s: s["rank"] < len(KINDS) - 1)
+def base_spans(spans: Column) -> Column:
+    return F.filter(spans, lambda s: s["rank"] < len(KINDS) - 1)
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind's label; texts without one stay as they are."""
-    columns = docs.columns
-    labels = F.array(*[F.lit(LABELS[k]) for k in KINDS])
+def _redacted(text: Column, spans: Column) -> Column:
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def redacted(text: Column, spans: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    def step(s: Column, x: Column) -> Column:
+        more = F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), x["label"]))
+        return F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), more.alias("out"))).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out")))
 
-        def step(s: Column, x: Column) -> Column:
-            more = F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.get(labels, x["rank"])))
-            return F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), more.alias("out"))).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out")))
+    end = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.char_length(text)))
+    return F.aggregate(spans, start, step, end)
 
-        end = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.char_length(text)))
-        return F.aggregate(spans, start, step, end)
 
-    found = find(docs)
-    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans")))
-    return found.withColumn("text", text).select(*columns)
+def sanitise(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span in ``text`` replaced by its label; texts without one stay as they are.
+
+    Of spans that overlap the first is replaced and the rest of the others goes with it.
+    """
+    text = F.when(F.size("spans") == 0, F.col("doc")["text"]).otherwise(_redacted(F.col("doc")["text"], F.col("spans")))
+    return _judged(docs, True).select(*[(text if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -52,11 +52,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = privacy.find(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    spans = F.col("spans")
     return out.select(
         "doc_id",
-        *[privacy.count_of(k).alias(f"n_{k}") for k in privacy.KINDS[:-1]],
-        F.sha2(privacy.listed(privacy.base_spans()).cast("binary"), 256).alias("base_sha256"),
-        privacy.listed(F.col("_spans")).alias("spans"),
+        *[privacy.count_of(spans, k).alias(f"n_{k}") for k in privacy.KINDS[:-1]],
+        F.sha2(privacy.listed(privacy.base_spans(spans)).cast("binary"), 256).alias("base_sha256"),
+        privacy.listed(spans).alias("spans"),
     )
 
 

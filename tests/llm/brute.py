@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
+import regex
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -122,3 +125,57 @@ def tokens(text: str | None, pieces: dict[bytes, int], longest: int = 256) -> tu
         for k in range(0, len(w), longest):
             total, pre = total + best(w[k : k + longest]), pre + 1
     return pre + len(b) - at, total + len(b) - at
+
+
+def disclosed(texts: list[str | None], share: float = 0.85, context: int = 8) -> list[str]:
+    """All spans of each text with the terms that disclose an entity, by plain counts over the rows."""
+    plain = [(t or "").replace("\x01", "\x03").replace("\x02", "\x03") for t in texts]
+    term = regex.compile(r"\p{L}[\p{L}\p{M}\p{N}_'-]+")
+
+    def terms(ws: list[str]) -> set[str]:
+        bare = (regex.sub(r"^[^\p{L}]+|[^\p{L}\p{M}\p{N}]+$", "", w).lower() for w in ws)
+        return {w for w in bare if term.fullmatch(w)}
+
+    def items(kind: str, m: str) -> tuple[str, str]:
+        digits = re.sub("[^0-9]", "", m)
+        value = {"email": m.lower(), "ip": m}.get(kind, digits)
+        return f"{kind}:{value}", f"{kind}*" + {"email": value.split("@")[-1], "ip": ".".join(value.split(".")[:2]), "card": value[:6], "phone": value[:4]}[kind]
+
+    holds: list[dict[str, set]] = []
+    for t in plain:
+        good = set(personal(t).split(","))
+        mine: dict[str, set] = defaultdict(set)
+        for kind, pattern in PII.items():
+            found = list(re.finditer(pattern, t))
+            for i, m in enumerate(found):
+                if f"{kind}:{m.start()}:{m.end()}" in good:
+                    before = re.split(r"[\x20\x09-\x0D]+", t[found[i - 1].end() if i else 0 : m.start()].rstrip(" "))[-context:]
+                    after = re.split(r"[\x20\x09-\x0D]+", t[m.end() : found[i + 1].start() if i + 1 < len(found) else len(t)].lstrip(" "))[:context]
+                    for item in items(kind, m[0]):
+                        mine[item] |= terms(before) | terms(after)
+        holds.append(mine)
+    n = len(texts)
+    n_entity = Counter(e for mine in holds for e in mine)
+    n_both = Counter((e, t) for mine in holds for e, ts in mine.items() for t in ts)
+    n_near = Counter(t for mine in holds for t in set().union(*mine.values()))
+    said = [terms(WORD.findall(t)) for t in plain]
+    n_term = Counter(t for ts in said for t in ts)
+    n_initial = Counter(c for ts in said for c in {t[0] for t in ts})
+    log = lambda both, of, e: math.log2(both * n / (n_entity[e] * (of + 1))) / math.log2(n / n_entity[e])
+    over = {}
+    for (e, t), both in n_both.items():
+        if n > n_entity[e] and log(both, max(n_near[t], n_term[t]), e) >= share:
+            over[e, t] = log(n_entity[e], n_initial[t[0]], e) < share
+    out = []
+    for t, mine in zip(plain, holds, strict=True):
+        base = [x for x in personal(t).split(",") if x]
+        gone = {w for e, w in over if e in mine}
+        taken = [tuple(map(int, x.split(":")[1:])) for x in base]
+        if gone:
+            pattern = r"(?i)(?<![\p{L}\p{M}\p{N}_'-])(?:" + "|".join(map(regex.escape, sorted(gone))) + r")(?![\p{L}\p{M}\p{N}_'-])"
+            for m in regex.finditer(pattern, t):
+                if all(m.end() <= a or m.start() >= b for a, b in taken):
+                    base.append(f"term:{m.start()}:{m.end()}")
+        kinds = [*PII, "term"]
+        out.append(",".join(sorted(base, key=lambda x: (int(x.split(":")[1]), kinds.index(x.split(":")[0])))))
+    return out

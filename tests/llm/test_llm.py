@@ -199,22 +199,66 @@ PII_TEXTS = [
 ]
 
 
+def spans_of(spark, docs):
+    return [(r["doc_id"], r["s"]) for r in privacy.find(frame(spark, docs)).select("doc_id", privacy.listed(F.col("spans")).alias("s")).collect()]
+
+
 def test_privacy(spark):
     docs = list(enumerate(PII_TEXTS)) + [(None, PII_TEXTS[0]), (0, PII_TEXTS[0])]
-    out = privacy.find(frame(spark, docs)).select("doc_id", privacy.listed(privacy.base_spans()).alias("s"))
-    assert sorted(map(key, out.collect())) == sorted(key((i, brute.personal(t))) for i, t in docs)
+    out = privacy.find(frame(spark, docs)).select("doc_id", privacy.listed(privacy.base_spans(F.col("spans"))).alias("s"))
+    assert sorted(map(key, out.collect())) == sorted(map(key, [(i, brute.personal(t)) for i, t in docs]))
     assert privacy.find(frame(spark, [])).count() == 0
+    clash = spark.createDataFrame([(1, "x@y.zz", "a", "b", "c", "d", "e")], "doc_id long, text string, row string, spans string, plain string, doc string, email string")
+    clean = privacy.sanitise(clash)
+    assert clean.columns == clash.columns and tuple(clean.first()) == (1, "<EMAIL>", "a", "b", "c", "d", "e")
+    assert privacy.find(clash).first()["row"] == "a" and len(privacy.find(clash).first()["spans"]) == 1
+
+
+def people(seed: int = 4, n: int = 300) -> list[tuple]:
+    """Texts of common words; some hold an address beside a name that stands in few others."""
+    r = random.Random(seed)
+    common = [f"{a}{b}" for a in "ba ko mi tu se la".split() for b in "ran tol mek sif".split()]
+    docs = []
+    for i in range(n):
+        w = [r.choice(common) for _ in range(r.randrange(5, 60))]
+        if i % 9 == 0:
+            name = f"Zor{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'aeiou'[i % 5]}l"
+            w[3:3] = r.choice([[name, f"<{name.lower()}@corp{i % 4}.example>"], ["Li", f"{name}({name}@x{i}.org)"], [name, "call", f"+49 30 555 {1000 + i}"], [name, f"10.{i % 250}.2.3"]])
+            w.append(r.choice([name, name.upper(), ""]))
+        docs.append((i, " ".join(w)))
+    return docs + [(1000, None), (1001, ""), (None, docs[0][1]), (0, docs[0][1])]
 
 
-def test_privacy_disclosing_terms(spark):
-    common = "the report of this week was read by all of them with great care and much interest today"
-    docs = [(i, f"{common} {i} nothing of note") for i in range(60)]
-    docs += [(100 + i, f"{w} zebrafish reach him at boss@corp.example or {w} leave a note {i}") for i, w in enumerate(["monday", "tuesday", "friday", "sunday"])]
-    docs += [(200, "the zebrafish is a small fish")]
-    out = {r["doc_id"]: r["s"] for r in privacy.find(frame(spark, docs)).select("doc_id", privacy.listed(F.col("_spans")).alias("s")).collect()}
-    assert all("email" in out[100 + i] and "term:" in out[100 + i] for i in range(4)) and out[200] == "" and all(out[i] == "" for i in range(60))
+def test_privacy_terms_against_plain_counts(spark):
+    docs = people()
+    want = brute.disclosed([t for _, t in docs])
+    assert sorted(map(key, spans_of(spark, docs))) == sorted(map(key, [(i, s) for (i, _), s in zip(docs, want, strict=True)]))
+    assert sum("term:" in s for s in want) > 20
+
+
+def test_privacy_finds_planted_names_and_leaves_common_words(spark):
+    docs = people()
+    clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(frame(spark, docs)).collect()}
+    held = [(i, t) for i, t in docs if t and ("Zor" in t or "zor" in t)]
+    caught = sum("zor" not in clean[i].lower() for i, _ in held)
+    assert caught / len(held) > 0.95
+    words_gone = sum(len(t.split()) - len(clean[i].split()) for i, t in docs if t)
+    assert words_gone >= 0 and all(clean[i] == t for i, t in docs if t is None or not ("Zor" in t or "zor" in t))
+    kept = sum(w in clean[i].split() for i, t in held for w in t.split() if w.isalpha() and w.islower() and not w.startswith("zor"))
+    assert kept / sum(1 for _, t in held for w in t.split() if w.isalpha() and w.islower() and not w.startswith("zor")) > 0.97
+
+
+def test_privacy_generalises(spark):
+    common = "the report of this week was read by all of them with great care and much interest today zoo"
+    docs = [(i, f"{common} {i} nothing of note") for i in range(200)]
+    docs += [(500 + i, f"{w} zebrafish reach him at boss@corp.example or {w} leave a note {i}") for i, w in enumerate(["monday", "tuesday", "friday", "sunday"])]
+    docs += [(600, "the xylophone stands at one@only.example")]
+    out = dict(spans_of(spark, docs))
+    assert all("email" in out[500 + i] and "term:" in out[500 + i] for i in range(4)) and all(out[i] == "" for i in range(200))
     clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(frame(spark, docs)).collect()}
-    assert clean[0] == docs[0][1] and "boss" not in clean[100] and "zebrafish" not in clean[100] and "<EMAIL>" in clean[100] and "<TERM>" in clean[100]
+    assert clean[0] == docs[0][1] and "boss" not in clean[500] and "zebrafish" not in clean[500]
+    assert "z." in clean[500].split() and "<EMAIL>" in clean[500]  # many terms begin with z
+    assert "<TERM>" in clean[600] and "xylophone" not in clean[600]  # x itself would tell
     assert privacy.sanitise(frame(spark, docs)).columns == frame(spark, docs).columns
 
 
@@ -337,10 +381,38 @@ def test_language(spark):
     none = language.train(df.where("lang is null"))
     assert {x["lang_pred"] for x in language.identify(df, none).collect()} == {"und"}
     assert language.identify(df.where("false"), model).count() == 0
+    assert len(language.accepted(df, model).columns) == len(df.columns) and language.accepted(df, model).where("doc_id in (400, 401)").count() == 0
+    clash = language.identify(df.withColumn("judged", F.lit("mine")).withColumn("SCORE_", F.lit(1)), model)
+    assert clash.columns[-5:] == ["judged", "SCORE_", "lang_pred", "score", "rejected"] and clash.first()["judged"] == "mine"
     held_text = df.withColumn("text", F.when(language.in_fold(F.col("doc_id")), "zzz").otherwise(F.col("text")))
     assert np.array_equal(language.train(held_text).table, model.table)
 
 
+def made_languages(seed: int, n: int, letters: dict[str, str]) -> list[tuple[str, str]]:
+    """(language, text): words of each language's own syllables."""
+    r = random.Random(seed)
+    syllables = {lang: [a + b + c for a in x for b in "aeiou" for c in ("", x[0], x[-1])] for lang, x in letters.items()}
+    text = lambda lang: " ".join("".join(r.choice(syllables[lang]) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(8, 60)))
+    return [(lang, text(lang)) for lang in letters for _ in range(n)]
+
+
+def test_language_rejects_what_it_never_saw():
+    known = made_languages(1, 150, {"aa": "bdkm", "bb": "glnr", "cc": "pstv", "dd": "fhjw"})
+    strange = made_languages(2, 80, {"zz": "xqcz"})
+    bags = next(iter(language._bags([pa.RecordBatch.from_arrays([pa.array([x for x, _ in known]), pa.array(range(len(known))), pa.array(range(len(known))), pa.array([t for _, t in known])], names=list("abcd"))], language.BUCKETS)))
+    rows = list(zip(bags.column(0).to_pylist(), map(np.array, bags.column(3).to_pylist()), map(np.array, bags.column(4).to_pylist()), strict=True))
+    model = language.fit(rows)
+    fresh = made_languages(3, 60, {"aa": "bdkm", "bb": "glnr", "cc": "pstv", "dd": "fhjw"})
+    best, score = model.predict(pa.array([t for _, t in fresh]))
+    assert np.mean([model.languages[b] == x for b, (x, _) in zip(best, fresh, strict=True)]) > 0.98 and np.mean(score < model.threshold) < 0.02
+    assert np.mean(model.predict(pa.array([t for _, t in strange]))[1] < model.threshold) > 0.9
+    # the probability means what it says, in ten bins
+    right = np.array([model.languages[b] == x for b, (x, _) in zip(best, fresh, strict=True)])
+    bins = np.minimum((score * 10).astype(int), 9)
+    error = sum(abs(score[bins == b].mean() - right[bins == b].mean()) * (bins == b).mean() for b in np.unique(bins))
+    assert error < 0.1
+
+
 def test_decontamination(spark):
     r = random.Random(6)
     vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 6))) for _ in range(300)]
