@@ -7,7 +7,6 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkburst.llm import decontamination, language, ngram_join, packing, privacy
 from sparkburst.llm.tables import read, written
@@ -15,8 +14,7 @@ from sparkburst.llm.tables import read, written
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents whose language the model rejects: no letter in them, or none of its languages likely."""
-    judged = language.identify(docs, language.train(docs), prefix="_id_")
-    return judged.where(~F.col("_id_rejected")).select(*docs.columns)
+    return language.accepted(docs, language.train(docs))
 
 
 def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
