@@ -20,14 +20,15 @@ def log_peak(n: Column, mu: Column) -> Column:
     """log10 of Q(n + 1, mu) / pmf(n; mu), which is the sum of n! / ((n - j)! mu^j) over j = 0..n, as a Horner fold.
 
     The fold is rescaled as it runs: the state holds a mantissa and a decimal
-    exponent, so that n far above mu does not overflow.
+    exponent, so that n far above mu does not overflow.  Null for counts where
+    none are expected.
     """
     steps = F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
     start = F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("e"))
 
     def step(s: Column, k: Column) -> Column:
         small = F.pow(F.lit(10.0), -s["e"])
-        m = small + s["m"] * k / mu
+        m = small + s["m"] * F.try_divide(k, mu)
         big = m > 1e200
         return F.struct(F.when(big, m / 1e200).otherwise(m).alias("m"), F.when(big, s["e"] + 200.0).otherwise(s["e"]).alias("e"))
 
@@ -39,6 +40,7 @@ def log_eclipse(n: Column, mu: Column) -> Column:
 
     The terms grow up to j = mu - n; ten deviations beyond they are under 1e-20
     of the greatest.  Mantissa and exponent are kept apart as in ``log_peak``.
+    Without counts the sum is e^mu - 1, so empty cells cost no fold.
     """
     known = F.nanvl(mu.cast("double"), F.lit(0.0))
     terms = F.ceil(F.greatest(known - n, F.lit(0.0)) + 10 * F.sqrt(known) + 60).cast("int")
@@ -50,7 +52,8 @@ def log_eclipse(n: Column, mu: Column) -> Column:
         scale = F.when(big, 1e-200).otherwise(1.0)
         return F.struct((t * scale).alias("t"), ((s["s"] + t) * scale).alias("s"), F.when(big, s["e"] + 200.0).otherwise(s["e"]).alias("e"))
 
-    return F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda s: F.log10(s["s"]) + s["e"])
+    empty = mu / math.log(10) + F.log10(-F.expm1(-mu))
+    return F.when(n == 0, empty).otherwise(F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda s: F.log10(s["s"]) + s["e"]))
 
 
 def log_eclipse_np(n: float, mu: float) -> float:
@@ -112,9 +115,42 @@ def greatest_eclipse(mu: float, limit: float) -> int:
     return hi
 
 
+def _crossing(kind: str, n: int, limit: float, top: float) -> float:
+    """The expectation at which n counts are just at the limit, by bisection of its logarithm."""
+    lo, hi = math.log(1e-9), math.log(1.4 * top)
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        below = log_peak_np(n, math.exp(mid)) > limit if kind == "peak" else log_eclipse_np(n, math.exp(mid)) < limit
+        lo, hi = (mid, hi) if below else (lo, mid)
+    # a count that is at the limit itself is not beyond it
+    return math.exp(lo) * (1 - 1e-9)
+
+
+def crossings(spark: SparkSession, sigma: float = 3, top: float = 1000.0) -> DataFrame:
+    """(kind, n, mu): below mu, n counts are a peak, or are few enough for an eclipse; for all n that matter up to ``top``.
+
+    Both factors are monotone in the expectation, so a table over the counts
+    holds what a search at every expectation would find.
+    """
+    limits = {k: threshold(k, sigma) for k in ("peak", "eclipse")}
+    most = math.ceil((2 * top + sigma**2 + math.sqrt(8 * top * sigma**2 + sigma**4)) / 2) + 2
+
+    def run(batches):
+        for pdf in batches:
+            n = pdf["id"].tolist()
+            yield pd.DataFrame({"kind": [k for k in limits for _ in n], "n": n * 2, "mu": [_crossing(k, x, limits[k], top) if x or k == "eclipse" else 0.0 for k in limits for x in n]})
+
+    return spark.range(0, most, 1, 8).mapInPandas(run, "kind string, n long, mu double")
+
+
 def limit_table(spark: SparkSession, sigma: float = 3, points: int = 50_000, more: int = 1_000) -> DataFrame:
-    """(mu, n_peak, n_eclipse) on the geometric grids 1e-7..1e3 and 1e3..1e6: made by tasks, as wide as the grid."""
-    peak, eclipse = threshold("peak", sigma), threshold("eclipse", sigma)
+    """(k, mu, n_peak, n_eclipse) on the geometric grids 1e-7..1e3 and 1e3..1e6, k numbering them.
+
+    Up to 1e3 the first counts beyond the thresholds, above it the counts of the
+    Gaussian regime.
+    """
+    found = crossings(spark, sigma).orderBy("n").collect()  # a number of rows that sigma alone decides
+    at = {k: np.array([r["mu"] for r in found if r["kind"] == k]) for k in ("peak", "eclipse")}
 
     def fill(batches):
         for pdf in batches:
@@ -122,14 +158,28 @@ def limit_table(spark: SparkSession, sigma: float = 3, points: int = 50_000, mor
             low = 10.0 ** (-7 + 10 * k / max(1, points - 1))
             high = 10.0 ** (3 + 3 * (k - points) / max(1, more - 1))
             mu = np.where(k < points, low, high)
-            yield pd.DataFrame({"mu": mu, "n_peak": [least_peak(m, peak) for m in mu], "n_eclipse": [greatest_eclipse(m, eclipse) for m in mu]})
+            root = np.sqrt(8 * mu * sigma**2 + sigma**4)
+            gauss = np.ceil((2 * mu + sigma**2 + root) / 2), np.floor((2 * mu + sigma**2 - root) / 2)
+            n = [np.where(k < points, np.searchsorted(at[kind], mu, side="right"), g).astype(np.int64) for kind, g in zip(("peak", "eclipse"), gauss, strict=True)]
+            yield pd.DataFrame({"k": k, "mu": mu, "n_peak": n[0], "n_eclipse": n[1]})
 
-    return spark.range(points + more).mapInPandas(fill, "mu double, n_peak long, n_eclipse long")
+    return spark.range(0, points + more, 1, 4).mapInPandas(fill, "k long, mu double, n_peak long, n_eclipse long")
+
+
+def factors_at_1000(spark: SparkSession, counts: int = 10_000) -> DataFrame:
+    """(n, b_peak, b_eclipse): the factors of 0, 1, .. counts where 1000 are expected."""
+
+    def run(batches):
+        for pdf in batches:
+            n = pdf["id"].tolist()
+            yield pd.DataFrame({"n": n, "b_peak": [log_peak_np(x, 1000.0) for x in n], "b_eclipse": [log_eclipse_np(x, 1000.0) for x in n]})
+
+    return spark.range(0, counts, 1, 8).mapInPandas(run, "n long, b_peak double, b_eclipse double")
 
 
 def significant(cells: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds is_peak and is_eclipse by linear interpolation of the limit table in mu; outside the table neither."""
-    rows = limits.orderBy("mu").toPandas()  # a table of fixed size
+    rows = limits.orderBy("k").toPandas()  # a table of fixed size
     grid, peak, eclipse = (rows[c].to_numpy(dtype=float) for c in ("mu", "n_peak", "n_eclipse"))
 
     def of(values: np.ndarray):
@@ -145,46 +195,58 @@ def significant(cells: DataFrame, limits: DataFrame) -> DataFrame:
     return held.withColumn("is_peak", up).withColumn("is_eclipse", down).drop("_p", "_e")
 
 
+@cache
+def _stairs(kind: str, mu: float = 1000.0, most: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
+    """The factors of rising deviations at a high expectation, and the sigma from which each count is the Gaussian one."""
+    edge = math.sqrt(8 * mu * most**2 + most**4)
+    if kind == "peak":
+        n = np.arange(int(mu), math.ceil((2 * mu + most**2 + edge) / 2) + 1)
+        x = np.maximum(n - 1 - mu, 0.0)  # the count is reached just after its predecessor
+        return np.array([log_peak_np(int(k), mu) for k in n]).round(9), np.sqrt(x * x / (x + 2 * mu))
+    n = np.arange(int(mu), math.floor((2 * mu + most**2 - edge) / 2) - 1, -1)
+    x = np.maximum(mu - (n + 1), 0.0)
+    return np.array([log_eclipse_np(int(k), mu) for k in n]).round(9), np.sqrt(x * x / (2 * mu - x))
+
+
 @F.pandas_udf(DoubleType())
-def sigma_equivalent(n: pd.Series, mu: pd.Series) -> pd.Series:
-    """The sigma at which (n, mu) is just significant, by bisection of the monotone threshold; 0 to 10."""
-
-    def one(k: int, m: float) -> float:
-        if not m > 0:
-            return float("nan")
-        kind = "peak" if k >= m else "eclipse"
-        have = log_peak_np(int(k), m) if kind == "peak" else log_eclipse_np(int(k), m)
-        if have <= threshold(kind, 0.05):
-            return 0.0
-        if have >= threshold(kind, 10.0):
-            return 10.0
-        lo, hi = 0.05, 10.0
-        for _ in range(14):
-            mid = round((lo + hi) / 2, 4)
-            lo, hi = (mid, hi) if threshold(kind, mid) < have else (lo, mid)
-        return round((lo + hi) / 2, 3)
-
-    return pd.Series([one(k, m) for k, m in zip(n, mu, strict=True)])
-
-
-def _poisson_cdf(n: int, mu: float) -> float:
+def sigma_of_factor(b: pd.Series, is_peak: pd.Series) -> pd.Series:
+    """The sigma at which the threshold at a high expectation first reaches a factor; 0 below that of one sigma, 10 above that of ten."""
+    have, up = b.to_numpy(dtype=float), is_peak.to_numpy(dtype=bool)
+    out = np.empty(len(have))
+    for kind, mine in (("peak", up), ("eclipse", ~up)):
+        steps, sigma = _stairs(kind)
+        got = sigma[np.minimum(np.searchsorted(steps, have[mine]), len(steps) - 1)]
+        out[mine] = np.where(have[mine] < threshold(kind, 1.0), 0.0, np.where(have[mine] >= threshold(kind, 10.0), 10.0, got))
+    out[np.isnan(have)] = np.nan
+    return pd.Series(out)
+
+
+def sigma_equivalent(n: Column, mu: Column) -> Column:
+    """The sigma at which (n, mu) is just significant: as a peak if n > mu, else as an eclipse; null without an expectation."""
+    up = n > mu
+    # rounded, so that a factor that equals a step's is on it
+    b = F.round(F.when(up, log_peak(n, mu)).otherwise(log_eclipse(n, mu)), 9)
+    return F.when(mu > 0, sigma_of_factor(F.coalesce(b, F.lit(float("nan"))), F.coalesce(up, F.lit(False))))
+
+
+def _rate_at(n: int, q: float) -> float:
+    """The Poisson mean at which P(N > n) = q."""
     k = np.arange(0, n + 1)
-    logs = -mu + k * math.log(mu) - np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
-    return float(np.exp(logs).sum())
+    logs = np.concatenate(([0.0], np.cumsum(np.log(k[1:]))))
+    lo, hi = 1e-9, n + 20 + 10 * math.sqrt(n + 1)
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        above = 1 - float(np.exp(-mid + k * math.log(mid) - logs).sum())
+        lo, hi = (mid, hi) if above < q else (lo, mid)
+    return (lo + hi) / 2
 
 
 @F.pandas_udf(DoubleType())
 def rate_quantile(n: pd.Series, q: pd.Series) -> pd.Series:
-    """The Poisson mean at which P(N > n) = q: the inverse regularised gamma function, by bisection."""
-
-    def one(k: int, p: float) -> float:
-        lo, hi = 1e-9, k + 20 + 10 * math.sqrt(k + 1)
-        for _ in range(80):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if 1 - _poisson_cdf(int(k), mid) < p else (lo, mid)
-        return (lo + hi) / 2
-
-    return pd.Series([one(k, p) for k, p in zip(n, q, strict=True)])
+    """The Poisson mean at which P(N > n) = q: the inverse regularised gamma function, once for each distinct pair of a batch."""
+    pairs = pd.MultiIndex.from_arrays([n, q])
+    codes, distinct = pairs.factorize()
+    return pd.Series(np.array([_rate_at(int(k), float(p)) for k, p in distinct])[codes] if len(n) else np.zeros(0))
 
 
 def log_pmf(n: Column, mu: Column) -> Column:

@@ -21,17 +21,33 @@ def offsets(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> tuple[Colum
     return (ra1 - ra2) * F.cos(F.radians(dec1)), dec1 - dec2
 
 
-def pixel_to_sky(px: Column, py: Column, crpix: tuple[float, float], cdelt: tuple[float, float], crval: tuple[float, float]) -> tuple[Column, Column]:
-    """De-projection of a tangent plane (0-based pixels)."""
+Pair = tuple[float | Column, float | Column]
+
+
+def wcs(headers: Column, bin_size: float = 80.0) -> dict[str, Column]:
+    """The constants of an image of ``bin_size`` sky units a pixel, from a map of header cards."""
+    card = lambda name: F.element_at(headers, F.lit(name)).cast("double")
+    out = {}
+    for axis, name in (("x", "REFX"), ("y", "REFY")):
+        out |= {f"crval_{axis}": card(f"{name}CRVL"), f"crpix_{axis}": card(f"{name}CRPX") / bin_size, f"cdelt_{axis}": card(f"{name}CDLT") * bin_size, f"naxis_{axis}": card(f"{name}LMAX") / bin_size}
+    return out
+
+
+def pixel_to_sky(px: Column, py: Column, crpix: Pair, cdelt: Pair, crval: Pair) -> tuple[Column, Column]:
+    """De-projection of a tangent plane (0-based pixels); the constants are numbers or columns."""
     xi, eta = F.radians((px + 1 - crpix[0]) * cdelt[0]), F.radians((py + 1 - crpix[1]) * cdelt[1])
-    d0 = F.radians(F.lit(crval[1]))
+    d0 = F.radians(_column(crval[1]))
     down = F.cos(d0) - eta * F.sin(d0)
     ra = F.degrees(F.atan2(xi, down)) + crval[0]
     return F.pmod(ra, F.lit(360.0)), F.degrees(F.atan2(F.sin(d0) + eta * F.cos(d0), F.sqrt(xi * xi + down * down)))
 
 
-def sky_to_pixel(ra: Column, dec: Column, crpix: tuple[float, float], cdelt: tuple[float, float], crval: tuple[float, float]) -> tuple[Column, Column]:
-    d, d0, dr = F.radians(dec), F.radians(F.lit(crval[1])), F.radians(ra - crval[0])
+def _column(x: float | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def sky_to_pixel(ra: Column, dec: Column, crpix: Pair, cdelt: Pair, crval: Pair) -> tuple[Column, Column]:
+    d, d0, dr = F.radians(dec), F.radians(_column(crval[1])), F.radians(ra - crval[0])
     den = F.sin(d) * F.sin(d0) + F.cos(d) * F.cos(d0) * F.cos(dr)
     xi = F.cos(d) * F.sin(dr) / den
     eta = (F.sin(d) * F.cos(d0) - F.cos(d) * F.sin(d0) * F.cos(dr)) / den

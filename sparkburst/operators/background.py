@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import sky_to_pixel
+
 
 def expectation(cells: DataFrame) -> DataFrame:
     """mu = pixel's total * frame's total / total of the observation, for the occupied cells."""
@@ -14,7 +16,7 @@ def expectation(cells: DataFrame) -> DataFrame:
     frame = cells.groupBy("obsid", "it").agg(F.sum("n").alias("n_frame"))
     total = cells.groupBy("obsid").agg(F.sum("n").alias("n_total"))
     mu = F.col("n_pixel") * F.col("n_frame") / F.col("n_total")
-    return cells.join(pixel, ["obsid", "ix", "iy"]).join(frame, ["obsid", "it"]).join(F.broadcast(total), "obsid").select("obsid", "ix", "iy", "it", "n", mu.alias("mu"))
+    return cells.join(pixel, ["obsid", "ix", "iy"]).join(frame, ["obsid", "it"]).join(total, "obsid").select("obsid", "ix", "iy", "it", "n", mu.alias("mu"))
 
 
 def source_disks(pixels: DataFrame, sources: DataFrame) -> DataFrame:
@@ -28,6 +30,28 @@ def source_disks(pixels: DataFrame, sources: DataFrame) -> DataFrame:
     return pixels.join(inside, ["obsid", "ix", "iy"], "left_semi")
 
 
+def known_sources(source_list: DataFrame, cell_arcsec: float = 20.0) -> DataFrame:
+    """Sources to be masked, likely ones only, with kind and radius in arcseconds: by rate for point sources, their extent for others."""
+    rate = F.col("total_rate")
+    of_point = F.when(rate > 1, 80.0).when(rate > 0.1, 40.0).otherwise(cell_arcsec)
+    likely = source_list.where((F.col("det_ml") > 8) & (F.col("extent") >= 0))
+    point = F.col("extent") == 0
+    return likely.withColumn("kind", F.when(point, "point").otherwise("extended")).withColumn("radius", F.when(point, of_point).otherwise(F.col("extent")))
+
+
+def on_cube(sources: DataFrame, wcs: DataFrame, x_edges: tuple[float, float, int], y_edges: tuple[float, float, int]) -> DataFrame:
+    """Sources with their place in the cube: pixel of the image, 80 sky units each, then interpolated between the cube's edges.
+
+    ``wcs`` has one row of constants an observation; the edges are (low, high, number
+    of edges).  Sources outside the edges are left out.
+    """
+    px, py = sky_to_pixel(F.col("ra_deg"), F.col("dec_deg"), (F.col("crpix_x"), F.col("crpix_y")), (F.col("cdelt_x"), F.col("cdelt_y")), (F.col("crval_x"), F.col("crval_y")))
+    placed = sources.join(wcs, "obsid").withColumn("x_sky", px * 80).withColumn("y_sky", py * 80)
+    inside = (F.col("x_sky") > x_edges[0]) & (F.col("x_sky") < x_edges[1]) & (F.col("y_sky") > y_edges[0]) & (F.col("y_sky") < y_edges[1])
+    at = lambda c, e: (F.col(c) - e[0]) / (e[1] - e[0]) * (e[2] - 1)
+    return placed.where(inside).withColumn("x_cube", at("x_sky", x_edges)).withColumn("y_cube", at("y_sky", y_edges)).select(*sources.columns, "x_sky", "y_sky", "x_cube", "y_cube")
+
+
 def above_percentile(image: DataFrame, share: float, column: str = "total", factor: float = 1.0) -> DataFrame:
     """Pixels above ``factor`` times the image's exact percentile (linear interpolation)."""
     level = image.groupBy("obsid").agg(F.percentile(column, F.lit(share)).alias("level"))
@@ -118,7 +142,7 @@ def two_template_expectation(cells: DataFrame, bad_frames: DataFrame) -> DataFra
     total = kinds.groupBy("obsid", "is_bti").agg(F.sum("n").alias("n_total"))
     frame = kinds.groupBy("obsid", "it").agg(F.sum("n").alias("n_frame"))
     mu = F.col("n_pixel") * F.col("n_frame") / F.col("n_total")
-    return kinds.join(pixel, ["obsid", "is_bti", "ix", "iy"]).join(F.broadcast(total), ["obsid", "is_bti"]).join(frame, ["obsid", "it"]).select("obsid", "ix", "iy", "it", "is_bti", "n", mu.alias("mu"))
+    return kinds.join(pixel, ["obsid", "is_bti", "ix", "iy"]).join(total, ["obsid", "is_bti"]).join(frame, ["obsid", "it"]).select("obsid", "ix", "iy", "it", "is_bti", "n", mu.alias("mu"))
 
 
 def good_to_bad_ratio(cells: DataFrame, bad_frames: DataFrame) -> DataFrame:
@@ -128,4 +152,4 @@ def good_to_bad_ratio(cells: DataFrame, bad_frames: DataFrame) -> DataFrame:
     pixel = kinds.groupBy("obsid", "ix", "iy").agg(good.alias("g"), bad.alias("b"))
     total = kinds.groupBy("obsid").agg(good.alias("tg"), bad.alias("tb"))
     ratio = (F.col("g") / F.nullif("tg", F.lit(0))) / F.nullif(F.col("b") / F.nullif("tb", F.lit(0)), F.lit(0.0))
-    return pixel.join(F.broadcast(total), "obsid").select("obsid", "ix", "iy", ratio.alias("ratio"))
+    return pixel.join(total, "obsid").select("obsid", "ix", "iy", ratio.alias("ratio"))

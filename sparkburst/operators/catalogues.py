@@ -84,6 +84,17 @@ def parsed_identifiers(df: DataFrame, column: str = "detid") -> DataFrame:
     return df.select(column, parts[0].alias("obsid"), parts[2].cast("int").alias("t_bin"), parts[5].alias("label"), F.regexp_extract(column, r"(\d{10})", 1).alias("obs"))
 
 
+def tuple_keys(df: DataFrame, column: str) -> DataFrame:
+    """runid and label of keys that stand as text of the form ``('runid', 'label')``; null where they do not."""
+    part = lambda k: F.nullif(F.regexp_extract(column, r"^\('([^']*)',\s*'?([^')]*)'?\)$", k), F.lit(""))
+    return df.withColumn("runid", part(1)).withColumn("label", part(2))
+
+
+def small_regions(regions: DataFrame, most: int = 36) -> DataFrame:
+    """Regions whose box is no larger than ``most`` pixels."""
+    return regions.where(F.col("area_bbox") <= most)
+
+
 def as_rows(info: DataFrame, key: str) -> DataFrame:
     """One key-value row per column of a table of scalars."""
     values = [c for c in info.columns if c != key]

@@ -67,18 +67,22 @@ def without_hot_pixels(events: DataFrame, hot: DataFrame, revolution: int | str
     return e.join(h, same & (F.col("e._rev") > F.col("h.rev1")) & (F.col("e._rev") < F.col("h.rev2")), "left_anti").drop("_rev")
 
 
-def supported_lists(lists: DataFrame) -> DataFrame:
-    """Event lists whose submode can be searched; a submode that is not in the table stops the job."""
+def supported_lists(lists: DataFrame, stop: bool = True) -> DataFrame:
+    """Event lists whose submode can be searched; a submode that is not in the table stops the job.
+
+    Without ``stop`` such lists, which ``unknown_submodes`` names, are left out.
+    """
     family = F.when(is_pn(), "PN").otherwise("MOS")
     known = F.create_map(*[F.lit(x) for (fam, mode), ok in SUBMODES.items() for x in (f"{fam}:{mode}", ok)])
     ok = F.element_at(known, F.concat_ws(":", family, F.col("submode")))
-    return lists.where(F.coalesce(ok, F.lit(False)))
+    unknown = F.raise_error(F.concat(F.lit("unknown submode: "), F.coalesce(F.col("submode"), F.lit("null")))).cast("boolean")
+    return lists.where(F.coalesce(ok, unknown if stop else F.lit(False)))
 
 
 def unknown_submodes(lists: DataFrame) -> DataFrame:
     family = F.when(is_pn(), "PN").otherwise("MOS")
     known = F.array(*[F.lit(f"{a}:{b}") for a, b in SUBMODES])
-    return lists.where(~F.array_contains(known, F.concat_ws(":", family, F.col("submode"))))
+    return lists.where(~F.array_contains(known, F.concat_ws(":", family, F.coalesce("submode", F.lit("")))))
 
 
 def refuse_timing(lists: DataFrame) -> DataFrame:

@@ -47,9 +47,17 @@ def dense(cells: DataFrame) -> DataFrame:
 
 def images(cells: DataFrame) -> DataFrame:
     """Per pixel: sum, max, min, mean, median and population deviation over all frames, empty ones included."""
-    return dense(cells).groupBy("obsid", "ix", "iy").agg(
-        F.sum("n").alias("total"), F.max("n").alias("max_n"), F.min("n").alias("min_n"), F.avg("n").alias("mean_n"), F.median("n").alias("median_n"), F.stddev_pop("n").alias("std_n")
+    spans = cells.groupBy("obsid").agg((F.max("it") - F.min("it") + 1).alias("frames"))
+    # empty cells are one row a pixel, counted as often as there are of them
+    held = cells.groupBy("obsid", "ix", "iy").agg(F.count("*").alias("hit")).join(spans, "obsid").where("frames > hit")
+    empty = held.select("obsid", "ix", "iy", F.lit(0).cast("long").alias("n"), (F.col("frames") - F.col("hit")).alias("times"))
+    rows = cells.select("obsid", "ix", "iy", "n", F.lit(1).cast("long").alias("times")).unionByName(empty)
+    n, times = F.col("n"), F.col("times")
+    sums = rows.groupBy("obsid", "ix", "iy").agg(
+        F.sum("n").alias("total"), F.max("n").alias("max_n"), F.min("n").alias("min_n"), (F.sum(n * times) / F.sum(times)).alias("mean_n"), F.percentile("n", F.lit(0.5), F.col("times")).alias("median_n"), F.sum(n * n * times).alias("_squares"), F.sum(times).alias("_m")
     )
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_squares") / F.col("_m") - F.col("mean_n") * F.col("mean_n")))
+    return sums.select("obsid", "ix", "iy", "total", "max_n", "min_n", "mean_n", "median_n", spread.alias("std_n"))
 
 
 def variability(image: DataFrame) -> DataFrame:

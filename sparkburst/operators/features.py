@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, WindowSpec
+import math
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.bayes import ECLIPSE_3, ECLIPSE_5, PEAK_3, PEAK_5
+from .ranks import summed_before
 
 KEY = ["runid", "label"]
 
@@ -85,18 +85,11 @@ def ks_statistic(curves: DataFrame, a: str = "n", b: str = "mu") -> DataFrame:
     return sized.groupBy(*KEY).agg(F.max(F.abs(F.col("_x") / F.col("_m") - F.col("_y") / F.col("_m"))).alias("ks"), F.max("_m").alias("len"))
 
 
-@F.pandas_udf(DoubleType())
-def ks_probability(ks: pd.Series, n: pd.Series) -> pd.Series:
-    """Asymptotic p-value of a two-sample distance with n values on each side."""
-    k = np.arange(1, 101)
-
-    def one(d: float, m: float) -> float:
-        lam = d * np.sqrt(m / 2)
-        if lam < 0.2:
-            return 1.0
-        return float(np.clip(2 * ((-1.0) ** (k - 1) * np.exp(-2 * (k * lam) ** 2)).sum(), 0, 1))
-
-    return pd.Series([one(d, m) for d, m in zip(ks, n, strict=True)])
+def ks_probability(ks: Column, n: Column) -> Column:
+    """Asymptotic p-value of a two-sample distance with n values on each side: a hundred terms of the alternating series."""
+    lam = ks * F.sqrt(n / 2)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * lam * lam))
+    return F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
 
 
 def kuiper(curves: DataFrame) -> DataFrame:
@@ -113,8 +106,7 @@ def end_to_end(curves: DataFrame) -> DataFrame:
     """Light curves of several runs put one after the other, in the order of runid."""
     started = from_start(curves)
     spans = started.groupBy("runid").agg(F.max("t0").alias("span"))
-    before = Window.orderBy("runid").rowsBetween(Window.unboundedPreceding, -1)  # one row per run of a source
-    shifts = spans.select("runid", F.coalesce(F.sum("span").over(before), F.lit(0).cast("long")).alias("shift"))
+    shifts = summed_before(spans, "runid", "span", "shift").select("runid", "shift")
     return started.join(shifts, "runid").withColumn("t_shifted", F.col("t0") + F.col("shift"))
 
 
@@ -140,11 +132,46 @@ def near_box(cells: DataFrame, reach: int = 5) -> DataFrame:
     )
 
 
-def spurious(near: DataFrame, share: float = 0.25) -> DataFrame:
-    """Flags peaks that the rest of the frame shares: both rise against their surroundings, the rest by over ``share``."""
-    box = F.col("n_box") * 1.0 / F.nullif(F.col("box_around"), F.lit(0))
-    rest = F.col("n_rest") * 1.0 / F.nullif(F.col("rest_around"), F.lit(0))
-    return near.withColumn("spurious", F.coalesce(rest > share, F.lit(False)) & F.coalesce(box > share, F.lit(False)))
+def spurious(near: DataFrame, reach: int = 5, margin: float = 0.25) -> DataFrame:
+    """Flags rises and falls of a box that the rest of the frame shares, against the mean of the frames around.
+
+    A rise is spurious if the rest rises too and the box by less than ``margin``
+    more; a fall if the rest falls too, by less than ``margin`` more than the box.
+    """
+    mean = lambda around, own: (F.col(around) - F.col(own)) / (2.0 * reach)
+    box, rest = mean("box_around", "n_box"), mean("rest_around", "n_rest")
+    up_box, up_rest = (F.col("n_box") - box) / F.nullif(box, F.lit(0.0)), (F.col("n_rest") - rest) / F.nullif(rest, F.lit(0.0))
+    peak = (up_rest > 0) & (up_box - up_rest < margin)
+    eclipse = (F.col("n_rest") < rest) & (up_box - up_rest < margin)
+    return near.withColumn("spurious_peak", F.coalesce(peak, F.lit(False))).withColumn("spurious_eclipse", F.coalesce(eclipse, F.lit(False)))
+
+
+def ks_poisson(curves: DataFrame, column: str = "n") -> DataFrame:
+    """One-sample Kolmogorov-Smirnov distance of each light curve to the Poisson law of its mean, with the asymptotic p-value."""
+    counts = curves.groupBy(*KEY, F.col(column).alias("v")).agg(F.count("*").alias("c"))
+    level = curves.groupBy(*KEY).agg(F.avg(column).alias("m"), F.count("*").alias("len"))
+    upto = Window.partitionBy(*KEY).orderBy("v")
+    rows = counts.join(level, KEY).withColumn("k", F.sum("c").over(upto))
+    # the law's share up to v, by logarithms that are summed as the fold goes on
+    start = F.struct(F.lit(0.0).alias("log"), F.lit(1.0).alias("sum"))
+    cdf = F.when(F.col("m") > 0, F.exp(-F.col("m")) * F.when(F.col("v") > 0, F.aggregate(F.sequence(F.lit(1), F.col("v").cast("int")), start, lambda s, k: F.struct((s["log"] + F.log(F.col("m")) - F.log(k.cast("double"))).alias("log"), (s["sum"] + F.exp(s["log"] + F.log(F.col("m")) - F.log(k.cast("double")))).alias("sum")), lambda s: s["sum"])).otherwise(1.0)).otherwise(1.0)
+    apart = F.greatest(F.col("k") / F.col("len") - F.col("cdf"), F.col("cdf") - (F.col("k") - F.col("c")) / F.col("len"))
+    out = rows.withColumn("cdf", cdf).groupBy(*KEY).agg(F.max(apart).alias("ks"), F.max("len").alias("len"))
+    return out.withColumn("p", ks_probability(F.col("ks"), 2 * F.col("len")))
+
+
+def t_probability(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t with whole degrees of freedom: the finite series in the angle whose tangent is t over their root."""
+    angle = F.atan(F.abs(t) / F.sqrt(df))
+    c2 = F.cos(angle) * F.cos(angle)
+    odd = df % 2 == 1
+    # the terms' factors are (2k) / (2k + 1) for odd, (2k - 1) / (2k) for even degrees of freedom
+    many = F.when(odd, (df - 3) / 2).otherwise((df - 2) / 2).cast("int")
+    ratio = lambda k: F.when(odd, 2.0 * k / (2.0 * k + 1)).otherwise((2.0 * k - 1) / (2.0 * k)) * c2
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+    series = F.when(many > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), start, lambda s, k: F.struct((s["t"] * ratio(k)).alias("t"), (s["s"] + s["t"] * ratio(k)).alias("s")), lambda s: s["s"])).otherwise(1.0)
+    inside = F.when(odd, 2 / math.pi * (angle + F.when(df > 1, F.sin(angle) * F.cos(angle) * series).otherwise(0.0))).otherwise(F.sin(angle) * series)
+    return F.greatest(F.lit(0.0), 1 - inside)
 
 
 def convolved(curves: DataFrame, template: list[float], column: str = "n") -> DataFrame:

@@ -37,7 +37,14 @@ def bad_bins(edges: DataFrame, intervals: DataFrame) -> DataFrame:
 
     ``edges`` is (obsid, k, t), intervals (obsid, start, stop) in the same unit as t.
     """
-    counted = edges.join(intervals, "obsid").groupBy("obsid", "start", "stop").agg(F.count_if(F.col("t") < F.col("start")).alias("a"), (F.count_if(F.col("t") < F.col("stop")) - 1).alias("b"))
+    # edges before each end of an interval, by one running count over edges and ends together
+    mark = lambda c: F.struct(F.lit(c).alias("end"), "start", "stop")
+    none = F.lit(None).cast("struct<end:string,start:long,stop:long>")
+    ends = intervals.select("obsid", F.explode(F.array(F.struct(F.col("start").alias("t"), mark("a").alias("m")), F.struct(F.col("stop").alias("t"), mark("b").alias("m")))).alias("x"))
+    rows = edges.select("obsid", F.col("t").cast("long").alias("t"), none.alias("m")).unionByName(ends.select("obsid", F.col("x.t").cast("long").alias("t"), F.col("x.m").cast("struct<end:string,start:long,stop:long>").alias("m")))
+    before = Window.partitionBy("obsid").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumn("c", F.count_if(F.col("m").isNull()).over(before)).where("m is not null")
+    counted = seen.groupBy("obsid", "m.start", "m.stop").agg(F.max(F.when(F.col("m.end") == "a", F.col("c"))).alias("a"), (F.max(F.when(F.col("m.end") == "b", F.col("c"))) - 1).alias("b"))
     ranges = counted.where("b > a").select("obsid", F.explode(F.sequence("a", F.col("b") - 1)).alias("k"))
     return ranges.distinct()
 

@@ -13,6 +13,38 @@ def match_fractions(matches: DataFrame) -> DataFrame:
     return matches.groupBy("k1").pivot("k2").agg(F.round(F.avg((F.col("match") > -1).cast("double")), 9))
 
 
+def frequent(df: DataFrame, column: str, least: int) -> DataFrame:
+    """Values of a column that more than ``least`` rows have."""
+    return df.groupBy(column).agg(F.count("*").alias("n")).where(F.col("n") > least)
+
+
+def row_range(df: DataFrame, order: Sequence[str], lo: int, hi: int) -> DataFrame:
+    """Rows lo to hi - 1 in an order: each task keeps its first ``hi`` rows."""
+    return df.orderBy(*order).limit(hi).offset(lo)
+
+
+def scrubbed(df: DataFrame, columns: Sequence[str], drop: bool = False) -> DataFrame:
+    """Infinities and not-a-numbers become null; with ``drop`` the rows that hold a null go."""
+    for c in columns:
+        x = F.col(c).cast("double")
+        df = df.withColumn(c, F.when(F.isnan(x) | F.abs(x).isin(float("inf")), None).otherwise(F.col(c)))
+    return df.na.drop(subset=list(columns)) if drop else df
+
+
+def shapes(tables: dict[str, DataFrame], equal: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """(name, n_rows, n_columns, consistent) of a result's tables; those of one group of ``equal`` have to have as many rows as its first."""
+    rows = None
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+        rows = one if rows is None else rows.unionByName(one)
+    group = F.lit(None).cast("string")
+    for names in equal:
+        group = F.when(F.col("name").isin(*names), F.lit(names[0])).otherwise(group)
+    grouped = rows.withColumn("_g", F.coalesce(group, F.col("name")))
+    first = grouped.where(F.col("name") == F.col("_g")).select("_g", F.col("n_rows").alias("_want"))
+    return grouped.join(first, "_g").select("name", "n_rows", "n_columns", (F.col("n_rows") == F.col("_want")).alias("consistent"))
+
+
 def run_statistics(tagged: DataFrame) -> DataFrame:
     per_obs = tagged.groupBy("key", "obsid").agg(F.count("*").alias("c"))
     runs = tagged.groupBy("key").agg(F.count("*").alias("n_regions"), F.countDistinct("runid").alias("n_runs"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import catalogues as K
@@ -12,6 +10,7 @@ from ..operators import filters as P
 from ..operators import learning, simulation
 from ..operators import statistics as S
 from ..sources import adapters as A
+from ..sources import store
 from ..streaming import live
 from .cube_queries import cells_of
 from .oracle import put
@@ -283,7 +282,7 @@ def q_pipeline_runs(s, d):
 @query("SELECT user_id AS pixel, epoch_us(ts) // 21600000000 AS frame, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def q_stream_counts(s, d):
     s.conf.set("spark.sql.session.timeZone", "UTC")
-    out = live.drained(live.counts(live.event_stream(s, d)), f"counts_{uuid.uuid4().hex}", "complete")
+    out = live.drained(live.counts(live.event_stream(s, d)), store.scratch(s, "counts"), "complete")
     return out.select("pixel", F.expr("unix_micros(w.start) div 21600000000").alias("frame"), "n", F.round("total", 6).alias("total"))
 
 

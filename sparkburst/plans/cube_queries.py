@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bayes, geometry
 from ..operators import background, cleaning, cube, intervals, regions
 from ..sources import adapters as A
-from .oracle import FRAME, put
+from .oracle import FRAME, TERMS_ECLIPSE, factor, put, summed
 
 REGISTER: dict[str, tuple] = {}
 
@@ -80,7 +80,7 @@ def q_alert_events(s, d):
     return found.groupBy("obsid", "x_cube", "y_cube", "t_cube").agg(F.count("*").alias("n_events"))
 
 
-@query(put("""SELECT obsid, ix, iy, it, n, round(log10(list_sum(list_transform(range(1, 61), lambda j: list_product(list_transform(range(1, j + 1), lambda i: mu / (n + i)))))), 6) AS b_eclipse FROM mu""", "mu"))
+@query(put(f"SELECT obsid, ix, iy, it, n, round({summed(TERMS_ECLIPSE)}, 6) AS b_eclipse FROM mu", "mu"))
 def q_bayes_eclipse(s, d):
     mu = background.expectation(cells_of(s, d))
     return mu.select("obsid", "ix", "iy", "it", "n", F.round(bayes.log_eclipse(F.col("n"), F.col("mu")), 6).alias("b_eclipse"))
@@ -98,26 +98,54 @@ def q_log_pmf(s, d):
     return mu.select("obsid", "ix", "iy", "it", F.round(bayes.log_pmf(F.col("n"), F.col("mu")), 6).alias("log_pmf"))
 
 
-@query()
+#: Expectations and counts about and far beyond the thresholds, as no test table has them: n = mu + (-8 .. 8 deviations).
+WIDE = "SELECT mu, CAST(greatest(0, round(mu + d * sqrt(mu))) AS BIGINT) AS n FROM (SELECT unnest([0.01, 0.7, 3.0, 17.0, 60.0, 150.0, 420.0, 1000.0, 2600.0]::DOUBLE[]) AS mu), (SELECT unnest(range(-8, 9)) AS d)"
+
+
+def wide_of(s) -> DataFrame:
+    mu, n = F.explode(F.array(*map(F.lit, (0.01, 0.7, 3.0, 17.0, 60.0, 150.0, 420.0, 1000.0, 2600.0)))), F.explode(F.sequence(F.lit(-8), F.lit(8)))
+    grid = s.range(1).select(mu.alias("mu")).select("mu", n.alias("d"))
+    return grid.select("mu", F.greatest(F.lit(0), F.round(F.col("mu") + F.col("d") * F.sqrt("mu"))).cast("long").alias("n"))
+
+
+@query(put(f"SELECT DISTINCT mu, n, round({factor('peak')}, 6) AS b_peak, round({factor('eclipse')}, 6) AS b_eclipse FROM wide", wide=WIDE))
+def q_bayes_wide(s, d):
+    return wide_of(s).distinct().select("mu", "n", F.round(bayes.log_peak(F.col("n"), F.col("mu")), 6).alias("b_peak"), F.round(bayes.log_eclipse(F.col("n"), F.col("mu")), 6).alias("b_eclipse"))
+
+
+@query(put("SELECT k, round(log10(mu), 9) AS log_mu, n_peak, n_eclipse FROM knots", "knots"))
 def q_limits(s, d):
-    return bayes.limit_table(s, 3)
+    return bayes.limit_table(s, 3).select("k", F.round(F.log10("mu"), 9).alias("log_mu"), "n_peak", "n_eclipse")
+
 
+@query(put(f"SELECT n, round({factor('peak')}, 6) AS b_peak, round({factor('eclipse')}, 6) AS b_eclipse FROM (SELECT unnest(range(10000)) AS n, 1000.0::DOUBLE AS mu)"))
+def q_factors_at_1000(s, d):
+    return bayes.factors_at_1000(s).select("n", F.round("b_peak", 6).alias("b_peak"), F.round("b_eclipse", 6).alias("b_eclipse"))
 
-@query()
+
+@query(put("""SELECT obsid, ix, iy, it, n, coalesce(n > p, false) AS is_peak, coalesce(n < e, false) AS is_eclipse FROM (
+    SELECT c.obsid, c.ix, c.iy, c.it, c.n, a.n_peak + (b.n_peak - a.n_peak) * (c.mu - a.mu) / (b.mu - a.mu) AS p, a.n_eclipse + (b.n_eclipse - a.n_eclipse) * (c.mu - a.mu) / (b.mu - a.mu) AS e
+    FROM raised c ASOF LEFT JOIN knots a ON c.mu >= a.mu LEFT JOIN knots b ON b.k = a.k + 1)""", "mu", "knots", raised="SELECT obsid, ix, iy, it, mu, n + CASE WHEN (ix + iy + it) % 5 = 0 THEN 25 ELSE 0 END AS n FROM mu"))
 def q_significant(s, d):
-    return bayes.significant(background.expectation(cells_of(s, d)), bayes.limit_table(s, 3))
+    raised = background.expectation(cells_of(s, d)).withColumn("n", F.col("n") + F.when((F.col("ix") + F.col("iy") + F.col("it")) % 5 == 0, 25).otherwise(0))
+    return bayes.significant(raised, bayes.limit_table(s, 3)).select("obsid", "ix", "iy", "it", "n", "is_peak", "is_eclipse")
 
 
-@query()
+@query(put("""SELECT mu, n, CASE WHEN b < lo THEN 0.0::DOUBLE WHEN b >= hi THEN 10.0::DOUBLE ELSE round(sigma, 9) END AS sigma FROM (
+    SELECT f.*, t.sigma, CASE f.kind WHEN 'p' THEN x.p1 ELSE x.e1 END AS lo, CASE f.kind WHEN 'p' THEN x.p10 ELSE x.e10 END AS hi FROM found f ASOF LEFT JOIN stairs t ON f.kind = t.kind AND f.b <= t.b, ends x)""", "stairs", wide=WIDE,
+    found=f"SELECT DISTINCT mu, n, CASE WHEN n > mu THEN 'p' ELSE 'e' END AS kind, round(CASE WHEN n > mu THEN {factor('peak')} ELSE {factor('eclipse')} END, 9) AS b FROM wide",
+    ends="SELECT " + ", ".join(f"(SELECT {factor(t)} FROM (SELECT CAST({r}((2000 + {g} {o} sqrt(8000 * {g} + {g} * {g})) / 2) AS BIGINT) AS n, 1000.0::DOUBLE AS mu)) AS {k}{q}" for k, t, r, o in (("p", "peak", "ceil", "+"), ("e", "eclipse", "floor", "-")) for q, g in ((1, 1), (10, 100)))))
 def q_sigma(s, d):
-    mu = background.expectation(cells_of(s, d))
-    return mu.select("obsid", "ix", "iy", "it", "n", bayes.sigma_equivalent("n", "mu").alias("sigma"))
+    return wide_of(s).distinct().select("mu", "n", F.round(bayes.sigma_equivalent(F.col("n"), F.col("mu")), 9).alias("sigma"))
 
 
-@query()
+@query(put("""SELECT obsid, ix, iy, it, n, round(rate, 6) AS rate FROM mu JOIN (SELECT n, (lo + hi) / 2 AS rate FROM halved WHERE i = 80) USING (n)""", "mu", halved="""
+    SELECT DISTINCT n, 0 AS i, 1e-9::DOUBLE AS lo, n + 20 + 10 * sqrt(n + 1) AS hi FROM mu UNION ALL
+    SELECT n, i + 1, CASE WHEN low THEN mid ELSE lo END, CASE WHEN low THEN hi ELSE mid END FROM (
+      SELECT *, 1 - list_sum(list_transform(range(0, n + 1), lambda k: exp(k * ln(mid) - mid - lgamma(k + 1)))) < 0.5 AS low FROM (SELECT *, (lo + hi) / 2 AS mid FROM halved) WHERE i < 80)"""))
 def q_amplitude(s, d):
     mu = background.expectation(cells_of(s, d))
-    return mu.select("obsid", "ix", "iy", "it", "n", bayes.rate_quantile("n", F.lit(0.5)).alias("rate"))
+    return mu.select("obsid", "ix", "iy", "it", "n", F.round(bayes.rate_quantile("n", F.lit(0.5)), 6).alias("rate"))
 
 
 @query(put(f"SELECT *, coalesce(n > 0, false) AS bad FROM hard", "hard"))
@@ -217,7 +245,7 @@ def q_hot_pixel_rows(s, d):
 
 @query(put("SELECT evt_file, submode FROM lists WHERE submode <> 'FastTiming' AND NOT (instrument <> 'EPN' AND submode IN ('PrimeLargeWindow', 'PrimeFullWindowExtended'))", "lists"))
 def q_submodes(s, d):
-    return cleaning.supported_lists(A.event_lists(s, d)).select("evt_file", "submode")
+    return cleaning.supported_lists(A.event_lists(s, d), stop=False).select("evt_file", "submode")
 
 
 @query(put("SELECT evt_file, obsid, island FROM islands", "islands"))
@@ -303,19 +331,41 @@ def q_source_mask(s, d):
     return background.source_mask(cube.images(cells_of(s, d)).select("obsid", "ix", "iy", "total"), sources_of(s, d))
 
 
-@query()
+#: The template in SQL: twenty rounds of diffusion into the masked pixels, then the blur's five taps in each direction, mirrored at the edges.
+ROUNDS = 20
+BACKGROUND = {
+    "mask": "SELECT i.obsid, i.ix, i.iy FROM image i JOIN (SELECT obsid, quantile_cont(total, 0.9) AS q FROM image GROUP BY obsid) USING (obsid) WHERE total > q",
+    "box": "SELECT obsid, min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM image GROUP BY obsid",
+    "grid": "SELECT g.obsid, g.ix, g.iy, coalesce(i.total, 0)::DOUBLE AS total, m.obsid IS NOT NULL AS hole FROM (SELECT obsid, unnest(range(x0, x1 + 1)) AS ix, y0, y1 FROM box) x, LATERAL (SELECT x.obsid, x.ix, unnest(range(x.y0, x.y1 + 1)) AS iy) g LEFT JOIN image i ON i.obsid = g.obsid AND i.ix = g.ix AND i.iy = g.iy LEFT JOIN mask m ON m.obsid = g.obsid AND m.ix = g.ix AND m.iy = g.iy",
+    "f0": "SELECT obsid, ix, iy, hole, CASE WHEN hole THEN NULL ELSE total END AS v FROM grid",
+} | {
+    f"f{k + 1}": f"SELECT a.obsid, a.ix, a.iy, a.hole, CASE WHEN a.hole THEN coalesce(avg(b.v), any_value(a.v)) ELSE any_value(a.v) END AS v FROM f{k} a LEFT JOIN f{k} b ON a.hole AND a.obsid = b.obsid AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND (a.ix <> b.ix OR a.iy <> b.iy) GROUP BY a.obsid, a.ix, a.iy, a.hole"
+    for k in range(ROUNDS)
+} | {
+    "taps": "SELECT d, w / sum(w) OVER () AS w FROM (SELECT d, exp(-0.5 * pow(d / 0.5, 2)) AS w FROM (SELECT unnest(range(-2, 3)) AS d))",
+    "across": f"SELECT f.obsid, f.ix, f.iy, sum(w * coalesce(g.v, 0)) AS v FROM f{ROUNDS} f JOIN box USING (obsid), taps JOIN f{ROUNDS} g ON g.obsid = f.obsid AND g.iy = f.iy AND g.ix = greatest(x0, least(x1, CASE WHEN f.ix + d < x0 THEN 2 * x0 - 1 - f.ix - d WHEN f.ix + d > x1 THEN 2 * x1 + 1 - f.ix - d ELSE f.ix + d END)) GROUP BY ALL",
+    "blurred": "SELECT f.obsid, f.ix, f.iy, sum(w * g.v) AS v FROM across f JOIN box USING (obsid), taps JOIN across g ON g.obsid = f.obsid AND g.ix = f.ix AND g.iy = greatest(y0, least(y1, CASE WHEN f.iy + d < y0 THEN 2 * y0 - 1 - f.iy - d WHEN f.iy + d > y1 THEN 2 * y1 + 1 - f.iy - d ELSE f.iy + d END)) GROUP BY ALL",
+    "template": "SELECT obsid, ix, iy, v / greatest(o, 1) AS template FROM blurred JOIN (SELECT obsid, sum(total) FILTER (NOT hole) AS o FROM grid GROUP BY obsid) USING (obsid)",
+}
+
+
+@query(put("SELECT i.obsid, i.ix, i.iy, round(template, 9) AS template FROM image i JOIN template USING (obsid, ix, iy)", "image", **BACKGROUND))
 def q_background_template(s, d):
     image = cube.images(cells_of(s, d)).select("obsid", "ix", "iy", "total")
-    return background.background_template(image, background.above_percentile(image, 0.9))
+    return background.background_template(image, background.above_percentile(image, 0.9), rounds=ROUNDS).withColumn("template", F.round("template", 9))
 
 
-@query()
+@query(put("""SELECT c.obsid, c.ix, c.iy, c.it, c.n, round(t.template * coalesce(o.n_out, 0) + CASE WHEN m.obsid IS NULL THEN 0 ELSE greatest(0, i.total - t.template * s.outside) / f.n_frames END, 9) AS mu
+    FROM cells c JOIN template t USING (obsid, ix, iy) JOIN image i USING (obsid, ix, iy) LEFT JOIN mask m USING (obsid, ix, iy)
+    LEFT JOIN (SELECT obsid, it, sum(n) AS n_out FROM cells c WHERE NOT EXISTS (SELECT 1 FROM mask m WHERE m.obsid = c.obsid AND m.ix = c.ix AND m.iy = c.iy) GROUP BY ALL) o USING (obsid, it)
+    JOIN (SELECT obsid, sum(total) FILTER (NOT hole) AS outside FROM grid GROUP BY obsid) s USING (obsid) JOIN (SELECT obsid, count(*) AS n_frames FROM frames GROUP BY obsid) f USING (obsid)""", "cells", "frames", "image", **BACKGROUND))
 def q_expectation_sources(s, d):
     cells = cells_of(s, d)
     image = cube.images(cells).select("obsid", "ix", "iy", "total")
     mask = background.above_percentile(image, 0.9).select("obsid", "ix", "iy")
-    template = background.background_template(image, mask)
-    return background.expectation_with_sources(cells, mask, template, background.source_template(image, mask, template, cube.frames_of(cells)))
+    template = background.background_template(image, mask, rounds=ROUNDS)
+    out = background.expectation_with_sources(cells, mask, template, background.source_template(image, mask, template, cube.frames_of(cells)))
+    return out.withColumn("mu", F.round("mu", 9))
 
 
 CLIP = "SELECT i.* FROM {0} i JOIN (SELECT obsid, median(total) AS m, stddev_pop(total) AS s FROM {0} GROUP BY obsid) USING (obsid) WHERE abs(total - m) <= 1.5 * s"

@@ -9,7 +9,7 @@ from ..functions import bayes
 from ..operators import cube
 from ..operators import features as X
 from .cube_queries import cells_of
-from .oracle import put
+from .oracle import TERMS_ECLIPSE, TERMS_PEAK, put, summed
 
 REGISTER: dict[str, tuple] = {}
 
@@ -30,9 +30,11 @@ def curves_of(s, d) -> DataFrame:
     return out.select("runid", "label", "it", "n", (F.col("_p") * F.col("_f") / F.col("_t")).alias("mu"), (F.col("it") % 4 == 0).alias("bti"))
 
 
-def scored_of(s, d) -> DataFrame:
-    c = curves_of(s, d)
-    return c.withColumn("b_peak", F.round(bayes.log_peak(F.col("n"), F.col("mu")), 6)).withColumn("b_eclipse", F.round(bayes.log_eclipse(F.col("n"), F.col("mu")), 6))
+def scored(c: DataFrame) -> DataFrame:
+    """Both factors of every bin; equal (n, mu) are scored once."""
+    kinds = c.select("n", "mu").distinct()
+    kinds = kinds.withColumn("b_peak", F.round(bayes.log_peak(F.col("n"), F.col("mu")), 6)).withColumn("b_eclipse", F.round(bayes.log_eclipse(F.col("n"), F.col("mu")), 6))
+    return c.join(kinds, ["n", "mu"])
 
 
 @query(put("""SELECT runid, label, count(*) AS len, min(n) AS min_n, max(n) AS max_n, round(avg(n), 6) AS mean_n, round(stddev_samp(n), 6) AS std_n, CAST(sum(n) AS BIGINT) AS sum_n,
@@ -43,15 +45,26 @@ def q_lc_features(s, d):
     return X.moments(curves_of(s, d)).withColumns({c: F.round(c, 6) for c in ("mean_n", "std_n", "skew_n", "kurt_n")})
 
 
-CUTS = {"peak": (1.0, 2.0), "eclipse": (0.5, 1.0)}
-SCORED = """SELECT *, round(log10(list_reduce([1.0::DOUBLE] || list_transform(range(1, n + 1), lambda k: k::DOUBLE), lambda a, k: 1 + a * k / mu)), 6) AS b_peak,
-    round(log10(list_sum(list_transform(range(1, 61), lambda j: list_product(list_transform(range(1, j + 1), lambda i: mu / (n + i)))))), 6) AS b_eclipse FROM curves"""
-BINS = ", ".join(f"count(*) FILTER (b_{k} > {c}{w}) AS n_{g}_sig_{k}_bins{e}" for k, cs in CUTS.items() for g, c in zip((3, 5), cs, strict=True) for w, e in (("", ""), (" AND bti", "_bti"), (" AND NOT bti", "_gti")))
+#: Flares and dips put into the curves, deep enough for the thresholds of 3 and 5 sigma.
+INJECTED = """SELECT runid, label, it, bti, mu + extra + 0.05 AS mu, n + CASE WHEN (it + label) % 11 = 3 THEN 12 + (label % 5) * 6 ELSE 0 END + CASE WHEN extra > 0 AND it % 3 = 1 THEN 30 ELSE 0 END AS n
+    FROM (SELECT *, CASE WHEN (it + label) % 7 = 0 THEN 25.0 + (label % 4) * 15 ELSE 0 END::DOUBLE AS extra FROM curves)"""
+SCORED = f"SELECT *, round({summed(TERMS_PEAK)}, 6) AS b_peak, round({summed(TERMS_ECLIPSE)}, 6) AS b_eclipse FROM injected"
+CUTS = {"peak": (bayes.PEAK_3, bayes.PEAK_5), "eclipse": (bayes.ECLIPSE_3, bayes.ECLIPSE_5)}
+BINS = ", ".join(f"count(*) FILTER (b_{k} > {c}::DOUBLE{w}) AS n_{g}_sig_{k}_bins{e}" for k, cs in CUTS.items() for g, c in zip((3, 5), cs, strict=True) for w, e in (("", ""), (" AND bti", "_bti"), (" AND NOT bti", "_gti")))
+
+
+def injected_of(s, d) -> DataFrame:
+    it, label = F.col("it"), F.col("label")
+    extra = F.when((it + label) % 7 == 0, 25.0 + (label % 4) * 15).otherwise(0.0)
+    flare = F.when((it + label) % 11 == 3, 12 + (label % 5) * 6).otherwise(0)
+    c = curves_of(s, d).withColumn("extra", extra)
+    n = F.col("n") + flare + F.when((F.col("extra") > 0) & (it % 3 == 1), 30).otherwise(0)
+    return c.select("runid", "label", "it", "bti", (F.col("mu") + F.col("extra") + 0.05).alias("mu"), n.alias("n"))
 
 
-@query(put(f"SELECT runid, label, {BINS} FROM s GROUP BY ALL", "curves", s=SCORED))
+@query(put(f"SELECT runid, label, {BINS} FROM s GROUP BY ALL", "curves", injected=INJECTED, s=SCORED))
 def q_sig_bins(s, d):
-    return X.significant_bins(scored_of(s, d), CUTS)
+    return X.significant_bins(scored(injected_of(s, d)))
 
 
 @query(put("""SELECT runid, label, count(*) FILTER (coalesce(n > b AND n > a AND n >= 2, false)) AS n_maxima FROM (SELECT *, lag(n) OVER w AS b, lead(n) OVER w AS a FROM (
@@ -88,9 +101,11 @@ def q_ks_statistic(s, d):
     return X.ks_statistic(curves_of(s, d)).withColumn("ks", F.round("ks", 9))
 
 
-@query()
+@query(put(f"""SELECT runid, label, CAST(len AS BIGINT) AS len, round(CASE WHEN lam < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: pow(-1, k - 1) * exp(-2 * k * k * lam * lam))))) END::DOUBLE, 6) AS p
+    FROM (SELECT *, ks * sqrt(len / 2.0::DOUBLE) AS lam FROM ({KS.replace(", 9) AS ks", ", 12) AS ks")}))""", "curves"))
 def q_ks_probability(s, d):
-    return X.ks_statistic(curves_of(s, d)).withColumn("p", X.ks_probability("ks", "len"))
+    found = X.ks_statistic(curves_of(s, d)).withColumn("ks", F.round("ks", 12))
+    return found.select("runid", "label", "len", F.round(X.ks_probability(F.col("ks"), F.col("len")), 6).alias("p"))
 
 
 @query(put("""SELECT runid, label, round(max(x), 9) AS d_plus, round(min(x), 9) AS d_minus FROM (SELECT runid, label, (sum(n) OVER w)::DOUBLE / (sum(n) OVER p)::DOUBLE - row_number() OVER w / (count(*) OVER p)::DOUBLE AS x FROM curves

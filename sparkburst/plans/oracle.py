@@ -71,7 +71,46 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
                 FROM (SELECT first, unnest(members) AS region FROM cl) JOIN regions USING (region)))) WHERE r = 1 GROUP BY first) u JOIN cl l USING (first)"""),
 }
 
+#: The factors by another formula than the folds: logarithms of gamma functions, the greatest term taken out.
+TERMS_PEAK = "list_transform(range(0, {n} + 1), lambda j: lgamma({n} + 1) - lgamma({n} - j + 1) - j * ln({mu}))"
+TERMS_ECLIPSE = "list_transform(range(1, CAST(greatest({mu} - {n}, 0) + 10 * sqrt({mu}) + 80 AS BIGINT)), lambda j: j * ln({mu}) + lgamma({n} + 1) - lgamma({n} + j + 1))"
+
+
+TOP_PEAK, TOP_ECLIPSE = "CAST(greatest(0, {n} - {mu}) AS BIGINT)", "CAST(greatest(1, {mu} - {n}) AS BIGINT)"
+
+
+def factor(kind: str, n: str = "n", mu: str = "mu") -> str:
+    if kind == "peak":
+        j = TOP_PEAK.format(n=n, mu=mu)
+        top, terms = f"(lgamma({n} + 1) - lgamma({n} - {j} + 1) - {j} * ln({mu}))", TERMS_PEAK.format(n=n, mu=mu)
+    else:
+        j = TOP_ECLIPSE.format(n=n, mu=mu)
+        top, terms = f"({j} * ln({mu}) + lgamma({n} + 1) - lgamma({n} + {j} + 1))", TERMS_ECLIPSE.format(n=n, mu=mu)
+    return f"(({top} + ln(list_sum(list_transform({terms}, lambda t: exp(t - {top}))))) / ln(10.0::DOUBLE))"
+
+
+def summed(terms: str, n: str = "n", mu: str = "mu") -> str:
+    """The same where no term overflows."""
+    return f"log10(list_sum(list_transform({terms.format(n=n, mu=mu)}, lambda t: exp(t))))"
+
+
 SEP = "degrees(2 * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(c.dec_deg - r.dec_deg) / 2), 2) + cos(radians(r.dec_deg)) * cos(radians(c.dec_deg)) * pow(sin(radians(c.ra_deg - r.ra_deg) / 2), 2))))) * 3600"
+PARTS["crossed"] = ((), f"""
+        SELECT kind, n, exp(lo) * (1 - 1e-9::DOUBLE) AS m FROM bisected WHERE i = 50""")
+PARTS["bisected"] = ((), f"""
+        SELECT kind, n, 0 AS i, ln(1e-9::DOUBLE) AS lo, ln(1400.0::DOUBLE) AS hi FROM (SELECT unnest(['p', 'e']) AS kind), (SELECT unnest(range(0, 1142)) AS n) WHERE kind = 'e' OR n > 0
+        UNION ALL SELECT kind, n, i + 1, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END FROM (
+          SELECT *, CASE kind WHEN 'p' THEN log10(list_sum(list_transform(range(0, n + 1), lambda j: exp(least(700.0::DOUBLE, lgamma(n + 1) - lgamma(n - j + 1) - j * mid))))) > 5.94096891658419::DOUBLE
+                            ELSE log10(list_sum(list_transform(range(1, 700), lambda j: exp(least(700.0::DOUBLE, j * mid + lgamma(n + 1) - lgamma(n + j + 1)))))) < 5.708917345972507::DOUBLE END AS below
+          FROM (SELECT *, (lo + hi) / 2 AS mid FROM bisected) WHERE i < 50)""")
+PARTS["crossed"] = (("bisected",), PARTS["crossed"][1])
+PARTS["knots"] = (("crossed",), """
+        SELECT g.k, g.mu, CASE WHEN k < 50000 THEN p.n ELSE CAST(ceil((2 * mu + 9 + sqrt(72 * mu + 81)) / 2) AS BIGINT) END AS n_peak, CASE WHEN k < 50000 THEN e.n ELSE CAST(floor((2 * mu + 9 - sqrt(72 * mu + 81)) / 2) AS BIGINT) END AS n_eclipse
+        FROM (SELECT k, CASE WHEN k < 50000 THEN pow(10.0::DOUBLE, -7 + 10 * k / 49999.0::DOUBLE) ELSE pow(10.0::DOUBLE, 3 + 3 * (k - 50000) / 999.0::DOUBLE) END AS mu FROM (SELECT unnest(range(51000)) AS k)) g
+        ASOF LEFT JOIN (SELECT n, m FROM crossed WHERE kind = 'p') p ON g.mu < p.m ASOF LEFT JOIN (SELECT n, m FROM crossed WHERE kind = 'e') e ON g.mu < e.m""")
+PARTS["stairs"] = ((), f"""
+        SELECT 'p' AS kind, round({factor("peak", "n", "1000.0::DOUBLE")}, 9) AS b, sqrt(pow(greatest(n - 1001, 0), 2) / (greatest(n - 1001, 0) + 2000)) AS sigma FROM (SELECT unnest(range(1000, 1502)) AS n)
+        UNION ALL SELECT 'e', round({factor("eclipse", "n", "1000.0::DOUBLE")}, 9), sqrt(pow(greatest(999 - n, 0), 2) / (2000 - greatest(999 - n, 0))) FROM (SELECT unnest(range(590, 1001)) AS n)""")
 PARTS["pairs"] = (PARTS["pairs"][0], PARTS["pairs"][1].replace("{SEP}", SEP))
 PARTS["cl"] = (("regions",), f"""
         SELECT members, min(region) AS first FROM (

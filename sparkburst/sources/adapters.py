@@ -100,5 +100,27 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.withColumn("ra_deg", F.col("ra_deg") + 0.0005).withColumn("dec_deg", F.col("dec_deg") + (F.col("cat_id") % 5) * 0.002)
 
 
+def source_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known sources of each observation's source list, with likelihood, extent in arcseconds and total rate."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    extent = F.when(k % 5 == 0, (k % 7) * 4.0).otherwise(0.0)
+    return s.select(k.alias("source"), F.lpad((k % 3).cast("string"), 10, "0").alias("obsid"), (k % 20).cast("double").alias("det_ml"), extent.alias("extent"), (F.abs("s_acctbal").cast("double") / 4000).alias("total_rate"), (150.0 + ((k * 37) % 100 - 50) * 0.004).alias("ra_deg"), (20.0 + ((k * 53) % 100 - 50) * 0.004).alias("dec_deg"))
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header cards of each observation's image, as text."""
+    n = table(spark, sf_dir, "nation").where("n_nationkey < 3")
+    cards = {"REFXCRVL": F.col("n_nationkey") * 0.01 + 150.0, "REFYCRVL": 20.0 - F.col("n_nationkey") * 0.01, "REFXCRPX": F.lit(25921.0), "REFYCRPX": F.lit(25921.0), "REFXCDLT": F.lit(-1.388888888888889e-05), "REFYCDLT": F.lit(1.388888888888889e-05), "REFXLMAX": F.lit(51840), "REFYLMAX": F.lit(51840)}
+    entries = [x for name, value in cards.items() for x in (F.lit(name), value.cast("string"))]
+    return n.select(F.lpad(F.col("n_nationkey").cast("string"), 10, "0").alias("obsid"), F.create_map(*entries).alias("header"))
+
+
+def pointings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pointing angle in degrees of some observations."""
+    n = table(spark, sf_dir, "nation")
+    return n.where("n_nationkey % 4 <> 3").select(F.lpad((F.col("n_nationkey") * 10).cast("string"), 10, "0").alias("obsid"), (F.col("n_nationkey") * 14.5).alias("angle"))
+
+
 def otypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_type").alias("otype"), F.col("p_brand").alias("subtype"), F.col("p_size").cast("long").alias("count"), F.col("p_partkey").alias("id"))

@@ -2,11 +2,44 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bayes import limit_table
 from ..operators.catalogues import as_columns, as_rows, described
 
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/sparkburst"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
+def kept(make: Callable[[], DataFrame], spark: SparkSession, path: str, anew: bool = False) -> DataFrame:
+    """A stored result, made and written only if it is not there yet, or if it is asked for anew."""
+    if anew or not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def limits(spark: SparkSession, root: str, sigma: float = 3) -> DataFrame:
+    """The limit table of a significance, computed once for a store."""
+    return kept(lambda: limit_table(spark, sigma), spark, f"{root}/limits_{sigma:g}")
+
+
 #: The tables that a run leaves.
 TABLES = ("alerts", "regions", "light_curves", "run_info", "obs_info", "evt_info", "cube_info", "bti")
 

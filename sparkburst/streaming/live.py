@@ -46,11 +46,16 @@ def bad_times(frames: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """What a stream gives when all its present input is read."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, path: str, mode: str) -> DataFrame:
+    """What a stream gives when all its present input is read, written to ``path`` and read again.
+
+    In complete mode every batch replaces the table, else it adds to it.  The
+    stream's own progress is kept beside it, so a stopped one goes on.
+    """
+    how = "overwrite" if mode == "complete" else "append"
+    sink = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode(how).parquet(f"{path}/table"))
+    sink.option("checkpointLocation", f"{path}/progress").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/table")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def test_significant_and_sigma(spark):
     limits = bayes.limit_table(spark, 3, 300, 10)
     got = [(bool(r["is_peak"]), bool(r["is_eclipse"])) for r in bayes.significant(cells, limits).orderBy("mu").collect()]
     assert sorted(got) == [(False, False), (False, False), (False, True), (True, False)]
-    sigma = [r["s"] for r in cells.where("mu > 1").select("n", bayes.sigma_equivalent("n", "mu").alias("s")).collect()]
+    sigma = [r["s"] for r in cells.where("mu > 1").select("n", bayes.sigma_equivalent(F.col("n"), F.col("mu")).alias("s")).collect()]
     assert sigma[0] > 5 and sigma[1] < 1
 
 
@@ -81,7 +81,12 @@ def test_eclipse_against_exact_sums(spark, n, mu):
 
 
 def test_registered_limits_are_the_whole_grid(spark):
-    limits = registry.QUERIES["q_limits"](spark, "").toPandas().sort_values("mu")
+    limits = registry.QUERIES["q_limits"](spark, "").toPandas()
     assert len(limits) == 51_000
-    near = {round(m, 6): (p, e) for m, p, e in limits.itertuples(index=False) if 158.5 < m < 158.7}
-    assert near[158.556483] == (219, 106) and near[158.629519] == (219, 107)
+    near = {round(10**m, 5): (p, e) for _, m, p, e in limits.itertuples(index=False) if 158.5 < 10**m < 158.7}
+    assert near[158.55648] == (219, 106) and near[158.62952] == (219, 107)
+
+
+def test_limits_are_what_a_search_finds(spark):
+    for r in bayes.limit_table(spark, 3, 40, 5).where("k < 40").collect():
+        assert (r["n_peak"], r["n_eclipse"]) == (bayes.least_peak(r["mu"], bayes.threshold("peak", 3)), bayes.greatest_eclipse(r["mu"], bayes.threshold("eclipse", 3)))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkburst.functions import geometry
-from sparkburst.operators import background, catalogues, cleaning, crossmatch, cube, features, filters, regions, simulation
+from sparkburst.operators import background, catalogues, cleaning, crossmatch, cube, features, filters, ranks, regions, simulation
 from sparkburst.plans.pipeline import TransientPipeline
 from sparkburst.sources import fits, store
 from sparkburst.streaming import live
@@ -184,5 +184,46 @@ def test_streaming_bad_times(spark, tmp_path):
     rows = [("o", i, float(v)) for i, v in enumerate([0, 2, 2, 0, 0, 2, 0])]
     spark.createDataFrame(rows, "obsid string, it long, rate double").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("obsid string, it long, rate double").parquet(str(tmp_path / "in"))
-    got = live.drained(live.bad_times(stream, 1.0), "bad", "append").orderBy("start").collect()
+    got = live.drained(live.bad_times(stream, 1.0), str(tmp_path / "out"), "append").orderBy("start").collect()
     assert [(r["start"], r["stop"]) for r in got] == [(0, 2), (4, 5)]
+
+
+def test_submodes_that_nobody_knows(spark):
+    lists = spark.createDataFrame([("a", "EPN", "PrimeFullWindow"), ("b", "EMOS1", "PrimePartialW2"), ("c", "EPN", "FastBurst")], "evt_file string, instrument string, submode string")
+    assert sorted(r["evt_file"] for r in cleaning.supported_lists(lists).collect()) == ["a", "b"]
+    strange = lists.unionByName(spark.createDataFrame([("d", "EMOS2", "Nothing"), ("e", "EPN", None)], lists.schema))
+    assert sorted(r["evt_file"] for r in cleaning.unknown_submodes(strange).collect()) == ["d", "e"]
+    with pytest.raises(Exception, match="unknown submode"):
+        cleaning.supported_lists(strange).collect()
+    with pytest.raises(Exception, match="timing mode"):
+        cleaning.refuse_timing(spark.createDataFrame([("xTIy",)], "evt_file string")).collect()
+
+
+def test_stored_results_are_not_made_twice(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert store.kept(make, spark, str(tmp_path / "r")).count() == 3
+    assert len(made) == 1 and store.kept(make, spark, str(tmp_path / "r"), anew=True).count() == 3 and len(made) == 2
+
+
+def test_running_sums(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS k", "id % 5 AS v")
+    got = sorted((r["k"], r["v"], r["s"]) for r in ranks.summed_before(df, "k", "v", "s").collect())
+    total = 0
+    for _, v, s in got:
+        assert s == total
+        total += v
+
+
+def test_images_count_empty_frames(spark):
+    rows = [("o", 0, 0, t, n) for t, n in ((0, 3), (1, 1), (5, 2), (9, 4))] + [("o", 1, 0, t, 1) for t in range(10)]
+    cells = spark.createDataFrame(rows, "obsid string, ix long, iy long, it long, n long")
+    want = cube.dense(cells).groupBy("ix").agg(F.sum("n").alias("t"), F.avg("n").alias("a"), F.median("n").alias("m"), F.stddev_pop("n").alias("s"), F.min("n").alias("l")).orderBy("ix").collect()
+    got = cube.images(cells).orderBy("ix").collect()
+    for w, g in zip(want, got, strict=True):
+        assert (w["t"], w["l"]) == (g["total"], g["min_n"]) and g["mean_n"] == pytest.approx(w["a"]) and g["median_n"] == pytest.approx(w["m"]) and g["std_n"] == pytest.approx(w["s"])
