@@ -5,13 +5,14 @@ equal windows have equal anchors, so windows need comparing only where their
 anchors are equal.  Consecutive windows of one anchor form a segment.  Equal
 segments collapse into one with its number; where different segments share an
 anchor, their bytes go to that anchor's shard, which is suffix-sorted by external
-induced sorting (see ``suffix_sort``): a window that shares ``LENGTH`` bytes with
-a neighbour in the suffix order starts elsewhere too.  An anchor with very many
+induced sorting (see ``suffix_sort``): a window whose common prefix with a
+neighbour in the suffix order is ``LENGTH`` bytes starts elsewhere too.  An anchor with very many
 different segments is not gathered in one shard: its windows are counted one by
 one, by digest.
 
 Anchors have 64-bit hashes; segments and digests are only compared within an
-anchor, so that 128 bits tell them apart.
+anchor, so that 128 bits tell them apart.  So do a row's id and the hash of its
+text, by which what is found is brought back to the rows.
 """
 
 from __future__ import annotations
@@ -26,17 +27,19 @@ from pyspark.sql import functions as F
 
 from .arrow_text import _INVERSE as INVERSE
 from .arrow_text import buffers, chunks, mix, powers
-from .suffix_sort import suffix_order
+from .suffix_sort import sorted_suffixes
 from .tables import discard, small_batches, written
 
 LENGTH = 200
 #: Bytes of an anchor; a window has LENGTH - KMER + 1 of them.
 KMER = 64
-#: Bytes of a shard that is sorted at once, and memory of its queues.
-SHARD_BYTES = 1 << 20
-QUEUE_MEMORY = 64 << 20
+#: Bytes of a shard that is sorted at once, and memory of its queues, which hold 8 bytes for each of its bytes.
+SHARD_BYTES = 2 << 20
+QUEUE_MEMORY = 2 << 20
 #: Different segments of an anchor that are sorted in one shard.
-MOST_SEGMENTS = 20_000
+MOST_SEGMENTS = 10_000
+#: What identifies a row.
+KEY = ["doc", "key"]
 #: Entries of all lists up to which a table of keyed lists is broadcast (some tens of bytes each).
 BROADCAST_ENTRIES = 1_000_000
 
@@ -93,30 +96,30 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _all_segments(texts: DataFrame, length: int, kmer: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for lo, hi, data, offsets in chunks(batch.column(1)):
+            ids, keys = (batch.column(k).to_numpy() for k in (0, 1))
+            for lo, hi, data, offsets in chunks(batch.column(2)):
                 doc, start, count, anchor, digest = segments(data, offsets, length, kmer)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(anchor), _signed(digest), pa.array(keys[lo:hi][doc]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-                    names=["anchor", "digest", "key", "start", "windows"],
+                    [_signed(anchor), _signed(digest), pa.array(ids[lo:hi][doc]), pa.array(keys[lo:hi][doc]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
+                    names=["anchor", "digest", "doc", "key", "start", "windows"],
                 )
 
-    return texts.mapInArrow(run, "anchor long, digest long, key long, start int, windows int")
+    return texts.mapInArrow(run, "anchor long, digest long, doc long, key long, start int, windows int")
 
 
 def _with_lists(texts: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
     """``texts`` with the lists of their keys; a small table is broadcast, a large one joined by a shuffle."""
     entries = lists.agg(F.coalesce(F.sum(F.size(column) + 1), F.lit(0)).alias("n")).first()["n"]
-    return texts.join(F.broadcast(lists) if entries <= BROADCAST_ENTRIES else lists, "key", how)
+    return texts.join(F.broadcast(lists) if entries <= BROADCAST_ENTRIES else lists, KEY, how)
 
 
 def _merged(ranges: DataFrame) -> DataFrame:
-    """(key, runs): the maximal runs, as flat pairs of start and end, of each key's (start, end) ranges."""
+    """(doc, key, runs): the maximal runs, as flat pairs of start and end, of each row's (start, end) ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = []
-            for listed in batch.column(1):
+            for listed in batch.column(2):
                 flat = listed.values.flatten()
                 start, end = (x.to_numpy() for x in flat)
                 order = np.argsort(start, kind="stable")
@@ -124,37 +127,34 @@ def _merged(ranges: DataFrame) -> DataFrame:
                 fresh = np.concatenate(([True], start[1:] > reach[:-1]))
                 last = np.append(np.flatnonzero(fresh)[1:] - 1, len(start) - 1)
                 runs.append(np.stack((start[fresh], reach[last]), axis=1).reshape(-1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.int32()))], names=["key", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.int32()))], names=["doc", "key", "runs"])
 
-    listed = ranges.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("listed"))
-    return listed.mapInArrow(run, "key long, runs array<int>")
+    listed = ranges.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("listed"))
+    return listed.mapInArrow(run, "doc long, key long, runs array<int>")
 
 
 def _cut(held: DataFrame, length: int) -> DataFrame:
-    """(anchor, key, start, bytes) of listed segments."""
+    """(anchor, doc, key, start, bytes) of listed segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, text, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for doc, key, text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
-                rows += [(s["anchor"], key, s["start"], raw[s["start"] : s["start"] + s["windows"] + length - 1]) for s in listed]
-            a, k, s, b = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.int32()), pa.array(b, pa.binary())], names=["anchor", "key", "start", "bytes"])
+                rows += [(s["anchor"], doc, key, s["start"], raw[s["start"] : s["start"] + s["windows"] + length - 1]) for s in listed]
+            a, d, k, s, b = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.int32()), pa.array(b, pa.binary())], names=["anchor", "doc", "key", "start", "bytes"])
 
-    return held.select("key", "text", "listed").mapInArrow(run, "anchor long, key long, start int, bytes binary")
+    return held.select(*KEY, "text", "listed").mapInArrow(run, "anchor long, doc long, key long, start int, bytes binary")
 
 
 def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each part, whether the window at each start is found at another start of any part: a suffix sort of them all."""
     text = np.frombuffer(b"\xff".join(parts), dtype=np.uint8)  # a byte that no UTF-8 text has
-    order = suffix_order(text, length, QUEUE_MEMORY)
-    sums = _prefix(text)
-    order = order[order + length <= len(text)]
-    h = _hashes(sums, order, order + length)
-    near = np.flatnonzero(h[1:] == h[:-1])
+    order, common = sorted_suffixes(text, length, QUEUE_MEMORY)
+    near = np.flatnonzero(common >= length)
     twice = np.zeros(len(text), dtype=bool)
-    twice[order[near]] = twice[order[near + 1]] = True
+    twice[order[near]] = twice[order[near - 1]] = True
     ends = np.cumsum([len(p) + 1 for p in parts])
     return [twice[e - len(p) - 1 : e - length] for e, p in zip(ends, parts, strict=True)]
 
@@ -165,13 +165,13 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sorted_shards(cut: DataFrame, length: int) -> DataFrame:
-    """(key, start, end) of repeated stretches, from the shards' suffix orders."""
+    """(doc, key, start, end) of repeated stretches, from the shards' suffix orders."""
 
     def judged(held: list[tuple]) -> list[tuple]:
         out = []
-        for (key, start, _), twice in zip(held, repeated_windows([h[2] for h in held], length), strict=True):
+        for (doc, key, start, _), twice in zip(held, repeated_windows([h[3] for h in held], length), strict=True):
             lo, hi = _runs(twice)
-            out += [(key, start + int(a), start + int(b) + length - 1) for a, b in zip(lo, hi, strict=True)]
+            out += [(doc, key, start + int(a), start + int(b) + length - 1) for a, b in zip(lo, hi, strict=True)]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +179,11 @@ def _sorted_shards(cut: DataFrame, length: int) -> DataFrame:
         size, last = 0, None
         for batch in batches:
             out = []
-            for anchor, key, start, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, doc, key, start, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if anchor != last and size >= SHARD_BYTES:
                     out += judged(held)
                     held, size = [], 0
-                held.append((key, start, raw))
+                held.append((doc, key, start, raw))
                 size += len(raw) + 1
                 last = anchor
             if out:
@@ -191,47 +191,47 @@ def _sorted_shards(cut: DataFrame, length: int) -> DataFrame:
         if held:
             yield _ranges(judged(held))
 
-    return cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "key long, start int, end int")
+    return cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc long, key long, start int, end int")
 
 
 def _ranges(rows: list[tuple]) -> pa.RecordBatch:
-    k, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["key", "start", "end"])
+    d, k, a, b = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc", "key", "start", "end"])
 
 
 def _counted_windows(cut: DataFrame, length: int) -> DataFrame:
-    """(key, start, end) of repeated windows of segments that share a very frequent anchor."""
+    """(doc, key, start, end) of repeated windows of segments that share a very frequent anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, key, start, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, doc, key, start, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(raw, dtype=np.uint8)
                 n = len(data) - length + 1
                 at = np.arange(n)
                 h = _hashes(_prefix(data), at, at + length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), _signed(h), pa.array(np.full(n, key)), pa.array((at + start).astype(np.int32))], names=["anchor", "digest", "key", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), _signed(h), pa.array(np.full(n, doc)), pa.array(np.full(n, key)), pa.array((at + start).astype(np.int32))], names=["anchor", "digest", "doc", "key", "start"])
 
-    windows = written(cut.mapInArrow(run, "anchor long, digest long, key long, start int"), "windows")
+    windows = written(cut.mapInArrow(run, "anchor long, digest long, doc long, key long, start int"), "windows")
     twice = windows.groupBy("anchor", "digest").agg(F.count("*").alias("m")).where("m > 1")
-    return windows.join(twice, ["anchor", "digest"], "left_semi").select("key", "start", (F.col("start") + length).alias("end"))
+    return windows.join(twice, ["anchor", "digest"], "left_semi").select(*KEY, "start", (F.col("start") + length).alias("end"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> tuple[DataFrame, DataFrame]:
-    """The keyed texts of ``docs``, and (key, runs) of those with bytes to remove."""
+    """The keyed texts of ``docs``, and (doc, key, runs) of those with bytes to remove."""
     texts = small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    ).select("doc_id", "text", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text").alias("key"))  # rows with equal keys are equal rows
-    found = written(_all_segments(texts.select("key", "text"), length, kmer), "segments")
-    place = F.struct("key", "start", "windows")
+    ).select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("key"))  # rows with equal keys are equal rows
+    found = written(_all_segments(texts.select(*KEY, "text"), length, kmer), "segments")
+    place = F.struct(*KEY, "start", "windows")
     distinct = found.groupBy("anchor", "digest").agg(F.count("*").alias("m"), F.min(place).alias("place"))
     of_anchor = distinct.groupBy("anchor").agg(F.sum("m").alias("total"), F.count("*").alias("kinds"))
     shared = written(distinct.join(of_anchor.where("total > 1"), "anchor"), "shared")
-    span = lambda df: df.select("key", "start", (F.col("start") + F.col("windows") + (length - 1)).cast("int").alias("end"))
+    span = lambda df: df.select(*KEY, "start", (F.col("start") + F.col("windows") + (length - 1)).cast("int").alias("end"))
     whole = span(found.join(shared.where("m > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi"))
 
     mixed = shared.where("kinds > 1").select("anchor", "kinds", "place.*")
-    listed = mixed.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "windows", (F.col("kinds") > MOST_SEGMENTS).alias("many"))).alias("listed"))
-    held = _with_lists(texts.select("key", "text"), written(listed, "listed"), "listed", "inner")
+    listed = mixed.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "start", "windows", (F.col("kinds") > MOST_SEGMENTS).alias("many"))).alias("listed"))
+    held = _with_lists(texts.select(*KEY, "text"), written(listed, "listed"), "listed", "inner")
     part = lambda many: held.withColumn("listed", F.filter("listed", lambda s: s["many"] == many)).where(F.size("listed") > 0)
     partly = _sorted_shards(_cut(part(False), length), length)
     out = whole.unionByName(partly)

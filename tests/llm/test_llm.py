@@ -74,13 +74,50 @@ def test_substrings_short_and_frequent_anchors(spark, docs, many, monkeypatch):
     assert sorted(map(key, got)) == sorted(map(key, want))
 
 
+@pytest.mark.parametrize("few", [0, 64])
 @pytest.mark.parametrize("memory", [16, 1 << 20])
-def test_suffix_order(memory):
+def test_suffix_order(memory, few, monkeypatch):
+    """Order and common prefixes; strings of names by queues (few = 0) and entry by entry."""
+    monkeypatch.setattr(suffix_sort, "_FEW", few)
     rng = np.random.default_rng(3)
-    for _ in range(200):
-        t = rng.integers(97, 97 + rng.integers(1, 4), rng.integers(0, 50)).astype(np.uint8)
-        b = t.tobytes()
-        assert suffix_sort.suffix_order(t, memory=memory).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+    for _ in range(150):
+        t = rng.integers(97, 97 + rng.integers(1, 4), rng.integers(0, 60)).astype(np.uint8)
+        b, cap = t.tobytes(), int(rng.integers(1, 12))
+        order, common = suffix_sort.sorted_suffixes(t, cap, memory)
+        want = sorted(range(len(b)), key=lambda i: b[i:])
+        assert order.tolist() == want
+        for k in range(1, len(b)):
+            x, y = b[want[k - 1] :], b[want[k] :]
+            assert common[k] == next((m for m in range(min(len(x), len(y), cap)) if x[m] != y[m]), min(len(x), len(y), cap))
+
+
+def test_queues_go_to_disk_and_back():
+    text = np.frombuffer(" ".join(t or "" for _, t in corpus(3, 400)).encode(), dtype=np.uint8)
+    spilled = []
+    close = suffix_sort.Queues.close
+
+    def closing(self):
+        spilled.append(self.spilled)
+        close(self)
+
+    suffix_sort.Queues.close = closing
+    try:
+        order, common = suffix_sort.sorted_suffixes(text, 50, len(text) // 2)
+    finally:
+        suffix_sort.Queues.close = close
+    assert sum(spilled) > 4 * len(text) and np.array_equal(order, suffix_sort.suffix_order(text)) and common.max() == 50
+
+
+def test_substrings_in_one_shard_beyond_the_queues(spark):
+    """A shard of over half a megabyte: eight bytes an entry are over four times what its queues may hold."""
+    r = random.Random(2)
+    shared = "".join(r.choice("abcdefghij ") for _ in range(70))
+    noise = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    around = [(noise(150), noise(150)) for _ in range(300)]
+    docs = [(i, a + shared + b[: r.randrange(120, 150)]) for i, (a, b) in enumerate(r.choice(around) if i % 3 == 0 else (noise(150), noise(150)) for i in range(2000))]
+    got = substrings.remove(frame(spark, docs)).drop("kept").collect()
+    want = [(i, *x) for (i, _), x in zip(docs, brute.removed([t for _, t in docs]), strict=True)]
+    assert sorted(map(key, got)) == sorted(map(key, want)) and sum(x[2] > 0 for x in want) > 300
 
 
 def test_hashes_do_not_depend_on_place():
