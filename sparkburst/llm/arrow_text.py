@@ -7,13 +7,16 @@ per-word Python objects.  Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-# the workers' memory is bounded: freed buffers go back to the system at once
+# the workers' memory is bounded: freed buffers and arrays of a megabyte or more go back to the system at once
 pa.set_memory_pool(pa.system_memory_pool())
+if hasattr(_libc := ctypes.CDLL(None), "mallopt"):
+    _libc.mallopt(-3, 1 << 20)  # the size from which an allocation is a mapping of its own
 
 #: Bytes of text that are worked on at once, so that the arrays of a step stay in the cache.
 CHUNK = 1 << 18

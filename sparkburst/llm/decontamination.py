@@ -1,13 +1,18 @@
 """Benchmark decontamination by BM25 retrieval with block-max WAND.
 
-Test items form an inverted index: BM25 weights by term, with each term's
-greatest weight in every block of items.  Every document is a query of its
-distinct terms.  As in block-max WAND, a block of items is scored only where the
-sum of its block maxima reaches the threshold; the whole batch of documents is
-tested at once.  What scores at least an item's threshold is verified by the
-overlap of word shingles with the whole document's, so that words put between an
-item's parts do not hide it, wherever they stand.  The overlaps of its question
-and its answer are reported beside it.
+Test items form an inverted index: posting lists of BM25 weights by term, cut at
+blocks of consecutive items, with the greatest weight of each list in each block.
+Every document is a query of its distinct terms.  An item's weights are divided by
+its threshold, so that one threshold, 1, holds for all.
+
+Blocks whose greatest weights do not add up to the threshold are skipped, for a
+whole batch of documents at once.  In the others WAND walks the posting lists: the
+pivot is the first item at which the greatest weights of the lists up to it reach
+the threshold; lists before it skip to it, and only where all of them meet is an
+item scored.  What scores at least the threshold is verified by the overlap of
+word shingles with the whole document's, so that words put between an item's parts
+do not hide it, wherever they stand.  The overlaps of its question and its answer
+are reported beside it.
 
 The threshold of an item is the least score that a document with enough of its
 shingles can have, so retrieval loses no leak: with u shingles missing at most u
@@ -16,6 +21,7 @@ words of the item are uncovered, and the u heaviest are left out of the sum.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_text import chunks, shingle_hashes, span_hashes, word_bounds
-from .tables import small_batches
+from .tables import small_batches, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -38,7 +44,10 @@ K1, B = 1.2, 0.75
 #: Bytes of test items in one index; a larger benchmark is indexed and queried slice by slice.
 SLICE_BYTES = 16 << 20
 _ITEMS_IN_BLOCK = 8
+_MOST_BLOCKS = 64
 _LONGEST_FIRST_CLASS = 64
+#: What a sum of weights, and of weights in single precision, may fall short by.
+_SLACK, _ROUNDED = 1e-9, 1e-4
 
 #: Words are runs of ASCII letters and digits and of all bytes beyond ASCII.
 _APART = np.ones(256, dtype=bool)
@@ -98,16 +107,15 @@ class Index:
             at = np.searchsorted(self.vocabulary, terms)
             answer = max(1, round(ANSWER_SHARE * len(shingles)))
             self.items.append(Item(item_id, size, shingles, len(shingles) - answer, at, weights / least))
-        n = max(_ITEMS_IN_BLOCK, -(-len(items) // 64))
-        self.blocks = [self.items[k : k + n] for k in range(0, len(items), n)]
-        # of each block its items' terms, their weights, and which item they belong to
-        self.postings = [
-            (np.concatenate([i.terms for i in b]), np.concatenate([i.weights for i in b]), np.repeat(np.arange(len(b)), [len(i.terms) for i in b])) for b in self.blocks
-        ]
-        self.maxima = np.zeros((len(self.vocabulary), len(self.blocks)), dtype=np.float32)
-        for b, block in enumerate(self.blocks):
-            for item in block:
-                np.maximum.at(self.maxima[:, b], item.terms, item.weights.astype(np.float32))
+        # posting lists one after the other, each in the order of its items; blocks are runs of so many items
+        self.block = max(_ITEMS_IN_BLOCK, -(-len(items) // _MOST_BLOCKS))
+        term = np.concatenate([i.terms for i in self.items])
+        of = np.repeat(np.arange(len(self.items)), [len(i.terms) for i in self.items])
+        order = np.lexsort((of, term))
+        term, self.of, self.weights = term[order], of[order], np.concatenate([i.weights for i in self.items])[order]
+        self.lists = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
+        self.maxima = np.zeros((len(self.vocabulary), -(-len(items) // self.block)), dtype=np.float32)
+        np.maximum.at(self.maxima, (term, self.of // self.block), self.weights.astype(np.float32))
         bits = max(12, int(len(self.vocabulary) * 8).bit_length())
         self.shift = np.uint64(64 - bits)
         self.first = np.searchsorted(self.vocabulary >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -137,36 +145,84 @@ class Index:
         keys = np.unique(doc * len(self.vocabulary) + term[known])
         at, terms = keys // len(self.vocabulary), keys % len(self.vocabulary)
         used, starts = np.unique(at, return_index=True)
-        bound = np.add.reduceat(self.maxima[terms], starts, axis=0)
         ends = np.append(starts[1:], len(terms))
-        mine = np.zeros(len(self.vocabulary), dtype=bool)
-        for k in np.flatnonzero((bound >= 1 - 1e-4).any(axis=1)):
-            here = terms[starts[k] : ends[k]]
-            mine[here] = True
-            for b in np.flatnonzero(bound[k] >= 1 - 1e-4):
-                at_terms, weights, of = self.postings[b]
-                scores = np.bincount(of, weights * mine[at_terms], minlength=len(self.blocks[b]))
-                for i in np.flatnonzero(scores >= 1 - 1e-9):
-                    yield int(used[k]), float(scores[i]), self.blocks[b][i]
-            mine[here] = False
+        bound = np.add.reduceat(self.maxima[terms], starts, axis=0) >= 1 - _ROUNDED
+        for k in np.flatnonzero(bound.any(axis=1)):
+            for b in np.flatnonzero(bound[k]):
+                for item, score in self.walk(terms[starts[k] : ends[k]], int(b)):
+                    yield int(used[k]), score, self.items[item]
+
+    def walk(self, terms: np.ndarray, block: int) -> Iterator[tuple[int, float]]:
+        """(item, score) of every item of a block that the terms score at least 1 for."""
+        cursors = []
+        for t in terms[self.maxima[terms, block] > 0].tolist():
+            a, b = self.lists[t], self.lists[t + 1]
+            lo, hi = np.searchsorted(self.of[a:b], (block * self.block, (block + 1) * self.block)) + a
+            cursors.append(_Cursor(self.of[lo:hi].tolist(), self.weights[lo:hi].tolist()))
+        while cursors:
+            cursors.sort(key=_Cursor.item)
+            bound, pivot = 0.0, None
+            for x in cursors:
+                bound += x.greatest
+                if bound >= 1 - _SLACK:
+                    pivot = x.now
+                    break
+            if pivot is None:
+                return
+            if cursors[0].now == pivot:
+                here = [x for x in cursors if x.now == pivot]
+                score = sum(x.weight() for x in here)
+                if score >= 1 - _SLACK:
+                    yield pivot, score
+                for x in here:
+                    x.seek(pivot + 1)
+            else:
+                for x in cursors:
+                    if x.now < pivot:
+                        x.seek(pivot)
+            cursors = [x for x in cursors if x.now is not None]
+
+
+class _Cursor:
+    """A place in a posting list of one block."""
+
+    __slots__ = ("at", "greatest", "items", "now", "weights")
+
+    def __init__(self, items: list[int], weights: list[float]):
+        self.items, self.weights, self.greatest = items, weights, max(weights)
+        self.at, self.now = 0, items[0]
+
+    def item(self) -> int:
+        return self.now
+
+    def weight(self) -> float:
+        return self.weights[self.at]
+
+    def seek(self, item: int) -> None:
+        """To the first posting of ``item`` or a later one; ``now`` is None behind the last."""
+        self.at = bisect_left(self.items, item, self.at)
+        self.now = self.items[self.at] if self.at < len(self.items) else None
 
 
 class Benchmark:
     """The indexes of some test items, one for each class of lengths."""
 
-    def __init__(self, rows: list[tuple[int, str]], similarity: float = SIMILARITY):
+    def __init__(self, rows: list[tuple[int, str]], similarity: float = SIMILARITY, statistics: tuple[int, float, dict[int, int]] | None = None):
+        """``statistics`` of the whole benchmark, if the rows are a slice of it: items, their mean length, items by term."""
         self.similarity = similarity
         items = []
         for _, _, data, offsets in chunks(_lowered(pa.array([t for _, t in rows], pa.large_string()))):
             words, bounds = _words(data, offsets)
             items += [words[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1)]
         items = [(i, w) for (i, _), w in zip(rows, items, strict=True) if len(w)]
-        df: dict[int, int] = {}
-        for _, w in items:
-            for t in np.unique(w).tolist():
-                df[t] = df.get(t, 0) + 1
-        idf = {t: float(np.log(1 + (len(items) - n + 0.5) / (n + 0.5))) for t, n in df.items()}
-        mean = float(np.mean([len(w) for _, w in items])) if items else 1.0
+        if statistics is None:
+            df: dict[int, int] = {}
+            for _, w in items:
+                for t in np.unique(w).tolist():
+                    df[t] = df.get(t, 0) + 1
+            statistics = len(items), float(np.mean([len(w) for _, w in items])) if items else 1.0, df
+        total, mean, df = statistics
+        idf = {t: float(np.log(1 + (total - n + 0.5) / (n + 0.5))) for t, n in df.items()}
         classes: dict[int, list] = {}
         for item in items:
             classes.setdefault(max(_LONGEST_FIRST_CLASS, 1 << (len(item[1]) - 1).bit_length()), []).append(item)
@@ -190,14 +246,48 @@ class Benchmark:
         return out
 
 
+def _terms_of(items: DataFrame) -> DataFrame:
+    """(part, term, size): each item's distinct terms, and once an item, with a null term, its length in words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in chunks(_lowered(batch.column(1))):
+                words, bounds = _words(data, offsets)
+                parts = batch.column(0).to_pylist()[lo:hi]
+                rows = []
+                for part, a, b in zip(parts, bounds[:-1], bounds[1:], strict=True):
+                    if a < b:
+                        rows += [(part, None, int(b - a)), *((part, t, None) for t in np.unique(words[a:b]).view(np.int64).tolist())]
+                p, t, n = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(t, pa.int64()), pa.array(n, pa.int64())], names=["part", "term", "size"])
+
+    return small_batches(items).mapInArrow(run, "part long, term long, size long")
+
+
 def _slices(benchmark: DataFrame, similarity: float) -> list[Broadcast]:
-    """Indexes of the benchmark's slices, each of a bounded size, as broadcast variables."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    """Indexes of the benchmark's slices, each of a bounded size, as broadcast variables.
+
+    Weights and thresholds are those of the whole benchmark, whatever the slices:
+    its statistics are counted by tasks, and of a slice's terms alone they come
+    along with it.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-size // SLICE_BYTES))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(n))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(n)))
     send = benchmark.sparkSession.sparkContext.broadcast
-    return [send(Benchmark([(r[0], r[1]) for r in items.where(part == k).distinct().orderBy("item_id", "text").collect()], similarity)) for k in range(n)]
+    rows = lambda k: [(r[0], r[1]) for r in items.where(F.col("part") == k).orderBy("item_id", "text").select("item_id", "text").collect()]
+    if n == 1:
+        return [send(Benchmark(rows(0), similarity))]
+    terms = written(_terms_of(items.select("part", "text")), "terms")
+    total = terms.where("term is null").agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
+    counted = written(terms.where("term is not null").groupBy("term").agg(F.count("*").alias("n")), "counted")
+    out = []
+    for k in range(n):
+        mine = terms.where((F.col("part") == k) & F.col("term").isNotNull()).select("term").distinct().join(counted, "term")
+        df = {r["term"] & ((1 << 64) - 1): r["n"] for r in mine.collect()}  # as many as a slice has terms
+        out.append(send(Benchmark(rows(k), similarity, (total["n"], total["mean"] or 1.0, df))))
+    return out
 
 
 LEAKS = T.StructType(

@@ -505,10 +505,31 @@ def test_decontamination_with_asides(spark):
 def test_decontamination_in_slices(spark, monkeypatch):
     items = spark.createDataFrame([(i, f"item number {i} has words of its own {i * 7} and {i * 11} end") for i in range(20)], "item_id long, text string")
     docs = frame(spark, [(i, f"before item number {i} has words of its own {i * 7} and {i * 11} end after") for i in range(20)])
-    whole = sorted(tuple(r)[:2] for r in decontamination.leaks(docs, items).collect())
+    rounded = lambda: sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in decontamination.leaks(docs, items).collect())
+    whole = rounded()
     monkeypatch.setattr(decontamination, "SLICE_BYTES", 200)
-    assert sorted(tuple(r)[:2] for r in decontamination.leaks(docs, items).collect()) == whole
-    assert [r for r in whole if r[0] == r[1]] == [(i, i) for i in range(20)]
+    assert rounded() == whole  # scores too: they are those of the whole benchmark
+    assert [r[:2] for r in whole if r[0] == r[1]] == [(i, i) for i in range(20)]
+
+
+def test_block_max_walk_loses_nothing_and_skips(monkeypatch):
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(r.choice(vocabulary[: 40 + i]) for _ in range(r.randrange(5, 60)))) for i in range(300)]
+    index = decontamination.Benchmark(rows).indexes[0]
+    scored = []
+    weight = decontamination._Cursor.weight
+    monkeypatch.setattr(decontamination._Cursor, "weight", lambda self: scored.append(self.now) or weight(self))
+    looked_at = 0
+    for _ in range(40):
+        terms = np.array(sorted(r.sample(range(len(index.vocabulary)), r.randrange(1, 120))))
+        have = set(terms.tolist())
+        sums = [sum(w for t, w in zip(i.terms.tolist(), i.weights.tolist(), strict=True) if t in have) for i in index.items]
+        scored.clear()
+        got = {k: x for b in range(index.maxima.shape[1]) for k, x in index.walk(terms, b)}
+        assert set(got) == {k for k, x in enumerate(sums) if x >= 1 - 1e-9} and all(abs(got[k] - sums[k]) < 1e-9 for k in got)
+        looked_at += len(set(scored))
+    assert looked_at < 0.5 * 40 * len(index.items)
 
 
 def call(i, name, depends=(), **arguments):
