@@ -4,7 +4,9 @@ A document's tokens are cut into whole windows of the longest tier; its tail is
 routed to the shortest tier that holds it.  Windows are packed from the longest
 tail down; the gap that a tail leaves in its window is filled with the largest
 tails that fit, of shorter tiers, and closed exactly by cutting one more tail.
-Sequences are dealt to step groups of equal token totals, tier by tier.
+Sequences are dealt to step groups of equal token totals, tier by tier: counts of
+each task's sequences tell where its own begin in the whole order, so that only
+the last group of a tier can be short.
 
 Every task packs the documents of its own partition in buffers of bounded size:
 no token is shuffled, no task sees more than one buffer, and a lost task is
@@ -25,13 +27,16 @@ import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .tables import small_batches
+from .tables import small_batches, written
 
 END_ID = 1
+#: Bits of a sequence's number within its task.
+_TASK_BITS = 32
 TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 8 * 2048
 #: Tails that a task holds before it packs them.
@@ -39,6 +44,7 @@ BUFFER = 2048
 #: Texts with a longer run without white space, or of white space, go to the reference tokenizer.
 _LONG_RUN = 5000
 
+#: What a task writes; ``nth`` is the sequence's number among those of its task and tier.
 SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -49,7 +55,7 @@ SCHEMA = T.StructType(
         T.StructField("sequence_id", T.LongType()),
         T.StructField("offset", T.LongType()),
         T.StructField("tier", T.IntegerType()),
-        T.StructField("step_group", T.LongType()),
+        T.StructField("nth", T.LongType()),
     ]
 )
 _ARROW = pa.schema(
@@ -95,11 +101,10 @@ def token_ids(text: str, vocabulary: str, special: str = "<|endoftext|>") -> np.
 class Packer:
     """Packs the documents given to ``add`` one by one; ``out`` has a row for each piece."""
 
-    def __init__(self, first_sequence: int = 0, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, buffer: int = BUFFER):
-        self.tiers, self.step_tokens, self.buffer = tuple(sorted(tiers)), step_tokens, buffer
+    def __init__(self, first_sequence: int = 0, tiers: tuple[int, ...] = TIERS, buffer: int = BUFFER):
+        self.tiers, self.buffer = tuple(sorted(tiers)), buffer
         self.first, self.sequences, self.count = first_sequence, 0, 0
         self.in_tier: dict[int, int] = {}
-        self.groups: dict[tuple[int, int], int] = {}
         self.tails: list[tuple] = []  # (length, order, doc_id, start, doc_tokens, ids), sorted
         self.out: list[tuple] = []
 
@@ -175,11 +180,9 @@ class Packer:
         self.sequences += 1
         nth = self.in_tier.get(tier, 0)
         self.in_tier[tier] = nth + 1
-        step = (tier, nth // max(1, self.step_tokens // tier))
-        group = self.first + self.groups.setdefault(step, len(self.groups))
         offset = 0
         for length, _, doc_id, start, n, ids in window:
-            self.out.append((doc_id, start, length, zlib.crc32(ids.tobytes()), n, sequence, offset, tier, group))
+            self.out.append((doc_id, start, length, zlib.crc32(ids.tobytes()), n, sequence, offset, tier, nth))
             offset += length
 
 
@@ -188,15 +191,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
-    """One row for each piece of each document (see ``SCHEMA``).
+    """One row for each piece of each document: ``SCHEMA``'s columns with ``step_group`` in place of ``nth``.
+
+    A step group has ``step_tokens`` tokens in sequences of one tier, the last of a tier fewer.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are not read.  A null
     or empty text is the end id alone.  Rows are packed one by one, so repeated
-    rows and null ids give pieces of their own.  An empty table gives no rows.
+    rows and null ids give pieces of their own; rows that share a doc_id are told
+    apart by their sequences only.  An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(TaskContext.get().partitionId() << 32, tiers, step_tokens)
+        packer = Packer(TaskContext.get().partitionId() << _TASK_BITS, tiers)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = token_ids(text.as_py() or "", vocabulary)
@@ -208,4 +214,14 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", tiers: tuple[int, ..
         if packer.out:
             yield _batch(packer.out)
 
-    return small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    texts = small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    pieces = written(texts.mapInArrow(run, SCHEMA), "pieces")
+    task = F.shiftright("sequence_id", _TASK_BITS)
+    counts = pieces.groupBy(task.alias("task"), "tier").agg((F.max("nth") + 1).alias("n"))
+    earlier = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("task", "tier", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))  # a row for each task and tier
+    size = F.create_map(*[F.lit(x) for t in tiers for x in (t, max(1, step_tokens // t))])
+    place = F.create_map(*[F.lit(x) for k, t in enumerate(sorted(tiers)) for x in (t, k)])
+    group = F.floor((F.col("before") + F.col("nth")) / F.element_at(size, F.col("tier"))) * len(tiers) + F.element_at(place, F.col("tier"))
+    joined = pieces.withColumn("task", task).join(starts, ["task", "tier"])
+    return joined.select(*[c for c in SCHEMA.fieldNames() if c != "nth"], group.cast("long").alias("step_group"))

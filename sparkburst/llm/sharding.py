@@ -1,8 +1,10 @@
 """Proportional stratified interleaving.
 
-Rows are shuffled by a seeded digest of their id and ranked within their source;
-sorting all rows by the fractional rank (rank - 1/2) / n(source) spreads every
-source evenly over the order, so that any cut of it has the mixture of the whole.
+Rows are shuffled by a seeded digest of their id and text and ranked within their
+source; sorting all rows by the fractional rank (rank - u) / n(source) spreads
+every source evenly over the order, so that any cut of it has the mixture of the
+whole.  u is the digest's own fraction, so that the rows of many small sources do
+not all stand at one place.
 Ranks come from counts of small buckets of the digest and windows inside a
 bucket: a source that holds most of the rows is ranked by many tasks.
 """
@@ -19,7 +21,7 @@ SEED = "shard-1"
 #: Rows of a bucket that one window partition orders, on average.
 BUCKET_ROWS = 2_000
 #: Buckets whose counts one window orders; beyond, buckets hold more rows.
-MOST_BUCKETS = 100_000
+MOST_BUCKETS = 5_000_000
 
 
 def _placed(rows: DataFrame, keys: list[str], bucket: str, order: list[str], name: str) -> DataFrame:
@@ -46,7 +48,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("digest"),
+            F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(text).cast("string")).cast("binary")).alias("digest"),
         ),
         "sizes",
     )
@@ -56,7 +58,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     first = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
     ranked = _placed(rows.withColumn("_b", F.floor(first * buckets / F.lit(1 << 32)).cast("long")), ["source"], "_b", order, "_rank").drop("_b")
     of_source = rows.groupBy("source").agg(F.count("*").alias("_of"))
-    spread = ranked.join(of_source, "source").withColumn("_f", (2 * F.col("_rank") + 1) / (2 * F.col("_of")))
+    spread = ranked.join(of_source, "source").withColumn("_f", (F.col("_rank") + (first + 0.5) / F.lit(float(1 << 32))) / F.col("_of"))
     spread = spread.withColumn("_all", F.lit(0)).withColumn("_b", F.floor(F.col("_f") * buckets).cast("long"))
     dealt = _placed(spread, ["_all"], "_b", ["_f", "source", *order], "_at").withColumn("shard", F.floor(F.expr(f"(_at * {shards}) div {max(1, total)}")).cast("int"))
     slot = F.col("_at") - F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")

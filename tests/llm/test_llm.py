@@ -366,6 +366,13 @@ def test_packing_round_trip(spark, docs):
         assert at <= 2048
         padding += 0 if at & (at - 1) == 0 else 2048 - at
     assert padding <= 2048 * 3
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["tier"], r["step_group"]), set()).add(r["sequence_id"])
+    for tier in packing.TIERS:
+        sizes = [len(v) for (t, _), v in sorted(groups.items()) if t == tier]
+        assert all(n == packing.STEP_TOKENS // tier for n in sizes[:-1])
+    assert len({g for _, g in groups}) == len(groups)
     assert packing.pack(frame(spark, [])).count() == 0
 
 
@@ -392,6 +399,10 @@ def test_sharding(spark, docs, bucket, monkeypatch):
         assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sizes[s]))
         big = sum(r["shard"] == s and r["source"] == "big" for r in out)
         assert abs(big - sum(r["source"] == "big" for r in out) / 7) <= 3
+    # many sources of one row each spread over all shards
+    small = spark.createDataFrame([(i, "t", None, f"own{i}", 0, None, None) for i in range(350)], SCHEMA)
+    counts = [r["count"] for r in sharding.shard(small, shards=7).groupBy("shard").count().collect()]
+    assert counts == [50] * 7
     text = {i: t for i, t in docs if i is not None}
     for r in out:
         if r["doc_id"] in text:
