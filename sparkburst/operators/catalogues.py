@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iau_name
-from .crossmatch import within
+from .crossmatch import NO_MATCH, within
 
 #: Units and descriptions that a catalogue's columns carry as metadata.
 COLUMNS = {
@@ -20,6 +20,53 @@ COLUMNS = {
 }
 
 
+#: The measures of a light curve that the full catalogue of detections carries, behind ``lc_``.
+CURVE_COLUMNS = ("n_max", "n_min", "n_sum", "n_mean", "n_std", "n_skew", "n_kurt", "sigma_max_B_peak", "sigma_max_B_eclipse", "ratio_bti", "bin_min_between_peaks", "n_peaks", "ks_pval")
+#: Its quality flags.
+FLAG_COLUMNS = ("filt_tbin_5_n_l_5", "filt_exclude_obsid", "filt_5sig", "filt_g_20_detections", "filt_hot_pixel")
+#: By prefix of the full catalogue of sources, what it takes from each external catalogue.
+EXTERNAL_COLUMNS = {
+    "simbad": ("main_id", "main_type", "ra", "dec", "SEP_ARCSEC"),
+    "gaia": ("DR3Name", "RAdeg", "DEdeg", "SEP_ARCSEC", "Gmag", "BPmag", "RPmag", "Dist", "Teff", "VarFlag"),
+    "SUSS6": ("XMMOM", "ID", "RAJ2000", "DEJ2000", "SEP_ARCSEC", "Nobs", "UVW2mAB", "UVM2mAB", "UVW1mAB", "UmAB", "BmAB", "VmAB"),
+    "DR14": ("IAUNAME", "SRCID", "SC_RA", "SC_DEC", "SC_POSERR", "SC_EP_8_FLUX", "SEP_ARCSEC", "SC_VAR_FLAG"),
+}
+
+
+def full_detections(regions: DataFrame, features: DataFrame, flags: DataFrame) -> DataFrame:
+    """The 27 columns of every detection: position, extraction region, light curve and flags.
+
+    ``features`` and ``flags`` are keyed by detid and have the columns named in
+    ``CURVE_COLUMNS`` and ``FLAG_COLUMNS``; the name is that of the unique source.
+    """
+    source = regions.groupBy("cluster_label").agg(iau_name(F.avg("ra_deg"), F.avg("dec_deg")).alias("srcid"))
+    placed = regions.select("detid", "cluster_label", "ra_deg", "dec_deg", "x_img", "y_img", "area_bbox", "intensity_mean")
+    joined = placed.join(source, "cluster_label").join(features, "detid", "left").join(flags, "detid", "left")
+    own = ["detid", "srcid", F.col("cluster_label").alias("unique_reg_id"), "ra_deg", "dec_deg", F.col("x_img").alias("X"), F.col("y_img").alias("Y"), "area_bbox", (F.col("intensity_mean") / F.col("area_bbox")).alias("mean_pixel_intensity")]
+    return described(joined.select(*own, *[F.col(c).alias(f"lc_{c}") for c in CURVE_COLUMNS], *FLAG_COLUMNS))
+
+
+def full_sources(regions: DataFrame, matches: dict[str, DataFrame], radius_arcsec: float = 20.0) -> DataFrame:
+    """The 40 columns of every unique source: its own, and of four external catalogues.
+
+    ``matches`` has by prefix the closest row of a catalogue for each
+    cluster_label.  A separation that stands for no match is null; of the last
+    catalogue everything beyond the radius is null, its number 0 and its flag false.
+    """
+    own = regions.groupBy(F.col("cluster_label").alias("region_num")).agg(iau_name(F.avg("ra_deg"), F.avg("dec_deg")).alias("srcid"), F.avg("ra_deg").alias("ra_deg"), F.avg("dec_deg").alias("dec_deg"), F.count("*").alias("n_detections"))
+    for prefix, names in EXTERNAL_COLUMNS.items():
+        found = matches[prefix].select(F.col("cluster_label").alias("region_num"), *[F.col(c).alias(f"{prefix}_{c}") for c in names])
+        own = own.join(found, "region_num", "left")
+        sep = F.col(f"{prefix}_SEP_ARCSEC")
+        if prefix != "DR14":
+            own = own.withColumn(f"{prefix}_SEP_ARCSEC", F.when(sep != NO_MATCH, sep))
+            continue
+        near = F.coalesce(sep <= radius_arcsec, F.lit(False))
+        instead = {"SC_VAR_FLAG": F.lit(False), "SRCID": F.lit(0).cast("long")}
+        own = own.withColumns({f"{prefix}_{c}": F.when(near, F.col(f"{prefix}_{c}")).otherwise(instead.get(c, F.lit(None))) for c in names})
+    return described(own)
+
+
 def described(df: DataFrame) -> DataFrame:
     for name, (unit, comment) in COLUMNS.items():
         if name in df.columns:

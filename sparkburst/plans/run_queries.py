@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import background, cleaning
 from ..operators import catalogues as K
+from ..operators import crossmatch as C
+from ..operators import filters as P
 from ..operators import features as X
 from ..operators import regions as R
 from ..operators import statistics as S
 from ..sources import adapters as A
 from ..sources import store
+from .catalogue_queries import EXCLUDED, HOT, MEASURED, RECT, measured, rectangles
 from .cube_queries import COMPONENTS, REACH, cells_of, labelled_of
 from .curve_queries import curves_of
 from .oracle import FRAME, put
@@ -234,3 +237,76 @@ def q_ks_poisson(s, d):
 def q_paired_t_probability(s, d):
     t = X.paired_t(curves_of(s, d), 60)
     return t.select("runid", "label", "m", F.round(X.t_probability(F.col("t"), F.col("m") - 1), 6).alias("p"))
+
+
+CURVE_SQL = ", ".join(f"((m.region * {k + 3}) % {40 + k}) / {k + 2}.0::DOUBLE AS lc_{c}" for k, c in enumerate(K.CURVE_COLUMNS))
+NAME_SQL = """'J' || lpad(CAST(t // 36000 AS VARCHAR), 2, '0') || lpad(CAST(t // 600 % 60 AS VARCHAR), 2, '0') || lpad(CAST(t // 10 % 60 AS VARCHAR), 2, '0') || '.' || (t % 10) || CASE WHEN dec < 0 THEN '-' ELSE '+' END
+    || lpad(CAST(a // 3600 AS VARCHAR), 2, '0') || lpad(CAST(a // 60 % 60 AS VARCHAR), 2, '0') || lpad(CAST(a % 60 AS VARCHAR), 2, '0')"""
+NAMED = f"""SELECT cluster_label, ra, dec, n, {NAME_SQL} AS srcid FROM (SELECT *, CAST(floor(round(ra / 15 * 36000, 4)) AS BIGINT) AS t, CAST(floor(round(abs(dec) * 3600, 4)) AS BIGINT) AS a FROM (
+    SELECT cluster_label, avg(ra_deg) AS ra, avg(dec_deg) AS dec, count(*) AS n FROM m GROUP BY cluster_label))"""
+#: detid is not unique among the test regions, region is: it is added to it.
+KEYED = "SELECT * EXCLUDE detid, detid || '_' || region AS detid FROM m0"
+
+
+def keyed(s, d):
+    return measured(s, d).withColumn("detid", F.concat_ws("_", "detid", F.col("region").cast("string")))
+
+
+@query(put(f"""SELECT m.detid, n.srcid, m.cluster_label AS unique_reg_id, round(m.ra_deg, 6) AS ra_deg, round(m.dec_deg, 6) AS dec_deg, m.x_img AS "X", m.y_img AS "Y", m.area_bbox, round(m.intensity_mean / m.area_bbox, 9) AS mean_pixel_intensity, {CURVE_SQL},
+    contains(runid, '_5_') AND intensity < 500 AS filt_tbin_5_n_l_5, regexp_extract(runid, '([0-9]{{10}})', 1) IN ('0000000011', '0000000102', '0000000203') AS filt_exclude_obsid, b_peak_max > 13.2 OR b_eclipse_max > 12.38 AS filt_5sig,
+    count(*) OVER (PARTITION BY runid) > 2 AS filt_g_20_detections, detid IN (SELECT detid FROM ({HOT})) AS filt_hot_pixel FROM m JOIN named n USING (cluster_label)""", "regions", m0=MEASURED, m=KEYED, rect=RECT, named=NAMED))
+def q_detections_full(s, d):
+    r = keyed(s, d)
+    features = r.select("detid", *[(((F.col("region") * (k + 3)) % (40 + k)) / float(k + 2)).alias(c) for k, c in enumerate(K.CURVE_COLUMNS)])
+    hot = P.hot_flag(P.quality_flags(r, EXCLUDED, 2), rectangles(s))
+    flags = hot.select("detid", F.col("low_counts").alias("filt_tbin_5_n_l_5"), F.col("excluded").alias("filt_exclude_obsid"), P.five_sigma().passed().alias("filt_5sig"), F.col("crowded_run").alias("filt_g_20_detections"), F.col("is_hot").alias("filt_hot_pixel"))
+    out = K.full_detections(r, features, flags)
+    return out.withColumns({"ra_deg": F.round("ra_deg", 6), "dec_deg": F.round("dec_deg", 6), "mean_pixel_intensity": F.round("mean_pixel_intensity", 9)})
+
+
+#: Columns of the external catalogues of the tests: text for names, the catalogue's flag, positions, else numbers.
+TEXT, PLACES = ("main_id", "main_type", "DR3Name", "XMMOM", "IAUNAME"), {"ra": "ra_deg", "dec": "dec_deg", "RAdeg": "ra_deg", "DEdeg": "dec_deg", "RAJ2000": "ra_deg", "DEJ2000": "dec_deg", "SC_RA": "ra_deg", "SC_DEC": "dec_deg"}
+
+
+def _external_sql(prefix: str) -> str:
+    out = []
+    for k, c in enumerate(K.EXTERNAL_COLUMNS[prefix]):
+        null = lambda x: f"CASE WHEN e.sep <= 20 THEN {x} END" if prefix == "DR14" else x  # noqa: B023, E731
+        if c == "SEP_ARCSEC":
+            out.append(f"{null('e.sep')} AS {prefix}_{c}")
+        elif c in TEXT:
+            out.append(null(f"'{c}-' || e.cat_id") + f" AS {prefix}_{c}")
+        elif c in PLACES:
+            out.append(null(f"round(e.{PLACES[c]}, 6)") + f" AS {prefix}_{c}")
+        elif c in ("VarFlag", "SC_VAR_FLAG"):
+            out.append((f"coalesce(e.sep <= 20 AND e.var_flag, false)" if prefix == "DR14" else "e.var_flag") + f" AS {prefix}_{c}")
+        elif c in ("SRCID", "ID", "Nobs"):
+            out.append((f"CASE WHEN e.sep <= 20 THEN e.cat_id * {k} ELSE 0 END" if prefix == "DR14" else f"e.cat_id * {k}") + f" AS {prefix}_{c}")
+        else:
+            out.append(null(f"e.flux / {k + 1}.0::DOUBLE") + f" AS {prefix}_{c}")
+    return f"SELECT n.cluster_label AS region_num, {', '.join(out)} FROM named n LEFT JOIN (SELECT * FROM best WHERE cat_id % 4 <> {list(K.EXTERNAL_COLUMNS).index(prefix)}) e USING (cluster_label)"
+
+
+BEST = """SELECT cluster_label, cat_id, sep, c.ra_deg, c.dec_deg, c.flux, c.var_flag FROM (SELECT m.cluster_label, cat_id, sep, row_number() OVER (PARTITION BY m.cluster_label ORDER BY sep, cat_id) AS r FROM pairs JOIN m USING (region) WHERE sep <= 60) JOIN catalogue c USING (cat_id) WHERE r = 1"""
+
+
+@query(put("SELECT n.cluster_label AS region_num, n.srcid, round(n.ra, 6) AS ra_deg, round(n.dec, 6) AS dec_deg, n.n AS n_detections, a.* EXCLUDE region_num, b.* EXCLUDE region_num, c.* EXCLUDE region_num, d.* EXCLUDE region_num FROM named n "
+    + " ".join(f"JOIN ({_external_sql(p)}) {t} ON {t}.region_num = n.cluster_label" for t, p in zip("abcd", K.EXTERNAL_COLUMNS, strict=True)), "pairs", m=MEASURED, named=NAMED, best=BEST))
+def q_sources_full(s, d):
+    r = measured(s, d)
+    pairs = C.within(r, A.catalogue(s, d), 60.0).join(r.select("region", "cluster_label"), "region").select("cluster_label", "cat_id", "sep")
+    best = C.closest(pairs, "cluster_label").join(A.catalogue(s, d), "cat_id")
+
+    def column(k: int, c: str):
+        if c == "SEP_ARCSEC":
+            return F.col("sep").alias(c)
+        if c in TEXT:
+            return F.concat(F.lit(f"{c}-"), F.col("cat_id").cast("string")).alias(c)
+        if c in PLACES:
+            return F.round(PLACES[c], 6).alias(c)
+        if c in ("VarFlag", "SC_VAR_FLAG"):
+            return F.col("var_flag").alias(c)
+        return (F.col("cat_id") * k if c in ("SRCID", "ID", "Nobs") else F.col("flux") / float(k + 1)).alias(c)
+
+    matches = {p: best.where(F.col("cat_id") % 4 != n).select("cluster_label", *[column(k, c) for k, c in enumerate(names)]) for n, (p, names) in enumerate(K.EXTERNAL_COLUMNS.items())}
+    return K.full_sources(r, matches).withColumns({"ra_deg": F.round("ra_deg", 6), "dec_deg": F.round("dec_deg", 6)})
