@@ -158,18 +158,24 @@ def q_bti(s, d):
     return intervals.bad_times(intervals.high_energy_curve(A.photons(s, d), FRAME), 0.0)
 
 
-@query(put("""SELECT DISTINCT obsid, unnest(range(a, b)) AS k FROM (SELECT b.obsid, b.start, b.stop, count(*) FILTER (e.it < b.start) AS a, count(*) FILTER (e.it < b.stop) - 1 AS b
-              FROM bti b JOIN (SELECT obsid, it FROM hard) e USING (obsid) GROUP BY ALL) WHERE b > a""", "bti", "hard"))
+BAD_BINS = """SELECT DISTINCT obsid, unnest(range(a, b)) AS k FROM (SELECT b.obsid, b.start, b.stop, count(*) FILTER (e.it < b.start) AS a, count(*) FILTER (e.it < b.stop) - 1 AS b
+              FROM bti b JOIN (SELECT obsid, it FROM hard) e USING (obsid) GROUP BY ALL) WHERE b > a"""
+
+
+@query(put(BAD_BINS, "bti", "hard"))
 def q_bti_bins(s, d):
     curve = intervals.high_energy_curve(A.photons(s, d), FRAME)
     return intervals.bad_bins(curve.select("obsid", F.col("it").alias("k"), F.col("it").alias("t")), intervals.bad_times(curve, 0.0))
 
 
-@query(put(f"""SELECT obsid, it, quad_max, quad_min, active, dead OR coalesce(lag(dead) OVER (PARTITION BY obsid ORDER BY it), last_value(dead) OVER (PARTITION BY obsid ORDER BY it ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS is_bad
+CCD_FRAMES = f"""SELECT obsid, it, quad_max, quad_min, active, dead OR coalesce(lag(dead) OVER (PARTITION BY obsid ORDER BY it), last_value(dead) OVER (PARTITION BY obsid ORDER BY it ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS is_bad
     FROM (SELECT obsid, it, max(mid) AS quad_max, min(mid) AS quad_min, count(*) FILTER (total > 0) AS active, min(mid) = 0 AND max(mid) > 0 AS dead FROM
       (SELECT obsid, it, (ccdnr - 1) // 3 AS q, sum(n) AS total, median(n) AS mid FROM (SELECT f.obsid, f.it, c.ccdnr, coalesce(h.n, 0) AS n FROM
          (SELECT obsid, unnest(range(min(t_us // {FRAME}), max(t_us // {FRAME}) + 1)) AS it FROM photons GROUP BY obsid) f, (SELECT unnest(range(1, 13)) AS ccdnr) c
-         LEFT JOIN (SELECT obsid, t_us // {FRAME} AS it, ccdnr, count(*) AS n FROM photons GROUP BY ALL) h ON h.obsid = f.obsid AND h.it = f.it AND h.ccdnr = c.ccdnr) GROUP BY ALL) GROUP BY ALL)""", "photons"))
+         LEFT JOIN (SELECT obsid, t_us // {FRAME} AS it, ccdnr, count(*) AS n FROM photons GROUP BY ALL) h ON h.obsid = f.obsid AND h.it = f.it AND h.ccdnr = c.ccdnr) GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(put(CCD_FRAMES, "photons"))
 def q_bad_ccd_frames(s, d):
     return cube.bad_ccd_frames(A.photons(s, d))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bayes import log_peak
-from ..operators import background, regions
+from ..functions.bayes import significant, threshold
+from ..operators import background, cube, intervals, regions
+from ..sources import store
 
 TIME_BINS = (300, 600, 1000)
 BANDS = ((0.2, 2.0), (2.0, 12.0), (0.2, 12.0))
@@ -35,19 +37,87 @@ def run_summaries(events: DataFrame, frame_scale_us: int = 1_000_000) -> DataFra
 
 
 class TransientPipeline:
-    """Detection over all runs of some events: cells, expectation, alerts and regions, each a DataFrame."""
-
-    def __init__(self, events: DataFrame, threshold: float = 5.94096891658419, frame_scale_us: int = 1_000_000, time_bins: Sequence[int] = TIME_BINS, bands: Sequence[tuple[float, float]] = BANDS):
+    """Detection over all runs of some events, each step a DataFrame keyed by run.
+
+    Bad times of the hard light curve and frames with dead quadrants go first; what
+    is left of every run's cube is held against its expectation by the limit table,
+    empty cells included where so much is expected that none is a dip.
+    """
+
+    def __init__(
+        self, events: DataFrame, limits: DataFrame, frame_scale_us: int = 1_000_000, time_bins: Sequence[int] = TIME_BINS, bands: Sequence[tuple[float, float]] = BANDS,
+        sigma: float = 3, hard_rate: float = 0.5, good_times_only: bool = True, whole_frames_only: bool = True,
+    ):
+        self.events, self.limits, self.time_bins, self.scale = events, limits, time_bins, frame_scale_us
+        self.sigma, self.hard_rate, self.good_times_only, self.whole_frames_only = sigma, hard_rate, good_times_only, whole_frames_only
         runid = F.concat_ws("_", "obsid", F.lit("0"), F.col("t_bin").cast("string"), F.col("e_lo").cast("string"), F.col("e_hi").cast("string"))
-        self.cells = runs(events, frame_scale_us, time_bins, bands).select(runid.alias("obsid"), "ix", "iy", "it", "n")
-        self.threshold = threshold
+        self.all_cells = runs(events, frame_scale_us, time_bins, bands).select(runid.alias("obsid"), F.concat_ws("_", "obsid", F.col("t_bin").cast("string")).alias("timed"), "ix", "iy", "it", "n")
+
+    def _each_time_bin(self, make: Callable[[int], DataFrame]) -> DataFrame:
+        """What ``make`` gives for each frame length in microseconds, keyed by observation and time bin."""
+        out = None
+        for t in self.time_bins:
+            one = make(t * self.scale).withColumn("timed", F.concat_ws("_", "obsid", F.lit(str(t)))).drop("obsid")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def bad_times(self) -> DataFrame:
+        """(timed, start, stop) of the intervals in which the hard rate is over the limit."""
+        return self._each_time_bin(lambda us: intervals.bad_times(intervals.high_energy_curve(self.events, us), self.hard_rate))
+
+    def bad_frames(self) -> DataFrame:
+        """(timed, it) of frames in bad times and with dead quadrants, as far as the run leaves them out."""
+
+        def of(us: int) -> DataFrame:
+            curve = intervals.high_energy_curve(self.events, us).select("obsid", "it", "rate")
+            first = curve.groupBy("obsid").agg(F.min("it").alias("lo"))
+            bins = intervals.bad_bins(curve.select("obsid", F.col("it").alias("k"), F.col("it").alias("t")), intervals.bad_times(curve, self.hard_rate))
+            in_time = bins.join(first, "obsid").select("obsid", (F.col("lo") + F.col("k")).alias("it"))
+            partial = cube.bad_ccd_frames(self.events, us).where("is_bad").select("obsid", "it")
+            return in_time.where(F.lit(self.good_times_only)).unionByName(partial.where(F.lit(self.whole_frames_only))).distinct()
+
+        return self._each_time_bin(of)
+
+    def cells(self) -> DataFrame:
+        """Occupied cells of the frames that count; obsid is the run."""
+        return self.all_cells.join(self.bad_frames(), ["timed", "it"], "left_anti").select("obsid", "ix", "iy", "it", "n")
 
     def scored(self) -> DataFrame:
-        return background.expectation(self.cells).withColumn("b_peak", log_peak(F.col("n"), F.col("mu")))
+        """Cells with their expectation: occupied ones, and empty ones that are a dip."""
+        cells = self.cells()
+        held = background.expectation(cells)
+        pixel = cells.groupBy("obsid", "ix", "iy").agg(F.sum("n").alias("p"))
+        frame = cells.groupBy("obsid", "it").agg(F.sum("n").alias("f"))
+        whole = frame.groupBy("obsid").agg(F.sum("f").alias("t"), F.max("f").alias("most"))
+        # without counts the factor is e^mu - 1: only bright pixels have frames in which none is significant
+        least = math.log1p(10 ** threshold("eclipse", self.sigma)) - 0.1
+        bright = pixel.join(whole, "obsid").where(F.col("p") * F.col("most") > least * F.col("t"))
+        mu = F.col("p") * F.col("f") / F.col("t")
+        empty = bright.join(frame, "obsid").where(mu > least).select("obsid", "ix", "iy", "it", F.lit(0).cast("long").alias("n"), mu.alias("mu"))
+        return held.unionByName(empty.join(cells, ["obsid", "ix", "iy", "it"], "left_anti"))
 
     def alerts(self) -> DataFrame:
-        return self.scored().where(F.col("b_peak") > self.threshold)
+        return significant(self.scored(), self.limits).where("is_peak or is_eclipse")
 
     def regions(self) -> DataFrame:
-        hit = self.alerts().groupBy("obsid", "ix", "iy").agg(F.sum("n").alias("total"))
-        return regions.properties(regions.components(hit)).withColumnRenamed("obsid", "runid")
+        """Connected pixels with an alert, measured on the image of all counts that are left."""
+        image = self.cells().groupBy("obsid", "ix", "iy").agg(F.sum("n").alias("total"))
+        hit = image.join(self.alerts().select("obsid", "ix", "iy").distinct(), ["obsid", "ix", "iy"], "left_semi")
+        found = regions.properties(regions.components(hit)).withColumnRenamed("obsid", "runid")
+        return found.withColumn("detid", F.concat_ws("_", "runid", F.col("label").cast("string")))
+
+    def light_curves(self) -> DataFrame:
+        boxes = self.regions().select(F.col("runid").alias("obsid"), "label", "bbox_0", "bbox_1", "bbox_2", "bbox_3")
+        return cube.light_curves(self.cells(), boxes).withColumnRenamed("obsid", "runid")
+
+    def info(self) -> DataFrame:
+        cells = self.cells().groupBy(F.col("obsid").alias("runid")).agg(F.count("*").alias("n_cells"), F.sum("n").alias("n_events"), F.max("n").alias("max_n"))
+        found = self.alerts().groupBy(F.col("obsid").alias("runid")).agg(F.count_if("is_peak").alias("n_peaks"), F.count_if("is_eclipse").alias("n_eclipses"))
+        zero = F.lit(0).cast("long")
+        return cells.join(found, "runid", "left").select("runid", "n_cells", "n_events", "max_n", F.coalesce("n_peaks", zero).alias("n_peaks"), F.coalesce("n_eclipses", zero).alias("n_eclipses"))
+
+    def save(self, root: str) -> None:
+        """Every table of the runs, in one place."""
+        tables = {"alerts": self.alerts().withColumnRenamed("obsid", "runid"), "regions": self.regions(), "light_curves": self.light_curves(), "run_info": self.info(), "bti": self.bad_times()}
+        for name, df in tables.items():
+            store.save(df, root, name)

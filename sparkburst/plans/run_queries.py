@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import bayes
 from ..functions import geometry as G
 from ..operators import background, cleaning
 from ..operators import catalogues as K
@@ -15,9 +16,10 @@ from ..operators import statistics as S
 from ..sources import adapters as A
 from ..sources import store
 from .catalogue_queries import EXCLUDED, HOT, MEASURED, RECT, measured, rectangles
-from .cube_queries import COMPONENTS, REACH, cells_of, labelled_of
+from .cube_queries import BAD_BINS, CCD_FRAMES, COMPONENTS, REACH, cells_of, labelled_of
 from .curve_queries import curves_of
-from .oracle import FRAME, put
+from .oracle import FRAME, PARTS, put
+from .pipeline import TransientPipeline
 
 REGISTER: dict[str, tuple] = {}
 
@@ -310,3 +312,47 @@ def q_sources_full(s, d):
 
     matches = {p: best.where(F.col("cat_id") % 4 != n).select("cluster_label", *[column(k, c) for k, c in enumerate(names)]) for n, (p, names) in enumerate(K.EXTERNAL_COLUMNS.items())}
     return K.full_sources(r, matches).withColumns({"ra_deg": F.round("ra_deg", 6), "dec_deg": F.round("dec_deg", 6)})
+
+
+#: Bursts put into the events of the runs: every 97th event comes eighty times, those of one pixel sixty times, so that frames without them are dips.
+BURSTS = "SELECT p.*, unnest(range(CASE WHEN event_id % 97 = 0 THEN 80 WHEN ix = 3 AND iy = 0 THEN 60 ELSE 1 END)) AS nth FROM photons p"
+RUNS = {
+    "bursts": BURSTS,
+    "timed": "SELECT obsid || '_' || t_bin AS obsid, ccdnr, pi, t_us // (t_bin::BIGINT * 72000000) AS it FROM bursts, (SELECT unnest([300, 600, 1000]) AS t_bin)",
+    "hard": "SELECT f.obsid, f.it, coalesce(h.n, 0) AS n FROM (SELECT obsid, unnest(range(min(it), max(it) + 1)) AS it FROM timed GROUP BY obsid) f LEFT JOIN (SELECT obsid, it, count(*) AS n FROM timed WHERE pi > 11500 AND pi < 12000 GROUP BY ALL) h USING (obsid, it)",
+    "bti": PARTS["bti"][1],
+    "bins": BAD_BINS,
+    "ccd": CCD_FRAMES.replace(f"t_us // {FRAME}", "it").replace("photons", "timed"),
+    "bad": "SELECT obsid, lo + k AS it FROM bins JOIN (SELECT obsid, min(it) AS lo FROM hard GROUP BY obsid) USING (obsid) UNION SELECT obsid, it FROM ccd WHERE is_bad",
+    "cells": """SELECT c.obsid, ix, iy, it, count(*) AS n FROM (SELECT obsid || '_0_' || t_bin || '_' || e_lo || '_' || e_hi AS obsid, obsid || '_' || t_bin AS timed, ix, iy, t_us // (t_bin::BIGINT * 72000000) AS it FROM bursts, (SELECT unnest([300, 600, 1000]) AS t_bin),
+        (SELECT unnest([0.2, 2.0, 0.2])::DOUBLE AS e_lo, unnest([2.0, 12.0, 12.0])::DOUBLE AS e_hi) WHERE pi > e_lo * 1000 AND pi < e_hi * 1000) c WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.obsid = c.timed AND b.it = c.it) GROUP BY ALL""",
+    "full": """SELECT p.obsid, p.ix, p.iy, f.it, coalesce(c.n, 0) AS n, (p.s * f.s)::DOUBLE / t.s::DOUBLE AS mu FROM (SELECT obsid, ix, iy, sum(n) AS s FROM cells GROUP BY ALL) p JOIN (SELECT obsid, it, sum(n) AS s FROM cells GROUP BY ALL) f USING (obsid)
+        JOIN (SELECT obsid, sum(n) AS s FROM cells GROUP BY obsid) t USING (obsid) LEFT JOIN cells c USING (obsid, ix, iy, it)""",
+    "hits": """SELECT obsid, ix, iy, it, n, coalesce(n > p, false) AS is_peak, coalesce(n < e, false) AS is_eclipse FROM (
+        SELECT c.*, a.n_peak + (b.n_peak - a.n_peak) * (c.mu - a.mu) / (b.mu - a.mu) AS p, a.n_eclipse + (b.n_eclipse - a.n_eclipse) * (c.mu - a.mu) / (b.mu - a.mu) AS e FROM full_ c ASOF LEFT JOIN knots a ON c.mu >= a.mu LEFT JOIN knots b ON b.k = a.k + 1) WHERE n > p OR n < e""",
+}
+RUNS["full_"] = RUNS.pop("full")
+RUNS["hits"] = RUNS.pop("hits")
+
+
+def pipeline_of(s, d) -> TransientPipeline:
+    times = F.sequence(F.lit(1), F.when(F.col("event_id") % 97 == 0, 80).when((F.col("ix") == 3) & (F.col("iy") == 0), 60).otherwise(1))
+    events = A.photons(s, d).withColumn("nth", F.explode(times)).drop("nth")
+    hard = events.withColumn("pi", F.when((F.col("pi") > 10000) & (F.col("pi") <= 11500), F.col("pi") - 1500).otherwise(F.col("pi")))
+    return TransientPipeline(hard, bayes.limit_table(s, 3), frame_scale_us=72_000_000, hard_rate=0.0)
+
+
+@query(put("SELECT obsid AS runid, ix, iy, it, n, is_peak, is_eclipse FROM hits", "photons", "knots", **RUNS))
+def q_run_alerts(s, d):
+    return pipeline_of(s, d).alerts().select(F.col("obsid").alias("runid"), "ix", "iy", "it", "n", "is_peak", "is_eclipse")
+
+
+@query(put("SELECT c.*, coalesce(h.n_peaks, 0) AS n_peaks, coalesce(h.n_eclipses, 0) AS n_eclipses FROM (SELECT obsid AS runid, count(*) AS n_cells, CAST(sum(n) AS BIGINT) AS n_events, max(n) AS max_n FROM cells GROUP BY obsid) c LEFT JOIN (SELECT obsid AS runid, count(*) FILTER (is_peak) AS n_peaks, count(*) FILTER (is_eclipse) AS n_eclipses FROM hits GROUP BY obsid) h USING (runid)", "photons", "knots", **RUNS))
+def q_run_info(s, d):
+    return pipeline_of(s, d).info()
+
+
+@query(put("SELECT obsid AS runid, label, count(*) AS area, CAST(sum(total) AS BIGINT) AS total FROM parts GROUP BY ALL", "photons", "knots", **RUNS,
+    flagged="SELECT obsid, ix, iy, sum(n) AS total FROM cells WHERE (obsid, ix, iy) IN (SELECT (obsid, ix, iy) FROM hits) GROUP BY ALL", reach=REACH, parts=COMPONENTS))
+def q_run_regions(s, d):
+    return pipeline_of(s, d).regions().select("runid", "label", "area", F.round(F.col("intensity_mean") * F.col("area")).cast("long").alias("total"))
