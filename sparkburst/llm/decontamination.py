@@ -9,7 +9,8 @@ Blocks whose greatest weights do not add up to the threshold are skipped, for a
 whole batch of documents at once.  In the others WAND walks the posting lists: the
 pivot is the first item at which the greatest weights of the lists up to it reach
 the threshold; lists before it skip to it, and only where all of them meet is an
-item scored.  What scores at least the threshold is verified by the overlap of
+item scored.  A block of a few dozen items is scored in one array operation, which
+costs less than the first step of a walk.  What scores at least the threshold is verified by the overlap of
 word shingles with the whole document's, so that words put between an item's parts
 do not hide it, wherever they stand.  The overlaps of its question and its answer
 are reported beside it.
@@ -45,6 +46,8 @@ K1, B = 1.2, 0.75
 SLICE_BYTES = 16 << 20
 _ITEMS_IN_BLOCK = 8
 _MOST_BLOCKS = 64
+#: Items of a block up to which it is scored whole.
+_WHOLE = 64
 _LONGEST_FIRST_CLASS = 64
 #: What a sum of weights, and of weights in single precision, may fall short by.
 _SLACK, _ROUNDED = 1e-9, 1e-4
@@ -116,6 +119,11 @@ class Index:
         self.lists = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
         self.maxima = np.zeros((len(self.vocabulary), -(-len(items) // self.block)), dtype=np.float32)
         np.maximum.at(self.maxima, (term, self.of // self.block), self.weights.astype(np.float32))
+        # the same postings block by block, where blocks are scored whole
+        order = np.argsort(self.of // self.block, kind="stable") if self.block <= _WHOLE else []
+        cuts = np.searchsorted(self.of[order] // self.block, np.arange(self.maxima.shape[1] + 1)) if len(order) else [0]
+        self.postings = [(term[order[a:b]], self.of[order[a:b]] - k * self.block, self.weights[order[a:b]]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+        self.held = np.zeros(len(self.vocabulary), dtype=bool)
         bits = max(12, int(len(self.vocabulary) * 8).bit_length())
         self.shift = np.uint64(64 - bits)
         self.first = np.searchsorted(self.vocabulary >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -148,10 +156,20 @@ class Index:
         ends = np.append(starts[1:], len(terms))
         bound = np.add.reduceat(self.maxima[terms], starts, axis=0) >= 1 - _ROUNDED
         for k in np.flatnonzero(bound.any(axis=1)):
+            mine = terms[starts[k] : ends[k]]
             for b in np.flatnonzero(bound[k]):
-                for item, score in self.walk(terms[starts[k] : ends[k]], int(b)):
+                for item, score in self.whole(mine, int(b)) if self.block <= _WHOLE else self.walk(mine, int(b)):
                     yield int(used[k]), score, self.items[item]
 
+    def whole(self, terms: np.ndarray, block: int) -> Iterator[tuple[int, float]]:
+        """What ``walk`` gives, by scoring every item of the block."""
+        at_terms, items, weights = self.postings[block]
+        self.held[terms] = True
+        scores = np.bincount(items, weights * self.held[at_terms], minlength=self.block)
+        self.held[terms] = False
+        for i in np.flatnonzero(scores >= 1 - _SLACK):
+            yield block * self.block + int(i), float(scores[i])
+
     def walk(self, terms: np.ndarray, block: int) -> Iterator[tuple[int, float]]:
         """(item, score) of every item of a block that the terms score at least 1 for."""
         cursors = []

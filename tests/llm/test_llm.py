@@ -540,7 +540,13 @@ def test_block_max_walk_loses_nothing_and_skips(monkeypatch):
         got = {k: x for b in range(index.maxima.shape[1]) for k, x in index.walk(terms, b)}
         assert set(got) == {k for k, x in enumerate(sums) if x >= 1 - 1e-9} and all(abs(got[k] - sums[k]) < 1e-9 for k in got)
         looked_at += len(set(scored))
+        assert {k: x for b in range(index.maxima.shape[1]) for k, x in index.whole(terms, b)} == pytest.approx(got)
     assert looked_at < 0.5 * 40 * len(index.items)
+    texts = pa.array([t for _, t in rows[:50]] + ["before " + rows[7][1] + " after"])
+    found = decontamination.Benchmark(rows).search(texts)
+    monkeypatch.setattr(decontamination, "_WHOLE", 0)
+    walked = decontamination.Benchmark(rows).search(texts)
+    assert [{k: pytest.approx(v) for k, v in x.items()} for x in walked] == found
 
 
 def call(i, name, depends=(), **arguments):
