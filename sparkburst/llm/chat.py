@@ -4,10 +4,11 @@ An assistant's turn may hold ``<tool_call>{"id", "name", "arguments", "depends_o
 blocks, and a ``tool`` turn is ``{"tool_call_id", "content"}``.  Calls and results
 are joined by conversation and identifier, calls are put in topological order of
 what they depend on, their arguments are validated against schemas, and messages
-are serialised as canonical JSON: keys in order, no spaces, nested arguments too.
+are serialised as canonical JSON: keys in order, no spaces, arguments nested in it
+alike.
 
-A conversation is written in segments of 64 turn numbers, so that no task holds
-more of a very long one.  All of it is built of Spark's own column functions.
+A conversation is written in segments of so many turn numbers, so that no task
+holds more of a very long one, unless it is asked for whole.  All of it is built of Spark's own column functions.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .tables import written
 
+#: Turn numbers of a segment.
 SEGMENT = 64
 #: For each tool its arguments' types, and whether they are required.
 SCHEMAS = {
@@ -119,10 +121,10 @@ def _linked(rows: DataFrame, schemas: dict | None) -> DataFrame:
     return linked.select("row", "conv_id", "turn", "position", "call_id", "name", "arguments", "depends_on", "faults", "level", status.alias("status"), F.when(status == "linked", F.col("result_turn")).alias("result_turn"), "body")
 
 
-def render(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
+def render(turns: DataFrame, schemas: dict | None = None, segment: int | None = SEGMENT) -> DataFrame:
     """conv_id, segment, n_messages, n_calls, n_valid and chat (canonical JSON) of every segment of every conversation.
 
-    Messages stand by turn, then role and text; calls within one by level and
+    Without ``segment`` every conversation is one row, numbered 0.  Messages stand by turn, then role and text; calls within one by level and
     position, each in the message that holds it.  A malformed call keeps its body
     as it stands.  Repeated rows are one message.  A null text is empty and a null
     role ``unknown``; rows with a null conv_id or turn are segments of their own.
@@ -133,12 +135,13 @@ def render(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
     by_row = _linked(rows, schemas).groupBy("row").agg(F.array_sort(F.collect_list(item)).alias("calls"))
     joined = rows.join(by_row, "row", "left")
     mine = (F.col("role") == "assistant") & F.contains("text", F.lit("<tool_call>"))
-    called = F.when(mine, F.transform("calls", lambda c: c["call"]))
+    nested = lambda c: c["call"].withField("arguments", F.parse_json(c["call"]["arguments"]))
+    called = F.when(mine, F.transform("calls", nested))
     content = F.when(mine, F.trim(F.regexp_replace("text", _BLOCK, ""))).when(F.col("role") == "tool", F.coalesce(F.try_variant_get(F.try_parse_json("text"), "$.content", "string"), F.col("text"))).otherwise(F.col("text"))
     answer_to = F.when(F.col("role") == "tool", F.try_variant_get(F.try_parse_json("text"), "$.tool_call_id", "string"))
     message = F.to_json(F.struct(content.alias("content"), "role", answer_to.alias("tool_call_id"), called.alias("tool_calls"), "turn"))
     messages = joined.select(
-        "conv_id", F.floor(F.col("turn") / SEGMENT).alias("segment"), "own", "turn", "role", "text", message.alias("message"),
+        "conv_id", (F.floor(F.col("turn") / segment) if segment else F.when(F.col("turn").isNotNull(), 0).cast("long")).alias("segment"), "own", "turn", "role", "text", message.alias("message"),
         F.coalesce(F.size(called), F.lit(0)).alias("n"), F.coalesce(F.size(F.filter(called, lambda c: (F.size(c["faults"]) == 0) & (c["status"] == "linked"))), F.lit(0)).alias("ok"),
     )
     n_calls, n_valid = (F.greatest(F.sum(c), F.lit(0)).cast("long") for c in ("n", "ok"))

@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import regex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -179,3 +180,19 @@ def disclosed(texts: list[str | None], share: float = 0.85, context: int = 8) ->
         kinds = [*PII, "term"]
         out.append(",".join(sorted(base, key=lambda x: (int(x.split(":")[1]), kinds.index(x.split(":")[0])))))
     return out
+
+
+def log_odds(votes: list[list[int]], rounds: int = 50) -> np.ndarray:
+    """Log-odds of quality of each row of votes by expectation-maximisation over the rows themselves."""
+    v = np.array(votes)
+    prior, right = 0.7, np.full((2, v.shape[1]), 0.8)  # of good rows, of bad ones
+    for step in range(rounds + 1):
+        up, down = np.log(right[0] / (1 - right[1])), np.log((1 - right[0]) / right[1])
+        odds = np.log(prior / (1 - prior)) + (v > 0) @ up + (v < 0) @ down
+        if step == rounds:
+            return odds
+        q = 1 / (1 + np.exp(-odds))
+        cast = np.stack((q @ (v != 0), (1 - q) @ (v != 0))) + 1.25
+        right = np.clip((np.stack((q @ (v > 0), (1 - q) @ (v < 0))) + 1) / cast, 0.5, 0.99)
+        prior = np.clip(q.mean(), 0.05, 0.95)
+    return odds

@@ -218,6 +218,18 @@ def test_quality(spark, docs):
     assert quality.judge(frame(spark, [])).count() == 0
 
 
+def test_quality_verdicts(spark, docs):
+    votes = list(quality.rules())
+    rows = quality.features(frame(spark, docs)).withColumns(quality.rules()).collect()
+    odds = brute.log_odds([[r[k] for k in votes] for r in rows])
+    want = []
+    for r, x in zip(rows, odds, strict=True):
+        failed = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
+        want.append((r["doc_id"], r["n_words"], r["n_symbols"], not failed and x >= 0, f"{1 / (1 + np.exp(-x)):.9f}"))
+    got = [(r["doc_id"], r["n_words"], r["n_symbols"], r["kept"], f"{r['posterior']:.9f}") for r in quality.judge(frame(spark, docs)).collect()]
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len({x[3] for x in want}) == 2
+
+
 def test_quality_learns_accuracies():
     r = random.Random(2)
     rows = []
@@ -576,6 +588,9 @@ def test_chat(spark):
     assert [c["id"] for c in body[1]["tool_calls"]] == ["a", "b"] and body[1]["content"] == "ok" and body[2]["content"] == "found"
     assert next(r for r in out if r["segment"] == 1)["chat"] == '{"messages":[{"content":"","role":"user","turn":70}]}'
     assert sum(r["n_messages"] for r in out) == 8
+    assert '"arguments":{"limit":3,"query":"q"}' in first["chat"]
+    whole = [r for r in chat.render(df, segment=None).collect() if r["conv_id"] == 1]
+    assert len(whole) == 1 and whole[0]["n_messages"] == 6 and whole[0]["n_calls"] == 6
     assert chat.render(df.where("false")).count() == 0
 
 
@@ -588,7 +603,7 @@ def test_chat_loses_no_call(spark):
     out = chat.render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
     assert sorted((r["conv_id"] or 0, r["n_messages"], r["n_calls"], r["n_valid"]) for r in out) == [(0, 1, 1, 0), (0, 1, 1, 0), (3, 1, 1, 0), (4, 1, 1, 0), (5, 3, 2, 1)]
     messages = {m["content"]: m for r in out for m in json.loads(r["chat"])["messages"]}
-    assert [messages["a"]["tool_calls"][0]["arguments"], messages["b"]["tool_calls"][0]["arguments"]] == ['{"query":"q"}', '{"query":"r"}']
+    assert [messages["a"]["tool_calls"][0]["arguments"], messages["b"]["tool_calls"][0]["arguments"]] == [{"query": "q"}, {"query": "r"}]
     assert [messages[k]["tool_calls"][0]["status"] for k in "abc"] == ["unanswered"] * 3
     assert messages["x"]["tool_calls"][0]["status"] == "malformed" and messages["x"]["tool_calls"][0]["body"] == "{broken"
     assert [[c["id"] for c in messages[k]["tool_calls"]] for k in ("one", "two")] == [["p"], ["q"]]
