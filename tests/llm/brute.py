@@ -104,7 +104,7 @@ def personal(text: str | None) -> str:
     return ",".join(f"{list(PII)[k]}:{a}:{b}" for a, k, b in sorted(out))
 
 
-def tokens(text: str | None, pieces: dict[bytes, int], longest: int = 256) -> tuple[int, int]:
+def tokens(text: str | None, pieces: dict[bytes, int], longest: int = 1 << 30) -> tuple[int, int]:
     """(pre-tokens, tokens) by a plain search for the best segmentation of every pre-token."""
     b = (text or "").encode()
     reach = max(map(len, pieces))
