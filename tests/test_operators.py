@@ -122,19 +122,17 @@ def test_injection(spark):
     assert a == simulation.cube(spark, (5,), 0.2, 2).repartition(7).agg(F.sum("n")).first()[0]
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline(spark):
     rows = [("o", i % 4, i // 4 % 4, (i * 79190007) % 30_000_000_000, 1000) for i in range(400)] + [("o", 1, 1, 900_000_000 + i, 1000) for i in range(60)]
     rows += [("o", x, 3, t * 1_000_000 + i, 5000) for x in range(4) for t in range(0, 30_000, 100) if x < 3 or not 12_000 <= t < 15_000 for i in range(12)]  # bright, one with a dip
     rows += [("o", 2, 0, 20_000_000_000 + k * 600_000_000 + i, 11_000) for k in range(4) for i in range(900)]  # a hard flare
     events = spark.createDataFrame([(*r, k % 12 + 1) for k, r in enumerate(rows)], "obsid string, ix long, iy long, t_us long, pi int, ccdnr int")
-    p = TransientPipeline(events, bayes.limit_table(spark, 3, 2000, 20), whole_frames_only=False, hard_rate=0.5)
+    p = TransientPipeline(events, bayes.limit_table(spark, 3, 2000, 20).cache(), time_bins=(600,), bands=((0.2, 12.0),), whole_frames_only=False, hard_rate=0.5)
     alerts = p.alerts().collect()
     assert any(r["is_peak"] and (r["ix"], r["iy"]) == (1, 1) for r in alerts)
     assert any(r["is_eclipse"] and (r["ix"], r["iy"]) == (3, 3) and r["n"] < 3 for r in alerts)
-    assert p.bad_times().count() >= 3 and all(r["it"] != 20_000 // 600 for r in p.cells().where("obsid like '%_600_%'").collect())
-    p.save(str(tmp_path / "runs"))
-    assert store.load(spark, str(tmp_path / "runs"), "regions").select("runid").distinct().count() >= 1
-    assert store.load(spark, str(tmp_path / "runs"), "run_info").agg(F.sum("n_peaks") + F.sum("n_eclipses")).first()[0] == len(alerts)
+    assert p.bad_times().count() >= 1 and all(r["it"] != 20_000 // 600 for r in p.cells().where("obsid like '%_600_%'").collect())
+    assert p.regions().count() >= 1
 
 
 def make_fits(rows):
