@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, ngram_join, packing, privacy, quality, sharding, substrings, token_counts
+from . import chat, decontamination, language, ngram_join, packing, privacy, quality, sharding, substrings, token_counts, token_files
 from .tables import read
 
 
@@ -65,7 +65,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_language, op3_packing, op4_token_counts, op5_sharding, op6_chat, op7_ngram_join, op8_quality, op9_privacy, op10_decontamination)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_files.round_trip(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_language, op3_packing, op4_token_counts, op5_sharding, op6_chat, op7_ngram_join, op8_quality, op9_privacy, op10_decontamination, op11_token_files)}
 #: The test tables hold no tool calls; calls are tested against a plain version on fixtures.
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": """
