@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, ngram_join, packing, privacy, quality, sharding, substrings, token_counts, token_files
+from . import chat, decontamination, language, ngram_join, packing, privacy, quality, repair, sharding, substrings, token_counts, token_files
 from .tables import read
 
 
@@ -70,7 +70,21 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_language, op3_packing, op4_token_counts, op5_sharding, op6_chat, op7_ngram_join, op8_quality, op9_privacy, op10_decontamination, op11_token_files)}
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return repair.summary(repair.damage(turns), turns)
+
+
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_language, op3_packing, op4_token_counts, op5_sharding, op6_chat, op7_ngram_join, op8_quality, op9_privacy, op10_decontamination, op11_token_files, op12_repair)}
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of ASCII text, bit by bit."""
+    byte = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ord(substr({text}, i, 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {byte}), 4294967295)"
+
+
 #: The test tables hold no tool calls; calls are tested against a plain version on fixtures.
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": """
@@ -79,4 +93,57 @@ ORACLE_SQL: dict[str, str] = {
                '{"messages":[' || string_agg('{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || ',"turn":' || turn || '}', ',' ORDER BY turn, role, text) || ']}' AS chat
         FROM m GROUP BY conv_id, turn // 64
     """,
+    "op12_repair": f"""
+        WITH RECURSIVE keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+            FROM conversations
+        ), kinds AS (SELECT *, {_crc32("key")} % 20 AS kind FROM keyed
+        ), hurt AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM kinds CROSS JOIN range(2) AS c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+                   trim(text, ' 	
+') AS kept FROM hurt
+        ), marked AS (
+            SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS last,
+                   CASE WHEN kept = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                        WHEN right(kept, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed
+        ), counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (last IS NOT NULL AND last || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM marked GROUP BY conv_id
+        ), steps AS (
+            SELECT conv_id, 0 AS pos, {{'c': 0, 'a': ''}} AS s0, {{'c': 1000000000, 'a': ''}} AS s1, {{'c': 1000000000, 'a': ''}} AS s2, {{'c': 1000000000, 'a': ''}} AS s3 FROM counts
+            UNION ALL
+            SELECT conv_id, pos + 1, {{'c': s0.c + 2, 'a': s0.a || 'D'}},
+                   least({{'c': s1.c + 2, 'a': s1.a || 'D'}}, {{'c': s0.c + stay + if(initial = 's', 0, 1000000000), 'a': s0.a || 'K'}}),
+                   least({{'c': u.c + 2, 'a': u.a || 'D'}}, {{'c': before_u.c + stay + if(initial = 'u', 0, 1), 'a': before_u.a || if(initial = 'u', 'K', 'R')}}),
+                   least({{'c': a.c + 2, 'a': a.a || 'D'}}, {{'c': u.c + stay + if(initial = 'a', 0, 1), 'a': u.a || if(initial = 'a', 'K', 'R')}})
+            FROM (
+                SELECT *, least(s0, s1, a) AS before_u FROM (
+                    SELECT s.*, m.initial, CASE m.fault WHEN '' THEN 0 WHEN 'truncated' THEN 5 ELSE 1000000000 END AS stay,
+                           least(s2, {{'c': s0.c + 5, 'a': s0.a || 'I'}}, {{'c': s1.c + 5, 'a': s1.a || 'I'}}, {{'c': s3.c + 5, 'a': s3.a || 'I'}}) AS u,
+                           least(s3, {{'c': s2.c + 5, 'a': s2.a || 'I'}}, {{'c': s0.c + 10, 'a': s0.a || 'II'}}, {{'c': s1.c + 10, 'a': s1.a || 'II'}}) AS a
+                    FROM steps s JOIN marked m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.pos = s.pos + 1)
+            )
+        ), best AS (
+            SELECT conv_id, least(s0, s3, {{'c': s2.c + 5, 'a': s2.a || 'I'}}, {{'c': s1.c + 10, 'a': s1.a || 'II'}}) AS b
+            FROM steps JOIN counts USING (conv_id) WHERE pos = n
+        ), edits AS (
+            SELECT m.conv_id, m.pos, m.role, m.text, m.initial, substr(b.a, m.pos, 1) AS edit,
+                   count(*) FILTER (substr(b.a, m.pos, 1) <> 'D' AND NOT (substr(b.a, m.pos, 1) = 'K' AND m.initial = 's')) OVER (PARTITION BY m.conv_id ORDER BY m.pos) AS nth
+            FROM marked m JOIN best b ON m.conv_id IS NOT DISTINCT FROM b.conv_id
+        ), lines AS (
+            SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos) AS body
+            FROM edits WHERE edit <> 'D' GROUP BY conv_id
+        )
+        SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, CAST(coalesce(b.b.c, 0) AS BIGINT) AS cost, coalesce(b.b.a, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) i
+        LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM i.conv_id
+        LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM i.conv_id
+    """,  # an insertion is never cheapest: a deletion beside it is
 }
