@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, ngram_join, packing, privacy, quality, repair, sharding, substrings, token_counts, token_files
+from . import chat, decontamination, language, ngram_join, packing, privacy, quality, repair, sharding, substrings, token_counts, token_files, turn_trie
 from .tables import read
 
 
@@ -75,7 +75,11 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.summary(repair.damage(turns), turns)
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_language, op3_packing, op4_token_counts, op5_sharding, op6_chat, op7_ngram_join, op8_quality, op9_privacy, op10_decontamination, op11_token_files, op12_repair)}
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_language, op3_packing, op4_token_counts, op5_sharding, op6_chat, op7_ngram_join, op8_quality, op9_privacy, op10_decontamination, op11_token_files, op12_repair, op13_turn_trie)}
 
 
 def _crc32(text: str) -> str:
@@ -106,7 +110,8 @@ ORACLE_SQL: dict[str, str] = {
         ), placed AS (
             SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
                    trim(text, ' 	
-') AS kept FROM hurt
+
+') AS kept FROM hurt
         ), marked AS (
             SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS last,
                    CASE WHEN kept = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
@@ -146,4 +151,32 @@ ORACLE_SQL: dict[str, str] = {
         LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM i.conv_id
         LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM i.conv_id
     """,  # an insertion is never cheapest: a deletion beside it is
+    "op13_turn_trie": f"""
+        WITH own AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL
+        ), ids AS (
+            SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own)
+        ), turns AS (
+            SELECT i.conv_id, o.pos, o.role, o.text FROM ids i JOIN own o ON o.conv_id = i.base AND o.pos <= i.h
+            UNION ALL
+            SELECT i.conv_id, o.pos - i.h + least(i.h, coalesce(b.n, 0)), o.role, o.text
+            FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.pos > i.h LEFT JOIN (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id) b ON b.conv_id = i.base
+        ), lists AS (
+            SELECT i.conv_id, coalesce(list({{'r': role, 't': text}} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS l FROM ids i LEFT JOIN turns USING (conv_id) GROUP BY i.conv_id
+        ), members AS (
+            SELECT conv_id, depth, l[:depth] AS prefix, len(l) = depth AS ends FROM (SELECT conv_id, l, unnest(range(len(l) + 1)) AS depth FROM lists)
+        ), nodes AS (
+            SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM members GROUP BY depth, prefix
+        ), linked AS (
+            SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.prefix[:n.depth] = n.prefix) AS n_children
+            FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[:n.depth - 1]
+        ), below AS (
+            SELECT unnest(range(d.depth + 1)) AS depth, d.prefix, d.n_children, CASE WHEN d.depth = 0 THEN 0 ELSE (d.n_convs - 1) * length(d.prefix[d.depth].t) END AS saved FROM linked d
+        ), sums AS (
+            SELECT depth, prefix[:depth] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM below GROUP BY depth, prefix[:depth]
+        )
+        SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256 FROM linked JOIN sums USING (depth, prefix)
+    """,
 }
