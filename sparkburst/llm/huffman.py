@@ -71,13 +71,13 @@ def encode(ids: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[byt
     ends = np.cumsum(bits)
     starts = ends - bits
     total = int(ends[-1]) if len(ends) else 0
-    byte, shift = starts >> 3, 24 - (starts & 7) - bits
-    shifted = words[ids].astype(np.int64) << shift  # words have 16 bits at most, so three bytes hold each
-    n = (total + 7) // 8 + 3
-    out = np.zeros(n, dtype=np.float64)
-    for k in range(3):
-        out += np.bincount(byte + k, weights=(shifted >> (16 - 8 * k)) & 255, minlength=n)
-    return out[: n - 3].astype(np.uint8).tobytes(), starts[::STEP]
+    # 16 bits at most from any place in a word of 32: two words hold them, and sums of disjoint bits are exact
+    word, shift = starts >> 5, (64 - (starts & 31) - bits).astype(np.uint64)
+    shifted = words[ids].astype(np.uint64) << shift
+    n = (total + 31) // 32 + 1
+    out = np.bincount(word, weights=shifted >> np.uint64(32), minlength=n)
+    out += np.bincount(word + 1, weights=shifted & np.uint64(0xFFFFFFFF), minlength=n)[:n]
+    return out.astype(">u4").tobytes()[: (total + 7) // 8], starts[::STEP]
 
 
 def decode(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, table: np.ndarray, longest: int) -> np.ndarray:

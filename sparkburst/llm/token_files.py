@@ -22,6 +22,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator, Sequence
@@ -39,19 +40,23 @@ from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
 from . import huffman
-from .arrow_text import IS_SPACE, chunks
-from .columns import SPACES
+from .arrow_text import chunks
 from .tables import discard, shared_dir, small_batches, written
 
 END_ID = 1
 BLOCK = 1 << 16
 FILE_IDS = 1 << 23
-#: Distinct words whose ids a worker remembers (about 200 bytes each).
-REMEMBERED = 1 << 20
 #: Fixed value: ends every file.
 MARK = b"HUFFIDS1"
 _TAIL = struct.Struct("<qqq8s")
-_CHUNK = 1 << 21
+#: Distinct words whose ids a worker remembers (about 200 bytes each).
+REMEMBERED = 1 << 20
+#: Bytes of text whose distinct words are encoded together.
+_CHUNK = 1 << 24
+#: The splitter's parts of ASCII words without apostrophes, and single marks that are a part of their own.
+_PARTS = re.compile(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
+_STOPS = ".,;:!?"
+_A, _SMALL_A, _TAB = np.uint8(0x41), np.uint8(0x61), np.uint8(0x09)
 #: Plain words that are encoded at once.
 _RUN = 256
 # tasks are parallel already
@@ -70,102 +75,114 @@ class Encoder:
     """
 
     def __init__(self, name: str, end_id: int | None = END_ID):
-        self.tokenizer, self.end = tokenizer(name), [] if end_id is None else [end_id]
+        self.tokenizer = tokenizer(name)
+        self.kind = _kind(self.tokenizer.get_vocab_size())
+        self.end = np.array([] if end_id is None else [end_id], dtype=self.kind).tobytes()
         probe = ["a b", "a  b", "\ta\n\r\x0b\x0cb "]
         alone = [i for w in "ab" for i in self._ids([w])[0]]
         self.by_word = all(x == alone for x in self._ids(probe)) and not self._ids([" \n"])[0]
+        # what else holds for words: case is dropped, and letters and stops are parts of their own
+        self.lowers = self._ids(["aBCDEFGHIJKLMNOPQRSTUVWXYZ"]) == self._ids(["abcdefghijklmnopqrstuvwxyz"])
+        self.parts = all(self._ids([f"a{x}b"])[0] == sum(self._ids(["a", x, "b"]), []) for x in _STOPS)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
-        self._forget()
+        # words of late, and those of before that
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def arrays(self, column: pa.Array) -> Iterator[pa.Array]:
+        """The texts' ids as bytes, with the end's, in arrays of some texts each; a null text is empty."""
+        if not self.by_word:
+            for text in column:
+                yield pa.array([np.array(self._ids([text.as_py() or ""])[0], dtype=self.kind).tobytes() + self.end], pa.binary())
+            return
+        for _, _, data, offsets in chunks(column, _CHUNK):
+            yield self._chunk(data, offsets)
+
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        if self.lowers and b"<|" not in data.tobytes():
+            capital = data - _A < 26
+            capital[:-1] &= data[1:] < 128  # a mark that follows might join it
+            capital[-1:] = False
+            data = data + (capital.view(np.uint8) << np.uint8(5))
+        filled = (data != 0x20) & (data - _TAB > 4)  # comparisons of bytes are far cheaper than look-ups
+        begins = filled.copy()
+        begins[1:] = ~filled[:-1]
+        if self.parts:
+            stop, letter = np.logical_or.reduce([data == x for x in _STOPS.encode()]), (data | 0x20) - _SMALL_A < 26
+            begins[1:] |= (stop[:-1] & letter[1:]) | (letter[:-1] & stop[1:])
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        begins &= filled
+        ends = np.searchsorted(np.flatnonzero(begins), offsets[1:])
+        edges = np.append(np.flatnonzero(begins[filled]), np.count_nonzero(filled)).astype(np.int32)
+        spans = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data[filled])])
+        coded = spans.dictionary_encode()
+        values = pa.array([*self._values(coded.dictionary.to_pylist()), self.end], pa.binary())
+        # behind the words of each text, its end
+        taken = values.take(pa.array(np.insert(coded.indices.to_numpy(), ends, len(values) - 1)))
+        _, bounds, ids = taken.buffers()
+        bounds = np.frombuffer(bounds, dtype=np.int32)[: len(taken) + 1]
+        last = np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(bounds[last]), ids])
+
+    def _values(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        out = list(map(known.get, words))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        if older:
+            before = [older.get(words[k]) for k in new]
+            for k, ids in zip(new, before, strict=True):
+                out[k] = ids
+            known.update((words[k], ids) for k, ids in zip(new, before, strict=True) if ids is not None)
+            new = [k for k, ids in zip(new, before, strict=True) if ids is None]
+        texts = [words[k].decode() for k in new]
+        least = list(map(self._least, texts))
+        plain = [i for i, n in enumerate(least) if n] if self.ends.any() else []
+        other = [i for i, n in enumerate(least) if not n] if plain else range(len(texts))
+        for some, coded in ((plain, self._plain([texts[i] for i in plain], [least[i] for i in plain])), (other, self._each([texts[i] for i in other]))):
+            for i, ids in zip(some, coded, strict=True):
+                out[new[i]] = ids
+        known.update((words[k], out[k]) for k in new)
+        return out
+
     def _least(self, word: str) -> int:
-        """The least number of parts that the splitter makes of a plain word, 0 if it is none: letters, or letters and a stop."""
-        return 1 if word.isalpha() else 2 if word[-1:] in ".,;:!?" and word[:-1].isalpha() else 0
+        """The least number of parts that the splitter makes of a plain word, 0 if it is none."""
+        if word.isalpha():
+            return 1
+        if word[-1:] in _STOPS and word[:-1].isalpha():
+            return 2
+        return len(_PARTS.findall(word)) if word.isascii() and "'" not in word and "<|" not in word else 0
 
-    def _new(self, words: list[str], least: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, and how many each has; plain words stand first.
+    def _plain(self, words: list[str], least: list[int]) -> list[bytes]:
+        """The ids of each of these plain words.
 
         Every part of a text ends with an id that ends a word.  So where a run of
         plain words has as many of those as its words have at least, they tell the
         words apart; any other run is encoded word by word.
         """
-        plain = least.index(0) if 0 in least else len(least)
-        plain = plain if self.ends.any() else 0
-        ids, sizes = [], []
-        for lo in range(0, plain, _RUN):
-            hi = min(plain, lo + _RUN)
-            got = np.array(self._ids([" ".join(words[lo:hi])])[0], dtype=np.uint32)
+        out: list[bytes] = []
+        for lo in range(0, len(words), _RUN):
+            run = words[lo : lo + _RUN]
+            got = np.array(self._ids([" ".join(run)])[0], dtype=self.kind)
             at = np.flatnonzero(self.ends[got]) + 1
-            parts = np.cumsum(least[lo:hi])
+            parts = np.cumsum(least[lo : lo + _RUN])
             if len(at) == parts[-1]:
-                ids.append(got)
-                sizes.append(np.diff(at[parts - 1], prepend=0))
+                raw, cuts = got.tobytes(), [0, *(at[parts - 1] * got.itemsize).tolist()]
+                out.extend(raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
             else:
-                self._each(words[lo:hi], ids, sizes)
-        for lo in range(plain, len(words), _RUN):
-            self._each(words[lo : lo + _RUN], ids, sizes)
-        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
-
-    def _each(self, words: list[str], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
-        for got in self._ids(words):
-            ids.append(np.array(got, dtype=np.uint32))
-            sizes.append(np.array([len(got)]))
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.bounds, self.words = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 12, dtype=np.int64), 0
-
-    def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """Each text's ids, with the end's; a null text is empty."""
-        end = np.array(self.end, dtype=np.uint32)
-        if not self.by_word:
-            for text in column:
-                yield np.concatenate((np.array(self._ids([text.as_py() or ""])[0], dtype=np.uint32), end))
-            return
-        for lo, hi, data, offsets in chunks(column, _CHUNK):
-            ids, bounds = self._chunk(data, offsets)
-            for d in range(hi - lo):
-                yield np.concatenate((ids[bounds[d] : bounds[d + 1]], end))
-
-    def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of some texts, and each text's bounds in them."""
-        space = IS_SPACE[data]
-        opens = np.ones(len(data) + 1, dtype=bool)
-        opens[1:-1] = space[:-1] & ~space[1:]
-        opens[offsets] = True
-        # a word goes on to the start of the next one or the end of its text, with the white space behind it
-        edges = np.flatnonzero(opens)
-        spans = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
-        coded = spans.dictionary_encode()
-        at = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        lens = self.bounds[at + 1] - self.bounds[at]
-        ends = np.concatenate(([0], np.cumsum(lens)))
-        ids = self.ids[np.repeat(self.bounds[at] - ends[:-1], lens) + np.arange(ends[-1])]
-        return ids, ends[np.searchsorted(edges, offsets)]
-
-    def _places(self, words: list[bytes]) -> np.ndarray:
-        """Where the ids of each word stand."""
-        if self.words + len(words) > REMEMBERED:
-            self._forget()
-        # plain words first, which are encoded many at a time
-        new = [(w, t := w.decode().strip(SPACES), self._least(t)) for w in words if w not in self.known]
-        new.sort(key=lambda x: not x[2])
-        ids, sizes = self._new([x[1] for x in new], [x[2] for x in new])
-        used, more = int(self.bounds[self.words]), len(ids)
-        if used + more > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), more), dtype=np.uint32)))
-        if self.words + len(new) + 1 > len(self.bounds):
-            self.bounds = np.concatenate((self.bounds, np.zeros(max(len(self.bounds), len(new) + 1), dtype=np.int64)))
-        self.ids[used : used + more] = ids
-        self.bounds[self.words + 1 : self.words + len(new) + 1] = used + np.cumsum(sizes)
-        self.known.update(zip((x[0] for x in new), range(self.words, self.words + len(new))))
-        self.words += len(new)
-        return np.fromiter((self.known[w] for w in words), dtype=np.int64, count=len(words))
+                out.extend(self._each(run))
+        return out
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(ids, dtype=self.kind).tobytes() for ids in self._ids(words)]
 
 
 @cache
@@ -176,24 +193,32 @@ def _encoder(name: str, end_id: int | None) -> Encoder:
 
 def encode(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int | None = END_ID) -> DataFrame:
     """doc_id and ids (little-endian, two bytes each for a vocabulary of up to 65,536 ids, else four) of every row of ``docs``."""
-    kind = _kind(tokenizer(name).get_vocab_size())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name, end_id)
-        for batch in batches:
-            # a few texts at a time, whatever their length
-            held, rows, size = [], 0, 0
-            for d, ids in enumerate(encoder.texts(batch.column(1))):
-                held.append(ids.astype(kind).tobytes())
-                size += len(ids)
-                if size >= 1 << 21 or d == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows, len(held)), pa.array(held, pa.binary())], names=["doc_id", "ids"])
-                    held, rows, size = [], d + 1, 0
+        for doc_ids, texts in _gathered(batches):
+            at = 0
+            for ids in encoder.arrays(texts):
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, len(ids)), ids], names=["doc_id", "ids"])
+                at += len(ids)
 
     texts = small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, ids binary")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], limit: int = _CHUNK) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The two columns of as many batches at once as have about ``limit`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield tuple(x.combine_chunks() for x in pa.Table.from_batches(held).columns)
+            held, size = [], 0
+    if held:
+        yield tuple(x.combine_chunks() for x in pa.Table.from_batches(held).columns)
+
+
 def _kind(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -205,8 +230,11 @@ def counted(encoded: DataFrame, vocabulary: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), dtype=kind), minlength=vocabulary)
+            column = batch.column(0)
+            _, bounds, data = column.buffers()
+            bounds = np.frombuffer(bounds, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+            if len(column) and bounds[-1] > bounds[0]:
+                total += np.bincount(np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]].view(kind), minlength=vocabulary)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(met, pa.int64()), "n": pa.array(total[met], pa.int64())})
 
