@@ -76,7 +76,7 @@ def _levels(calls: DataFrame) -> DataFrame:
 def link(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
     """Every tool call of ``turns``: where it stands, its canonical arguments, level, faults, status, result and, if malformed, body.
 
-    status: ``linked``, ``unanswered``, ``duplicate`` (an identifier used before in
+    status: ``linked`` (to the first result that does not stand before the call), ``unanswered``, ``duplicate`` (an identifier used before in
     the conversation), ``cycle`` or ``malformed`` (no JSON, or no identifier).
     A row with a null conv_id is a conversation of its own.
     """
@@ -102,21 +102,25 @@ def _linked(rows: DataFrame, schemas: dict | None) -> DataFrame:
     blocks = said.select("row", "conv_id", "conv", "turn", "own", "nth", F.posexplode(F.regexp_extract_all("text", F.lit(_BLOCK), 1)).alias("position", "body"))
     parsed = blocks.withColumn("v", F.try_parse_json("body"))
     get = lambda path, kind: F.try_variant_get("v", path, kind)
+    # a single dependency need not be a list; whatever else stands there is kept as its JSON text
+    depends = F.coalesce(get("$.depends_on", "array<string>"), F.array_compact(F.array(get("$.depends_on", "string"))))
     place = F.struct(F.coalesce("turn", F.lit((1 << 63) - 1)).alias("turn"), "own", "nth", "position")
     calls = parsed.select(
         "row", "conv_id", "conv", "turn", "position", place.alias("place"), get("$.id", "string").alias("call_id"), get("$.name", "string").alias("name"),
-        F.coalesce(F.to_json(get("$.arguments", "variant")), F.lit("{}")).alias("arguments"), F.coalesce(get("$.depends_on", "array<string>"), F.array().cast("array<string>")).alias("depends_on"),
+        F.coalesce(F.to_json(get("$.arguments", "variant")), F.lit("{}")).alias("arguments"), depends.alias("depends_on"),
         F.when(get("$.id", "string").isNull(), F.col("body")).alias("body"),
     )
     calls = written(calls.withColumn("faults", _faults(F.col("name"), F.col("arguments"), SCHEMAS if schemas is None else schemas)), "calls")
     named = calls.where("call_id is not null")
     first = named.groupBy("conv", "call_id").agg(F.min("place").alias("first"))
     answers = turns.where("role = 'tool'").withColumn("v", F.try_parse_json("text")).select("conv", "turn", get("$.tool_call_id", "string").alias("call_id"))
-    answered = answers.where("call_id is not null").groupBy("conv", "call_id").agg(F.min("turn").alias("result_turn"))
+    # a result that stands before the call answers something else
+    later = answers.join(first, ["conv", "call_id"]).where(F.col("turn") >= F.col("first")["turn"])
+    answered = later.groupBy("conv", "call_id").agg(F.min("turn").alias("result_turn"))
     linked = calls.join(first, ["conv", "call_id"], "left").join(answered.hint("shuffle_hash"), ["conv", "call_id"], "left").join(_levels(named), ["conv", "call_id"], "left")
     status = (
         F.when(F.col("call_id").isNull(), "malformed").when(F.col("place") != F.col("first"), "duplicate").when(F.col("level").isNull(), "cycle")
-        .when(F.col("result_turn") >= F.col("turn"), "linked").otherwise("unanswered")
+        .when(F.col("result_turn").isNotNull(), "linked").otherwise("unanswered")
     )
     return linked.select("row", "conv_id", "turn", "position", "call_id", "name", "arguments", "depends_on", "faults", "level", status.alias("status"), F.when(status == "linked", F.col("result_turn")).alias("result_turn"), "body")
 
