@@ -206,24 +206,38 @@ def _families(groups: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _sets(texts: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """``members`` (rep, k1, k2, fam) with their whole sets, read from the texts once more."""
+def _sets(texts: DataFrame, members: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
+    """``members`` (rep, digest, k1, k2, fam) with their whole sets, read from the texts once more.
+
+    A member's text is found by its doc_id and digest, so rows that share a doc_id
+    meet only their own; of ``repeated`` rows (doc_id, digest) one is read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2 = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            k1, k2 = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             kept, items = [], []
-            for k, s in enumerate(shingle_sets(batch.column(1), size)):
-                if set_key(s) == (k1[k], k2[k]):  # rows that share a doc_id have other sets
+            for k, s in enumerate(shingle_sets(batch.column(0), size)):
+                if set_key(s) == (k1[k], k2[k]):  # texts of one digest may differ
                     kept.append(k)
                     items.append(s.tobytes())
             taken = batch.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column(4), taken.column(2), taken.column(3), pa.array(items, pa.binary())], names=["fam", "k1", "k2", "items"])
+            yield pa.RecordBatch.from_arrays([taken.column(3), taken.column(1), taken.column(2), pa.array(items, pa.binary())], names=["fam", "k1", "k2", "items"])
 
     few = members.count() <= BROADCAST_ROWS
-    wanted = members.select(F.col("rep").alias("doc_id"), "k1", "k2", "fam")
-    held = texts.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "k1", "k2", "fam")
-    return held.mapInArrow(run, "fam long, k1 long, k2 long, items binary")
+    key = ["doc_id", "digest"]
+    wanted = members.select(F.col("rep").alias("doc_id"), "digest", "k1", "k2", "fam")
+    columns = ["text", "k1", "k2", "fam"]
+
+    def held(rows: DataFrame) -> DataFrame:
+        return texts.select(*key, "text").join(F.broadcast(rows) if few else rows, key)
+
+    if repeated.isEmpty():
+        found = held(wanted).select(*columns)
+    else:
+        again = wanted.join(repeated, key, "left_semi")
+        found = held(wanted.join(repeated, key, "left_anti")).select(*columns).unionByName(held(again).groupBy("k1", "k2", "fam").agg(F.any_value("text").alias("text")).select(*columns))
+    return found.mapInArrow(run, "fam long, k1 long, k2 long, items binary")
 
 
 def _verified(tiles: DataFrame, percent: int) -> DataFrame:
@@ -259,6 +273,10 @@ def _verified(tiles: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "k1 long, k2 long, r1 long, r2 long")
 
 
+def _digest() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _pair(a: str, b: str) -> Column:
     return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
 
@@ -299,13 +317,13 @@ def _large(sets: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     return out.select("node.a", "node.b", F.col("root.a").alias("r1"), F.col("root.b").alias("r2")).toDF("k1", "k2", "r1", "r2")
 
 
-def _judged(docs: DataFrame, size: int, percent: int, digest: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _judged(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows (doc_id, digest, n, k1, k2), the sets' (k1, k2, rep, copies) and, of the linked ones, (k1, k2, r1, r2)."""
-    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), digest.alias("digest"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _digest().alias("digest"))
     wide = written(_prefixes(texts, size, percent, _counters(texts, size)), "prefixes")
     rows = wide.select("doc_id", "digest", "n", "k1", "k2")
     usable = wide.where("n > 0 and doc_id is not null")
-    nodes = written(usable.groupBy("k1", "k2", "g1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n")), "nodes")
+    nodes = written(usable.groupBy("k1", "k2", "g1").agg(F.min(F.struct("doc_id", "digest")).alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n")), "nodes").select("k1", "k2", "g1", F.col("rep.doc_id").alias("rep"), F.col("rep.digest").alias("digest"), "copies", "n")
     # a group of different sets has no sketch: it passes
     one = (F.min("k1") == F.max("k1")) & (F.min("k2") == F.max("k2"))
     groups = usable.groupBy("g1", "g2").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), one.alias("one"))
@@ -314,8 +332,9 @@ def _judged(docs: DataFrame, size: int, percent: int, digest: Column) -> tuple[D
     discard(groups)
     several = nodes.groupBy("g1").agg(F.count("*").alias("c")).where("c > 1").select(F.col("g1").alias("node"), F.col("g1").alias("root"))
     families = families.unionByName(several.join(families.select("node"), "node", "left_anti"))
-    members = written(nodes.join(families.withColumnRenamed("node", "g1"), "g1").select(F.col("root").alias("fam"), "k1", "k2", "rep", "n"), "members")
-    sets = written(_sets(texts, members, size), "sets")
+    members = written(nodes.join(families.withColumnRenamed("node", "g1"), "g1").select(F.col("root").alias("fam"), "k1", "k2", "rep", "digest", "n"), "members")
+    repeated = written(usable.groupBy("doc_id", "digest").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", "digest"), "repeated")
+    sets = written(_sets(texts, members, repeated, size), "sets")
     of_family = members.groupBy("fam").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     large = written(of_family.withColumn("parts", _blocks_of(F.col("m"), F.col("s"))).where("parts > 1").select("fam", "m", "parts"), "large")
     own = (F.col("k1").alias("r1"), F.col("k2").alias("r2"))
@@ -342,7 +361,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     component.  Repeated rows are equal sets, and so linked.  An empty table
     gives no rows.  Other columns are not read.
     """
-    rows, nodes, roots = _judged(docs, size, percent, F.lit(0).cast("long"))
+    rows, nodes, roots = _judged(docs, size, percent)
     keys = ["k1", "k2"]
     least = nodes.join(roots, keys).groupBy("r1", "r2").agg(F.min("rep").alias("least"))
     linked_nodes = roots.join(least, ["r1", "r2"]).select(*keys, "least")
@@ -363,8 +382,8 @@ def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     doc_id.  Rows with a null doc_id stay, and so do texts without words, but for
     repeats of doc_id and text.
     """
-    digest = F.xxhash64(F.col("text").cast("string"))
-    rows, _, roots = _judged(docs, size, percent, digest)
+    digest = _digest()
+    rows, _, roots = _judged(docs, size, percent)
     ids = rows.where("doc_id is not null")
     keys = ["k1", "k2"]
     # each set's least row first, then each component's
