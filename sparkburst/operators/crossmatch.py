@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import offsets, separation
-from .ranks import summed_before
+from . import ranks
 
 NO_MATCH = 9999.0
 
@@ -109,4 +109,4 @@ def cluster(regions: DataFrame, radius_arcsec: float = 20.0) -> DataFrame:
 
 def numbered(clusters: DataFrame) -> DataFrame:
     """cluster_label from 0 in the order of the first region, by counts per range and an offset."""
-    return summed_before(clusters.withColumn("_one", F.lit(1).cast("long")), "first", "_one", "cluster_label").drop("_one")
+    return ranks.numbered(clusters, "first", "cluster_label")

@@ -226,6 +226,34 @@ def test_running_sums(spark):
         total += v
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_ranks_of_a_million_rows(spark, adaptive, ranges):
+    """Every rank once, with columns beside the order, under bounds from a small sample."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 1_000_000
+        df = spark.range(0, n, 1, 9).selectExpr("(id * 7919) % 1000000 AS k", "concat('spare ', id) AS spare", "id AS more", "id % 5 AS v")
+        got = ranks.summed_before(df, "k", "v", "before", ranges)
+        got = ranks.numbered(got, "k", "rank", ranges)
+        wrong = got.agg(F.count("*"), F.countDistinct("rank"), F.count_if(F.col("rank") != F.col("k")), F.min("rank"), F.max("rank"), F.max(F.col("before") + F.col("v")), F.sum("v")).first()
+        assert tuple(wrong)[:5] == (n, n, 0, 0, n - 1) and wrong[5] == wrong[6] == 2 * n
+        running = got.where("k < 1000").orderBy("k").collect()
+        assert all(b["before"] == a["before"] + a["v"] for a, b in zip(running, running[1:], strict=False))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_ranks_within_keys(spark):
+    df = spark.createDataFrame([(k, (i * 37) % 100 if i else None, f"x{i}") for k in ("a", None, "b") for i in range(100)], "k string, o long, spare string")
+    got = ranks.numbered_within(df.where("k is not null"), ["k"], ["o"], "r", 5).collect()
+    for k in "ab":
+        mine = sorted(((r["o"] is not None, r["o"] or 0), r["r"]) for r in got if r["k"] == k)
+        assert [r for _, r in mine] == list(range(100))
+    assert ranks.numbered(df.where("false"), "o", "r").count() == 0
+
+
 def test_images_count_empty_frames(spark):
     rows = [("o", 0, 0, t, n) for t, n in ((0, 3), (1, 1), (5, 2), (9, 4))] + [("o", 1, 0, t, 1) for t in range(10)]
     cells = spark.createDataFrame(rows, "obsid string, ix long, iy long, it long, n long")
