@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import sky_to_pixel
+from . import regions
 
 
 def expectation(cells: DataFrame) -> DataFrame:
@@ -24,10 +27,14 @@ def source_disks(pixels: DataFrame, sources: DataFrame) -> DataFrame:
 
     A source is exploded to the pixels of its square, so the join is on pixels.
     """
+    return pixels.join(disk_pixels(sources), ["obsid", "ix", "iy"], "left_semi")
+
+
+def disk_pixels(sources: DataFrame) -> DataFrame:
+    """(obsid, ix, iy) of all pixels within a source's radius, on an image or not."""
     r = F.when(F.col("rate") > 1, 4).when(F.col("rate") > 0.1, 2).otherwise(1)
     near = sources.withColumn("r", r).withColumn("ix", F.explode(F.expr("sequence(sx - r, sx + r)"))).withColumn("iy", F.explode(F.expr("sequence(sy - r, sy + r)")))
-    inside = near.where("(ix - sx) * (ix - sx) + (iy - sy) * (iy - sy) < r * r").select("obsid", "ix", "iy").distinct()
-    return pixels.join(inside, ["obsid", "ix", "iy"], "left_semi")
+    return near.where("(ix - sx) * (ix - sx) + (iy - sy) * (iy - sy) < r * r").select("obsid", "ix", "iy").distinct()
 
 
 def known_sources(source_list: DataFrame, cell_arcsec: float = 20.0) -> DataFrame:
@@ -74,48 +81,99 @@ def clipped_statistics(image: DataFrame, sigma: float = 3.0, rounds: int = 5, co
     return kept.groupBy("obsid").agg(F.count("*").alias("n_kept"), F.avg(column).alias("mean_c"), F.median(column).alias("median_c"), F.stddev_pop(column).alias("std_c"))
 
 
-def _filled(grid: np.ndarray, hole: np.ndarray, rounds: int) -> np.ndarray:
-    """Holes take the mean of their known neighbours, from the rim inwards, then settle."""
-    out = np.where(hole, np.nan, grid)
-    for k in range(rounds):
-        padded = np.pad(out, 1, constant_values=np.nan)
-        near = np.stack([padded[1 + a : 1 + a + grid.shape[0], 1 + b : 1 + b + grid.shape[1]] for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
-        count = (~np.isnan(near)).sum(axis=0)
-        mean = np.nansum(near, axis=0) / np.maximum(count, 1)
-        todo = hole & (count > 0)
-        if not todo.any():
-            break
-        out[todo] = mean[todo]
-    return out
-
-
-def _blurred(grid: np.ndarray, sigma: float) -> np.ndarray:
-    r = max(1, int(4 * sigma + 0.5))
-    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    k /= k.sum()
-    padded = np.pad(grid, r, mode="symmetric")
-    rows = sum(w * padded[i : i + grid.shape[0]] for i, w in enumerate(k))
-    return sum(w * rows[:, i : i + grid.shape[1]] for i, w in enumerate(k))
+def box_of(image: DataFrame) -> DataFrame:
+    """Each image's bounding box (x0, x1, y0, y1), ends included: a row an image."""
+    return image.groupBy("obsid").agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"))
 
 
-def background_template(image: DataFrame, mask: DataFrame, sigma: float = 0.5, rounds: int = 20) -> DataFrame:
-    """Background per count outside sources: masked pixels filled by diffusion, then a Gaussian blur.
+def _solved(n: int, count: np.ndarray, known: np.ndarray, a: np.ndarray, b: np.ndarray, tolerance: float = 1e-13) -> np.ndarray:
+    """The values that each equal the mean of their neighbours: count v = known + sum over contacts (a, b); conjugate gradients.
 
-    A group is one observation's image, of some hundred pixels a side at most.
+    Without a known neighbour there is nothing to go by: zeros.
     """
-    flagged = image.select("obsid", "ix", "iy", F.col("total").cast("double").alias("total")).join(mask.select("obsid", "ix", "iy").distinct().withColumn("masked", F.lit(True)), ["obsid", "ix", "iy"], "left")
+    if not known.any():
+        return np.zeros(n)
+    apply = lambda x: count * x - np.bincount(a, weights=x[b], minlength=n)
+    v = np.full(n, known.sum() / max(1.0, count.sum()))
+    r = known - apply(v)
+    p, rr = r.copy(), r @ r
+    bound = tolerance**2 * max(known @ known, 1e-300)
+    for _ in range(20 * n + 100):
+        if rr <= bound:
+            break
+        q = apply(p)
+        step = rr / (p @ q)
+        v += step * p
+        r -= step * q
+        rr, before = r @ r, rr
+        p = r + (rr / before) * p
+    return v
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        ix, iy = pdf["ix"] - pdf["ix"].min(), pdf["iy"] - pdf["iy"].min()
-        grid = np.zeros((ix.max() + 1, iy.max() + 1))
-        hole = np.zeros(grid.shape, dtype=bool)
-        grid[ix, iy] = pdf["total"]
-        hole[ix, iy] = pdf["masked"].fillna(False).astype(bool)
-        outside = grid[~hole].sum()
-        template = _blurred(np.nan_to_num(_filled(grid, hole, rounds)), sigma) / max(outside, 1.0)
-        return pdf[["obsid", "ix", "iy"]].assign(template=template[ix, iy])
 
-    return flagged.groupBy("obsid").applyInPandas(fit, "obsid string, ix long, iy long, template double")
+def fill_holes(image: DataFrame, holes: DataFrame, value: str, box: DataFrame | None = None) -> DataFrame:
+    """(obsid, ix, iy, value) of ``holes`` such that each is the mean of its eight neighbours, as far as they are within the image's box.
+
+    Pixels of the box that have no row are zero.  A hole is a group of touching
+    pixels; it is solved by itself, to convergence, with what its rim is.
+    """
+    box = box_of(image) if box is None else box
+    inside = holes.select("obsid", "ix", "iy").distinct().join(box, "obsid").where("ix between x0 and x1 and iy between y0 and y1")
+    labelled = regions.components(inside.select("obsid", "ix", "iy"))
+    near = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1) if x or y]))
+    reach = labelled.join(box, "obsid").withColumn("d", near).withColumns({"nx": F.col("ix") + F.col("d.x"), "ny": F.col("iy") + F.col("d.y")}).where("nx between x0 and x1 and ny between y0 and y1")
+    known = image.select("obsid", F.col("ix").alias("nx"), F.col("iy").alias("ny"), F.col(value).cast("double").alias("v"))
+    is_hole = labelled.select("obsid", F.col("ix").alias("nx"), F.col("iy").alias("ny"), F.lit(True).alias("open"))
+    met = reach.join(is_hole, ["obsid", "nx", "ny"], "left").join(known, ["obsid", "nx", "ny"], "left")
+    rim = F.sum(F.when(F.col("open").isNull(), F.coalesce("v", F.lit(0.0))).otherwise(0.0))
+    contacts = F.collect_list(F.when(F.col("open"), F.struct("nx", "ny")))  # eight at most
+    rows = met.groupBy("obsid", "label", "ix", "iy").agg(F.count("*").cast("double").alias("count"), rim.alias("known"), contacts.alias("contacts"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        place = {p: k for k, p in enumerate(zip(pdf["ix"], pdf["iy"], strict=True))}
+        pairs = [(k, place[c["nx"], c["ny"]]) for k, cs in enumerate(pdf["contacts"]) for c in cs]
+        a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+        return pdf[["obsid", "ix", "iy"]].assign(v=_solved(len(pdf), pdf["count"].to_numpy(), pdf["known"].to_numpy(), a, b))
+
+    kind = dict(image.dtypes)["obsid"]
+    solved = rows.groupBy("obsid", "label").applyInPandas(solve, f"obsid {kind}, ix long, iy long, v double")
+    return solved.withColumnRenamed("v", value)
+
+
+def blurred(image: DataFrame, value: str, sigma: float, box: DataFrame | None = None) -> DataFrame:
+    """(obsid, ix, iy, value): a Gaussian blur of sparse pixels within their box, mirrored at its edges (half-sample symmetric).
+
+    The stencil is separable: one pass along each axis deals every pixel to what it
+    reaches, its mirror images included, and sums.  No task holds an image.
+    """
+    r = max(1, int(4 * sigma + 0.5))
+    weights = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-r, r + 1)]
+    taps = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w / sum(weights)).alias("w")) for d, w in zip(range(-r, r + 1), weights, strict=True)]))
+    box = box_of(image) if box is None else box
+    out = image.select("obsid", "ix", "iy", F.col(value).cast("double").alias("v"))
+    for axis, lo, hi in (("ix", "x0", "x1"), ("iy", "y0", "y1")):
+        other = "iy" if axis == "ix" else "ix"
+        mirrors = F.explode(F.array(F.col(axis), 2 * F.col(lo) - 1 - F.col(axis), 2 * F.col(hi) + 1 - F.col(axis)))
+        # only what stands within a stencil's reach of an edge has an image that matters
+        seen = out.join(box.select("obsid", lo, hi), "obsid").withColumn("at", mirrors).where(F.col("at").between(F.col(lo) - r, F.col(hi) + r))
+        dealt = seen.withColumn("t", taps).withColumn(axis, F.col("at") - F.col("t.d")).where(F.col(axis).between(F.col(lo), F.col(hi)))
+        out = dealt.groupBy("obsid", axis, other).agg(F.sum(F.col("t.w") * F.col("v")).alias("v"))
+    return out.select("obsid", "ix", "iy", F.col("v").alias(value))
+
+
+def background_template(image: DataFrame, mask: DataFrame, sigma: float = 0.5, box: DataFrame | None = None) -> DataFrame:
+    """Background per count outside sources: masked pixels filled from their rims, then a Gaussian blur; for the image's pixels.
+
+    Pixels of the box (obsid, x0, x1, y0, y1: the image's own unless given) that have no row are without counts.
+    """
+    flat = image.select("obsid", F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), F.col("total").cast("double").alias("total"))
+    hidden = mask.select("obsid", "ix", "iy").distinct()
+    outside = flat.join(hidden, ["obsid", "ix", "iy"], "left_anti")
+    box = box_of(flat) if box is None else box
+    whole = outside.unionByName(fill_holes(flat, hidden, "total", box))
+    counts = outside.groupBy("obsid").agg(F.sum("total").alias("outside"))
+    smooth = blurred(whole, "total", sigma, box).withColumnRenamed("total", "smooth")
+    joined = flat.join(smooth, ["obsid", "ix", "iy"]).join(counts, "obsid", "left")
+    return joined.select("obsid", "ix", "iy", (F.col("smooth") / F.greatest(F.coalesce("outside", F.lit(0.0)), F.lit(1.0))).alias("template"))
 
 
 def source_template(image: DataFrame, mask: DataFrame, template: DataFrame, frames: DataFrame) -> DataFrame:
@@ -135,6 +193,23 @@ def expectation_with_sources(cells: DataFrame, mask: DataFrame, template: DataFr
     return joined.select("obsid", "ix", "iy", "it", "n", mu.alias("mu"))
 
 
+def masked_sources(image: DataFrame, listed: DataFrame, factor: float = 3.0, share: float = 0.75, box: DataFrame | None = None) -> DataFrame:
+    """Pixels of a list, or over ``factor`` times a quantile of the image's other pixels, those of its box without counts included."""
+    keys = ["obsid", "ix", "iy"]
+    listed = listed.select(*keys).distinct()
+    box = box_of(image) if box is None else box
+    held = image.join(listed, keys, "left_anti")
+    inside = listed.join(box, "obsid").where("ix between x0 and x1 and iy between y0 and y1")
+    empty = inside.groupBy("obsid").agg(F.count("*").alias("on_list")).join(box, "obsid", "right").join(held.groupBy("obsid").agg(F.count("*").alias("rows")), "obsid", "left")
+    zeros = empty.select("obsid", F.lit(0).cast("long").alias("total"), ((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1) - F.coalesce("on_list", F.lit(0)) - F.coalesce("rows", F.lit(0))).alias("times"))
+    # pixels without counts are one row, counted as often as there are of them
+    every = held.select("obsid", F.col("total").cast("long").alias("total"), F.lit(1).cast("long").alias("times")).unionByName(zeros.where("times > 0"))
+    counts = every.groupBy("obsid", "total").agg(F.sum("times").alias("times"))
+    level = counts.groupBy("obsid").agg(F.percentile("total", F.lit(share), F.col("times")).alias("level"))
+    bright = held.join(level, "obsid").where(F.col("total") > factor * F.col("level")).select(*keys)
+    return inside.select(*keys).unionByName(bright)
+
+
 def two_template_expectation(cells: DataFrame, bad_frames: DataFrame) -> DataFrame:
     """mu from a template of good and one of bad times, each its own pixels' shares times the frame's counts."""
     kinds = cells.join(bad_frames.select("obsid", "it").distinct().withColumn("_b", F.lit(True)), ["obsid", "it"], "left").withColumn("is_bti", F.coalesce("_b", F.lit(False))).drop("_b")

@@ -97,15 +97,18 @@ def frame_exposures(cells: DataFrame, factor: int) -> DataFrame:
     return frames_of(cells).groupBy("obsid", F.expr(f"it div {factor}").alias("it")).agg(F.count("*").alias("exposure"))
 
 
-def bad_ccd_frames(events: DataFrame, frame_us: int = FRAME_US, dead_share: float = 0.25) -> DataFrame:
+def bad_ccd_frames(events: DataFrame, frame_us: int = FRAME_US) -> DataFrame:
     """(obsid, it, quad_max, quad_min, active, is_bad) of every frame, by the quadrants of three CCDs.
 
     A frame is bad if a quadrant's median count is zero while another's is not,
     and so is the frame that follows it; the frame after the last is the first.
     """
-    hits = events.select("obsid", F.expr(f"t_us div {frame_us}").alias("it"), "ccdnr").groupBy("obsid", "it", "ccdnr").agg(F.count("*").alias("n"))
-    frames = frames_of(hits)
-    grid = frames.crossJoin(events.sparkSession.range(1, 13).withColumnRenamed("id", "ccdnr"))  # twelve rows
+    return bad_ccd_frames_of(events.select("obsid", F.expr(f"t_us div {frame_us}").alias("it"), "ccdnr").groupBy("obsid", "it", "ccdnr").agg(F.count("*").alias("n")))
+
+
+def bad_ccd_frames_of(hits: DataFrame) -> DataFrame:
+    """The same from counts n of (obsid, it, ccdnr)."""
+    grid = frames_of(hits).withColumn("ccdnr", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(12).cast("long"))))
     full = grid.join(hits, ["obsid", "it", "ccdnr"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     quadrants = full.groupBy("obsid", "it", F.expr("(ccdnr - 1) div 3").alias("quadrant")).agg(F.sum("n").alias("total"), F.median("n").alias("mid"))
     stats = quadrants.groupBy("obsid", "it").agg(F.max("mid").alias("quad_max"), F.min("mid").alias("quad_min"), F.count_if(F.col("total") > 0).alias("active"))
@@ -118,8 +121,13 @@ def bad_ccd_frames(events: DataFrame, frame_us: int = FRAME_US, dead_share: floa
 
 def light_curves(cells: DataFrame, boxes: DataFrame) -> DataFrame:
     """n per (obsid, label, it) over each region's half-open box; boxes are few and exploded to pixels."""
+    return cells.join(box_pixels(boxes), ["obsid", "ix", "iy"]).groupBy("obsid", "label", "it").agg(F.sum("n").alias("n"))
+
+
+def box_pixels(boxes: DataFrame) -> DataFrame:
+    """(obsid, label, ix, iy) of every pixel of half-open boxes."""
     pixels = boxes.withColumn("ix", F.explode(F.sequence("bbox_0", F.col("bbox_2") - 1))).withColumn("iy", F.explode(F.sequence("bbox_1", F.col("bbox_3") - 1)))
-    return cells.join(pixels.select("obsid", "label", "ix", "iy"), ["obsid", "ix", "iy"]).groupBy("obsid", "label", "it").agg(F.sum("n").alias("n"))
+    return pixels.select("obsid", "label", "ix", "iy")
 
 
 def masked(cells: DataFrame, bad_frames: DataFrame) -> DataFrame:

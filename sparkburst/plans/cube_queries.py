@@ -337,28 +337,35 @@ def q_source_mask(s, d):
     return background.source_mask(cube.images(cells_of(s, d)).select("obsid", "ix", "iy", "total"), sources_of(s, d))
 
 
-#: The template in SQL: twenty rounds of diffusion into the masked pixels, then the blur's five taps in each direction, mirrored at the edges.
-ROUNDS = 20
-BACKGROUND = {
-    "mask": "SELECT i.obsid, i.ix, i.iy FROM image i JOIN (SELECT obsid, quantile_cont(total, 0.9) AS q FROM image GROUP BY obsid) USING (obsid) WHERE total > q",
-    "box": "SELECT obsid, min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM image GROUP BY obsid",
-    "grid": "SELECT g.obsid, g.ix, g.iy, coalesce(i.total, 0)::DOUBLE AS total, m.obsid IS NOT NULL AS hole FROM (SELECT obsid, unnest(range(x0, x1 + 1)) AS ix, y0, y1 FROM box) x, LATERAL (SELECT x.obsid, x.ix, unnest(range(x.y0, x.y1 + 1)) AS iy) g LEFT JOIN image i ON i.obsid = g.obsid AND i.ix = g.ix AND i.iy = g.iy LEFT JOIN mask m ON m.obsid = g.obsid AND m.ix = g.ix AND m.iy = g.iy",
-    "f0": "SELECT obsid, ix, iy, hole, CASE WHEN hole THEN NULL ELSE total END AS v FROM grid",
-} | {
-    f"f{k + 1}": f"SELECT a.obsid, a.ix, a.iy, a.hole, CASE WHEN a.hole THEN coalesce(avg(b.v), any_value(a.v)) ELSE any_value(a.v) END AS v FROM f{k} a LEFT JOIN f{k} b ON a.hole AND a.obsid = b.obsid AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND (a.ix <> b.ix OR a.iy <> b.iy) GROUP BY a.obsid, a.ix, a.iy, a.hole"
-    for k in range(ROUNDS)
-} | {
-    "taps": "SELECT d, w / sum(w) OVER () AS w FROM (SELECT d, exp(-0.5 * pow(d / 0.5, 2)) AS w FROM (SELECT unnest(range(-2, 3)) AS d))",
-    "across": f"SELECT f.obsid, f.ix, f.iy, sum(w * coalesce(g.v, 0)) AS v FROM f{ROUNDS} f JOIN box USING (obsid), taps JOIN f{ROUNDS} g ON g.obsid = f.obsid AND g.iy = f.iy AND g.ix = greatest(x0, least(x1, CASE WHEN f.ix + d < x0 THEN 2 * x0 - 1 - f.ix - d WHEN f.ix + d > x1 THEN 2 * x1 + 1 - f.ix - d ELSE f.ix + d END)) GROUP BY ALL",
-    "blurred": "SELECT f.obsid, f.ix, f.iy, sum(w * g.v) AS v FROM across f JOIN box USING (obsid), taps JOIN across g ON g.obsid = f.obsid AND g.ix = f.ix AND g.iy = greatest(y0, least(y1, CASE WHEN f.iy + d < y0 THEN 2 * y0 - 1 - f.iy - d WHEN f.iy + d > y1 THEN 2 * y1 + 1 - f.iy - d ELSE f.iy + d END)) GROUP BY ALL",
-    "template": "SELECT obsid, ix, iy, v / greatest(o, 1) AS template FROM blurred JOIN (SELECT obsid, sum(total) FILTER (NOT hole) AS o FROM grid GROUP BY obsid) USING (obsid)",
-}
+#: Sweeps of the SQL towards what the holes' equations have as their solution.
+SWEEPS = 600
+
+
+def template_parts(image: str, mask: str, box: str = "") -> dict[str, str]:
+    """The template in SQL: masked pixels settle to the mean of their neighbours, then the blur's five taps in each direction, mirrored at the edges."""
+    mirror = lambda c, lo, hi: f"CASE WHEN f.{c} + d < {lo} THEN 2 * {lo} - 1 - f.{c} - d WHEN f.{c} + d > {hi} THEN 2 * {hi} + 1 - f.{c} - d ELSE f.{c} + d END"
+    return {
+        "box": box or f"SELECT obsid, min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM {image} GROUP BY obsid",
+        "grid": f"SELECT g.obsid, g.ix, g.iy, coalesce(i.total, 0)::DOUBLE AS total, m.obsid IS NOT NULL AS hole FROM (SELECT obsid, unnest(range(x0, x1 + 1)) AS ix, y0, y1 FROM box) x, LATERAL (SELECT x.obsid, x.ix, unnest(range(x.y0, x.y1 + 1)) AS iy) g LEFT JOIN {image} i ON i.obsid = g.obsid AND i.ix = g.ix AND i.iy = g.iy LEFT JOIN (SELECT DISTINCT obsid, ix, iy FROM {mask}) m ON m.obsid = g.obsid AND m.ix = g.ix AND m.iy = g.iy",
+        "near": f"SELECT h.obsid, h.ix, h.iy, h.ix + dx AS gx, h.iy + dy AS gy FROM grid h, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy) WHERE h.hole AND (dx <> 0 OR dy <> 0)",
+        "rim": f"SELECT p.obsid, p.ix, p.iy, count(*) AS c, sum(CASE WHEN g.hole THEN 0 ELSE g.total END) AS k FROM near p JOIN grid g ON g.obsid = p.obsid AND g.ix = p.gx AND g.iy = p.gy GROUP BY ALL",
+        "open": f"SELECT p.* FROM near p JOIN rim r ON r.obsid = p.obsid AND r.ix = p.gx AND r.iy = p.gy",
+        "sweep": f"SELECT 0 AS k, obsid, ix, iy, 0.0::DOUBLE AS v FROM rim UNION ALL SELECT s.k + 1, s.obsid, s.ix, s.iy, (any_value(r.k) + coalesce(sum(o.v), 0)) / any_value(r.c) FROM sweep s JOIN rim r ON r.obsid = s.obsid AND r.ix = s.ix AND r.iy = s.iy LEFT JOIN open p ON p.obsid = s.obsid AND p.ix = s.ix AND p.iy = s.iy LEFT JOIN sweep o ON o.obsid = p.obsid AND o.ix = p.gx AND o.iy = p.gy WHERE s.k < {SWEEPS} GROUP BY s.k, s.obsid, s.ix, s.iy",
+        "filled": f"SELECT g.obsid, g.ix, g.iy, CASE WHEN g.hole THEN coalesce(w.v, 0) ELSE g.total END AS v FROM grid g LEFT JOIN (SELECT * FROM sweep WHERE k = {SWEEPS}) w ON w.obsid = g.obsid AND w.ix = g.ix AND w.iy = g.iy",
+        "taps": "SELECT d, w / sum(w) OVER () AS w FROM (SELECT d, exp(-0.5 * pow(d / 0.5, 2)) AS w FROM (SELECT unnest(range(-2, 3)) AS d))",
+        "across": f"SELECT f.obsid, f.ix, f.iy, sum(w * g.v) AS v FROM filled f JOIN box USING (obsid), taps JOIN filled g ON g.obsid = f.obsid AND g.iy = f.iy AND g.ix = {mirror('ix', 'x0', 'x1')} GROUP BY ALL",
+        "blurred": f"SELECT f.obsid, f.ix, f.iy, sum(w * g.v) AS v FROM across f JOIN box USING (obsid), taps JOIN across g ON g.obsid = f.obsid AND g.ix = f.ix AND g.iy = {mirror('iy', 'y0', 'y1')} GROUP BY ALL",
+        "template": f"SELECT i.obsid, i.ix, i.iy, b.v / greatest(o, 1) AS template FROM {image} i JOIN blurred b ON b.obsid = i.obsid AND b.ix = i.ix AND b.iy = i.iy JOIN (SELECT obsid, coalesce(sum(total) FILTER (NOT hole), 0) AS o FROM grid GROUP BY obsid) t ON t.obsid = i.obsid",
+    }
+
+
+BACKGROUND = {"mask": "SELECT i.obsid, i.ix, i.iy FROM image i JOIN (SELECT obsid, quantile_cont(total, 0.9) AS q FROM image GROUP BY obsid) USING (obsid) WHERE total > q"} | template_parts("image", "mask")
 
 
 @query(put("SELECT i.obsid, i.ix, i.iy, round(template, 9) AS template FROM image i JOIN template USING (obsid, ix, iy)", "image", **BACKGROUND))
 def q_background_template(s, d):
     image = cube.images(cells_of(s, d)).select("obsid", "ix", "iy", "total")
-    return background.background_template(image, background.above_percentile(image, 0.9), rounds=ROUNDS).withColumn("template", F.round("template", 9))
+    return background.background_template(image, background.above_percentile(image, 0.9)).withColumn("template", F.round("template", 9))
 
 
 @query(put("""SELECT c.obsid, c.ix, c.iy, c.it, c.n, round(t.template * coalesce(o.n_out, 0) + CASE WHEN m.obsid IS NULL THEN 0 ELSE greatest(0, i.total - t.template * s.outside) / f.n_frames END, 9) AS mu
@@ -369,7 +376,7 @@ def q_expectation_sources(s, d):
     cells = cells_of(s, d)
     image = cube.images(cells).select("obsid", "ix", "iy", "total")
     mask = background.above_percentile(image, 0.9).select("obsid", "ix", "iy")
-    template = background.background_template(image, mask, rounds=ROUNDS)
+    template = background.background_template(image, mask)
     out = background.expectation_with_sources(cells, mask, template, background.source_template(image, mask, template, cube.frames_of(cells)))
     return out.withColumn("mu", F.round("mu", 9))
 

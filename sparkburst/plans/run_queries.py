@@ -16,7 +16,7 @@ from ..operators import statistics as S
 from ..sources import adapters as A
 from ..sources import store
 from .catalogue_queries import EXCLUDED, HOT, MEASURED, RECT, measured, rectangles
-from .cube_queries import BAD_BINS, CCD_FRAMES, COMPONENTS, REACH, cells_of, labelled_of
+from .cube_queries import CCD_FRAMES, COMPONENTS, REACH, cells_of, labelled_of, template_parts
 from .curve_queries import curves_of
 from .oracle import FRAME, PARTS, put
 from .pipeline import TransientPipeline
@@ -316,43 +316,98 @@ def q_sources_full(s, d):
 
 #: Bursts put into the events of the runs: every 97th event comes eighty times, those of one pixel sixty times, so that frames without them are dips.
 BURSTS = "SELECT p.*, unnest(range(CASE WHEN event_id % 97 = 0 THEN 80 WHEN ix = 3 AND iy = 0 THEN 60 ELSE 1 END)) AS nth FROM photons p"
+#: A "second" of the runs is 72, so frames are 6 to 20 hours and bins of the hard curve 6.
+SECOND = 72_000_000
+RUN_SOURCES = "SELECT obsid, (source * 37) % 40 AS sx, (source * 53) % 25 AS sy, total_rate / 20 AS rate FROM known"
 RUNS = {
+    "lists": SOURCE_LISTS,
+    "known": KNOWN,
+    "sources": RUN_SOURCES,
     "bursts": BURSTS,
-    "timed": "SELECT obsid || '_' || t_bin AS obsid, ccdnr, pi, t_us // (t_bin::BIGINT * 72000000) AS it FROM bursts, (SELECT unnest([300, 600, 1000]) AS t_bin)",
-    "hard": "SELECT f.obsid, f.it, coalesce(h.n, 0) AS n FROM (SELECT obsid, unnest(range(min(it), max(it) + 1)) AS it FROM timed GROUP BY obsid) f LEFT JOIN (SELECT obsid, it, count(*) AS n FROM timed WHERE pi > 11500 AND pi < 12000 GROUP BY ALL) h USING (obsid, it)",
-    "bti": PARTS["bti"][1],
-    "bins": BAD_BINS,
+    "timed": f"SELECT obsid || '_' || t_bin AS obsid, obsid AS obs, t_bin, ccdnr, t_us // (t_bin::BIGINT * {SECOND}) AS it FROM bursts, (SELECT unnest([300, 600, 1000]) AS t_bin)",
+    "hard": f"SELECT f.obsid, f.it, coalesce(h.n, 0) AS n FROM (SELECT obsid, unnest(range(min(t_us // {300 * SECOND}), max(t_us // {300 * SECOND}) + 1)) AS it FROM bursts GROUP BY obsid) f LEFT JOIN (SELECT obsid, t_us // {300 * SECOND} AS it, count(*) AS n FROM bursts WHERE pi > 10000 AND pi < 12000 GROUP BY ALL) h USING (obsid, it)",
+    "bti": PARTS["bti"][1].replace("n > 0", "n > 1"),
+    "bt": f"SELECT b.obsid || '_' || t_bin AS timed, start * {300 * SECOND} AS start, stop * {300 * SECOND} AS stop FROM bti b, (SELECT unnest([300, 600, 1000]) AS t_bin)",
+    "spans": "SELECT obsid, any_value(obs) AS obs, any_value(t_bin) AS t_bin, min(it) AS lo, max(it) AS hi FROM timed GROUP BY obsid",
+    "edges": f"SELECT obsid, lo, it, it * t_bin * {SECOND} AS t FROM (SELECT obsid, lo, t_bin::BIGINT AS t_bin, unnest(range(lo, hi + 2)) AS it FROM spans)",
+    "bins": "SELECT DISTINCT obsid, lo + unnest(range(a, b)) AS it FROM (SELECT e.obsid, e.lo, b.start, b.stop, count(*) FILTER (e.t < b.start) AS a, count(*) FILTER (e.t < b.stop) - 1 AS b FROM bt b JOIN edges e ON e.obsid = b.timed GROUP BY ALL) WHERE b > a",
     "ccd": CCD_FRAMES.replace(f"t_us // {FRAME}", "it").replace("photons", "timed"),
-    "bad": "SELECT obsid, lo + k AS it FROM bins JOIN (SELECT obsid, min(it) AS lo FROM hard GROUP BY obsid) USING (obsid) UNION SELECT obsid, it FROM ccd WHERE is_bad",
-    "cells": """SELECT c.obsid, ix, iy, it, count(*) AS n FROM (SELECT obsid || '_0_' || t_bin || '_' || e_lo || '_' || e_hi AS obsid, obsid || '_' || t_bin AS timed, ix, iy, t_us // (t_bin::BIGINT * 72000000) AS it FROM bursts, (SELECT unnest([300, 600, 1000]) AS t_bin),
-        (SELECT unnest([0.2, 2.0, 0.2])::DOUBLE AS e_lo, unnest([2.0, 12.0, 12.0])::DOUBLE AS e_hi) WHERE pi > e_lo * 1000 AND pi < e_hi * 1000) c WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.obsid = c.timed AND b.it = c.it) GROUP BY ALL""",
-    "full": """SELECT p.obsid, p.ix, p.iy, f.it, coalesce(c.n, 0) AS n, (p.s * f.s)::DOUBLE / t.s::DOUBLE AS mu FROM (SELECT obsid, ix, iy, sum(n) AS s FROM cells GROUP BY ALL) p JOIN (SELECT obsid, it, sum(n) AS s FROM cells GROUP BY ALL) f USING (obsid)
-        JOIN (SELECT obsid, sum(n) AS s FROM cells GROUP BY obsid) t USING (obsid) LEFT JOIN cells c USING (obsid, ix, iy, it)""",
-    "hits": """SELECT obsid, ix, iy, it, n, coalesce(n > p, false) AS is_peak, coalesce(n < e, false) AS is_eclipse FROM (
+    "fx": "SELECT c.obsid, s.obs, c.it, c.is_bad, b.it IS NOT NULL AS is_bti FROM ccd c JOIN spans s USING (obsid) LEFT JOIN bins b ON b.obsid = c.obsid AND b.it = c.it",
+    "cells": f"""SELECT c.obsid, c.timed, c.obs, c.ix, c.iy, c.it, f.is_bti, count(*) AS n FROM (SELECT obsid || '_0_' || t_bin || '_' || e_lo || '_' || e_hi AS obsid, obsid || '_' || t_bin AS timed, obsid AS obs, ix, iy, t_us // (t_bin::BIGINT * {SECOND}) AS it FROM bursts, (SELECT unnest([300, 600, 1000]) AS t_bin),
+        (SELECT unnest([0.2, 2.0, 0.2])::DOUBLE AS e_lo, unnest([2.0, 12.0, 12.0])::DOUBLE AS e_hi) WHERE pi > e_lo * 1000 AND pi < e_hi * 1000) c JOIN fx f ON f.obsid = c.timed AND f.it = c.it WHERE NOT f.is_bad GROUP BY ALL""",
+    "rr": "SELECT * FROM (SELECT DISTINCT obsid, timed, obs FROM cells) JOIN (SELECT obsid AS timed, count(*) AS frames, count(*) FILTER (NOT is_bti) AS gti, count(*) FILTER (is_bti) AS bti, count(*) FILTER (is_bad) AS part, count(*) FILTER (NOT is_bti AND NOT is_bad) AS xg, count(*) FILTER (is_bti AND NOT is_bad) AS xb FROM fx GROUP BY obsid) USING (timed)",
+    "b0": "SELECT obsid, min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM cells GROUP BY obsid",
+    "listed": "SELECT DISTINCT r.obsid, sx + dx AS ix, sy + dy AS iy FROM rr r JOIN sources s ON s.obsid = r.obs JOIN b0 ON b0.obsid = r.obsid, (SELECT unnest(range(-4, 5)) AS dx), (SELECT unnest(range(-4, 5)) AS dy) WHERE dx * dx + dy * dy < pow(CASE WHEN rate > 1 THEN 4 WHEN rate > 0.1 THEN 2 ELSE 1 END, 2) AND sx + dx BETWEEN x0 AND x1 AND sy + dy BETWEEN y0 AND y1",
+    "rest": """SELECT g.obsid, g.ix, g.iy, coalesce(c.n, 0) AS total FROM (SELECT x.obsid, x.ix, unnest(range(y0, y1 + 1)) AS iy FROM (SELECT obsid, y0, y1, unnest(range(x0, x1 + 1)) AS ix FROM b0) x) g
+        LEFT JOIN (SELECT obsid, ix, iy, sum(n) AS n FROM cells WHERE NOT is_bti GROUP BY ALL) c USING (obsid, ix, iy) WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.obsid = g.obsid AND l.ix = g.ix AND l.iy = g.iy)""",
+    "rmask": "SELECT obsid, ix, iy FROM listed UNION SELECT r.obsid, ix, iy FROM rest r JOIN (SELECT obsid, quantile_cont(total, 0.75) AS q FROM rest GROUP BY obsid) USING (obsid) WHERE total > 3 * q",
+    "image": "SELECT obsid || '|' || is_bti AS obsid, obsid AS run, is_bti, ix, iy, CAST(sum(n) AS BIGINT) AS total FROM cells GROUP BY ALL",
+    "kmask": "SELECT k.obsid, m.ix, m.iy FROM rmask m JOIN (SELECT DISTINCT obsid, run FROM image) k ON k.run = m.obsid",
+    **template_parts("image", "kmask", "SELECT k.obsid, x0, x1, y0, y1 FROM b0 JOIN (SELECT DISTINCT obsid, run FROM image) k ON k.run = b0.obsid"),
+    "outs": "SELECT i.obsid, sum(total) FILTER (m.obsid IS NULL) AS o FROM image i LEFT JOIN rmask m ON m.obsid = i.run AND m.ix = i.ix AND m.iy = i.iy GROUP BY i.obsid",
+    "rates": """SELECT i.run, i.ix, i.iy, greatest(0, i.total - t.template * coalesce(o.o, 0)) / (CASE WHEN r.gti > r.bti THEN r.xg ELSE r.xb END) AS rate FROM image i JOIN rr r ON r.obsid = i.run AND i.is_bti = (r.gti <= r.bti)
+        JOIN rmask m ON m.obsid = i.run AND m.ix = i.ix AND m.iy = i.iy JOIN template t ON t.obsid = i.obsid AND t.ix = i.ix AND t.iy = i.iy LEFT JOIN outs o ON o.obsid = i.obsid""",
+    "model": "SELECT i.run, i.is_bti, i.ix, i.iy, t.template, coalesce(r.rate, 0) AS rate FROM image i JOIN template t USING (obsid, ix, iy) LEFT JOIN rates r ON r.run = i.run AND r.ix = i.ix AND r.iy = i.iy",
+    "curve": "SELECT c.obsid, c.it, c.is_bti, coalesce(sum(c.n) FILTER (m.obsid IS NULL), 0) AS o FROM cells c LEFT JOIN rmask m USING (obsid, ix, iy) GROUP BY c.obsid, c.it, c.is_bti",
+    "full_": "SELECT m.run AS obsid, m.ix, m.iy, f.it, coalesce(c.n, 0) AS n, m.template * f.o + m.rate AS mu FROM model m JOIN curve f ON f.obsid = m.run AND f.is_bti = m.is_bti LEFT JOIN cells c ON c.obsid = m.run AND c.ix = m.ix AND c.iy = m.iy AND c.it = f.it",
+    "hits": """SELECT obsid, ix, iy, it, n, mu, coalesce(n > p, false) AS is_peak, coalesce(n < e, false) AS is_eclipse FROM (
         SELECT c.*, a.n_peak + (b.n_peak - a.n_peak) * (c.mu - a.mu) / (b.mu - a.mu) AS p, a.n_eclipse + (b.n_eclipse - a.n_eclipse) * (c.mu - a.mu) / (b.mu - a.mu) AS e FROM full_ c ASOF LEFT JOIN knots a ON c.mu >= a.mu LEFT JOIN knots b ON b.k = a.k + 1) WHERE n > p OR n < e""",
 }
-RUNS["full_"] = RUNS.pop("full")
-RUNS["hits"] = RUNS.pop("hits")
+RUN_PARTS = RUNS | {
+    "flagged": "SELECT h.obsid, h.ix, h.iy, coalesce(sum(c.n), 0) AS total FROM (SELECT DISTINCT obsid, ix, iy FROM hits) h LEFT JOIN cells c USING (obsid, ix, iy) GROUP BY ALL",
+    "reach": REACH,
+    "parts": COMPONENTS,
+    "found": "SELECT obsid, label, min(ix) AS a, min(iy) AS b, max(ix) AS e, max(iy) AS f, count(*) AS area, CAST(sum(total) AS BIGINT) AS total, (sum(ix * total) / sum(total))::DOUBLE AS wx, (sum(iy * total) / sum(total))::DOUBLE AS wy FROM parts GROUP BY obsid, label",
+}
 
 
 def pipeline_of(s, d) -> TransientPipeline:
     times = F.sequence(F.lit(1), F.when(F.col("event_id") % 97 == 0, 80).when((F.col("ix") == 3) & (F.col("iy") == 0), 60).otherwise(1))
     events = A.photons(s, d).withColumn("nth", F.explode(times)).drop("nth")
-    hard = events.withColumn("pi", F.when((F.col("pi") > 10000) & (F.col("pi") <= 11500), F.col("pi") - 1500).otherwise(F.col("pi")))
-    return TransientPipeline(hard, bayes.limit_table(s, 3), frame_scale_us=72_000_000, hard_rate=0.0)
+    sources = background.known_sources(A.source_lists(s, d)).select("obsid", (F.col("source") * 37 % 40).alias("sx"), (F.col("source") * 53 % 25).alias("sy"), (F.col("total_rate") / 20).alias("rate"))
+    plane = wcs_of(s, d).select("obsid", "crval_x", "crval_y", F.lit(5.0).alias("crpix_x"), F.lit(3.0).alias("crpix_y"), F.lit(-0.005).alias("cdelt_x"), F.lit(0.005).alias("cdelt_y"))
+    # more than one hard event in a bin is bad
+    return TransientPipeline(events, bayes.limit_table(s, 3), frame_scale_us=SECOND, hard_rate=1.5 / 21_600, hard_bin=300, good_times_only=False, sources=sources, wcs=plane)
 
 
-@query(put("SELECT obsid AS runid, ix, iy, it, n, is_peak, is_eclipse FROM hits", "photons", "knots", **RUNS))
+@query(put("SELECT obsid AS runid, ix, iy, it, n, round(mu, 6) AS mu, is_peak, is_eclipse FROM hits", "photons", "knots", **RUNS))
 def q_run_alerts(s, d):
-    return pipeline_of(s, d).alerts().select(F.col("obsid").alias("runid"), "ix", "iy", "it", "n", "is_peak", "is_eclipse")
+    return pipeline_of(s, d).alerts().select(F.col("obsid").alias("runid"), "ix", "iy", "it", "n", F.round("mu", 6).alias("mu"), "is_peak", "is_eclipse")
 
 
-@query(put("SELECT c.*, coalesce(h.n_peaks, 0) AS n_peaks, coalesce(h.n_eclipses, 0) AS n_eclipses FROM (SELECT obsid AS runid, count(*) AS n_cells, CAST(sum(n) AS BIGINT) AS n_events, max(n) AS max_n FROM cells GROUP BY obsid) c LEFT JOIN (SELECT obsid AS runid, count(*) FILTER (is_peak) AS n_peaks, count(*) FILTER (is_eclipse) AS n_eclipses FROM hits GROUP BY obsid) h USING (runid)", "photons", "knots", **RUNS))
+@query(put("SELECT run AS runid, is_bti, ix, iy, round(template, 9) AS template, round(rate, 9) AS rate FROM model", "photons", "knots", **RUNS))
+def q_run_model(s, d):
+    """Templates and source rates of all runs."""
+    return pipeline_of(s, d).model().select(F.col("obsid").alias("runid"), "is_bti", "ix", "iy", F.round("template", 9).alias("template"), F.round("rate", 9).alias("rate"))
+
+
+@query(put("SELECT c.*, coalesce(h.n_peaks, 0) AS n_peaks, coalesce(h.n_eclipses, 0) AS n_eclipses, coalesce(g.n, 0) AS n_regions FROM (SELECT obsid AS runid, count(*) AS n_cells, CAST(sum(n) AS BIGINT) AS n_events, max(n) AS max_n FROM cells GROUP BY obsid) c LEFT JOIN (SELECT obsid AS runid, count(*) FILTER (is_peak) AS n_peaks, count(*) FILTER (is_eclipse) AS n_eclipses FROM hits GROUP BY obsid) h USING (runid) LEFT JOIN (SELECT obsid AS runid, count(*) AS n FROM found GROUP BY obsid) g USING (runid)", "photons", "knots", **RUN_PARTS))
 def q_run_info(s, d):
     return pipeline_of(s, d).info()
 
 
-@query(put("SELECT obsid AS runid, label, count(*) AS area, CAST(sum(total) AS BIGINT) AS total FROM parts GROUP BY ALL", "photons", "knots", **RUNS,
-    flagged="SELECT obsid, ix, iy, sum(n) AS total FROM cells WHERE (obsid, ix, iy) IN (SELECT (obsid, ix, iy) FROM hits) GROUP BY ALL", reach=REACH, parts=COMPONENTS))
+@query(put("""SELECT f.obsid AS runid, label, area, total, round((degrees(atan2(xi, down)) + crval_x) % 360.0, 6) AS ra, round(degrees(atan2(sin(d0) + eta * cos(d0), sqrt(xi * xi + down * down))), 6) AS dec FROM (
+    SELECT f.*, crval_x, radians(crval_y) AS d0, radians((wx + 1 - 5.0) * -0.005) AS xi, radians((wy + 1 - 3.0) * 0.005) AS eta, cos(radians(crval_y)) - radians((wy + 1 - 3.0) * 0.005) * sin(radians(crval_y)) AS down
+    FROM found f JOIN rr USING (obsid) JOIN wcs w ON w.obsid = rr.obs) f""", "photons", "knots", **RUN_PARTS, wcs=WCS))
 def q_run_regions(s, d):
-    return pipeline_of(s, d).regions().select("runid", "label", "area", F.round(F.col("intensity_mean") * F.col("area")).cast("long").alias("total"))
+    found = pipeline_of(s, d).regions()
+    return found.select("runid", "label", "area", F.round(F.col("intensity_mean") * F.col("area")).cast("long").alias("total"), F.round("ra_deg", 6).alias("ra"), F.round("dec_deg", 6).alias("dec"))
+
+
+@query(put("""SELECT g.obsid AS runid, g.label, x.it, coalesce(n.n, 0) AS n, round(CASE WHEN k.o IS NULL THEN 0 ELSE coalesce(m.t, 0) * k.o + coalesce(m.r, 0) END, 6) AS mu, x.is_bti
+    FROM found g JOIN rr USING (obsid) JOIN fx x ON x.obsid = rr.timed AND NOT x.is_bad LEFT JOIN curve k ON k.obsid = g.obsid AND k.it = x.it
+    LEFT JOIN (SELECT g.obsid, g.label, m.is_bti, sum(template) AS t, sum(rate) AS r FROM found g JOIN model m ON m.run = g.obsid AND m.ix BETWEEN g.a AND g.e AND m.iy BETWEEN g.b AND g.f GROUP BY ALL) m ON m.obsid = g.obsid AND m.label = g.label AND m.is_bti = x.is_bti
+    LEFT JOIN (SELECT g.obsid, g.label, c.it, CAST(sum(c.n) AS BIGINT) AS n FROM found g JOIN cells c ON c.obsid = g.obsid AND c.ix BETWEEN g.a AND g.e AND c.iy BETWEEN g.b AND g.f GROUP BY ALL) n ON n.obsid = g.obsid AND n.label = g.label AND n.it = x.it""", "photons", "knots", **RUN_PARTS))
+def q_run_light_curves(s, d):
+    return pipeline_of(s, d).light_curves().select("runid", "label", "it", "n", F.round("mu", 6).alias("mu"), "is_bti")
+
+
+@query(put(f"""SELECT h.obsid AS runid, h.ix, h.iy, h.it, count(*) AS n_events, max(pi) AS pi_max FROM hits h JOIN (SELECT obsid || '_0_' || t_bin || '_' || e_lo || '_' || e_hi AS obsid, ix, iy, pi, t_us // (t_bin::BIGINT * {SECOND}) AS it FROM bursts, (SELECT unnest([300, 600, 1000]) AS t_bin),
+    (SELECT unnest([0.2, 2.0, 0.2])::DOUBLE AS e_lo, unnest([2.0, 12.0, 12.0])::DOUBLE AS e_hi) WHERE pi > e_lo * 1000 AND pi < e_hi * 1000) e USING (obsid, ix, iy, it) GROUP BY ALL""", "photons", "knots", **RUNS))
+def q_run_alert_events(s, d):
+    return pipeline_of(s, d).alert_events().groupBy("runid", "ix", "iy", "it").agg(F.count("*").alias("n_events"), F.max("pi").alias("pi_max"))
+
+
+@query(put("SELECT r.obsid AS runid, x1 - x0 + 1 AS n_x, y1 - y0 + 1 AS n_y, frames AS n_frames, gti AS n_gti, bti AS n_bti, part AS n_partial FROM rr r JOIN b0 USING (obsid)", "photons", "knots", **RUNS))
+def q_run_cubes(s, d):
+    return pipeline_of(s, d).cube_info().select("runid", "n_x", "n_y", "n_frames", "n_gti", "n_bti", "n_partial")

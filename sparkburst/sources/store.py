@@ -58,6 +58,21 @@ def load(spark: SparkSession, root: str, table: str, runid: str | None = None) -
     return spark.read.option("mergeSchema", True).parquet(f"{root}/{table}/run={runid}" if runid else f"{root}/{table}")
 
 
+def load_run(spark: SparkSession, root: str, runid: str) -> dict[str, DataFrame]:
+    """All tables of one run from a store of many: the filter is pushed to the scans.
+
+    Tables of an observation and of a frame length give their rows for the run's.
+    """
+    obsid, _, t_bin, *_ = runid.split("_")
+    of = {"bti": ("timed", f"{obsid}_{t_bin}"), "evt_info": ("runid", obsid), "obs_info": ("runid", obsid)}
+    out = {}
+    for table in TABLES:
+        if exists(spark, f"{root}/{table}"):
+            column, value = of.get(table, ("runid", runid))
+            out[table] = load(spark, root, table).where(F.col(column) == value)
+    return out
+
+
 def save_info(df: DataFrame, root: str, table: str, key: str = "runid") -> None:
     """Scalars as key-value rows."""
     save(as_rows(df, key), root, table)

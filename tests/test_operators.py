@@ -1,5 +1,7 @@
 """Regions, features, joins, filters and sources on small fixtures."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -125,14 +127,73 @@ def test_injection(spark):
 def test_pipeline(spark):
     rows = [("o", i % 4, i // 4 % 4, (i * 79190007) % 30_000_000_000, 1000) for i in range(400)] + [("o", 1, 1, 900_000_000 + i, 1000) for i in range(60)]
     rows += [("o", x, 3, t * 1_000_000 + i, 5000) for x in range(4) for t in range(0, 30_000, 100) if x < 3 or not 12_000 <= t < 15_000 for i in range(12)]  # bright, one with a dip
-    rows += [("o", 2, 0, 20_000_000_000 + k * 600_000_000 + i, 11_000) for k in range(4) for i in range(900)]  # a hard flare
+    rows += [("o", 2, 0, 20_000_000_000 + k * 100_000_000 + i, 11_000) for k in range(24) for i in range(150)]  # a hard flare of 2,400 seconds, in bins of 100
     events = spark.createDataFrame([(*r, k % 12 + 1) for k, r in enumerate(rows)], "obsid string, ix long, iy long, t_us long, pi int, ccdnr int")
     p = TransientPipeline(events, bayes.limit_table(spark, 3, 2000, 20).cache(), time_bins=(600,), bands=((0.2, 12.0),), whole_frames_only=False, hard_rate=0.5)
     alerts = p.alerts().collect()
     assert any(r["is_peak"] and (r["ix"], r["iy"]) == (1, 1) for r in alerts)
     assert any(r["is_eclipse"] and (r["ix"], r["iy"]) == (3, 3) and r["n"] < 3 for r in alerts)
-    assert p.bad_times().count() >= 1 and all(r["it"] != 20_000 // 600 for r in p.cells().where("obsid like '%_600_%'").collect())
-    assert p.regions().count() >= 1
+    assert [(r["start"], r["stop"]) for r in p.bad_times().collect()] == [(19_900_000_000, 22_300_000_000)]
+    # frames from the first that begins within the flare up to the one before its last
+    assert {r["it"] for r in p.frames().where("is_bti").collect()} == {34, 35, 36}
+    held = {r["it"] for r in p.cells().collect()}
+    assert not held & {34, 35, 36} and {33, 37} <= held
+    found = p.regions().collect()
+    assert len(found) >= 1
+    box = next(r for r in found if r["bbox_0"] <= 3 < r["bbox_2"] and r["bbox_1"] <= 3 < r["bbox_3"])
+    curve = {r["it"]: r for r in p.light_curves().where(F.col("label") == box["label"]).collect()}
+    assert set(curve) == {r["it"] for r in p.frames().where("kept").collect()}
+    cells = p.cells().where((F.col("ix") >= box["bbox_0"]) & (F.col("ix") < box["bbox_2"]) & (F.col("iy") >= box["bbox_1"]) & (F.col("iy") < box["bbox_3"]))
+    assert sum(r["n"] for r in curve.values()) == cells.agg(F.sum("n")).first()[0]
+    # the curve's expectation is that of the box's pixels, and scored cells have theirs
+    model = {(r["ix"], r["iy"]): r for r in p.model().collect()}
+    frames = {r["it"]: r for r in p.background_curve().collect()}
+    expected = lambda x, y, t: model[x, y]["template"] * frames[t]["outside"] + model[x, y]["rate"] * frames[t]["exposure"]
+    inside = [(x, y) for x, y in model if box["bbox_0"] <= x < box["bbox_2"] and box["bbox_1"] <= y < box["bbox_3"]]
+    assert all(curve[t]["mu"] == pytest.approx(sum(expected(x, y, t) for x, y in inside) if t in frames else 0.0) for t in curve)
+    scored = p.scored().collect()
+    assert all(r["mu"] == pytest.approx(expected(r["ix"], r["iy"], r["it"])) for r in scored)
+    least = np.log1p(10 ** bayes.threshold("eclipse", 3.0)) - 0.1
+    empty = {(x, y, t) for x, y in model for t in frames if expected(x, y, t) > least} - {(r["ix"], r["iy"], r["it"]) for r in p.cells().collect()}
+    assert {(r["ix"], r["iy"], r["it"]) for r in scored if r["n"] == 0} == empty and empty
+
+
+def test_pipeline_tables(spark, tmp_path):
+    """Known sources keep their rate, both kinds of time their templates; all tables are stored and loaded."""
+    r = random.Random(5)
+    rows = [("o", x, y, r.randrange(60_000_000_000), 1000) for x in range(8) for y in range(8) for _ in range(60)]
+    rows += [("o", 3, 3, r.randrange(60_000_000_000), 1000) for _ in range(2000)]
+    rows += [("o", r.randrange(4), r.randrange(8), 30_000_000_000 + k * 100_000_000 + i, 11_000) for k in range(100) for i in range(100)]
+    events = spark.createDataFrame([(*x, k % 12 + 1) for k, x in enumerate(rows)], "obsid string, ix long, iy long, t_us long, pi int, ccdnr int")
+    sources = spark.createDataFrame([("o", 3, 3, 0.05), ("other", 1, 1, 5.0)], "obsid string, sx long, sy long, rate double")
+    plane = spark.createDataFrame([("o", 4.0, 4.0, -0.005, 0.005, 150.0, 20.0)], "obsid string, crpix_x double, crpix_y double, cdelt_x double, cdelt_y double, crval_x double, crval_y double")
+    p = TransientPipeline(events, bayes.limit_table(spark, 3, 2000, 20).cache(), time_bins=(300, 600), bands=((0.2, 12.0),), whole_frames_only=False, good_times_only=False, sources=sources, wcs=plane)
+    assert {(x["ix"], x["iy"]) for x in p.source_mask().collect()} == {(3, 3)}
+    model = {(x["obsid"], x["is_bti"], x["ix"], x["iy"]): x for x in p.model().collect()}
+    run = "o_0_300_0.2_12.0"
+    assert model[run, False, 3, 3]["rate"] == pytest.approx(2000 / 200, rel=0.25) and model[run, False, 0, 0]["rate"] == 0
+    left = lambda bad: sum(model[run, bad, x, y]["template"] for x in range(4) for y in range(8))
+    assert left(False) < 0.6 and left(True) > 0.8  # flares light one side, good frames at their ends a little
+    info = {x["runid"]: x for x in p.cube_info().collect()}
+    assert info[run]["n_gti"] + info[run]["n_bti"] == info[run]["n_frames"] == 200 and info[run]["n_bti"] > 20
+    p.save(str(tmp_path / "all"))
+    loaded = store.load_run(spark, str(tmp_path / "all"), run)
+    assert set(loaded) == set(store.TABLES) and loaded["run_info"].count() == 1 and loaded["cube_info"].first()["n_frames"] == 200
+    assert loaded["light_curves"].count() == p.light_curves().where(F.col("runid") == run).count()
+    assert loaded["obs_info"].first()["n_runs"] == 2 and loaded["evt_info"].first()["n_events"] == len(rows) and loaded["bti"].count() >= 1
+
+
+def test_holes_settle(spark):
+    """A filled hole's pixels each are the mean of their neighbours, whatever the hole's size; the blur keeps a flat image flat up to its edges."""
+    image = spark.createDataFrame([("o", x, y, float(3 * x + 2 * y)) for x in range(20) for y in range(20)], "obsid string, ix long, iy long, total double")
+    hole = [(x, y) for x in range(5, 16) for y in range(4, 12)] + [(0, 0), (19, 19)]
+    mask = spark.createDataFrame([("o", *h) for h in hole] + [("o", 50, 50)], "obsid string, ix long, iy long")
+    got = {(r["ix"], r["iy"]): r["total"] for r in background.fill_holes(image, mask, "total").collect()}
+    assert set(got) == set(hole)
+    assert all(got[x, y] == pytest.approx(3 * x + 2 * y, abs=1e-8) for x, y in hole[:-2])  # a plane is its own mean
+    assert got[0, 0] == pytest.approx((3 + 2 + 5) / 3)
+    flat = background.blurred(image.withColumn("total", F.lit(7.0)), "total", 1.3).collect()
+    assert len(flat) == 400 and all(r["total"] == pytest.approx(7.0) for r in flat)
 
 
 def make_fits(rows):
