@@ -11,49 +11,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from . import gamma
+
 #: log10 thresholds of peaks and eclipses at 3 and 5 sigma.
 PEAK_3, PEAK_5 = 5.94096891658419, 13.278830271385576
 ECLIPSE_3, ECLIPSE_5 = 5.708917345972507, 12.380488516107011
 
 
 def log_peak(n: Column, mu: Column) -> Column:
-    """log10 of Q(n + 1, mu) / pmf(n; mu), which is the sum of n! / ((n - j)! mu^j) over j = 0..n, as a Horner fold.
-
-    The fold is rescaled as it runs: the state holds a mantissa and a decimal
-    exponent, so that n far above mu does not overflow.  Null for counts where
-    none are expected.
-    """
-    steps = F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("e"))
-
-    def step(s: Column, k: Column) -> Column:
-        small = F.pow(F.lit(10.0), -s["e"])
-        m = small + s["m"] * F.try_divide(k, mu)
-        big = m > 1e200
-        return F.struct(F.when(big, m / 1e200).otherwise(m).alias("m"), F.when(big, s["e"] + 200.0).otherwise(s["e"]).alias("e"))
-
-    return F.aggregate(steps, start, step, lambda s: F.log10(s["m"]) + s["e"])
+    """log10 of Q(n + 1, mu) / pmf(n; mu), in constant work.  Null for counts where none are expected."""
+    return gamma.log10_upper(n, mu)
 
 
 def log_eclipse(n: Column, mu: Column) -> Column:
-    """log10 of P(n + 1, mu) / pmf(n; mu): the sum of mu^j / ((n + 1) .. (n + j)) over j >= 1, until its terms vanish.
-
-    The terms grow up to j = mu - n; ten deviations beyond they are under 1e-20
-    of the greatest.  Mantissa and exponent are kept apart as in ``log_peak``.
-    Without counts the sum is e^mu - 1, so empty cells cost no fold.
-    """
-    known = F.nanvl(mu.cast("double"), F.lit(0.0))
-    terms = F.ceil(F.greatest(known - n, F.lit(0.0)) + 10 * F.sqrt(known) + 60).cast("int")
-    start = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"), F.lit(0.0).alias("e"))
-
-    def step(s: Column, j: Column) -> Column:
-        t = s["t"] * mu / (n + j)
-        big = s["s"] > 1e200
-        scale = F.when(big, 1e-200).otherwise(1.0)
-        return F.struct((t * scale).alias("t"), ((s["s"] + t) * scale).alias("s"), F.when(big, s["e"] + 200.0).otherwise(s["e"]).alias("e"))
-
-    empty = mu / math.log(10) + F.log10(-F.expm1(-mu))
-    return F.when(n == 0, empty).otherwise(F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda s: F.log10(s["s"]) + s["e"]))
+    """log10 of P(n + 1, mu) / pmf(n; mu), in constant work."""
+    return gamma.log10_lower(n, mu)
 
 
 def log_eclipse_np(n: float, mu: float) -> float:
@@ -177,6 +149,14 @@ def factors_at_1000(spark: SparkSession, counts: int = 10_000) -> DataFrame:
     return spark.range(0, counts, 1, 8).mapInPandas(run, "n long, b_peak double, b_eclipse double")
 
 
+def knot_below(cells: DataFrame, limits: DataFrame, points: int = 50_000, more: int = 1_000) -> DataFrame:
+    """Cells with the row of the limit table (k, n_peak, n_eclipse) at or below their mu: its number follows from the grid."""
+    low = F.least(F.floor((F.log10("mu") + 7) * ((points - 1) / 10)), F.lit(points - 1))
+    high = F.least(points + F.floor((F.log10("mu") - 3) * ((more - 1) / 3)), F.lit(points + more - 1))
+    k = F.when(F.col("mu") >= 1000, high).otherwise(low).cast("long")
+    return cells.withColumn("k", k).join(limits.drop("mu"), "k")
+
+
 def significant(cells: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds is_peak and is_eclipse by linear interpolation of the limit table in mu; outside the table neither."""
     rows = limits.orderBy("k").toPandas()  # a table of fixed size
@@ -208,17 +188,27 @@ def _stairs(kind: str, mu: float = 1000.0, most: float = 10.0) -> tuple[np.ndarr
     return np.array([log_eclipse_np(int(k), mu) for k in n]).round(9), np.sqrt(x * x / (2 * mu - x))
 
 
-@F.pandas_udf(DoubleType())
-def sigma_of_factor(b: pd.Series, is_peak: pd.Series) -> pd.Series:
-    """The sigma at which the threshold at a high expectation first reaches a factor; 0 below that of one sigma, 10 above that of ten."""
-    have, up = b.to_numpy(dtype=float), is_peak.to_numpy(dtype=bool)
-    out = np.empty(len(have))
-    for kind, mine in (("peak", up), ("eclipse", ~up)):
+def sigma_of_factor(b: Column, is_peak: Column) -> Column:
+    """The sigma at which the threshold at a high expectation first reaches a factor; 0 below that of one sigma, 10 above that of ten.
+
+    A binary search of a fixed number of steps in a table of some hundred steps.
+    """
+
+    def of(kind: str) -> Column:
         steps, sigma = _stairs(kind)
-        got = sigma[np.minimum(np.searchsorted(steps, have[mine]), len(steps) - 1)]
-        out[mine] = np.where(have[mine] < threshold(kind, 1.0), 0.0, np.where(have[mine] >= threshold(kind, 10.0), 10.0, got))
-    out[np.isnan(have)] = np.nan
-    return pd.Series(out)
+        have, n = F.lit(steps.tolist()), len(steps)
+
+        def halve(s: Column, _: Column) -> Column:
+            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            less = F.get(have, mid) < b
+            return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(less, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(less, s["hi"]).otherwise(mid).alias("hi")))
+
+        ends = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+        at = F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length() + 1)), ends, halve, lambda s: F.least(s["lo"], F.lit(n - 1)))
+        got = F.get(F.lit(sigma.tolist()), at)
+        return F.when(F.isnan(b), b).when(b < threshold(kind, 1.0), 0.0).when(b >= threshold(kind, 10.0), 10.0).otherwise(got)
+
+    return F.when(is_peak, of("peak")).otherwise(of("eclipse"))
 
 
 def sigma_equivalent(n: Column, mu: Column) -> Column:
@@ -250,6 +240,5 @@ def rate_quantile(n: pd.Series, q: pd.Series) -> pd.Series:
 
 
 def log_pmf(n: Column, mu: Column) -> Column:
-    """Natural log of the Poisson probability; the factorial is a fold, as there is no lgamma."""
-    steps = F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return n * F.log(mu) - mu - F.aggregate(steps, F.lit(0.0), lambda a, k: a + F.log(k.cast("double")))
+    """Natural log of the Poisson probability."""
+    return gamma.log_pmf(n, mu)

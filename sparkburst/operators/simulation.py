@@ -34,25 +34,37 @@ def eclipse_profile(dt: Column, depth: Column, width: Column) -> Column:
     return 1 - depth * F.exp(-(dt * dt) / (2 * width * width))
 
 
-def cube(spark: SparkSession, amplitudes: Sequence[float], background: float, draws: int, size: int = 5, frames: int = 20, width: float = 1.0, seed: int = 1) -> DataFrame:
-    """(amplitude, draw, ix, iy, it, mean, n): a burst in the middle of flat background."""
-    grid = spark.createDataFrame([(float(a),) for a in amplitudes], "amplitude double").crossJoin(spark.range(draws).withColumnRenamed("id", "draw"))
+def cube_over(backgrounds: DataFrame, amplitudes: Sequence[float], draws: int, size: int = 5, frames: int = 20, width: float = 1.0, seed: int = 1) -> DataFrame:
+    """(.., amplitude, draw, ix, iy, it, mean, n): a burst in the middle of each flat background (.., background)."""
+    grid = backgrounds.withColumn("amplitude", F.explode(F.array(*[F.lit(float(a)) for a in amplitudes]))).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     cells = grid.withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))))
     mid = size // 2
     burst = burst_profile(F.col("ix") - mid, F.col("iy") - mid, F.col("it") - frames // 2, F.col("amplitude"), F.lit(width))
-    drawn = cells.withColumn("mean", background + burst)
-    return drawn.withColumn("n", poisson_draw(F.xxhash64(F.lit(seed), "amplitude", "draw", "ix", "iy", "it"), "mean"))
+    drawn = cells.withColumn("mean", F.col("background") + burst)
+    return drawn.withColumn("n", poisson_draw(F.xxhash64(F.lit(seed), *[c for c in backgrounds.columns], "amplitude", "draw", "ix", "iy", "it"), "mean"))
+
+
+def recovery_over(backgrounds: DataFrame, amplitudes: Sequence[float], draws: int, limit: float = PEAK_3, **shape) -> DataFrame:
+    """(.., amplitude, caught): for each background the share of draws in which a cell passes the peak threshold."""
+    hit = cube_over(backgrounds, amplitudes, draws, **shape).withColumn("b", log_peak(F.col("n"), F.col("background")))
+    keys = [*backgrounds.columns, "amplitude"]
+    return hit.groupBy(*keys, "draw").agg(F.max("b").alias("b")).groupBy(*keys).agg(F.avg((F.col("b") > limit).cast("double")).alias("caught"))
+
+
+def _flat(spark: SparkSession, background: float) -> DataFrame:
+    return spark.createDataFrame([(float(background),)], "background double")
+
+
+def cube(spark: SparkSession, amplitudes: Sequence[float], background: float, draws: int, **shape) -> DataFrame:
+    return cube_over(_flat(spark, background), amplitudes, draws, **shape).drop("background")
 
 
 def recovery(spark: SparkSession, amplitudes: Sequence[float], background: float, draws: int, limit: float = PEAK_3, **shape) -> DataFrame:
-    """(amplitude, caught): the share of draws in which a cell passes the peak threshold."""
-    n = cube(spark, amplitudes, background, draws, **shape)
-    hit = n.withColumn("b", log_peak(F.col("n"), F.lit(background)))
-    return hit.groupBy("amplitude", "draw").agg(F.max("b").alias("b")).groupBy("amplitude").agg(F.avg((F.col("b") > limit).cast("double")).alias("caught"))
+    return recovery_over(_flat(spark, background), amplitudes, draws, limit, **shape).drop("background")
 
 
-def envelope(spark: SparkSession, means: Sequence[float], shares: Sequence[float] = (0.0013, 0.1587, 0.5, 0.8413, 0.9987)) -> DataFrame:
-    """Poisson quantiles of each mean, exactly, where the reference values would be drawn."""
+def envelope(means: DataFrame, shares: Sequence[float] = (0.0013, 0.1587, 0.5, 0.8413, 0.9987)) -> DataFrame:
+    """Poisson quantiles (mean, share, n) of each ``mean``, exactly, where the reference values would be drawn."""
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -64,4 +76,4 @@ def envelope(spark: SparkSession, means: Sequence[float], shares: Sequence[float
                 rows += [(mu, q, int(np.searchsorted(cdf, q))) for q in shares]
             yield pd.DataFrame(rows, columns=["mean", "share", "n"])
 
-    return spark.createDataFrame([(float(m),) for m in means], "mean double").mapInPandas(fill, "mean double, share double, n long")
+    return means.select(F.col("mean").cast("double").alias("mean")).where("mean > 0").distinct().mapInPandas(fill, "mean double, share double, n long")

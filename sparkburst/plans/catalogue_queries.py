@@ -256,12 +256,22 @@ def q_series_kmeans(s, d):
 
 @query()
 def q_injection(s, d):
-    return simulation.recovery(s, amplitudes=(5, 20, 80), background=0.2, draws=20)
+    """Bursts put on what each observation has in an occupied pixel and frame; random draws have no SQL."""
+    from .cube_queries import cells_of
 
+    rates = cells_of(s, d).groupBy("obsid").agg((F.sum("n") / (F.countDistinct("ix", "iy") * F.countDistinct("it"))).alias("background"))
+    return simulation.recovery_over(rates, amplitudes=(5, 20, 80), draws=20)
 
-@query()
+
+@query(put("""SELECT obsid, ix, iy, share, min(k) AS n FROM (SELECT obsid, ix, iy, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY obsid, ix, iy ORDER BY k) AS cdf
+    FROM (SELECT obsid, ix, iy, round(mean_n, 6) AS mean FROM image WHERE mean_n > 0), (SELECT unnest(range(400)) AS k)), (SELECT unnest([0.0013, 0.1587, 0.5, 0.8413, 0.9987]::DOUBLE[]) AS share) WHERE cdf >= share GROUP BY ALL""", "image"))
 def q_poisson_envelope(s, d):
-    return simulation.envelope(s, (0.5, 1.0, 5.0, 20.0))
+    """Quantiles of the counts that every pixel's mean would give."""
+    from ..operators import cube
+    from .cube_queries import cells_of
+
+    means = cube.images(cells_of(s, d)).select("obsid", "ix", "iy", F.round("mean_n", 6).alias("mean"))
+    return means.join(simulation.envelope(means), "mean").select("obsid", "ix", "iy", "share", "n")
 
 
 @query("SELECT obsid, t_bin, e_lo, e_hi FROM (SELECT DISTINCT lpad(CAST(user_id % 3 AS VARCHAR), 10, '0') AS obsid FROM events), (SELECT unnest([300, 600, 1000]) AS t_bin), (SELECT unnest([0.2, 2.0, 0.2])::DOUBLE AS e_lo, unnest([2.0, 12.0, 12.0])::DOUBLE AS e_hi)")

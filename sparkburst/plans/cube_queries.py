@@ -98,45 +98,69 @@ def q_log_pmf(s, d):
     return mu.select("obsid", "ix", "iy", "it", F.round(bayes.log_pmf(F.col("n"), F.col("mu")), 6).alias("log_pmf"))
 
 
-#: Expectations and counts about and far beyond the thresholds, as no test table has them: n = mu + (-8 .. 8 deviations).
-WIDE = "SELECT mu, CAST(greatest(0, round(mu + d * sqrt(mu))) AS BIGINT) AS n FROM (SELECT unnest([0.01, 0.7, 3.0, 17.0, 60.0, 150.0, 420.0, 1000.0, 2600.0]::DOUBLE[]) AS mu), (SELECT unnest(range(-8, 9)) AS d)"
+#: Counts of one to six digits, each with an expectation some deviations off: a row a customer.
+WIDE = """SELECT k, n, greatest(0.01::DOUBLE, n + d * sqrt(n + 1.0::DOUBLE)) AS mu FROM (SELECT c_custkey AS k, CAST(floor(abs(c_acctbal) * 100) AS BIGINT) % CAST(pow(10, 1 + c_custkey % 6) AS BIGINT) AS n, CAST(c_custkey % 17 - 8 AS DOUBLE) AS d FROM customer)"""
+#: The tail whose terms fall from the first, summed until they vanish, and the other as its complement.
+WIDE_FACTORS = {
+    "wide": WIDE,
+    "small": """SELECT k, any_value(n) AS n, any_value(mu) AS mu, sum(exp(CASE WHEN n <= mu THEN lgamma(n + 1) - lgamma(n - j + 1) - j * ln(mu) ELSE (j + 1) * ln(mu) - lgamma(n + j + 2) + lgamma(n + 1) END)) AS s
+        FROM (SELECT k, n, mu, unnest(range(CAST(CASE WHEN n <= mu THEN least(n, 12 * sqrt(n) + 60) ELSE 12 * sqrt(n) + 60 END AS BIGINT) + 1)) AS j FROM wide) GROUP BY k""",
+    "other": "SELECT *, (ln(1 - s * exp(p)) - p) / ln(10.0::DOUBLE) AS rest FROM (SELECT *, n * ln(mu) - mu - lgamma(n + 1) AS p FROM small)",
+}
 
 
-def wide_of(s) -> DataFrame:
-    mu, n = F.explode(F.array(*map(F.lit, (0.01, 0.7, 3.0, 17.0, 60.0, 150.0, 420.0, 1000.0, 2600.0)))), F.explode(F.sequence(F.lit(-8), F.lit(8)))
-    grid = s.range(1).select(mu.alias("mu")).select("mu", n.alias("d"))
-    return grid.select("mu", F.greatest(F.lit(0), F.round(F.col("mu") + F.col("d") * F.sqrt("mu"))).cast("long").alias("n"))
+def wide_of(s, d) -> DataFrame:
+    k = F.col("c_custkey")
+    n = F.floor(F.abs("c_acctbal") * 100).cast("long") % F.pow(F.lit(10), 1 + k % 6).cast("long")
+    rows = A.table(s, d, "customer").select(k.alias("k"), n.alias("n"))
+    return rows.withColumn("mu", F.greatest(F.lit(0.01), F.col("n") + (F.col("k") % 17 - 8).cast("double") * F.sqrt(F.col("n") + 1.0)))
 
 
-@query(put(f"SELECT DISTINCT mu, n, round({factor('peak')}, 6) AS b_peak, round({factor('eclipse')}, 6) AS b_eclipse FROM wide", wide=WIDE))
+@query(put("SELECT k, n, round(CASE WHEN n <= mu THEN log10(s) ELSE rest END, 4) AS b_peak, round(CASE WHEN n <= mu THEN rest ELSE log10(s) END, 4) AS b_eclipse FROM other", **WIDE_FACTORS))
 def q_bayes_wide(s, d):
-    return wide_of(s).distinct().select("mu", "n", F.round(bayes.log_peak(F.col("n"), F.col("mu")), 6).alias("b_peak"), F.round(bayes.log_eclipse(F.col("n"), F.col("mu")), 6).alias("b_eclipse"))
+    """Factors of counts up to a million."""
+    n, mu = F.col("n"), F.col("mu")
+    return wide_of(s, d).select("k", "n", F.round(bayes.log_peak(n, mu), 4).alias("b_peak"), F.round(bayes.log_eclipse(n, mu), 4).alias("b_eclipse"))
 
 
-@query(put("SELECT k, round(log10(mu), 9) AS log_mu, n_peak, n_eclipse FROM knots", "knots"))
+@query(put("SELECT k.k, round(log10(k.mu), 9) AS log_mu, k.n_peak, k.n_eclipse, coalesce(c.n_cells, 0) AS n_cells FROM knots k LEFT JOIN (SELECT k.k, count(*) AS n_cells FROM mu c ASOF JOIN knots k ON c.mu >= k.mu GROUP BY k.k) c USING (k)", "mu", "knots"))
 def q_limits(s, d):
-    return bayes.limit_table(s, 3).select("k", F.round(F.log10("mu"), 9).alias("log_mu"), "n_peak", "n_eclipse")
+    """The whole limit table, and how many cells' expectations have each knot below them."""
+    limits = bayes.limit_table(s, 3)
+    met = bayes.knot_below(background.expectation(cells_of(s, d)), limits).groupBy("k").agg(F.count("*").alias("n_cells"))
+    return limits.join(met, "k", "left").select("k", F.round(F.log10("mu"), 9).alias("log_mu"), "n_peak", "n_eclipse", F.coalesce("n_cells", F.lit(0)).alias("n_cells"))
 
 
-@query(put(f"SELECT n, round({factor('peak')}, 6) AS b_peak, round({factor('eclipse')}, 6) AS b_eclipse FROM (SELECT unnest(range(10000)) AS n, 1000.0::DOUBLE AS mu)"))
+@query(put(f"SELECT obsid, it, n, round({factor('peak', 'n', '1000.0::DOUBLE')}, 6) AS b_peak, round({factor('eclipse', 'n', '1000.0::DOUBLE')}, 6) AS b_eclipse FROM (SELECT obsid, it, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ALL)", "cells"))
 def q_factors_at_1000(s, d):
-    return bayes.factors_at_1000(s).select("n", F.round("b_peak", 6).alias("b_peak"), F.round("b_eclipse", 6).alias("b_eclipse"))
+    """The factors of every frame's counts if a thousand were expected."""
+    frames = cells_of(s, d).groupBy("obsid", "it").agg(F.sum("n").alias("n"))
+    return frames.join(bayes.factors_at_1000(s), "n").select("obsid", "it", "n", F.round("b_peak", 6).alias("b_peak"), F.round("b_eclipse", 6).alias("b_eclipse"))
+
+
+#: Some counts raised, as the test tables hold few that are significant.
+RAISED = "SELECT obsid, ix, iy, it, mu, n + CASE WHEN (ix + iy + it) % 5 = 0 THEN 25 ELSE 0 END AS n FROM mu"
+
+
+def raised_of(s, d) -> DataFrame:
+    return background.expectation(cells_of(s, d)).withColumn("n", F.col("n") + F.when((F.col("ix") + F.col("iy") + F.col("it")) % 5 == 0, 25).otherwise(0))
 
 
 @query(put("""SELECT obsid, ix, iy, it, n, coalesce(n > p, false) AS is_peak, coalesce(n < e, false) AS is_eclipse FROM (
     SELECT c.obsid, c.ix, c.iy, c.it, c.n, a.n_peak + (b.n_peak - a.n_peak) * (c.mu - a.mu) / (b.mu - a.mu) AS p, a.n_eclipse + (b.n_eclipse - a.n_eclipse) * (c.mu - a.mu) / (b.mu - a.mu) AS e
-    FROM raised c ASOF LEFT JOIN knots a ON c.mu >= a.mu LEFT JOIN knots b ON b.k = a.k + 1)""", "mu", "knots", raised="SELECT obsid, ix, iy, it, mu, n + CASE WHEN (ix + iy + it) % 5 = 0 THEN 25 ELSE 0 END AS n FROM mu"))
+    FROM raised c ASOF LEFT JOIN knots a ON c.mu >= a.mu LEFT JOIN knots b ON b.k = a.k + 1)""", "mu", "knots", raised=RAISED))
 def q_significant(s, d):
-    raised = background.expectation(cells_of(s, d)).withColumn("n", F.col("n") + F.when((F.col("ix") + F.col("iy") + F.col("it")) % 5 == 0, 25).otherwise(0))
-    return bayes.significant(raised, bayes.limit_table(s, 3)).select("obsid", "ix", "iy", "it", "n", "is_peak", "is_eclipse")
+    return bayes.significant(raised_of(s, d), bayes.limit_table(s, 3)).select("obsid", "ix", "iy", "it", "n", "is_peak", "is_eclipse")
 
 
 @query(put("""SELECT mu, n, CASE WHEN b < lo THEN 0.0::DOUBLE WHEN b >= hi THEN 10.0::DOUBLE ELSE round(sigma, 9) END AS sigma FROM (
-    SELECT f.*, t.sigma, CASE f.kind WHEN 'p' THEN x.p1 ELSE x.e1 END AS lo, CASE f.kind WHEN 'p' THEN x.p10 ELSE x.e10 END AS hi FROM found f ASOF LEFT JOIN stairs t ON f.kind = t.kind AND f.b <= t.b, ends x)""", "stairs", wide=WIDE,
+    SELECT f.*, t.sigma, CASE f.kind WHEN 'p' THEN x.p1 ELSE x.e1 END AS lo, CASE f.kind WHEN 'p' THEN x.p10 ELSE x.e10 END AS hi FROM found f ASOF LEFT JOIN stairs t ON f.kind = t.kind AND f.b <= t.b, ends x)""", "mu", "stairs", wide=f"SELECT DISTINCT n, round(mu, 6) AS mu FROM ({RAISED})",
     found=f"SELECT DISTINCT mu, n, CASE WHEN n > mu THEN 'p' ELSE 'e' END AS kind, round(CASE WHEN n > mu THEN {factor('peak')} ELSE {factor('eclipse')} END, 9) AS b FROM wide",
     ends="SELECT " + ", ".join(f"(SELECT {factor(t)} FROM (SELECT CAST({r}((2000 + {g} {o} sqrt(8000 * {g} + {g} * {g})) / 2) AS BIGINT) AS n, 1000.0::DOUBLE AS mu)) AS {k}{q}" for k, t, r, o in (("p", "peak", "ceil", "+"), ("e", "eclipse", "floor", "-")) for q, g in ((1, 1), (10, 100)))))
 def q_sigma(s, d):
-    return wide_of(s).distinct().select("mu", "n", F.round(bayes.sigma_equivalent(F.col("n"), F.col("mu")), 9).alias("sigma"))
+    """The sigma of every count and expectation that cells have."""
+    met = raised_of(s, d).select("n", F.round("mu", 6).alias("mu")).distinct()
+    return met.select("mu", "n", F.round(bayes.sigma_equivalent(F.col("n"), F.col("mu")), 9).alias("sigma"))
 
 
 @query(put("""SELECT obsid, ix, iy, it, n, round(rate, 6) AS rate FROM mu JOIN (SELECT n, (lo + hi) / 2 AS rate FROM halved WHERE i = 80) USING (n)""", "mu", halved="""
@@ -310,6 +334,19 @@ def q_region_lightcurves(s, d):
     return cube.light_curves(cells_of(s, d), regions.properties(labelled_of(s, d)).select("obsid", "label", "bbox_0", "bbox_1", "bbox_2", "bbox_3"))
 
 
+@query(put("""SELECT obsid, round(arg_min(sigma, o), 6) AS sigma, arg_min(n, o) AS n_regions FROM (SELECT *, {'d': abs(n - 5), 't': t} AS o FROM tried) GROUP BY obsid""", "image",
+    scores="SELECT obsid, ix, iy, round((max_n - mean_n) * std_n, 9) AS v FROM image", stats="SELECT obsid, avg(v) AS m, stddev_pop(v) AS s FROM scores GROUP BY obsid",
+    levels="SELECT obsid, m + 0.1::DOUBLE * s AS t FROM stats UNION SELECT obsid, v FROM scores JOIN stats USING (obsid) WHERE v > m + 0.1::DOUBLE * s AND v <= m + 20 * s",
+    above="SELECT l.obsid, l.t, ix, iy FROM levels l JOIN scores c ON c.obsid = l.obsid AND c.v > l.t",
+    reach="SELECT obsid, t, ix, iy, ix * 100000 + iy AS root FROM above UNION SELECT f.obsid, f.t, f.ix, f.iy, r.root FROM reach r JOIN above f ON f.obsid = r.obsid AND f.t = r.t AND abs(f.ix - r.ix) <= 1 AND abs(f.iy - r.iy) <= 1",
+    tried="""SELECT l.obsid, l.t, (l.t - s.m) / s.s AS sigma, coalesce(c.n, 0) AS n FROM levels l JOIN stats s USING (obsid) LEFT JOIN
+        (SELECT obsid, t, count(DISTINCT root) AS n FROM (SELECT obsid, t, ix, iy, min(root) AS root FROM reach GROUP BY ALL) GROUP BY obsid, t) c ON c.obsid = l.obsid AND c.t = l.t"""))
+def q_optimised_sigma(s, d):
+    """The sigma at which the variability image has the number of regions nearest to five."""
+    scored = cube.variability(cube.images(cells_of(s, d))).withColumn("v_score", F.round("v_score", 9))  # equal scores stay equal
+    return regions.optimised_sigma(scored, "v_score", 5).select("obsid", F.round("sigma", 6).alias("sigma"), "n_regions")
+
+
 @query(put("""SELECT obsid, row_number() OVER (PARTITION BY obsid ORDER BY m DESC, label) - 1 AS label, round(m, 6) AS intensity_mean FROM (SELECT obsid, label, avg(total) AS m FROM parts GROUP BY obsid, label)""", "flagged", reach=REACH, parts=COMPONENTS))
 def q_regions_by_intensity(s, d):
     return regions.by_intensity(regions.properties(labelled_of(s, d))).select("obsid", "label", F.round("intensity_mean", 6).alias("intensity_mean"))

@@ -155,11 +155,13 @@ def q_result_shapes(s, d):
     return S.shapes(tables, [("regions", "features"), ("unique", "matched")])
 
 
-@query(put("SELECT k, n_peak, n_eclipse FROM knots WHERE k % 100 = 0 OR k >= 50000", "knots"))
+@query(put("SELECT k.k, k.n_peak, k.n_eclipse, count(*) AS n_cells FROM mu c ASOF JOIN knots k ON c.mu >= k.mu GROUP BY ALL", "mu", "knots"))
 def q_limits_stored(s, d):
+    """The stored limit table's rows that cells meet, and how many do."""
     root = store.scratch(s, "store")
     store.limits(s, root, 3)  # made
-    return store.limits(s, root, 3).where("k % 100 = 0 or k >= 50000").select("k", "n_peak", "n_eclipse")  # read again
+    held = bayes.knot_below(background.expectation(cells_of(s, d)), store.limits(s, root, 3))  # read again
+    return held.groupBy("k", "n_peak", "n_eclipse").agg(F.count("*").alias("n_cells"))
 
 
 @query(put("SELECT runid, label, it, n FROM curves WHERE runid = '0000000001' AND label = 300", "curves"))

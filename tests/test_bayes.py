@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkburst.functions import bayes
+from sparkburst.functions import bayes, gamma
 from sparkburst.plans import registry
 
 
@@ -81,12 +81,25 @@ def test_eclipse_against_exact_sums(spark, n, mu):
 
 
 def test_registered_limits_are_the_whole_grid(spark):
-    limits = registry.QUERIES["q_limits"](spark, "").toPandas()
+    limits = registry.QUERIES["q_limits"](spark, "/root/testdata/sf0.001").toPandas()
     assert len(limits) == 51_000
-    near = {round(10**m, 5): (p, e) for _, m, p, e in limits.itertuples(index=False) if 158.5 < 10**m < 158.7}
+    near = {round(10**m, 5): (p, e) for _, m, p, e, _ in limits.itertuples(index=False) if 158.5 < 10**m < 158.7}
     assert near[158.55648] == (219, 106) and near[158.62952] == (219, 107)
 
 
 def test_limits_are_what_a_search_finds(spark):
     for r in bayes.limit_table(spark, 3, 40, 5).where("k < 40").collect():
         assert (r["n_peak"], r["n_eclipse"]) == (bayes.least_peak(r["mu"], bayes.threshold("peak", 3)), bayes.greatest_eclipse(r["mu"], bayes.threshold("eclipse", 3)))
+
+
+@pytest.mark.parametrize("mu", [1e-6, 0.3, 17.0, 63.0, 64.0, 65.0, 500.0, 1e5, 1e6])
+def test_constant_work_against_sums(spark, mu):
+    """Counts on both sides of what is expected, few and a million, against sums of all terms in logarithms."""
+    counts = sorted({max(0, round(mu + d * math.sqrt(mu))) for d in (-40, -7, -1, 0, 1, 7, 40)} | {0, 1, 64, 65, 300})
+    n, m = F.col("n"), F.col("mu")
+    df = spark.createDataFrame([(k, mu) for k in counts], "n long, mu double")
+    for r in df.select("n", bayes.log_peak(n, m).alias("p"), bayes.log_eclipse(n, m).alias("e"), bayes.log_pmf(n, m).alias("l"), gamma.log_factorial(n).alias("f")).collect():
+        assert r["p"] == pytest.approx(bayes.log_peak_np(r["n"], mu), rel=1e-9, abs=1e-9)
+        assert r["e"] == pytest.approx(bayes.log_eclipse_np(r["n"], mu), rel=1e-9, abs=1e-9)
+        assert r["l"] == pytest.approx(r["n"] * math.log(mu) - mu - math.lgamma(r["n"] + 1), rel=1e-9, abs=1e-7)
+        assert r["f"] == pytest.approx(math.lgamma(r["n"] + 1), rel=1e-12, abs=1e-12)
