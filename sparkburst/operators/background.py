@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.gamma import log_pmf
 from ..functions.geometry import sky_to_pixel
 from . import regions
 
@@ -176,6 +177,14 @@ def background_template(image: DataFrame, mask: DataFrame, sigma: float = 0.5, b
     return joined.select("obsid", "ix", "iy", (F.col("smooth") / F.greatest(F.coalesce("outside", F.lit(0.0)), F.lit(1.0))).alias("template"))
 
 
+def likelihood_map(image: DataFrame, mask: DataFrame, template: DataFrame, sigma: float = 1.0) -> DataFrame:
+    """(obsid, ix, iy, surprise): minus the log of the Poisson probability of each pixel's counts as background alone, blurred."""
+    outside = image.join(mask.select("obsid", "ix", "iy").distinct(), ["obsid", "ix", "iy"], "left_anti").groupBy("obsid").agg(F.sum("total").alias("outside"))
+    expected = template.join(outside, "obsid").select("obsid", "ix", "iy", (F.col("template") * F.col("outside")).alias("mu"))
+    held = image.join(expected, ["obsid", "ix", "iy"]).select("obsid", "ix", "iy", (-log_pmf(F.col("total"), F.col("mu"))).alias("surprise"))
+    return blurred(held, "surprise", sigma, box_of(image))
+
+
 def source_template(image: DataFrame, mask: DataFrame, template: DataFrame, frames: DataFrame) -> DataFrame:
     """Counts per exposed frame above the background, within the mask."""
     on = image.join(mask.select("obsid", "ix", "iy").distinct(), ["obsid", "ix", "iy"], "left_semi")

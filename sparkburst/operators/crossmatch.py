@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import offsets, separation
+from ..functions.geometry import offsets, separation, unit_vector
 from . import ranks
 
 NO_MATCH = 9999.0
@@ -53,20 +53,81 @@ def closest(pairs: DataFrame, left_id: str = "region", right_id: str = "cat_id")
     return pairs.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
-def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float = 60.0, left_id: str = "region", right_id: str = "cat_id") -> DataFrame:
-    """The nearest row of ``right`` for every row of ``left``, however far: the radius grows for those without a match.
+#: Each level halves a cell's sides this often; levels go on until cells hold so few positions, or to the last.
+_HALVINGS, _IN_CELL, _LAST_LEVEL = 2, 16, 26
+#: What separations are rounded to, and more, as a chord: what differs by less is a tie.
+_TIE = 1e-10
 
-    Rows that are still alone when a cell is a tenth of the sky look at all of
-    ``right`` by declination bands of the whole sphere.
+
+def _vectors(positions: DataFrame) -> DataFrame:
+    x, y, z = unit_vector(F.col("_ra"), F.col("_dec"))
+    return positions.withColumns({"_x": x, "_y": y, "_z": z})
+
+
+def _cube(level: int) -> dict[str, Column]:
+    """The cell of a unit vector in a grid of 2 ** level cells along each axis."""
+    n = 1 << level
+    return {f"_c{a}": F.least(F.floor((F.col(f"_{a}") + 1) * (n / 2)).cast("long"), F.lit(n - 1)) for a in "xyz"}
+
+
+def _reach(level: int) -> tuple[Column, Column]:
+    """The squared chords to the nearest and to the farthest corner of a cell."""
+    side = 2.0 / (1 << level)
+    near, far = F.lit(0.0), F.lit(0.0)
+    for a in "xyz":
+        lo = F.col(f"_c{a}") * side - 1
+        below, above = lo - F.col(f"_{a}"), F.col(f"_{a}") - (lo + side)
+        near = near + F.pow(F.greatest(below, above, F.lit(0.0)), 2)
+        far = far + F.pow(F.greatest(F.abs(below), F.abs(above)), 2)
+    return near, far
+
+
+def nearest(left: DataFrame, right: DataFrame, left_id: str = "region", right_id: str = "cat_id") -> DataFrame:
+    """The nearest row of ``right`` for every row of ``left``, however far; ties go to the least ``right_id``.
+
+    The sphere lies in a cube that is halved again and again; only cells that hold a
+    position of ``right`` exist.  From level to level a position of ``left`` opens
+    those of its cells that can still hold its nearest one: whose nearest corner is
+    no farther than the farthest corner of the best.  That leaves a few cells a
+    position at every level, wherever ``right`` is dense or empty.  Equal
+    positions are looked for once.  Rows without a position find nothing.
     """
-    done, todo, radius = None, left, radius_arcsec
+    keys = ["_cx", "_cy", "_cz"]
+    held = right.where("ra_deg is not null and dec_deg is not null").groupBy(F.col("ra_deg").alias("_ra2"), F.col("dec_deg").alias("_dec2")).agg(F.min(right_id).alias(right_id))
+    points = _vectors(held.withColumns({"_ra": F.col("_ra2"), "_dec": F.col("_dec2")})).drop("_ra", "_dec")
+    level = 10
+    while level < _LAST_LEVEL and (points.withColumns(_cube(level)).groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > _IN_CELL:
+        level += 4
+    points = points.withColumns(_cube(level)).select(right_id, "_ra2", "_dec2", *keys)
+
+    def cells(at: int) -> DataFrame:
+        up = [F.shiftright(c, level - at).alias(c) for c in keys]
+        return points.select(*up).distinct()
+
+    first = level % _HALVINGS + _HALVINGS
+    top = [F.struct(*[F.lit(r[c]).alias(c) for c in keys]) for r in cells(first).collect()]  # some dozens at most
+    asked = left.where("ra_deg is not null and dec_deg is not null").select(F.col("ra_deg").alias("_ra"), F.col("dec_deg").alias("_dec")).distinct()
+    place = ["_ra", "_dec"]
+    if not top:
+        top = [F.lit(None).cast("struct<_cx:bigint,_cy:bigint,_cz:bigint>")]
+    open_ = _vectors(asked).withColumn("_c", F.explode(F.array(*top))).where("_c is not null").select(*place, "_x", "_y", "_z", "_c.*")
+    at = first
     while True:
-        found = closest(within(todo, right, radius, left_id, right_id), left_id, right_id)
-        done = found if done is None else done.unionByName(found)
-        if radius >= 180 * 3600:
-            return done
-        todo = todo.join(found.select(left_id), left_id, "left_anti")
-        radius = min(180.0 * 3600, radius * 60)
+        near, far = _reach(at)
+        bound = F.min(far).over(Window.partitionBy(*place))
+        open_ = open_.withColumns({"_near": near, "_bound": bound}).where(F.sqrt("_near") <= F.sqrt("_bound") + _TIE).drop("_near", "_bound")
+        if at == level:
+            break
+        at += _HALVINGS
+        children = cells(at).select(*[F.shiftright(c, _HALVINGS).alias(f"_p{c}") for c in keys], *keys)
+        parents = open_.select(*place, "_x", "_y", "_z", *[F.col(c).alias(f"_p{c}") for c in keys])
+        open_ = parents.join(children, [f"_p{c}" for c in keys]).select(*place, "_x", "_y", "_z", *keys)
+    sep = F.round(separation(F.col("_ra"), F.col("_dec"), F.col("_ra2"), F.col("_dec2")), 6)
+    dra, ddec = offsets(F.col("_ra"), F.col("_dec"), F.col("_ra2"), F.col("_dec2"))
+    met = open_.join(points, keys).select(*place, F.struct(sep.alias("sep"), F.col(right_id), F.round(dra, 9).alias("ra_offset"), F.round(ddec, 9).alias("dec_offset")).alias("_m"))
+    best = met.groupBy(*place).agg(F.min("_m").alias("_m"))
+    named = left.select(left_id, F.col("ra_deg").alias("_ra"), F.col("dec_deg").alias("_dec")).join(best, place)
+    return named.select(left_id, f"_m.{right_id}", "_m.sep", "_m.ra_offset", "_m.dec_offset")
 
 
 def nearest_or_none(left: DataFrame, right: DataFrame, radius_arcsec: float, left_id: str = "region", right_id: str = "cat_id") -> DataFrame:

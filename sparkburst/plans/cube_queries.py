@@ -418,6 +418,25 @@ def q_expectation_sources(s, d):
     return out.withColumn("mu", F.round("mu", 9))
 
 
+MIRRORED = "CASE WHEN f.{c} + d < {c0} THEN 2 * {c0} - 1 - f.{c} - d WHEN f.{c} + d > {c1} THEN 2 * {c1} + 1 - f.{c} - d ELSE f.{c} + d END"
+LIKELIHOOD = {
+    "surprise": "SELECT i.obsid, i.ix, i.iy, -(i.total * ln(m) - m - lgamma(i.total + 1)) AS v FROM (SELECT t.obsid, t.ix, t.iy, t.template * s.outside AS m FROM template t JOIN (SELECT obsid, sum(total) FILTER (NOT hole) AS outside FROM grid GROUP BY obsid) s USING (obsid)) t JOIN image i USING (obsid, ix, iy)",
+    "wide_taps": "SELECT d, w / sum(w) OVER () AS w FROM (SELECT d, exp(-0.5 * d * d) AS w FROM (SELECT unnest(range(-4, 5)) AS d))",
+    "every": "SELECT g.obsid, g.ix, g.iy, coalesce(s.v, 0) AS v FROM grid g LEFT JOIN surprise s USING (obsid, ix, iy)",
+    "once": f"SELECT f.obsid, f.ix, f.iy, sum(w * g.v) AS v FROM every f JOIN box USING (obsid), wide_taps JOIN every g ON g.obsid = f.obsid AND g.iy = f.iy AND g.ix = {MIRRORED.format(c='ix', c0='x0', c1='x1')} GROUP BY ALL",
+    "twice": f"SELECT f.obsid, f.ix, f.iy, sum(w * g.v) AS v FROM once f JOIN box USING (obsid), wide_taps JOIN once g ON g.obsid = f.obsid AND g.ix = f.ix AND g.iy = {MIRRORED.format(c='iy', c0='y0', c1='y1')} GROUP BY ALL",
+}
+
+
+@query(put("SELECT i.obsid, i.ix, i.iy, round(t.v, 5) AS surprise FROM image i JOIN twice t USING (obsid, ix, iy)", "image", **BACKGROUND, **LIKELIHOOD))
+def q_likelihood_map(s, d):
+    """How unlikely every pixel's counts are as background, blurred."""
+    image = cube.images(cells_of(s, d)).select("obsid", "ix", "iy", "total")
+    mask = background.above_percentile(image, 0.9).select("obsid", "ix", "iy")
+    smooth = background.likelihood_map(image, mask, background.background_template(image, mask))
+    return image.select("obsid", "ix", "iy").join(smooth, ["obsid", "ix", "iy"]).select("obsid", "ix", "iy", F.round("surprise", 5).alias("surprise"))
+
+
 CLIP = "SELECT i.* FROM {0} i JOIN (SELECT obsid, median(total) AS m, stddev_pop(total) AS s FROM {0} GROUP BY obsid) USING (obsid) WHERE abs(total - m) <= 1.5 * s"
 
 

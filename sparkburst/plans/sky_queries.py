@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 @query(put("SELECT region, cat_id, sep, ra_offset, dec_offset FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY sep, cat_id) AS r FROM pairs) WHERE r = 1", "pairs"))
 def q_crossmatch_nearest(s, d):
-    return C.nearest(A.regions(s, d), A.catalogue(s, d), 300.0)
+    return C.nearest(A.regions(s, d), A.catalogue(s, d))
 
 
 @query(put("SELECT region, cat_id, sep, ra_offset, dec_offset FROM pairs WHERE sep <= 20.0", "pairs"))
