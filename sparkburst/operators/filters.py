@@ -83,29 +83,41 @@ def combinations(categories: Sequence[Sequence[Predicate]]) -> list[tuple[Predic
     return [tuple(p for p in chosen if p is not None) for chosen in product(*[[None, *c] for c in categories])]
 
 
-def _numbered(nodes: Column, choices: Column, width: int) -> Column:
-    return F.flatten(F.transform(nodes, lambda a: F.transform(choices, lambda b: a * width + b)))
+def _superset_sums(patterns: DataFrame, keys: Sequence[str], widths: Sequence[int]) -> DataFrame:
+    """(keys, node, _n): for every node the sum of ``_n`` over the patterns that pass all of its predicates.
+
+    A pattern is one bitmap ``_c0``, ``_c1``, .. a category.  Category by category a
+    bitmap becomes a choice, none or one of its bits, and rows that then agree are
+    summed: the sums over supersets, with a few rows for each that goes in.
+    """
+    rows = patterns.withColumn("node", F.lit(0).cast("long"))
+    for c, width in enumerate(widths):
+        bits = F.array(*[F.when(F.col(f"_c{c}").bitwiseAND(F.lit(1 << k)) != 0, F.lit(k + 1)) for k in range(width)])
+        chosen = F.explode(F.concat(F.array(F.lit(0)), F.array_compact(bits)))
+        left = [f"_c{k}" for k in range(c + 1, len(widths))]
+        dealt = rows.select(*keys, *left, "node", "_n", chosen.alias("_choice")).withColumn("node", F.col("node") * (width + 1) + F.col("_choice"))
+        rows = dealt.groupBy(*keys, *left, "node").agg(F.sum("_n").alias("_n"))
+    return rows
 
 
 def lattice(df: DataFrame, categories: Sequence[Sequence[Predicate]], unique: str = "cluster_label") -> DataFrame:
-    """(node, n_reg, n_unique) of every combination, in one pass over the rows.
+    """(node, n_reg, n_unique) of every combination that some row passes, in one pass over the rows.
 
-    Rows are first reduced to their pattern of passed predicates; a row's nodes are
-    the product of the choices that it passes, so nothing is read once per node.
+    Rows collapse to bitmaps of passed predicates, sources to the set of their rows'
+    bitmaps; sources with equal sets are one row that counts as often.  Both are
+    summed over supersets along the categories, so what is dealt grows with the
+    patterns and not with the combinations of each row.
     """
-    places, flat = [], []
-    for c in categories:
-        places.append([len(flat) + k for k in range(len(c))])
-        flat += c
-    flagged = df.select(F.col(unique).alias("_u"), *[p.passed().alias(f"_p{k}") for k, p in enumerate(flat)])
-    patterns = flagged.groupBy("_u", *[f"_p{k}" for k in range(len(flat))]).agg(F.count("*").alias("_n"))
-    nodes = F.array(F.lit(0).cast("long"))
-    for place in places:
-        width = len(place) + 1
-        choices = F.concat(F.array(F.lit(0).cast("long")), *[F.when(F.col(f"_p{k}"), F.array(F.lit(i + 1).cast("long"))).otherwise(F.array().cast("array<long>")) for i, k in enumerate(place)])
-        nodes = _numbered(nodes, choices, width)
-    counted = patterns.select("_u", "_n", F.explode(nodes).alias("node")).groupBy("node", "_u").agg(F.sum("_n").alias("_n"))
-    return counted.groupBy("node").agg(F.sum("_n").alias("n_reg"), F.count("*").alias("n_unique"))
+    names, widths = [f"_c{c}" for c in range(len(categories))], [len(c) for c in categories]
+    bitmap = lambda c: sum((F.when(p.passed(), 1 << k).otherwise(0) for k, p in enumerate(c)), F.lit(0))
+    flagged = df.select(F.col(unique).alias("_u"), *[bitmap(c).alias(n) for n, c in zip(names, categories, strict=True)])
+    # a source without a name is none
+    patterns = flagged.groupBy("_u", *names).agg(F.count("*").alias("_n"))
+    regions = _superset_sums(patterns.groupBy(*names).agg(F.sum("_n").alias("_n")), [], widths)
+    kinds = patterns.groupBy("_u").agg(F.array_sort(F.collect_set(F.struct(*names))).alias("_set")).groupBy("_set").agg(F.count("*").alias("_times"))
+    kinds = kinds.select(F.xxhash64("_set").alias("_h"), "_set", "_times").select("_h", "_times", F.explode("_set").alias("_p")).select("_h", "_times", *[f"_p.{n}" for n in names]).withColumn("_n", F.lit(1))
+    sources = _superset_sums(kinds, ["_h", "_times"], widths).groupBy("node").agg(F.sum("_times").alias("n_unique"))
+    return regions.withColumnRenamed("_n", "n_reg").join(sources, "node").select("node", "n_reg", "n_unique")
 
 
 def quality_flags(df: DataFrame, excluded: Sequence[str], crowded: int = 20) -> DataFrame:

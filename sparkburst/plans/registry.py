@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue_queries, curve_queries, cube_queries, run_queries, sky_queries
+from . import catalogue_queries, curve_queries, cube_queries, run_queries, sky_queries, sql_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (cube_queries, curve_queries, sky_queries, catalogue_queries, run_queries):
+for _module in (cube_queries, curve_queries, sky_queries, catalogue_queries, run_queries, sql_queries):
     for _name, (_plan, _sql) in _module.REGISTER.items():
         QUERIES[_name] = _plan
         if _sql:
