@@ -14,7 +14,7 @@ from ..operators import features as X
 from ..operators import regions as R
 from ..operators import statistics as S
 from ..sources import adapters as A
-from ..sources import store
+from ..sources import fits, store
 from .catalogue_queries import EXCLUDED, HOT, MEASURED, RECT, measured, rectangles
 from .cube_queries import CCD_FRAMES, COMPONENTS, REACH, cells_of, labelled_of, template_parts
 from .curve_queries import curves_of
@@ -413,3 +413,38 @@ def q_run_alert_events(s, d):
 @query(put("SELECT r.obsid AS runid, x1 - x0 + 1 AS n_x, y1 - y0 + 1 AS n_y, frames AS n_frames, gti AS n_gti, bti AS n_bti, part AS n_partial FROM rr r JOIN b0 USING (obsid)", "photons", "knots", **RUNS))
 def q_run_cubes(s, d):
     return pipeline_of(s, d).cube_info().select("runid", "n_x", "n_y", "n_frames", "n_gti", "n_bti", "n_partial")
+
+
+def _fits_of(df, name: str) -> str:
+    path = store.scratch(df.sparkSession, name)
+    fits.write_table(df, path, 2000)
+    return path
+
+
+@query(put("SELECT obsid, ccdnr, count(*) AS n, CAST(sum(pi) AS BIGINT) AS pi_sum, min(t_us) AS t_min, max(t_us) AS t_max, max(instrument) AS last_instrument FROM photons GROUP BY ALL", "photons"))
+def q_fits_events(s, d):
+    """Event lists written as FITS tables and read back, five of thirteen columns."""
+    events = fits.read_table(s, _fits_of(A.photons(s, d), "events"), "obsid string, ccdnr long, pi int, t_us long, instrument string", 700)
+    return events.groupBy("obsid", "ccdnr").agg(F.count("*").alias("n"), F.sum("pi").alias("pi_sum"), F.min("t_us").alias("t_min"), F.max("t_us").alias("t_max"), F.max("instrument").alias("last_instrument"))
+
+
+@query(put("SELECT count(*) AS n_rows, 13 AS n_columns, 'event_id' AS first_column FROM photons", "photons"))
+def q_fits_headers(s, d):
+    """What the headers alone say of all files."""
+    card = lambda c: F.element_at("header", F.lit(c))
+    heads = fits.read_headers(s, _fits_of(A.photons(s, d), "events"))
+    return heads.agg(F.sum(card("NAXIS2").cast("long")).alias("n_rows"), F.max(card("TFIELDS").cast("int")).alias("n_columns"), F.max(card("TTYPE1")).alias("first_column"))
+
+
+@query(put("SELECT source, obsid, kind, round(radius, 6) AS radius FROM known", lists=SOURCE_LISTS, known=KNOWN))
+def q_fits_sources(s, d):
+    """Known sources of source lists in FITS files."""
+    lists = fits.read_table(s, _fits_of(A.source_lists(s, d), "lists"), fits.SOURCE_LIST)
+    return background.known_sources(lists).select("source", "obsid", "kind", F.round("radius", 6).alias("radius"))
+
+
+@query(put("SELECT region, cat_id, sep FROM pairs WHERE sep <= 20.0", "pairs"))
+def q_fits_catalogue(s, d):
+    """A catalogue in a FITS file, matched."""
+    catalogue = fits.read_table(s, _fits_of(A.catalogue(s, d).drop("var_flag"), "catalogue"), fits.CATALOGUE)
+    return C.within(A.regions(s, d), catalogue, 20.0).select("region", "cat_id", "sep")
