@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.bayes import ECLIPSE_3, ECLIPSE_5, PEAK_3, PEAK_5
+from ..functions.bayes import ECLIPSE_3, ECLIPSE_5, PEAK_3, PEAK_5, log_eclipse, log_peak, sigma_of_factor
 from .ranks import summed_before
 
 KEY = ["runid", "label"]
@@ -146,6 +146,38 @@ def spurious(near: DataFrame, reach: int = 5, margin: float = 0.25) -> DataFrame
     return near.withColumn("spurious_peak", F.coalesce(peak, F.lit(False))).withColumn("spurious_eclipse", F.coalesce(eclipse, F.lit(False)))
 
 
+#: Factors over which a bin counts as a peak or an eclipse, and by frame length the bins between peaks.
+PEAK_BIN, ECLIPSE_BIN = 6.4, 5.5
+SPACING = {5: 1000, 50: 100, 200: 5}
+
+
+def catalogue_features(curves: DataFrame, t_bin: Column, spacing: int = 5) -> DataFrame:
+    """What the catalogue of detections holds of every light curve (runid, label, it, n, mu, is_bti).
+
+    Moments of the counts, the share of bad time, the sigma of the greatest factors,
+    peaks far enough apart (``SPACING`` bins for its frame lengths, else
+    ``spacing``), and the two-sample probability of counts and expectation.
+    """
+    kinds = curves.select("n", "mu").distinct()
+    kinds = kinds.withColumn("b_peak", log_peak(F.col("n"), F.col("mu"))).withColumn("b_eclipse", log_eclipse(F.col("n"), F.col("mu")))
+    bins = curves.join(kinds, ["n", "mu"])
+    apart = F.lit(spacing)
+    for length, least in SPACING.items():
+        apart = F.when(t_bin == length, least).otherwise(apart)
+    stats = bins.groupBy(*KEY).agg(
+        F.max("n").alias("n_max"), F.min("n").alias("n_min"), F.sum("n").alias("n_sum"), F.avg("n").alias("n_mean"), F.stddev_samp("n").alias("n_std"), F.skewness("n").alias("n_skew"), F.kurtosis("n").alias("n_kurt"),
+        F.max("b_peak").alias("_p"), F.max("b_eclipse").alias("_e"), (F.count_if("is_bti") / F.count("*")).alias("ratio_bti"), F.count("*").alias("_len"),
+    )
+    over = bins.where((F.col("b_peak") > PEAK_BIN) | (F.col("b_eclipse") > ECLIPSE_BIN)).withColumn("_gap", F.col("it") - F.lag("it").over(by_time()))
+    peaks = over.withColumn("_far", F.col("_gap") > apart).groupBy(*KEY).agg((F.count_if("_far") + 1).alias("n_peaks"))
+    apart_of = stats.join(peaks, KEY, "left").join(ks_statistic(curves).select(*KEY, "ks"), KEY).withColumn("bin_min_between_peaks", apart)
+    sigma = lambda c, up: sigma_of_factor(F.round(c, 9), F.lit(up))
+    return apart_of.select(
+        *KEY, "n_max", "n_min", "n_sum", "n_mean", "n_std", "n_skew", "n_kurt", sigma("_p", True).alias("sigma_max_B_peak"), sigma("_e", False).alias("sigma_max_B_eclipse"), "ratio_bti", "bin_min_between_peaks",
+        F.coalesce("n_peaks", F.lit(0)).alias("n_peaks"), ks_probability(F.col("ks"), F.col("_len")).alias("ks_pval"), F.col("_p").alias("b_peak_max"), F.col("_e").alias("b_eclipse_max"),
+    )
+
+
 def ks_poisson(curves: DataFrame, column: str = "n") -> DataFrame:
     """One-sample Kolmogorov-Smirnov distance of each light curve to the Poisson law of its mean, with the asymptotic p-value."""
     counts = curves.groupBy(*KEY, F.col(column).alias("v")).agg(F.count("*").alias("c"))

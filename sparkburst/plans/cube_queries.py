@@ -153,10 +153,14 @@ def q_significant(s, d):
     return bayes.significant(raised_of(s, d), bayes.limit_table(s, 3)).select("obsid", "ix", "iy", "it", "n", "is_peak", "is_eclipse")
 
 
+#: The factors of one and of ten sigma at a high expectation.
+SIGMA_ENDS = "SELECT " + ", ".join(f"(SELECT {factor(t)} FROM (SELECT CAST({r}((2000 + {g} {o} sqrt(8000 * {g} + {g} * {g})) / 2) AS BIGINT) AS n, 1000.0::DOUBLE AS mu)) AS {k}{q}" for k, t, r, o in (("p", "peak", "ceil", "+"), ("e", "eclipse", "floor", "-")) for q, g in ((1, 1), (10, 100)))
+
+
 @query(put("""SELECT mu, n, CASE WHEN b < lo THEN 0.0::DOUBLE WHEN b >= hi THEN 10.0::DOUBLE ELSE round(sigma, 9) END AS sigma FROM (
     SELECT f.*, t.sigma, CASE f.kind WHEN 'p' THEN x.p1 ELSE x.e1 END AS lo, CASE f.kind WHEN 'p' THEN x.p10 ELSE x.e10 END AS hi FROM found f ASOF LEFT JOIN stairs t ON f.kind = t.kind AND f.b <= t.b, ends x)""", "mu", "stairs", wide=f"SELECT DISTINCT n, round(mu, 6) AS mu FROM ({RAISED})",
     found=f"SELECT DISTINCT mu, n, CASE WHEN n > mu THEN 'p' ELSE 'e' END AS kind, round(CASE WHEN n > mu THEN {factor('peak')} ELSE {factor('eclipse')} END, 9) AS b FROM wide",
-    ends="SELECT " + ", ".join(f"(SELECT {factor(t)} FROM (SELECT CAST({r}((2000 + {g} {o} sqrt(8000 * {g} + {g} * {g})) / 2) AS BIGINT) AS n, 1000.0::DOUBLE AS mu)) AS {k}{q}" for k, t, r, o in (("p", "peak", "ceil", "+"), ("e", "eclipse", "floor", "-")) for q, g in ((1, 1), (10, 100)))))
+    ends=SIGMA_ENDS))
 def q_sigma(s, d):
     """The sigma of every count and expectation that cells have."""
     met = raised_of(s, d).select("n", F.round("mu", 6).alias("mu")).distinct()

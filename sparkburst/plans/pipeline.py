@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.bayes import significant, threshold
-from ..operators import background, cube, intervals, regions
+from ..operators import background, catalogues, crossmatch, cube, features, filters, intervals, ranks, regions
 from ..sources import store
 
 TIME_BINS = (300, 600, 1000)
@@ -257,6 +257,31 @@ class TransientPipeline:
 
         return self._step("light_curves", make)
 
+    def features(self) -> DataFrame:
+        """The catalogue's features of every region's light curve."""
+        t_bin = F.split_part("runid", F.lit("_"), F.lit(3)).cast("int")
+        return self._step("features", lambda: features.catalogue_features(self.light_curves(), t_bin))
+
+    def catalogue(self, excluded: Sequence[str] = (), crowded: int = 20, hot: DataFrame | None = None) -> DataFrame:
+        """The 27 columns of every detection: place, unique source, features of its light curve and flags.
+
+        ``hot`` are detections (detid) on hot pixels; ``excluded`` observations.
+        Needs ``wcs``, as sources are unique by their place on the sky.
+        """
+        found = ranks.numbered(self.regions(), "detid", "region")
+        unique = crossmatch.numbered(crossmatch.cluster(found.select("region", "ra_deg", "dec_deg")))
+        # a region that several clusters hold belongs to the first
+        of_region = unique.select("cluster_label", F.explode("members").alias("region")).groupBy("region").agg(F.min("cluster_label").alias("cluster_label"))
+        measured = found.join(of_region, "region").join(self.features(), ["runid", "label"])
+        measured = measured.withColumns({"intensity": F.col("n_max"), "x_img": F.col("weighted_0"), "y_img": F.col("weighted_1")})
+        flagged = filters.quality_flags(measured, list(excluded) or [""], crowded)
+        is_hot = F.lit(False)
+        if hot is not None:
+            flagged = flagged.join(hot.select("detid").distinct().withColumn("_hot", F.lit(True)), "detid", "left")
+            is_hot = F.coalesce("_hot", F.lit(False))
+        flags = flagged.select("detid", F.col("low_counts").alias("filt_tbin_5_n_l_5"), F.col("excluded").alias("filt_exclude_obsid"), filters.five_sigma().passed().alias("filt_5sig"), F.col("crowded_run").alias("filt_g_20_detections"), is_hot.alias("filt_hot_pixel"))
+        return catalogues.full_detections(measured, measured.select("detid", *catalogues.CURVE_COLUMNS), flags)
+
     def info(self) -> DataFrame:
         """Totals of every run."""
         cells = self.cells().groupBy(F.col("obsid").alias("runid")).agg(F.count("*").alias("n_cells"), F.sum("n").alias("n_events"), F.max("n").alias("max_n"))

@@ -16,9 +16,9 @@ from ..operators import statistics as S
 from ..sources import adapters as A
 from ..sources import fits, store
 from .catalogue_queries import EXCLUDED, HOT, MEASURED, RECT, measured, rectangles
-from .cube_queries import CCD_FRAMES, COMPONENTS, REACH, cells_of, labelled_of, template_parts
-from .curve_queries import curves_of
-from .oracle import FRAME, PARTS, put
+from .cube_queries import CCD_FRAMES, COMPONENTS, REACH, SIGMA_ENDS, cells_of, labelled_of, template_parts
+from .curve_queries import KS, curves_of
+from .oracle import FRAME, PARTS, factor, put
 from .pipeline import TransientPipeline
 
 REGISTER: dict[str, tuple] = {}
@@ -396,14 +396,41 @@ def q_run_regions(s, d):
     return found.select("runid", "label", "area", F.round(F.col("intensity_mean") * F.col("area")).cast("long").alias("total"), F.round("ra_deg", 6).alias("ra"), F.round("dec_deg", 6).alias("dec"))
 
 
-@query(put("""SELECT g.obsid AS runid, g.label, x.it, coalesce(n.n, 0) AS n, round(CASE WHEN k.o IS NULL THEN 0 ELSE coalesce(m.t, 0) * k.o + coalesce(m.r, 0) END, 6) AS mu, x.is_bti
+#: Light curves of the runs' regions, unrounded.
+RUN_CURVES = """SELECT g.obsid AS runid, g.label, x.it, coalesce(n.n, 0) AS n, CASE WHEN k.o IS NULL THEN 0 ELSE coalesce(m.t, 0) * k.o + coalesce(m.r, 0) END AS mu, x.is_bti
     FROM found g JOIN rr USING (obsid) JOIN fx x ON x.obsid = rr.timed AND NOT x.is_bad LEFT JOIN curve k ON k.obsid = g.obsid AND k.it = x.it
     LEFT JOIN (SELECT g.obsid, g.label, m.is_bti, sum(template) AS t, sum(rate) AS r FROM found g JOIN model m ON m.run = g.obsid AND m.ix BETWEEN g.a AND g.e AND m.iy BETWEEN g.b AND g.f GROUP BY ALL) m ON m.obsid = g.obsid AND m.label = g.label AND m.is_bti = x.is_bti
-    LEFT JOIN (SELECT g.obsid, g.label, c.it, CAST(sum(c.n) AS BIGINT) AS n FROM found g JOIN cells c ON c.obsid = g.obsid AND c.ix BETWEEN g.a AND g.e AND c.iy BETWEEN g.b AND g.f GROUP BY ALL) n ON n.obsid = g.obsid AND n.label = g.label AND n.it = x.it""", "photons", "knots", **RUN_PARTS))
+    LEFT JOIN (SELECT g.obsid, g.label, c.it, CAST(sum(c.n) AS BIGINT) AS n FROM found g JOIN cells c ON c.obsid = g.obsid AND c.ix BETWEEN g.a AND g.e AND c.iy BETWEEN g.b AND g.f GROUP BY ALL) n ON n.obsid = g.obsid AND n.label = g.label AND n.it = x.it"""
+#: Factors of their bins, and of each curve the greatest.
+RUN_FACTORS = {
+    "curves": RUN_CURVES,
+    "lc_bins": f"SELECT *, CASE WHEN mu > 0 THEN {factor('peak')} END AS bp, CASE WHEN mu > 0 THEN {factor('eclipse')} END AS be FROM curves",
+    "tops": "SELECT runid, label, 'p' AS kind, round(max(bp), 9) AS b FROM lc_bins GROUP BY ALL UNION ALL SELECT runid, label, 'e', round(max(be), 9) FROM lc_bins GROUP BY ALL",
+    "ends": SIGMA_ENDS,
+    "sigmas": "SELECT f.runid, f.label, f.kind, CASE WHEN f.b < CASE f.kind WHEN 'p' THEN x.p1 ELSE x.e1 END THEN 0.0::DOUBLE WHEN f.b >= CASE f.kind WHEN 'p' THEN x.p10 ELSE x.e10 END THEN 10.0::DOUBLE ELSE t.sigma END AS sigma FROM tops f ASOF LEFT JOIN stairs t ON f.kind = t.kind AND f.b <= t.b, ends x",
+    "moments": """SELECT runid, label, count(*) AS len, max(n) AS n_max, min(n) AS n_min, CAST(sum(n) AS BIGINT) AS n_sum, avg(n) AS n_mean, stddev_samp(n) AS n_std, count(*) FILTER (is_bti) / count(*)::DOUBLE AS ratio_bti,
+        m3 / count(*) / pow(m2 / count(*), 1.5) AS n_skew, m4 / count(*) / pow(m2 / count(*), 2) - 3 AS n_kurt FROM (SELECT *, sum(pow(n - a, 2)) OVER w AS m2, sum(pow(n - a, 3)) OVER w AS m3, sum(pow(n - a, 4)) OVER w AS m4 FROM (SELECT *, avg(n) OVER (PARTITION BY runid, label) AS a FROM curves) WINDOW w AS (PARTITION BY runid, label)) GROUP BY runid, label, m2, m3, m4""",
+    "distant": "SELECT runid, label, count(*) FILTER (gap > 5) + 1 AS k FROM (SELECT *, it - lag(it) OVER (PARTITION BY runid, label ORDER BY it) AS gap FROM lc_bins WHERE bp > 6.4 OR be > 5.5) GROUP BY ALL",
+    "ksd": KS.replace(", 9) AS ks", ", 12) AS ks"),
+    "ksp": "SELECT runid, label, CASE WHEN lam < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: pow(-1, k - 1) * exp(-2 * k * k * lam * lam))))) END::DOUBLE AS p FROM (SELECT *, ks * sqrt(len / 2.0::DOUBLE) AS lam FROM ksd)",
+}
+
+
+@query(put("SELECT runid, label, it, n, round(mu, 6) AS mu, is_bti FROM curves", "photons", "knots", **RUN_PARTS, curves=RUN_CURVES))
 def q_run_light_curves(s, d):
     return pipeline_of(s, d).light_curves().select("runid", "label", "it", "n", F.round("mu", 6).alias("mu"), "is_bti")
 
 
+@query(put("""SELECT m.runid, m.label, n_max, n_min, n_sum, round(n_mean, 6) AS n_mean, round(n_std, 6) AS n_std, round(n_skew, 5) AS n_skew, round(n_kurt, 5) AS n_kurt, round(p.sigma, 6) AS sigma_max_B_peak, round(e.sigma, 6) AS sigma_max_B_eclipse,
+    round(ratio_bti, 9) AS ratio_bti, coalesce(d.k, 0) AS n_peaks, round(k.p, 5) AS ks_pval FROM moments m JOIN sigmas p ON p.runid = m.runid AND p.label = m.label AND p.kind = 'p' JOIN sigmas e ON e.runid = m.runid AND e.label = m.label AND e.kind = 'e'
+    JOIN ksp k ON k.runid = m.runid AND k.label = m.label LEFT JOIN distant d ON d.runid = m.runid AND d.label = m.label""", "photons", "knots", "stairs", **RUN_PARTS, **RUN_FACTORS))
+def q_run_features(s, d):
+    """The catalogue's features of every detection's light curve."""
+    rounded = {"n_mean": 6, "n_std": 6, "n_skew": 5, "n_kurt": 5, "sigma_max_B_peak": 6, "sigma_max_B_eclipse": 6, "ratio_bti": 9, "ks_pval": 5}
+    found = pipeline_of(s, d).features().drop("bin_min_between_peaks", "b_peak_max", "b_eclipse_max")
+    return found.withColumns({c: F.round(c, k) for c, k in rounded.items()})
+
+
 @query(put(f"""SELECT h.obsid AS runid, h.ix, h.iy, h.it, count(*) AS n_events, max(pi) AS pi_max FROM hits h JOIN (SELECT obsid || '_0_' || t_bin || '_' || e_lo || '_' || e_hi AS obsid, ix, iy, pi, t_us // (t_bin::BIGINT * {SECOND}) AS it FROM bursts, (SELECT unnest([300, 600, 1000]) AS t_bin),
     (SELECT unnest([0.2, 2.0, 0.2])::DOUBLE AS e_lo, unnest([2.0, 12.0, 12.0])::DOUBLE AS e_hi) WHERE pi > e_lo * 1000 AND pi < e_hi * 1000) e USING (obsid, ix, iy, it) GROUP BY ALL""", "photons", "knots", **RUNS))
 def q_run_alert_events(s, d):

@@ -164,11 +164,12 @@ def test_pipeline_tables(spark, tmp_path):
     rows = [("o", x, y, r.randrange(60_000_000_000), 1000) for x in range(8) for y in range(8) for _ in range(60)]
     rows += [("o", 3, 3, r.randrange(60_000_000_000), 1000) for _ in range(2000)]
     rows += [("o", r.randrange(4), r.randrange(8), 30_000_000_000 + k * 100_000_000 + i, 11_000) for k in range(100) for i in range(100)]
+    rows += [("o", x, 6, 5_000_000_000 + i, 1000) for x in (1, 6) for i in range(60)]  # two bursts
     events = spark.createDataFrame([(*x, k % 12 + 1) for k, x in enumerate(rows)], "obsid string, ix long, iy long, t_us long, pi int, ccdnr int")
     sources = spark.createDataFrame([("o", 3, 3, 0.05), ("other", 1, 1, 5.0)], "obsid string, sx long, sy long, rate double")
     plane = spark.createDataFrame([("o", 4.0, 4.0, -0.005, 0.005, 150.0, 20.0)], "obsid string, crpix_x double, crpix_y double, cdelt_x double, cdelt_y double, crval_x double, crval_y double")
     p = TransientPipeline(events, bayes.limit_table(spark, 3, 2000, 20).cache(), time_bins=(300, 600), bands=((0.2, 12.0),), whole_frames_only=False, good_times_only=False, sources=sources, wcs=plane)
-    assert {(x["ix"], x["iy"]) for x in p.source_mask().collect()} == {(3, 3)}
+    assert {(x["ix"], x["iy"]) for x in p.source_mask().where("obsid like '%_300_%'").collect()} == {(3, 3)}
     model = {(x["obsid"], x["is_bti"], x["ix"], x["iy"]): x for x in p.model().collect()}
     run = "o_0_300_0.2_12.0"
     assert model[run, False, 3, 3]["rate"] == pytest.approx(2000 / 200, rel=0.25) and model[run, False, 0, 0]["rate"] == 0
@@ -176,6 +177,17 @@ def test_pipeline_tables(spark, tmp_path):
     assert left(False) < 0.6 and left(True) > 0.8  # flares light one side, good frames at their ends a little
     info = {x["runid"]: x for x in p.cube_info().collect()}
     assert info[run]["n_gti"] + info[run]["n_bti"] == info[run]["n_frames"] == 200 and info[run]["n_bti"] > 20
+    detections = p.catalogue(hot=spark.createDataFrame([("nowhere",)], "detid string"))
+    assert len(detections.columns) == 27 and [c for c in detections.columns if c.startswith("lc_")] == [f"lc_{c}" for c in catalogues.CURVE_COLUMNS]
+    found = {x["detid"]: x for x in detections.collect()}
+    curves = {}
+    for x in p.light_curves().collect():
+        curves.setdefault(f"{x['runid']}_{x['label']}", []).append(x)
+    assert set(found) == set(curves) and len(found) >= 2
+    for detid, x in found.items():
+        n = [y["n"] for y in curves[detid]]
+        assert (x["lc_n_max"], x["lc_n_min"], x["lc_n_sum"]) == (max(n), min(n), sum(n)) and x["lc_ratio_bti"] == pytest.approx(sum(y["is_bti"] for y in curves[detid]) / len(n))
+        assert not x["filt_hot_pixel"] and x["srcid"].startswith("J") and 0 <= x["lc_ks_pval"] <= 1
     p.save(str(tmp_path / "all"))
     loaded = store.load_run(spark, str(tmp_path / "all"), run)
     assert set(loaded) == set(store.TABLES) and loaded["run_info"].count() == 1 and loaded["cube_info"].first()["n_frames"] == 200
