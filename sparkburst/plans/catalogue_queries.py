@@ -332,3 +332,19 @@ def q_paging(s, d):
 @query(put("SELECT r.region, p.cat_id, p.sep FROM m r JOIN pairs p USING (region) WHERE r.cluster_label = 10 AND p.sep <= 20.0", "pairs", m=MEASURED))
 def q_region_matches(s, d):
     return results(s, d).region(10)["matches"].select("region", "cat_id", "sep")
+
+
+@query(put("SELECT obsid, start, stop FROM bti", "bti"))
+def q_stream_bad_times(s, d):
+    """Bad times of a stream of events that come in no order, several files at a time."""
+    from ..operators.cube import FRAME_US
+
+    root = store.scratch(s, "live")
+    events = A.photons(s, d).select("obsid", F.timestamp_micros(F.col("t_us")).alias("ts"), "t_us", "pi")
+    events.repartition(4, F.xxhash64("t_us")).write.parquet(f"{root}/in")
+    # an observation that is long over when the others have ended, so that the watermark passes them
+    end = events.agg(F.lit("after").alias("obsid"), (F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts"), (F.max("t_us") + 8_640_000_000_000).alias("t_us"), F.lit(0).alias("pi"))
+    end.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    found = live.drained(live.bad_times_of_events(stream, FRAME_US, 0.0, "40 days"), f"{root}/out", "append")
+    return found.where("obsid <> 'after'")
