@@ -33,12 +33,26 @@ def _placed(rows: DataFrame, keys: list[str], bucket: str, order: list[str], nam
     return rows.withColumn(name, inside - 1).join(starts, [*keys, bucket]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
 
+def _spread_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` in which a digest that more rows share than a bucket holds is made one for each of them, by their numbers as written.
+
+    Those are rows of one id and text, so any order of them will do.
+    """
+    many = written(rows.groupBy("digest").agg(F.count("*").alias("_c")).where(F.col("_c") > BUCKET_ROWS).select("digest"), "copies")
+    if many.isEmpty():
+        return rows
+    own = F.md5(F.concat_ws(":", "digest", F.col("_row").cast("string")).cast("binary"))
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id()).join(many.withColumn("_many", F.lit(True)), "digest", "left")
+    return written(numbered.withColumn("digest", F.when(F.col("_many"), own).otherwise(F.col("digest"))).select(*rows.columns), "sizes")
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     """doc_id, size, text_crc32, source, shard and slot of every row of ``docs``.
 
     Counts of shards differ by one at most.  A null source is the stratum ''.
     A null text counts as empty; null and repeated ids are rows like any other,
-    ordered after their digest by id, checksum and size.  Of an empty table no
+    ordered after their digest by id, checksum and size.  Very many rows of one id
+    and text are spread over the order one by one.  Of an empty table no
     row is returned.  Columns other than doc_id, text and source are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -53,6 +67,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
         "sizes",
     )
     total = rows.count()
+    rows = _spread_copies(rows)
     buckets = max(1, min(MOST_BUCKETS, -(-total // BUCKET_ROWS)))
     order = ["digest", "doc_id", "text_crc32", "size"]
     first = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
