@@ -37,6 +37,8 @@ LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"
 CONTEXT = 8
 #: Share of the entity's information that a term may reveal.
 DISCLOSURE = 0.85
+#: Candidates up to which they are broadcast, to be counted without a shuffle of all terms.
+BROADCAST_TERMS = 1_000_000
 TERM = r"\p{L}[\p{L}\p{M}\p{N}_'-]+"
 #: What marks the initial of terms among terms.
 _INITIAL = "\x03"
@@ -168,11 +170,14 @@ def disclosing(located: DataFrame, texts: DataFrame) -> DataFrame | None:
     likely = written(likely.select("entity", "term", "n_entity", "n_both", "n_near"), "likely")
     if likely.isEmpty():
         return None
-    # counted before they meet the candidates: frequent terms cost one row a task
     terms = _terms(words(_plain(F.col("text"))))
-    counted = texts.select(F.explode(F.concat(terms, F.array_distinct(F.transform(terms, _initial)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    wanted = likely.select(F.explode(F.array("term", _initial(F.col("term")))).alias("term")).distinct()
-    counted = written(counted.join(wanted, "term", "left_semi"), "terms")
+    said = texts.select(F.explode(F.concat(terms, F.array_distinct(F.transform(terms, _initial)))).alias("term"))
+    wanted = written(likely.select(F.explode(F.array("term", _initial(F.col("term")))).alias("term")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST_TERMS:
+        counted = said.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    else:  # counted before they meet the candidates: frequent terms cost one row a task
+        counted = said.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
+    counted = written(counted, "terms")
     judged = likely.join(counted, "term", "left").withColumn("n_term", F.greatest("n_near", "n_term"))
     judged = judged.where(share(F.col("n_both"), F.col("n_term")) >= DISCLOSURE).withColumn("initial", _initial(F.col("term")))
     initials = counted.where(F.startswith("term", F.lit(_INITIAL))).select(F.col("term").alias("initial"), F.col("n_term").alias("n_initial"))
