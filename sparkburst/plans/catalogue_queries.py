@@ -242,16 +242,37 @@ def q_vector_groups(s, d):
     return A.table(s, d, "embeddings").groupBy((F.col("vec_id") % 5).alias("g")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"))
 
 
-@query()
+ROUNDS = 6
+
+
+def lloyd_parts(ks: str) -> dict[str, str]:
+    """Lloyd's rounds in SQL over ``raw`` (id, d, v), from the first vectors by id."""
+    vectors = "SELECT id, r.d, (v - m) / CASE WHEN s > 0 THEN s ELSE 1 END AS x FROM raw r JOIN (SELECT d, avg(v) AS m, stddev_samp(v) AS s FROM raw GROUP BY d) USING (d)"
+    out = {"v": vectors, "ranked": "SELECT id, row_number() OVER (ORDER BY id) - 1 AS r FROM (SELECT DISTINCT id FROM raw)", "c0": f"SELECT k, r AS c, d, x FROM (SELECT unnest({ks}) AS k) JOIN ranked ON r < k JOIN v USING (id)"}
+    for t in range(ROUNDS + 1):
+        out[f"a{t}"] = f"SELECT k, id, (min({{'d': d2, 'c': c}})).c AS c, min(d2) AS d2 FROM (SELECT c.k, v.id, c.c, sum(pow(v.x - c.x, 2)) AS d2 FROM v JOIN c{t} c USING (d) GROUP BY ALL) GROUP BY ALL"
+        if t < ROUNDS:
+            out[f"c{t + 1}"] = f"SELECT k, c, d, avg(x) AS x FROM a{t} JOIN v USING (id) GROUP BY ALL UNION ALL SELECT k, c, d, x FROM c{t} c WHERE NOT EXISTS (SELECT 1 FROM a{t} a WHERE a.k = c.k AND a.c = c.c)"
+    return out
+
+
+@query(put(f"""SELECT k, round(sum(d2), 4) AS inertia, round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM (
+    SELECT k, id, any_value(d2) AS d2, max(CASE WHEN own THEN n END) AS n, max(CASE WHEN own THEN d * n / (n - 1) END) AS a, min(CASE WHEN NOT own THEN d END) AS b FROM (
+      SELECT a.k, a.id, a.d2, s.c = a.c AS own, s.n::DOUBLE AS n, p.q + s.q - 2 * sum(v.x * m.x) AS d FROM a{ROUNDS} a JOIN sizes s ON s.k = a.k JOIN v ON v.id = a.id JOIN mids m ON m.k = s.k AND m.c = s.c AND m.d = v.d JOIN squares p ON p.id = a.id GROUP BY a.k, a.id, a.d2, a.c, s.c, s.n, s.q, p.q) GROUP BY k, id) GROUP BY k""",
+    raw="SELECT vec_id AS id, unnest(range(len(embedding))) AS d, unnest(embedding)::DOUBLE AS v FROM embeddings", **lloyd_parts("range(2, 20)"),
+    squares="SELECT id, sum(x * x) AS q FROM v GROUP BY id", sizes=f"SELECT k, c, count(*) AS n, avg(q) AS q FROM a{ROUNDS} JOIN squares USING (id) GROUP BY ALL", mids=f"SELECT k, c, d, avg(x) AS x FROM a{ROUNDS} JOIN v USING (id) GROUP BY ALL"))
 def q_kmeans(s, d):
-    return learning.kmeans_sweep(A.table(s, d, "embeddings").select("vec_id", "embedding"), (2, 3, 4))
+    out = learning.kmeans_sweep(A.table(s, d, "embeddings").select("vec_id", "embedding"), range(2, 20), rounds=ROUNDS)
+    return out.select("k", F.round("inertia", 4).alias("inertia"), F.round("silhouette", 6).alias("silhouette"))
 
 
-@query()
+@query(put(f"SELECT id.runid AS runid, id.label AS label, c AS cluster FROM a{ROUNDS}", "curves",
+    raw="SELECT {'runid': runid, 'label': label} AS id, d, coalesce(any_value(p.v), 0) AS v FROM (SELECT DISTINCT runid, label, unnest(range(32)) AS d FROM curves) LEFT JOIN (SELECT runid, label, CAST(least(floor((it - lo) * 32 / w), 31) AS BIGINT) AS d, sum(n)::DOUBLE AS v FROM curves JOIN (SELECT runid, label, min(it) AS lo, max(it) - min(it) + 1 AS w FROM curves GROUP BY ALL) USING (runid, label) GROUP BY ALL) p USING (runid, label, d) GROUP BY runid, label, d",
+    **lloyd_parts("[3]")))
 def q_series_kmeans(s, d):
     from .curve_queries import curves_of
 
-    return learning.series_clusters(curves_of(s, d), 3)
+    return learning.series_clusters(curves_of(s, d), 3, rounds=ROUNDS)
 
 
 @query()
