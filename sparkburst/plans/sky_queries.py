@@ -93,7 +93,7 @@ def q_cluster_regions(s, d):
 @query(put("SELECT row_number() OVER (ORDER BY first) - 1 AS cluster_label, first, n_chosen FROM unique_sources", "unique_sources"))
 def q_cluster_labels(s, d):
     """Unique sources numbered in the order of their first region."""
-    return C.numbered(C.cluster(A.regions(s, d))).select("cluster_label", "first", "n_chosen")
+    return C.numbered(C.unique_sources(A.regions(s, d))).select("cluster_label", "first", "n_chosen")
 
 
 @query(put(f"SELECT r.region, round({SEP}, 6) AS sep, round((r.ra_deg - c.ra_deg) * cos(radians(r.dec_deg)), 9) AS dra FROM regions r JOIN regions c ON c.region = r.region + 1", "regions"))
