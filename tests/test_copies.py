@@ -23,3 +23,14 @@ def test_unique_sources_without_broadcast(spark):
     assert "Broadcast" not in plan(found)
     whole = crossmatch.cluster(sky(spark))
     assert sorted(found.collect()) == sorted(whole.drop("members").collect())
+
+
+def test_cluster_of_copies(spark):
+    """Copies give the clusters of their rows: members, means weighted by copies, numbers of chosen regions; no side is broadcast."""
+    rows = sky(spark).collect()
+    near = {a.region: tuple(b.region for b in rows if abs(a.ra_deg - b.ra_deg) * 3600 < 100 and ((a.ra_deg - b.ra_deg) ** 2 + (a.dec_deg - b.dec_deg) ** 2) ** 0.5 * 3600 <= 20.0) for a in rows}
+    found = crossmatch.cluster(sky(spark))
+    assert "Broadcast" not in plan(found)
+    got = {r.first: r for r in found.collect()}
+    assert {first: tuple(r.members) for first, r in got.items()}.items() <= {min(k for k, v in near.items() if v == m): m for m in near.values()}.items()
+    assert sum(r.n_chosen for r in got.values()) == len(rows)
