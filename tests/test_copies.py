@@ -34,3 +34,14 @@ def test_cluster_of_copies(spark):
     got = {r.first: r for r in found.collect()}
     assert {first: tuple(r.members) for first, r in got.items()}.items() <= {min(k for k, v in near.items() if v == m): m for m in near.values()}.items()
     assert sum(r.n_chosen for r in got.values()) == len(rows)
+
+
+def test_within_of_copies(spark):
+    """Every row of a position has the pairs of it; rows without a position have none, and no side is broadcast."""
+    left = sky(spark).unionByName(spark.createDataFrame([(99, None, 0.0)], "region long, ra_deg double, dec_deg double"))
+    right = sky(spark, 4, 30).withColumnRenamed("region", "cat_id")
+    found = crossmatch.within(left, right, 20.0)
+    assert "Broadcast" not in plan(found)
+    a, b = left.where("region < 99").collect(), right.collect()
+    want = sorted((x.region, y.cat_id) for x in a for y in b if ((x.ra_deg - y.ra_deg) ** 2 + (x.dec_deg - y.dec_deg) ** 2) ** 0.5 * 3600 <= 20.0)
+    assert want and sorted((r.region, r.cat_id) for r in found.collect()) == want
