@@ -186,7 +186,7 @@ def q_detection_catalogue(s, d):
     FROM (SELECT DISTINCT cluster_label FROM m) u LEFT JOIN (SELECT * FROM (SELECT m.cluster_label, cat_id, sep, row_number() OVER (PARTITION BY m.cluster_label ORDER BY sep, cat_id) AS r FROM pairs JOIN m USING (region) WHERE sep <= 60) WHERE r = 1) s USING (cluster_label)""", "pairs", m=MEASURED))
 def q_matched_unique(s, d):
     r = measured(s, d)
-    pairs = C.within(r, A.catalogue(s, d), 60.0).join(r.select("region", "cluster_label"), "region")
+    pairs = C.within(r, A.catalogue(s, d), 60.0).join(r.select("region", "cluster_label").hint("merge"), "region")
     return K.masked_matches(r.select("cluster_label").distinct(), pairs, 20.0)
 
 

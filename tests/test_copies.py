@@ -3,6 +3,7 @@
 import random
 
 from sparkburst.operators import crossmatch
+from sparkburst.plans import catalogue_queries
 
 
 
@@ -45,3 +46,8 @@ def test_within_of_copies(spark):
     a, b = left.where("region < 99").collect(), right.collect()
     want = sorted((x.region, y.cat_id) for x in a for y in b if ((x.ra_deg - y.ra_deg) ** 2 + (x.dec_deg - y.dec_deg) ** 2) ** 0.5 * 3600 <= 20.0)
     assert want and sorted((r.region, r.cat_id) for r in found.collect()) == want
+
+
+def test_matched_unique_without_broadcast(spark):
+    """The regions that pairs are joined with are as many as the input."""
+    assert "Broadcast" not in plan(catalogue_queries.q_matched_unique(spark, "/root/testdata/sf0.001"))
