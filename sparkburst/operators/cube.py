@@ -5,7 +5,7 @@ Only occupied cells are rows.  Where empty ones matter, ``dense`` restores them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Frame of six hours, in microseconds.
@@ -38,11 +38,48 @@ def frames_of(cells: DataFrame) -> DataFrame:
     return ends.select("obsid", F.explode(F.sequence("lo", "hi")).alias("it"))
 
 
+#: Pixels a side of the tiles in which pixels meet what is known of their observation.
+_TILE = 64
+
+
+def _pixel_rows(cells: DataFrame, known: DataFrame) -> DataFrame:
+    """A row a pixel: its occupied cells (``_hits``), their sum (``_p``) and the columns of ``known``, a row an observation.
+
+    Observations may be few and large, so pixels are dealt by tiles.
+    """
+    tile = {f"_t{c}": F.coalesce(F.floor(F.col(f"i{c}") / _TILE), F.lit(0)) for c in "xy"}
+    placed = F.col("it").isNotNull() & F.col("ix").isNotNull() & F.col("iy").isNotNull()
+    hits = F.collect_list(F.when(placed, F.struct("it", F.coalesce("n", F.lit(0).cast("long")).alias("n"))))
+    pixels = cells.groupBy("obsid", "ix", "iy").agg(hits.alias("_hits"), F.sum("n").alias("_p")).withColumns(tile)
+    tiles = cells.withColumns(tile).select("obsid", *tile).distinct().join(known, "obsid")
+    return pixels.hint("merge").join(tiles, ["obsid", *tile]).drop(*tile)
+
+
+def _filled(lo: Column, hi: Column) -> Column:
+    """``_hits`` with a zero for every other frame."""
+    others = F.array_except(F.sequence(lo, hi), F.transform("_hits", lambda h: h["it"]))
+    return F.concat("_hits", F.transform(others, lambda k: F.struct(k.alias("it"), F.lit(0).cast("long").alias("n"))))
+
+
 def dense(cells: DataFrame) -> DataFrame:
     """Cells with zeros: every pixel that was ever hit, in every frame."""
-    pixels = cells.select("obsid", "ix", "iy").distinct()
-    grid = pixels.join(frames_of(cells), "obsid")
-    return grid.join(cells.select("obsid", "ix", "iy", "it", "n"), ["obsid", "ix", "iy", "it"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    ends = cells.groupBy("obsid").agg(F.min("it").alias("_lo"), F.max("it").alias("_hi"))
+    rows = _pixel_rows(cells, ends)
+    return rows.select("obsid", "ix", "iy", F.inline(_filled(F.col("_lo"), F.col("_hi"))))
+
+
+def dense_expected(cells: DataFrame) -> DataFrame:
+    """The same with ``mu``: a pixel's sum times its frame's over the observation's.
+
+    No window holds an observation: sums are made before empty cells are, and the
+    frames' sums go with the observation as an array.
+    """
+    held = cells.groupBy("obsid", "it").agg(F.sum("n").alias("_f"))
+    frames = frames_of(cells).join(held, ["obsid", "it"], "left").select("obsid", "it", F.coalesce("_f", F.lit(0).cast("long")).alias("_f"))
+    known = frames.groupBy("obsid").agg(F.min("it").alias("_lo"), F.max("it").alias("_hi"), F.sort_array(F.collect_list(F.struct("it", "_f"))).alias("_frames"), F.sum("_f").alias("_t"))
+    mu = lambda c: F.col("_p") * F.get("_frames", (c["it"] - F.col("_lo")).cast("int"))["_f"] / F.col("_t")
+    rows = _pixel_rows(cells, known).withColumn("_cells", F.transform(_filled(F.col("_lo"), F.col("_hi")), lambda c: F.struct(c["it"].alias("it"), c["n"].alias("n"), mu(c).alias("mu"))))
+    return rows.select("obsid", "ix", "iy", F.inline("_cells"))
 
 
 def images(cells: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def from_start(curves: DataFrame) -> DataFrame:
 def end_to_end(curves: DataFrame) -> DataFrame:
     """Light curves of several runs put one after the other, in the order of runid."""
     started = from_start(curves)
-    spans = started.groupBy("runid").agg(F.max("t0").alias("span"))
+    spans = curves.groupBy(*KEY).agg((F.max("it") - F.min("it")).alias("_t")).groupBy("runid").agg(F.max("_t").alias("span"))
     shifts = summed_before(spans, "runid", "span", "shift").select("runid", "shift")
     return started.join(shifts, "runid").withColumn("t_shifted", F.col("t0") + F.col("shift"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bayes
@@ -24,10 +24,8 @@ def query(sql: str | None = None):
 
 def curves_of(s, d) -> DataFrame:
     """A dense light curve of every pixel, with its expectation; every fourth frame counts as bad time."""
-    cells = cube.dense(cells_of(s, d))
-    pixel, frame, total = (F.sum("n").over(Window.partitionBy(*k)) for k in (("obsid", "ix", "iy"), ("obsid", "it"), ("obsid",)))
-    out = cells.select(F.col("obsid").alias("runid"), (F.col("ix") * 100 + F.col("iy")).alias("label"), "it", "n", pixel.alias("_p"), frame.alias("_f"), total.alias("_t"))
-    return out.select("runid", "label", "it", "n", (F.col("_p") * F.col("_f") / F.col("_t")).alias("mu"), (F.col("it") % 4 == 0).alias("bti"))
+    c = cube.dense_expected(cells_of(s, d))
+    return c.select(F.col("obsid").alias("runid"), (F.col("ix") * 100 + F.col("iy")).alias("label"), "it", "n", "mu", (F.col("it") % 4 == 0).alias("bti"))
 
 
 def scored(c: DataFrame) -> DataFrame:
