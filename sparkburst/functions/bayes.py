@@ -138,15 +138,10 @@ def limit_table(spark: SparkSession, sigma: float = 3, points: int = 50_000, mor
     return spark.range(0, points + more, 1, 4).mapInPandas(fill, "k long, mu double, n_peak long, n_eclipse long")
 
 
-def factors_at_1000(spark: SparkSession, counts: int = 10_000) -> DataFrame:
-    """(n, b_peak, b_eclipse): the factors of 0, 1, .. counts where 1000 are expected."""
-
-    def run(batches):
-        for pdf in batches:
-            n = pdf["id"].tolist()
-            yield pd.DataFrame({"n": n, "b_peak": [log_peak_np(x, 1000.0) for x in n], "b_eclipse": [log_eclipse_np(x, 1000.0) for x in n]})
-
-    return spark.range(0, counts, 1, 8).mapInPandas(run, "n long, b_peak double, b_eclipse double")
+def factors_at_1000(counts: DataFrame) -> DataFrame:
+    """Rows with the factors (b_peak, b_eclipse) of their counts n where 1000 are expected, however many they are."""
+    mu = F.lit(1000.0)
+    return counts.withColumns({"b_peak": log_peak(F.col("n"), mu), "b_eclipse": log_eclipse(F.col("n"), mu)})
 
 
 def knot_below(cells: DataFrame, limits: DataFrame, points: int = 50_000, more: int = 1_000) -> DataFrame:
