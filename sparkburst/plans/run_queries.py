@@ -192,7 +192,7 @@ def q_stored_info(s, d):
 @query("SELECT DISTINCT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS obsid FROM orders")
 def q_observation_ids(s, d):
     path = f"{store.scratch(s, 'ids')}/list"
-    A.event_lists(s, d).select(F.concat(F.lit("  "), "obsid", F.lit(" "))).distinct().write.text(path)
+    A.observations(s, d).select(F.concat(F.lit("  "), "obsid", F.lit(" "))).distinct().write.text(path)
     return store.observation_ids(s, path)
 
 

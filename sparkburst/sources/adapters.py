@@ -72,6 +72,11 @@ def event_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observation of every order, whether it has lines or not."""
+    return table(spark, sf_dir, "orders").select(F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("obsid"))
+
+
 def _sky(df: DataFrame, key: str) -> DataFrame:
     """Golden-ratio positions: pairs of neighbours in key land close to each other."""
     pair = F.floor(F.col(key) / 2).cast("long")

@@ -3,6 +3,7 @@
 import pytest
 
 from sparkburst.functions import bayes
+from sparkburst.plans import run_queries
 
 
 def test_factors_of_many_counts(spark):
@@ -11,3 +12,9 @@ def test_factors_of_many_counts(spark):
     for r in rows:
         assert r.b_peak == pytest.approx(bayes.log_peak_np(r.n, 1000.0), abs=1e-6)
         assert r.b_eclipse == pytest.approx(bayes.log_eclipse_np(r.n, 1000.0), abs=1e-6)
+
+
+def test_observations_of_orders_without_lines(spark, tmp_path):
+    spark.createDataFrame([(1, 7), (2, 8), (3, 8)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(2, None)], "l_orderkey long, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(r.obsid for r in run_queries.q_observation_ids(spark, str(tmp_path)).collect()) == ["0000000007", "0000000008"]
