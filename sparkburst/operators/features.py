@@ -79,9 +79,11 @@ def largest_peak(curves: DataFrame, column: str = "n") -> DataFrame:
 def ks_statistic(curves: DataFrame, a: str = "n", b: str = "mu") -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance between two columns of each light curve."""
     both = curves.select(*KEY, F.col(a).cast("double").alias("v"), F.lit(1).alias("one")).unionByName(curves.select(*KEY, F.col(b).cast("double").alias("v"), F.lit(0).alias("one")))
-    upto = Window.partitionBy(*KEY).orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    cdf = both.withColumn("_x", F.sum("one").over(upto)).withColumn("_y", F.count("*").over(upto) - F.sum("one").over(upto))
-    sized = cdf.withColumn("_m", F.sum("one").over(whole()))
+    # a value counts as often as it occurs, so equal ones are one row
+    values = both.groupBy(*KEY, "v").agg(F.sum("one").alias("_a"), F.count("*").alias("_c"))
+    upto = Window.partitionBy(*KEY).orderBy("v")
+    cdf = values.withColumn("_x", F.sum("_a").over(upto)).withColumn("_y", F.sum("_c").over(upto) - F.sum("_a").over(upto))
+    sized = cdf.withColumn("_m", F.sum("_a").over(whole()))
     return sized.groupBy(*KEY).agg(F.max(F.abs(F.col("_x") / F.col("_m") - F.col("_y") / F.col("_m"))).alias("ks"), F.max("_m").alias("len"))
 
 
