@@ -34,3 +34,7 @@ def test_ks_of_counted_values(spark):
     found = features.ks_statistic(c)
     assert "sum(_a" in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.first()["ks"] == pytest.approx(1 / 3) and found.first()["len"] == 60
+
+
+def test_q_ks_statistic_without_observation_windows(spark):
+    assert not windows(curve_queries.q_ks_statistic(spark, DATA))
