@@ -38,3 +38,7 @@ def test_ks_of_counted_values(spark):
 
 def test_q_ks_statistic_without_observation_windows(spark):
     assert not windows(curve_queries.q_ks_statistic(spark, DATA))
+
+
+def test_q_paired_t_without_observation_windows(spark):
+    assert not windows(curve_queries.q_paired_t(spark, DATA))
