@@ -42,3 +42,7 @@ def test_q_ks_statistic_without_observation_windows(spark):
 
 def test_q_paired_t_without_observation_windows(spark):
     assert not windows(curve_queries.q_paired_t(spark, DATA))
+
+
+def test_q_sig_bins_without_observation_windows(spark):
+    assert not windows(curve_queries.q_sig_bins(spark, DATA))
