@@ -46,3 +46,7 @@ def test_q_paired_t_without_observation_windows(spark):
 
 def test_q_sig_bins_without_observation_windows(spark):
     assert not windows(curve_queries.q_sig_bins(spark, DATA))
+
+
+def test_q_lc_shift_without_observation_windows(spark):
+    assert not windows(curve_queries.q_lc_shift(spark, DATA))
