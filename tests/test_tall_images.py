@@ -7,7 +7,7 @@ import pytest
 
 from sparkburst.plans import registry
 
-NAMES = ["q_components", "q_small_detections", "q_sql_region_curves", "q_region_lightcurves", "q_region_props"]
+NAMES = ["q_components", "q_small_detections", "q_sql_region_curves", "q_region_lightcurves", "q_region_props", "q_regions_by_intensity"]
 
 
 def plain(v):
