@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,35 +88,66 @@ def box_of(image: DataFrame) -> DataFrame:
     return image.groupBy("obsid").agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"))
 
 
-def _solved(n: int, count: np.ndarray, known: np.ndarray, a: np.ndarray, b: np.ndarray, tolerance: float = 1e-13) -> np.ndarray:
+def _solved(hole: np.ndarray, count: np.ndarray, known: np.ndarray, a: np.ndarray, b: np.ndarray, tolerance: float = 1e-13) -> np.ndarray:
     """The values that each equal the mean of their neighbours: count v = known + sum over contacts (a, b); conjugate gradients.
 
-    Without a known neighbour there is nothing to go by: zeros.
+    ``hole`` numbers each pixel's hole, from 0 and in order.  A hole takes its own
+    steps until it has settled; all holes take them at once.  Without a known
+    neighbour there is nothing to go by: zeros.
     """
-    if not known.any():
-        return np.zeros(n)
-    apply = lambda x: count * x - np.bincount(a, weights=x[b], minlength=n)
-    v = np.full(n, known.sum() / max(1.0, count.sum()))
+    out = np.zeros(len(hole))
+    at = np.arange(len(hole))  # the pixels that have not settled
+    size = np.bincount(hole)
+    summed = lambda x: np.bincount(hole, weights=x, minlength=len(size))
+    apply = lambda x: count * x - np.bincount(a, weights=x[b], minlength=len(x))
+    v = (summed(known) / np.maximum(1.0, summed(count)))[hole]
+    v[(summed(np.abs(known)) == 0)[hole]] = 0.0
     r = known - apply(v)
-    p, rr = r.copy(), r @ r
-    bound = tolerance**2 * max(known @ known, 1e-300)
-    for _ in range(20 * n + 100):
-        if rr <= bound:
-            break
+    p, rr = r.copy(), summed(r * r)
+    bound = tolerance**2 * np.maximum(summed(known * known), 1e-300)
+    last = np.where(summed(np.abs(known)) == 0, 0, 20 * size + 100)
+    steps = 0
+    while True:
+        open_ = (rr > bound) & (steps < last)
+        if 2 * np.count_nonzero(open_) <= len(open_):  # holes that have settled leave
+            stay = open_[hole]
+            out[at[~stay]] = v[~stay]
+            if not stay.any():
+                return out
+            number, place = np.cumsum(open_) - 1, np.cumsum(stay) - 1
+            kept = stay[a]
+            a, b = place[a[kept]], place[b[kept]]
+            at, hole, count, v, r, p = at[stay], number[hole[stay]], count[stay], v[stay], r[stay], p[stay]
+            size, rr, bound, last, open_ = size[open_], rr[open_], bound[open_], last[open_], open_[open_]
         q = apply(p)
-        step = rr / (p @ q)
+        step = np.where(open_, rr / np.where(open_, summed(p * q), 1.0), 0.0)[hole]
         v += step * p
         r -= step * q
-        rr, before = r @ r, rr
-        p = r + (rr / before) * p
-    return v
+        before, rr = rr, np.where(open_, summed(r * r), rr)
+        p = np.where(open_[hole], r + (rr / np.where(open_, before, 1.0))[hole] * p, p)
+        steps += 1
+
+
+def _touching(hole: np.ndarray, ix: np.ndarray, iy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b), both ways round, of pixels of one hole that touch; pixels come sorted by hole, ix and iy."""
+    first = np.flatnonzero(np.diff(hole, prepend=-1))
+    x, y = ix - np.minimum.reduceat(ix, first)[hole] + 1, iy - np.minimum.reduceat(iy, first)[hole] + 1
+    codes = (hole * (x.max() + 2) + x) * (y.max() + 2) + y
+    a, b = [], []
+    for move in (dx * (y.max() + 2) + dy for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy):
+        near = np.minimum(np.searchsorted(codes, codes + move), len(codes) - 1)
+        hit = np.flatnonzero(codes[near] == codes + move)
+        a.append(hit)
+        b.append(near[hit])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def fill_holes(image: DataFrame, holes: DataFrame, value: str, box: DataFrame | None = None) -> DataFrame:
     """(obsid, ix, iy, value) of ``holes`` such that each is the mean of its eight neighbours, as far as they are within the image's box.
 
     Pixels of the box that have no row are zero.  A hole is a group of touching
-    pixels; it is solved by itself, to convergence, with what its rim is.
+    pixels; it is solved by itself, to convergence, with what its rim is.  A task
+    solves the holes that it has gathered at once.
     """
     box = box_of(image) if box is None else box
     inside = holes.select("obsid", "ix", "iy").distinct().join(box, "obsid").where("ix between x0 and x1 and iy between y0 and y1")
@@ -126,17 +158,22 @@ def fill_holes(image: DataFrame, holes: DataFrame, value: str, box: DataFrame |
     is_hole = labelled.select("obsid", F.col("ix").alias("nx"), F.col("iy").alias("ny"), F.lit(True).alias("open"))
     met = reach.join(is_hole, ["obsid", "nx", "ny"], "left").join(known, ["obsid", "nx", "ny"], "left")
     rim = F.sum(F.when(F.col("open").isNull(), F.coalesce("v", F.lit(0.0))).otherwise(0.0))
-    contacts = F.collect_list(F.when(F.col("open"), F.struct("nx", "ny")))  # eight at most
-    rows = met.groupBy("obsid", "label", "ix", "iy").agg(F.count("*").cast("double").alias("count"), rim.alias("known"), contacts.alias("contacts"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = {p: k for k, p in enumerate(zip(pdf["ix"], pdf["iy"], strict=True))}
-        pairs = [(k, place[c["nx"], c["ny"]]) for k, cs in enumerate(pdf["contacts"]) for c in cs]
-        a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
-        return pdf[["obsid", "ix", "iy"]].assign(v=_solved(len(pdf), pdf["count"].to_numpy(), pdf["known"].to_numpy(), a, b))
+    rows = met.groupBy("obsid", "label", "ix", "iy").agg(F.count("*").cast("double").alias("count"), rim.alias("known"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in regions._tiles(batches, 2):
+            obsid, label, ix, iy, count, known = (table.column(c).combine_chunks() for c in ("obsid", "label", "ix", "iy", "count", "known"))
+            image_of = obsid.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            label, x, y = label.to_numpy(), ix.to_numpy(), iy.to_numpy()
+            fresh = np.zeros(len(label), dtype=np.int64)
+            fresh[1:] = (label[1:] != label[:-1]) | (image_of[1:] != image_of[:-1])
+            hole = np.cumsum(fresh)
+            v = _solved(hole, count.to_numpy(), known.to_numpy(), *_touching(hole, x, y))
+            yield from pa.table([obsid, ix, iy, pa.array(v)], names=["obsid", "ix", "iy", "v"]).to_batches()
 
     kind = dict(image.dtypes)["obsid"]
-    solved = rows.groupBy("obsid", "label").applyInPandas(solve, f"obsid {kind}, ix long, iy long, v double")
+    dealt = rows.repartition("obsid", "label").sortWithinPartitions("obsid", "label", "ix", "iy")
+    solved = dealt.mapInArrow(solve, f"obsid {kind}, ix long, iy long, v double")
     return solved.withColumnRenamed("v", value)
 
 

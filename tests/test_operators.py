@@ -208,6 +208,28 @@ def test_holes_settle(spark):
     assert len(flat) == 400 and all(r["total"] == pytest.approx(7.0) for r in flat)
 
 
+def test_holes_at_once(spark):
+    """Holes that a task has gathered are solved together, not by a call of Python each; each has the values of its own equations."""
+    rng = random.Random(3)
+    image = [("ab"[k % 2], x, y, float(rng.randrange(50))) for k in range(2) for x in range(60) for y in range(60)]
+    hidden = [(o, x, y) for o, x, y, _ in image if rng.random() < 0.25]
+    of = spark.createDataFrame(image, "obsid string, ix long, iy long, total double")
+    filled = background.fill_holes(of, spark.createDataFrame(hidden, "obsid string, ix long, iy long"), "total")
+    assert "FlatMapGroupsInPandas" not in filled._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["obsid"], r["ix"], r["iy"]): r["total"] for r in filled.collect()}
+    place, value = {h: k for k, h in enumerate(hidden)}, {x[:3]: x[3] for x in image}
+    left, right = np.zeros((len(hidden), len(hidden))), np.zeros(len(hidden))
+    for (o, x, y), k in place.items():
+        for near in ((o, x + dx, y + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx or dy) and (o, x + dx, y + dy) in value):
+            left[k, k] += 1
+            if near in place:
+                left[k, place[near]] -= 1
+            else:
+                right[k] += value[near]
+    want = np.linalg.solve(left, right)
+    assert set(got) == set(hidden) and [got[h] for h in hidden] == pytest.approx(list(want), abs=1e-8)
+
+
 def make_fits(rows):
     dtype = np.dtype([("TIME", ">f8"), ("X", ">i4"), ("PI", ">i2")])
     data = np.array(rows, dtype=dtype).tobytes()
