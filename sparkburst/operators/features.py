@@ -13,8 +13,9 @@ from .ranks import summed_before
 KEY = ["runid", "label"]
 
 
-def by_time() -> WindowSpec:
-    return Window.partitionBy(*KEY).orderBy("it")
+def by_time(*columns: str) -> WindowSpec:
+    """Frames of a label by time; where curves share a label, those of one time by ``columns``, so that every run takes them alike."""
+    return Window.partitionBy(*KEY).orderBy("it", *columns)
 
 
 def whole() -> WindowSpec:
@@ -210,5 +211,5 @@ def t_probability(t: Column, df: Column) -> Column:
 
 def convolved(curves: DataFrame, template: list[float], column: str = "n") -> DataFrame:
     """Each frame's sum of a template's weights times the frames that end with it; frames before the start count as zero."""
-    parts = [w * F.coalesce(F.lag(column, k).over(by_time()), F.lit(0)) for k, w in enumerate(template)]
+    parts = [w * F.coalesce(F.lag(column, k).over(by_time(column)), F.lit(0)) for k, w in enumerate(template)]
     return curves.withColumn("convolved", sum(parts[1:], parts[0]))
