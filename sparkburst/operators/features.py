@@ -62,7 +62,7 @@ def distant_peaks(curves: DataFrame, least: float, spacing: int, column: str = "
 
 def crossings(curves: DataFrame, level: float, column: str = "n") -> DataFrame:
     over = (F.col(column) > level).cast("int")
-    moved = curves.withColumn("_o", over).withColumn("_d", F.abs(F.col("_o") - F.lag("_o").over(by_time())))
+    moved = curves.withColumn("_o", over).withColumn("_d", F.abs(F.col("_o") - F.lag("_o").over(by_time(column))))
     return moved.groupBy(*KEY).agg((F.coalesce(F.sum("_d"), F.lit(0)) / 2).alias("n_crossings"))
 
 

@@ -22,3 +22,7 @@ def each_order(spark, made):
 def test_convolution(spark):
     found = each_order(spark, lambda c: features.convolved(c, [0.5, 0.3, 0.2]).select("it", "convolved"))
     assert [v for _, v in found] == pytest.approx([0.0, 2.0, 1.2, 2.8, 1.2, 2.3, 0.9, 1.1])
+
+
+def test_crossings(spark):
+    assert each_order(spark, lambda c: features.crossings(c, 1)) == [("r", 7, 3.0)]
