@@ -68,10 +68,11 @@ def crossings(curves: DataFrame, level: float, column: str = "n") -> DataFrame:
 
 def largest_peak(curves: DataFrame, column: str = "n") -> DataFrame:
     """Frame of the first maximum, whether it is the first or last, and whether both neighbours are zero; the ends meet."""
-    first, last = F.min_by(column, "it").over(whole()), F.max_by(column, "it").over(whole())
-    near = curves.withColumn("_b", F.coalesce(F.lag(column).over(by_time()), last)).withColumn("_a", F.coalesce(F.lead(column).over(by_time()), first))
+    place = F.struct("it", column)
+    first, last = F.min_by(column, place).over(whole()), F.max_by(column, place).over(whole())
+    near = curves.withColumn("_b", F.coalesce(F.lag(column).over(by_time(column)), last)).withColumn("_a", F.coalesce(F.lead(column).over(by_time(column)), first))
     ends = near.withColumn("_lo", F.min("it").over(whole())).withColumn("_hi", F.max("it").over(whole()))
-    best = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc(column), "it"))
+    best = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc(column), "it", "_b", "_a"))
     return ends.withColumn("_r", best).where("_r = 1").select(
         *KEY, F.col("it").alias("idx"), F.col(column).alias("peak_n"), (F.col("it") == F.col("_lo")).alias("is_first"), (F.col("it") == F.col("_hi")).alias("is_last"), ((F.col("_b") == 0) & (F.col("_a") == 0)).alias("isolated")
     )

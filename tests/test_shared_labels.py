@@ -26,3 +26,7 @@ def test_convolution(spark):
 
 def test_crossings(spark):
     assert each_order(spark, lambda c: features.crossings(c, 1)) == [("r", 7, 3.0)]
+
+
+def test_largest_peak(spark):
+    assert each_order(spark, features.largest_peak) == [("r", 7, 0, 4, True, False, True)]
