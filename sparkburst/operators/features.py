@@ -46,9 +46,9 @@ def significant_bins(curves: DataFrame, thresholds: dict[str, tuple[float, float
 
 def local_maxima(curves: DataFrame, least: float, column: str = "n") -> DataFrame:
     """Number of local maxima of at least ``least``; a plateau is one, the ends are none."""
-    changed = F.coalesce(F.col(column) != F.lag(column).over(by_time()), F.lit(True))
+    changed = F.coalesce(F.col(column) != F.lag(column).over(by_time(column)), F.lit(True))
     runs = curves.withColumn("_c", changed).where("_c")
-    before, after = F.lag(column).over(by_time()), F.lead(column).over(by_time())
+    before, after = F.lag(column).over(by_time(column)), F.lead(column).over(by_time(column))
     peak = (F.col(column) > before) & (F.col(column) > after) & (F.col(column) >= least)
     return runs.withColumn("_p", F.coalesce(peak, F.lit(False))).groupBy(*KEY).agg(F.count_if("_p").alias("n_maxima"))
 

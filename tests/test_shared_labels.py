@@ -30,3 +30,7 @@ def test_crossings(spark):
 
 def test_largest_peak(spark):
     assert each_order(spark, features.largest_peak) == [("r", 7, 0, 4, True, False, True)]
+
+
+def test_local_maxima(spark):
+    assert each_order(spark, lambda c: features.local_maxima(c, 2)) == [("r", 7, 3)]
