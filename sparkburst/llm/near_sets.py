@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes of the narrowest sketch, and the size of a set up to which each width serves (four times wider each).
+#: Bytes of the narrowest sketch, and the size of a set up to which each width serves (twice as wide each): at 0.6 bits a
+#: shingle unrelated sets differ in 0.3 of them, where the thresholds of 0.8 and 0.85 allow 0.22 and 0.16.
 SKETCH_BYTES = 64
-_SERVES = 400
+_SERVES = 850
 _WIDEST = SKETCH_BYTES << 6
 #: Blocks of up to so many rows are compared by shifting the whole table against itself.
 _SMALL = 16
@@ -21,7 +22,7 @@ _SMALL = 16
 def sketch(s: np.ndarray) -> bytes:
     width, serves = SKETCH_BYTES, _SERVES
     while len(s) > serves and width < _WIDEST:
-        width, serves = width * 4, serves * 4
+        width, serves = width * 2, serves * 2
     bits = (s >> np.uint64(40)).astype(np.int64) & (8 * width - 1)
     return np.packbits((np.bincount(bits, minlength=8 * width) & 1).astype(np.uint8)).tobytes()
 

@@ -16,15 +16,24 @@ very frequent shingles and very large families, which are dealt in blocks of
 thousands.
 
 The order comes from counters of fixed number, filled by all documents.
+
+Only postings of shingles that several groups hold are shuffled with their
+sketches: the shingles are counted first, and a Bloom filter of the shared ones
+goes to every task, so postings need no join with them, however many there are.
+Where they are many beside the prefixes, they are judged in passes over the
+shingles, one after the other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +41,10 @@ from pyspark.sql import functions as F
 from .arrow_text import ASCII_LOWER, chunks, mix, shingle_hashes, span_hashes, word_bounds
 from .graph import components
 from .near_sets import Postings, forest, linked, sketch
-from .tables import discard, small_batches, unused, written
+from .tables import discard, shuffles_cleared, small_batches, unused, written
 
 #: Counters of the global order, in blocks that are summed apart.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
 _BLOCKS = 64
 #: Rows up to which ids are broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -45,8 +54,14 @@ SETS_IN_BLOCK = 4096
 ITEMS_IN_BLOCK = 4 << 20
 #: Members of a large family that all its blocks hold, so that what they link becomes one component early.
 HUBS = 128
-#: Postings that a task works on at once.
+#: Postings that a task works on at once, and that it gives away at once.
 _BUFFERED = 100_000
+_GIVEN = 10_000
+#: Bits of the filter for each shared shingle, and its bits at most; beyond, more shingles of one group pass, which pair nothing.
+BITS_EACH = 16
+MOST_BITS = 1 << 29
+#: Bytes of postings shuffled at once, for each byte of prefix; more are dealt to passes over the shingles.
+BYTES_AT_ONCE = 4
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -77,15 +92,18 @@ def _counters(texts: DataFrame, size: int) -> np.ndarray:
             for part in _joined(shingle_sets(batch.column(1), size)):
                 total += np.bincount(part & np.uint64(COUNTERS - 1), minlength=COUNTERS)
         chunk = TaskContext.get().partitionId() % _BLOCKS
-        rows = [x.astype("<i8") for x in total.reshape(_BLOCKS, -1)]
+        rows = np.minimum(total, 65535).astype("<u2").reshape(_BLOCKS, -1)  # beyond, a shingle is frequent
         yield pa.RecordBatch.from_pydict({"block": pa.array(range(_BLOCKS), pa.int32()), "chunk": pa.array([chunk] * _BLOCKS, pa.int32()), "counts": [x.tobytes() for x in rows]})
 
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, dtype="<i8") for x in pdf["counts"]], axis=0)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "counts": [total.astype("<i8").tobytes()]})
+    def added(kind: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.sum([np.frombuffer(x, dtype=kind) for x in pdf["counts"]], axis=0, dtype="<i8")
+            return pd.DataFrame({"block": pdf["block"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "counts": [total.tobytes()]})
+
+        return run
 
     schema = "block int, chunk int, counts binary"
-    parts = texts.mapInArrow(count, schema).groupBy("block", "chunk").applyInPandas(added, schema).groupBy("block").applyInPandas(added, schema)
+    parts = texts.mapInArrow(count, schema).groupBy("block", "chunk").applyInPandas(added("<u2"), schema).groupBy("block").applyInPandas(added("<i8"), schema)
     out = np.zeros((_BLOCKS, COUNTERS // _BLOCKS), dtype=np.int64)
     for r in parts.collect():  # _BLOCKS rows
         out[r["block"]] = np.frombuffer(r["counts"], dtype="<i8")
@@ -168,13 +186,57 @@ def _block_numbers(table: pa.Table, keys: int) -> np.ndarray:
     return np.cumsum(fresh)
 
 
-def _at_shared(held: DataFrame, shared: DataFrame, how: str = "inner") -> DataFrame:
-    """``held`` at some shingles, which are broadcast up to a number of rows."""
-    return held.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "shingle", how)
+def _bits(shingles: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each shingle in its block of ``width`` bits; the block is in the topmost six bits."""
+    mask = np.uint64(width - 1)
+    return (shingles >> np.uint64(12)) & mask, (shingles >> np.uint64(35)) & mask
+
+
+def _filter(shared: DataFrame, rows: int) -> np.ndarray:
+    """A Bloom filter of the shingles of ``shared``, a row of bytes for each block."""
+    width = 512
+    while width * _BLOCKS < min(MOST_BITS, BITS_EACH * rows):
+        width *= 2
+
+    def filled(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(width, dtype=np.uint8)
+        for place in _bits(pdf["shingle"].to_numpy().view(np.uint64), width):
+            bits[place] = 1
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+
+    out = np.zeros((_BLOCKS, width // 8), dtype=np.uint8)
+    blocks = shared.select(F.shiftrightunsigned("shingle", 58).cast("int").alias("block"), "shingle")
+    for r in blocks.groupBy("block").applyInPandas(filled, "block int, bits binary").collect():  # _BLOCKS rows
+        out[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def _postings(groups: DataFrame, passing: np.ndarray) -> DataFrame:
+    """A row (shingle, gid, n, at, sketch) for each place of a prefix whose shingle passes the filter."""
+    sent = groups.sparkSession.sparkContext.broadcast(passing)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sent.value
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(2)).to_numpy()
+            held = batch.column(2).flatten().to_numpy().view(np.uint64)
+            block = (held >> np.uint64(58)).astype(np.int64)
+            hit = np.ones(len(held), dtype=bool)
+            for place in _bits(held, 8 * rows.shape[1]):
+                hit &= (rows[block, (place >> np.uint64(3)).astype(np.int64)] << (place & np.uint64(7)).astype(np.uint8)) & np.uint8(128) > 0
+            where = np.flatnonzero(hit)
+            group = np.repeat(np.arange(batch.num_rows), sizes)
+            at = np.arange(len(held)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            for lo in range(0, len(where), _GIVEN):
+                now = where[lo : lo + _GIVEN]
+                of = batch.take(pa.array(group[now], pa.int64()))
+                yield pa.RecordBatch.from_arrays([_longs(held[now].view(np.int64)), of.column(0), of.column(1), pa.array(at[now], pa.int32()), of.column(3)], names=["shingle", "gid", "n", "at", "sketch"])
+
+    return groups.select("g1", "n", "prefix", "sketch").mapInArrow(run, "shingle long, gid long, n long, at int, sketch binary")
 
 
 def _split(postings: DataFrame) -> DataFrame:
-    """The postings of very frequent shingles (``parts`` > 1), dealt to pairs of parts."""
+    """The postings, those of very frequent shingles (``parts`` > 1) dealt to pairs of parts."""
     part = F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, part).alias("p"), F.greatest(q, part).alias("q")))
     return postings.select("shingle", F.explode(pairs.cast("array<struct<p:int,q:int>>")).alias("t"), "gid", "n", "at", part.alias("part"), "sketch").select("shingle", "t.p", "t.q", "gid", "n", "at", "part", "sketch")
@@ -182,16 +244,17 @@ def _split(postings: DataFrame) -> DataFrame:
 
 def _families(groups: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the groups that near pairs connect, node and root being g1; no pair at the threshold is apart."""
-    held = groups.select("g1", "n", "sketch", F.posexplode("prefix").alias("at", "shingle"))
+    held = groups.select("n", F.explode("prefix").alias("shingle"))
     # a shingle that one group has in its prefix pairs nothing, nor does one of two groups whose sizes are too far apart
     counted = held.groupBy("shingle").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     fitting = counted.where((F.col("c") > 2) | ((F.col("c") == 2) & (100 * F.col("lo") >= percent * F.col("hi"))))
-    shared = written(fitting.select("shingle", F.ceil(F.col("c") / POSTINGS_IN_BLOCK).cast("int").alias("parts")), "shingles")
-    postings = _at_shared(held.select("shingle", F.col("g1").alias("gid"), "n", "at", "sketch"), shared)
-    zero = F.lit(0).cast("int")
-    dealt = postings.where("parts = 1").select("shingle", zero.alias("p"), zero.alias("q"), "gid", "n", "at", zero.alias("part"), "sketch")
-    if not shared.where("parts > 1").isEmpty():
-        dealt = dealt.unionByName(_split(postings.where("parts > 1")))
+    shared = written(fitting.select("shingle", "c", F.ceil(F.col("c") / POSTINGS_IN_BLOCK).cast("int").alias("parts")), "shingles")
+    total = shared.agg(F.count("*"), F.sum(F.col("c") * F.col("parts")), F.count_if(F.col("parts") > 1)).first()
+    passing, n_frequent = _filter(shared, total[0]), total[2]
+    frequent = shared.where("parts > 1").select("shingle", "parts")
+    places = F.size("prefix").cast("long")
+    least, most = groups.agg(F.sum(8 * places), F.sum(places * (F.coalesce(F.length("sketch"), F.lit(0)) + 40)) / F.sum(places)).first()
+    passes = min(_BLOCKS, max(1, math.ceil((total[1] or 0) * (most or 0) / (BYTES_AT_ONCE * (least or 1)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, 3, _BUFFERED):
@@ -200,9 +263,24 @@ def _families(groups: DataFrame, percent: int) -> DataFrame:
             a, b = forest(_block_numbers(table, 3), rows)
             yield pa.RecordBatch.from_arrays([_longs(a), _longs(b)], names=["a", "b"])
 
-    edges = dealt.repartition("shingle", "p", "q").sortWithinPartitions("shingle", "p", "q").mapInArrow(run, "a long, b long")
-    out = components(edges, "a", "b")
-    discard(shared)
+    def edges(now: np.ndarray) -> DataFrame:
+        postings = _postings(groups, now)
+        if n_frequent:
+            joined = postings.join(F.broadcast(frequent) if n_frequent <= BROADCAST_ROWS else frequent, "shingle", "left")
+            dealt = _split(joined.withColumn("parts", F.coalesce("parts", F.lit(1))))
+        else:
+            zero = F.lit(0).cast("int")
+            dealt = postings.select("shingle", zero.alias("p"), zero.alias("q"), "gid", "n", "at", zero.alias("part"), "sketch")
+        return dealt.repartition("shingle", "p", "q").sortWithinPartitions("shingle", "p", "q").mapInArrow(run, "a long, b long")
+
+    if passes == 1:
+        found = [edges(passing)]
+    else:
+        turn = np.arange(_BLOCKS) * passes // _BLOCKS
+        found = [written(edges(np.where(turn[:, None] == k, passing, np.uint8(0))), "pairs") for k in range(passes)]
+    out = components(functools.reduce(DataFrame.unionByName, found), "a", "b")
+    for table in [shared, *(found if passes > 1 else [])]:
+        discard(table)
     return out
 
 
@@ -317,23 +395,25 @@ def _large(sets: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     return out.select("node.a", "node.b", F.col("root.a").alias("r1"), F.col("root.b").alias("r2")).toDF("k1", "k2", "r1", "r2")
 
 
+@shuffles_cleared
 def _judged(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows (doc_id, digest, n, k1, k2), the sets' (k1, k2, rep, copies) and, of the linked ones, (k1, k2, r1, r2)."""
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _digest().alias("digest"))
     wide = written(_prefixes(texts, size, percent, _counters(texts, size)), "prefixes")
-    rows = wide.select("doc_id", "digest", "n", "k1", "k2")
+    rows = written(wide.select("doc_id", "digest", "n", "k1", "k2"), "rows")
     usable = wide.where("n > 0 and doc_id is not null")
     nodes = written(usable.groupBy("k1", "k2", "g1").agg(F.min(F.struct("doc_id", "digest")).alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n")), "nodes").select("k1", "k2", "g1", F.col("rep.doc_id").alias("rep"), F.col("rep.digest").alias("digest"), "copies", "n")
     # a group of different sets has no sketch: it passes
     one = (F.min("k1") == F.max("k1")) & (F.min("k2") == F.max("k2"))
     groups = usable.groupBy("g1", "g2").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), one.alias("one"))
     groups = written(groups.select("g1", "n", "prefix", F.when(F.col("one"), F.col("sketch")).alias("sketch")), "groups")
+    discard(wide)
     families = _families(groups, percent)
     discard(groups)
     several = nodes.groupBy("g1").agg(F.count("*").alias("c")).where("c > 1").select(F.col("g1").alias("node"), F.col("g1").alias("root"))
     families = families.unionByName(several.join(families.select("node"), "node", "left_anti"))
     members = written(nodes.join(families.withColumnRenamed("node", "g1"), "g1").select(F.col("root").alias("fam"), "k1", "k2", "rep", "digest", "n"), "members")
-    repeated = written(usable.groupBy("doc_id", "digest").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", "digest"), "repeated")
+    repeated = written(rows.where("n > 0 and doc_id is not null").groupBy("doc_id", "digest").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", "digest"), "repeated")
     sets = written(_sets(texts, members, repeated, size), "sets")
     of_family = members.groupBy("fam").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     large = written(of_family.withColumn("parts", _blocks_of(F.col("m"), F.col("s"))).where("parts > 1").select("fam", "m", "parts"), "large")
@@ -343,8 +423,8 @@ def _judged(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     if n_large:
         found = found.unionByName(_large(sets, large, percent))
     roots = written(found, "roots")
-    discard(sets)
-    discard(members)
+    for table in (sets, members, repeated, large):
+        discard(table)
     return rows, nodes, roots
 
 

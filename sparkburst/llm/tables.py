@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +57,23 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shuffles_cleared(f: Callable) -> Callable:
+    """``f``, whose first argument is a DataFrame: within it, what a query has shuffled is deleted at its end, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    @functools.wraps(f)
+    def run(df: DataFrame, *a, **b):
+        conf = df.sparkSession.conf
+        before = conf.get(key, None)
+        conf.set(key, "true")
+        try:
+            return f(df, *a, **b)
+        finally:
+            if before is None:
+                conf.unset(key)
+            else:
+                conf.set(key, before)
+
+    return run
